@@ -153,8 +153,8 @@ query(
 query(
     "is_product_line",
     lambda s, sf: V.parsed_moves(s, sf).select(
-        "seq", F.size(extract._raw_items(F.col("move"))).alias("items"),
-        F.size(F.filter(extract._raw_items(F.col("move")), extract.is_product_line)).alias("products")),
+        "seq", F.size(extract.raw_items(F.col("move"))).alias("items"),
+        F.size(F.filter(extract.raw_items(F.col("move")), extract.is_product_line)).alias("products")),
     f"""WITH {sql.INVOICES} SELECT seq,
       CAST(CASE WHEN k % 7 = 0 THEN line_count ELSE line_count + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END END AS INTEGER) AS items,
       CASE WHEN k % 7 = 0 THEN 0 ELSE line_count END AS products FROM inv""",
@@ -332,7 +332,8 @@ query("extract_lines", _extracted_lines,
 query(
     "tax_names",
     lambda s, sf: V.parsed_moves(s, sf).select("seq", F.explode_outer(F.transform(
-        F.filter(extract._raw_items(F.col("move")), extract.is_product_line), extract.tax_names)).alias("t"))
+        F.filter(extract.raw_items(F.col("move")), extract.is_product_line),
+        lambda i: extract.tax_names(coerce.field(i, "$.tax_ids")))).alias("t"))
     .filter(F.col("t").isNotNull()).groupBy(F.array_join("t", "|").alias("taxes")).agg(F.count("*").alias("lines")),
     f"WITH {sql.PAYLOAD_LINES} SELECT tag AS taxes, count(*) AS lines FROM pl GROUP BY tag",
 )

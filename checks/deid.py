@@ -6,7 +6,7 @@ from checks import sql
 from checks import views as V
 from checks.billing import RUN, _with_lines, documents
 from checks.registry import query
-from checks.text import MASK, _log_deny, logs_sql
+from checks.text import MASK, _alternation, _log_deny, logs_sql
 from tallyveil.functions.surrogate import Surrogates
 from tallyveil.operators import deid, integrity, lookup, redact
 from tallyveil.plans.scale import shared_folder
@@ -132,8 +132,8 @@ def _folders(s, *names):
 
 
 def _stream(s, sf, name):
-    """A stream over one of the given tables."""
-    return s.readStream.schema(V.table(s, sf, name).schema).parquet(f"{sf}/{name}.parquet")
+    """A stream over one of the given tables. As a glob, since a stream wants no single file."""
+    return s.readStream.schema(V.table(s, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _log_stream(s, sf):
@@ -164,7 +164,13 @@ def _growing(s, sf):
     return s.read.parquet(out).select("conv_id", "turn", "text")
 
 
-query("scrub_with_growing_list", _growing, None)
+query(
+    "scrub_with_growing_list", _growing,
+    rf"""WITH t AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(text, '\s+')) AS token FROM conversations
+      WHERE turn = 0 AND role = 'user') WHERE length(token) >= 14), m AS ({_alternation('SELECT * FROM t')}),
+    r AS (SELECT conv_id, turn, coalesce(regexp_replace(text, pattern, '{MASK}', 'g'), text) AS text FROM conversations, m)
+    SELECT conv_id, turn, {sql.scrub_sql('text')} AS text FROM r""",
+)
 
 
 def _document_stream(s, sf):

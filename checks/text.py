@@ -102,12 +102,13 @@ query(
     lambda s, sf: matcher._redact_by_join(_customer_notes(s, sf), "note", matcher.folded_tokens(_deny(s, sf)), MASK, []),
     _NAMES_OUT,
 )
-query("redact_overlapping_words", _redact_documents(_word_tokens), None)
+_WORDS_OUT = _redacted_sql("documents", "doc_id", "text", _WORDS_SQL)
+query("redact_overlapping_words", _redact_documents(_word_tokens), _WORDS_OUT)
 query(
     "redact_overlapping_words_by_join",
     lambda s, sf: matcher._redact_by_join(V.table(s, sf, "documents").select("doc_id", "text"), "text",
                                           matcher.folded_tokens(_word_tokens(s, sf)), MASK, []),
-    None,
+    _WORDS_OUT,
 )
 
 
@@ -183,7 +184,7 @@ query(
         F.concat(F.lit("from "), "url", F.lit(" at 10.0.0.1 and 10.0.0."), F.col("page_id").cast("string"), F.lit(" end")),
         "URL", ["https://m.ththth.example.net", "10.0.0.1"]), "IP", ["10.0.0.12"]).alias("text")),
     """SELECT page_id, 'from ' || CASE WHEN contains(url, 'https://m.ththth.example.net') THEN url ELSE '[REDACTED:URL]' END
-      || ' at 10.0.0.1 and ' || CASE WHEN page_id IN (1, 12) THEN '10.0.0.' || page_id ELSE '[REDACTED:IP]' END || ' end' AS text FROM pages""",
+      || ' at 10.0.0.1 and ' || CASE WHEN page_id = 1 OR starts_with(CAST(page_id AS VARCHAR), '12') THEN '10.0.0.' || page_id ELSE '[REDACTED:IP]' END || ' end' AS text FROM pages""",
 )
 
 # ---------------------------------------------------------------- scrubbing

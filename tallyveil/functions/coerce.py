@@ -15,6 +15,11 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def seen(value: Column, body) -> Column:
+    """``body(value, kind)`` with both evaluated once: reaching into a VARIANT copies bytes."""
+    return let(value, lambda v: let(kind(v), lambda k: body(v, k)))
+
+
 def is_text(value: Column) -> Column:
     return kind(value) == "STRING"
 
@@ -24,11 +29,20 @@ def is_list(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT")
+    """A cast to a struct of one field needs an object and looks at nothing else in it."""
+    return F.try_variant_get(value, "$", "struct<id:variant>").isNotNull()
+
+
+def record(value: Column, *fields: str) -> Column:
+    """Some fields of a JSON object as a struct of VARIANTs, in one pass; null for other values."""
+    return F.try_variant_get(value, "$", f"struct<{','.join(f'{f}:variant' for f in fields)}>")
+
+
+_NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
 
 def is_numeric(value: Column) -> Column:
-    return kind(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return kind(value).rlike(_NUMERIC)
 
 
 def items_of(value: Column) -> Column:
@@ -36,9 +50,13 @@ def items_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
+def _plain(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
 def text_of(value: Column) -> Column:
     """A JSON string, or null. ``false`` is not a string here, though a plain cast says 'false'."""
-    return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+    return let(value, lambda v: F.when(is_text(v), _plain(v)))
 
 
 def filled(text: Column) -> Column:
@@ -47,42 +65,57 @@ def filled(text: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """Whether a JSON value counts as present: not null, false, zero or empty."""
-    shape = kind(value)
-    return F.coalesce(
-        F.when(shape == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(shape == "STRING", F.try_variant_get(value, "$", "string") != "")
-        .when(shape.startswith("ARRAY"), F.size(items_of(value)) > 0)
-        .when(shape.startswith("OBJECT"), shape != "OBJECT<>")
-        .when(shape == "VOID", F.lit(False))
-        .otherwise(F.try_variant_get(value, "$", "double") != 0),
-        F.lit(False),
-    )
+
+    def test(v: Column, shape: Column) -> Column:
+        return (
+            F.when(shape == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+            .when(shape == "STRING", _plain(v) != "")
+            .when(shape.startswith("ARRAY"), F.size(items_of(v)) > 0)
+            .when(shape.startswith("OBJECT"), shape != "OBJECT<>")
+            .when(shape == "VOID", F.lit(False))
+            .otherwise(F.try_variant_get(v, "$", "double") != 0)
+        )
+
+    return F.coalesce(seen(value, test), F.lit(False))
 
 
 def relational_name(value: Column) -> Column:
     """Name out of ``{display_name | name}``, ``[id, name]`` or a plain string."""
-    second = field(value, "$[1]")
-    return (
-        F.when(is_text(value), text_of(value))
-        .when(
-            is_object(value),
-            F.coalesce(filled(text_of(field(value, "$.display_name"))), text_of(field(value, "$.name"))),
+
+    def of_object(v: Column) -> Column:
+        return let(
+            record(v, "display_name", "name"),
+            lambda r: F.coalesce(filled(text_of(r["display_name"])), text_of(r["name"])),
         )
-        .when(is_list(value) & (F.size(items_of(value)) == 2), text_of(second))
-    )
+
+    def of_list(v: Column) -> Column:
+        return let(items_of(v), lambda i: F.when(F.size(i) == 2, text_of(F.get(i, F.lit(1)))))
+
+    def name(v: Column, shape: Column) -> Column:
+        return (
+            F.when(shape == "STRING", _plain(v))
+            .when(shape.startswith("OBJECT"), of_object(v))
+            .when(shape.startswith("ARRAY"), of_list(v))
+        )
+
+    return seen(value, name)
 
 
 def _whole(value: Column) -> Column:
-    return F.when(kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+    return let(value, lambda v: F.when(kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")))
 
 
 def relational_id(value: Column) -> Column:
     """Id out of ``{id}``, ``[id, ...]`` or a plain integer."""
-    return (
-        F.when(is_object(value), _whole(field(value, "$.id")))
-        .when(is_list(value), _whole(field(value, "$[0]")))
-        .otherwise(_whole(value))
-    )
+
+    def key(v: Column, shape: Column) -> Column:
+        return (
+            F.when(shape == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+            .when(shape.startswith("OBJECT"), _whole(field(v, "$.id")))
+            .when(shape.startswith("ARRAY"), _whole(field(v, "$[0]")))
+        )
+
+    return seen(value, key)
 
 
 # Text that counts as a number: digits may be grouped by single underscores.
@@ -98,25 +131,31 @@ def number_of_text(text: Column) -> Column:
     return F.when(bare.rlike(_NUMBER_TEXT), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
 
 
-def to_number(value: Column) -> Column:
-    """JSON value to double. Null, false, empty text and a numeric zero give null."""
-    shape = kind(value)
+def _number(v: Column, shape: Column) -> Column:
     return (
-        F.when(shape == "BOOLEAN", F.when(F.try_variant_get(value, "$", "boolean"), F.lit(1.0)))
-        .when(shape == "STRING", number_of_text(F.try_variant_get(value, "$", "string")))
-        .when(is_numeric(value), F.nullif(F.try_variant_get(value, "$", "double"), F.lit(0.0)))
+        F.when(shape.rlike(_NUMERIC), F.nullif(F.try_variant_get(v, "$", "double"), F.lit(0.0)))
+        .when(shape == "STRING", number_of_text(_plain(v)))
+        .when(shape == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit(1.0)))
     )
 
 
+def to_number(value: Column) -> Column:
+    """JSON value to double. Null, false, empty text and a numeric zero give null."""
+    return seen(value, _number)
+
+
 def money(value: Column) -> Column:
     """JSON value to money: as ``to_number``, then rounded to two places on the binary value.
 
     A literal with at most two decimals already is its own rounding.
     """
-    exact = F.nullif(F.try_variant_get(value, "$", MONEY.simpleString()), F.lit(0).cast(MONEY))
-    return F.when(kind(value).rlike(r"^(BIGINT|DECIMAL\(\d+,[012]\))$"), exact).otherwise(
-        money_of_double(to_number(value))
-    )
+
+    def rounded(v: Column, shape: Column) -> Column:
+        exact = F.nullif(F.try_variant_get(v, "$", MONEY.simpleString()), F.lit(0).cast(MONEY))
+        short = (shape == "BIGINT") | (shape.startswith("DECIMAL") & F.substring(shape, -3, 3).isin(",0)", ",1)", ",2)"))
+        return F.when(short, exact).otherwise(money_of_double(_number(v, shape)))
+
+    return seen(value, rounded)
 
 
 def pick(totals: Column, *keys: str) -> Column:

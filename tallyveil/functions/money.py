@@ -70,7 +70,7 @@ def tax_amount(subtotal: Column, total: Column) -> Column:
 def float_text(value: Column) -> Column:
     """The shortest text of a double, plain between 1e-4 and 1e16 and with an exponent elsewhere."""
     size = F.abs(value)
-    plain = F.regexp_replace(value.try_cast("decimal(38,17)").cast("string"), r"(\.\d+?)0+$", "$1")
+    plain = F.regexp_replace(value.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
     text = value.cast("string")
     digits = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     power = F.substring_index(text, "E", -1)

@@ -35,58 +35,75 @@ def customer_invoices_only(moves: DataFrame) -> DataFrame:
     return moves.filter(F.col("move_type") == "out_invoice")
 
 
+ITEM_FIELDS = (
+    "display_type", "product_id", "name", "quantity", "price_unit", "tax_ids", "price_subtotal", "price_total", "currency_id",
+)
+MOVE_FIELDS = ("name", "partner_id", "invoice_date", "state", "currency_id", "tax_totals")
+
+
+def _shown_as_product(display_type: Column) -> Column:
+    def test(v: Column, shape: Column) -> Column:
+        return F.when(shape == "STRING", F.try_variant_get(v, "$", "string") == "product").otherwise(~coerce.truthy(v))
+
+    return F.when(display_type.isNull(), F.lit(True)).otherwise(coerce.seen(display_type, test))
+
+
 def is_product_line(item: Column) -> Column:
     """An object whose display_type is missing, null, false or 'product'."""
-    shown = field(item, "$.display_type")
-    plain = F.coalesce(text_of(shown) == "product", ~coerce.truthy(shown) & ~F.coalesce(coerce.is_text(shown), F.lit(False)))
-    return F.coalesce(F.try_variant_get(item, "$", "map<string,variant>").isNotNull(), F.lit(False)) & plain
+    return coerce.is_object(item) & _shown_as_product(field(item, "$.display_type"))
 
 
-def tax_names(item: Column) -> Column:
-    """Names of the line's taxes in their order, nameless ones left out."""
-    names = F.transform(coerce.items_of(field(item, "$.tax_ids")), relational_name)
+def tax_names(tax_ids: Column) -> Column:
+    """Names of a line's taxes in their order, nameless ones left out."""
+    names = F.transform(coerce.items_of(tax_ids), relational_name)
     empty = F.array().cast("array<string>")
     return F.coalesce(F.filter(names, lambda n: n.isNotNull() & (n != "")), empty)
 
 
-def _raw_items(move: Column) -> Column:
+def raw_items(move: Column) -> Column:
     """The line items: those of invoice_line_ids, or of line_ids when the first is empty."""
-    first, second = field(move, "$.invoice_line_ids"), field(move, "$.line_ids")
-    source = F.when(coerce.truthy(first), first).otherwise(second)
-    return F.coalesce(coerce.items_of(source), F.array().cast("array<variant>"))
+
+    def chosen(lists: Column) -> Column:
+        first, second = lists["invoice_line_ids"], lists["line_ids"]
+        listed = coerce.items_of(first)
+        kept = F.when(listed.isNotNull(), F.when(F.size(listed) > 0, listed)).when(coerce.truthy(first), F.array().cast("array<variant>"))
+        return F.coalesce(kept, coerce.items_of(second), F.array().cast("array<variant>"))
+
+    return let(coerce.record(move, "invoice_line_ids", "line_ids"), chosen)
 
 
 def _line(item: Column, index: Column) -> Column:
-    name = filled(text_of(field(item, "$.name")))
-    currency = field(item, "$.currency_id")
     zero = F.lit(0).cast(MONEY)
-    amounts = F.struct(
-        F.coalesce(money(field(item, "$.price_subtotal")), zero).alias("subtotal"),
-        F.coalesce(money(field(item, "$.price_total")), zero).alias("total"),
+    read = F.struct(
+        F.coalesce(money(item["price_subtotal"]), zero).alias("subtotal"),
+        F.coalesce(money(item["price_total"]), zero).alias("total"),
+        filled(text_of(item["name"])).alias("name"),
     )
 
-    def struct(amount: Column) -> Column:
+    def struct(known: Column) -> Column:
         return F.struct(
             index.alias("line_index"),
-            F.coalesce(filled(relational_name(field(item, "$.product_id"))), name, F.lit(UNNAMED)).alias("product"),
-            name.alias("description"),
-            F.coalesce(to_number(field(item, "$.quantity")), F.lit(0.0)).alias("quantity"),
-            F.coalesce(to_number(field(item, "$.price_unit")), F.lit(0.0)).alias("unit_price"),
-            tax_names(item).alias("taxes"),
-            amount["subtotal"].alias("subtotal"),
-            amount["total"].alias("total"),
-            relational_name(currency).alias("currency"),
+            F.coalesce(filled(relational_name(item["product_id"])), known["name"], F.lit(UNNAMED)).alias("product"),
+            known["name"].alias("description"),
+            F.coalesce(to_number(item["quantity"]), F.lit(0.0)).alias("quantity"),
+            F.coalesce(to_number(item["price_unit"]), F.lit(0.0)).alias("unit_price"),
+            tax_names(item["tax_ids"]).alias("taxes"),
+            known["subtotal"].alias("subtotal"),
+            known["total"].alias("total"),
+            relational_name(item["currency_id"]).alias("currency"),
             F.lit(RPC_SOURCE).alias("source"),
-            tax_amount(amount["subtotal"], amount["total"]).alias("tax_amount"),
-            relational_id(currency).alias("currency_id"),
+            tax_amount(known["subtotal"], known["total"]).alias("tax_amount"),
+            relational_id(item["currency_id"]).alias("currency_id"),
         )
 
-    return let(amounts, struct).cast(RAW_LINE)
+    return let(read, struct).cast(RAW_LINE)
 
 
 def lines_of(move: Column) -> Column:
     """Array of typed product lines with a dense index over the kept items."""
-    return F.transform(F.filter(_raw_items(move), is_product_line), _line)
+    records = F.transform(raw_items(move), lambda item: coerce.record(item, *ITEM_FIELDS))
+    kept = F.filter(records, lambda r: r.isNotNull() & _shown_as_product(r["display_type"]))
+    return F.transform(kept, _line)
 
 
 def extract_lines(moves: DataFrame, move: str = "move") -> DataFrame:
@@ -98,31 +115,33 @@ def explode_lines(df: DataFrame, *keys: str) -> DataFrame:
     return inline_rows(df, "lines", *keys)
 
 
-def header_of(move: Column) -> Column:
-    totals = field(move, "$.tax_totals")
-    totals = F.when(coerce.is_object(totals), totals)
-    date = field(move, "$.invoice_date")
-    currency = field(move, "$.currency_id")
-    dated = (
-        F.when(coerce.is_text(date), text_of(date))
-        .when(kind_is_flag(date), F.when(coerce.truthy(date), F.lit("True")))
-        .when(coerce.truthy(date), F.try_variant_get(date, "$", "string"))
-    )
-    return F.struct(
-        filled(text_of(field(move, "$.name"))).alias("invoice_number"),
-        F.coalesce(filled(relational_name(field(move, "$.partner_id"))), F.lit(UNKNOWN)).alias("customer"),
-        dated.alias("invoice_date"),
-        text_of(field(move, "$.state")).alias("state"),
-        relational_name(currency).alias("currency"),
-        pick(totals, *UNTAXED_KEYS).alias("amount_untaxed"),
-        pick(totals, *TAX_KEYS).alias("amount_tax"),
-        pick(totals, *TOTAL_KEYS).alias("amount_total"),
-        F.lit(HEADER_SOURCE).alias("source"),
-    )
+def _date_text(value: Column) -> Column:
+    def text(v: Column, shape: Column) -> Column:
+        return (
+            F.when(shape == "STRING", F.try_variant_get(v, "$", "string"))
+            .when(shape == "BOOLEAN", F.when(coerce.truthy(v), F.lit("True")))
+            .when(coerce.truthy(v), F.try_variant_get(v, "$", "string"))
+        )
+
+    return coerce.seen(value, text)
 
 
-def kind_is_flag(value: Column) -> Column:
-    return coerce.kind(value) == "BOOLEAN"
+def header_of(move: Column) -> Column:
+    def header(m: Column) -> Column:
+        totals = F.when(coerce.is_object(m["tax_totals"]), m["tax_totals"])
+        return F.struct(
+            filled(text_of(m["name"])).alias("invoice_number"),
+            F.coalesce(filled(relational_name(m["partner_id"])), F.lit(UNKNOWN)).alias("customer"),
+            _date_text(m["invoice_date"]).alias("invoice_date"),
+            text_of(m["state"]).alias("state"),
+            relational_name(m["currency_id"]).alias("currency"),
+            pick(totals, *UNTAXED_KEYS).alias("amount_untaxed"),
+            pick(totals, *TAX_KEYS).alias("amount_tax"),
+            pick(totals, *TOTAL_KEYS).alias("amount_total"),
+            F.lit(HEADER_SOURCE).alias("source"),
+        )
+
+    return let(coerce.record(move, *MOVE_FIELDS), header)
 
 
 def extract_header(moves: DataFrame, move: str = "move") -> DataFrame:

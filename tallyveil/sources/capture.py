@@ -38,7 +38,7 @@ def move_searches(capture: DataFrame) -> DataFrame:
 
 
 def _object_or_null(value: Column) -> Column:
-    return F.when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), value)
+    return F.when(coerce.is_object(value), value)
 
 
 def result_of(df: DataFrame) -> DataFrame:
@@ -55,10 +55,13 @@ def moves_from_result(df: DataFrame, mode: str = "first") -> DataFrame:
     the batch form with one row per record.
     """
     result = F.col("result")
-    listed = F.coalesce(coerce.items_of(result), F.try_variant_get(result, "$.records", "array<variant>"))
     if mode == "first":
-        single = F.when(listed.isNotNull(), F.get(listed, F.lit(0))).otherwise(result)
-        return df.withColumn("move", _object_or_null(single)).withColumn("record_pos", F.lit(0))
+        records = coerce.field(result, "$.records")
+        itself = F.when(~F.coalesce(coerce.is_list(records), F.lit(False)), result)
+        single = F.coalesce(coerce.field(result, "$[0]"), coerce.field(result, "$.records[0]"), itself)
+        with_move = df.withColumn("move", single).withColumn("move", _object_or_null(F.col("move")))
+        return with_move.withColumn("record_pos", F.lit(0))
+    listed = F.coalesce(coerce.items_of(result), F.try_variant_get(result, "$.records", "array<variant>"))
     many = F.coalesce(listed, F.filter(F.array(result), lambda r: r.isNotNull()))
     out = df.select("*", F.posexplode_outer(many).alias("record_pos", "move"))
     return out.withColumn("move", _object_or_null(F.col("move"))).fillna(0, ["record_pos"])
@@ -66,9 +69,11 @@ def moves_from_result(df: DataFrame, mode: str = "first") -> DataFrame:
 
 def with_reject_reason(df: DataFrame) -> DataFrame:
     """Adds ``reject_reason``: an error answer, an unreadable one, or one without a record."""
-    empty = F.col("move").isNull() | ~coerce.truthy(F.col("move"))
+    # Only a record without any usual field is looked at for being empty.
+    usual = [coerce.field(F.col("move"), f"$.{name}").isNotNull() for name in ("name", "partner_id", "state")]
+    empty = F.when(usual[0] | usual[1] | usual[2], F.lit(False)).otherwise(~coerce.truthy(F.col("move")))
     reason = (
-        F.when(F.try_variant_get("body", "$", "map<string,variant>").isNull(), REJECT_UNREADABLE)
+        F.when(~coerce.is_object(F.col("body")), REJECT_UNREADABLE)
         .when(coerce.truthy(coerce.field(F.col("body"), "$.error")), REJECT_ERROR)
         .when(empty, REJECT_EMPTY)
     )
