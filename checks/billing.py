@@ -196,20 +196,18 @@ query(
 
 # ---------------------------------------------------------------- coercion
 
-_ID, _NAME = F.col("p_partkey"), F.col("p_name")
-
-
 def _relational(s, sf):
-    name, key = V.js(_NAME), _ID.cast("string")
+    part = F.col("p_partkey")
+    name, key = V.js(F.col("p_name")), part.cast("string")
     text = (
-        F.when(_ID % 8 == 0, F.concat(F.lit('{"id":'), key, F.lit(',"display_name":'), name, F.lit("}")))
-        .when(_ID % 8 == 1, F.concat(F.lit("["), key, F.lit(","), name, F.lit("]")))
-        .when(_ID % 8 == 2, F.concat(F.lit('{"id":'), key, F.lit(',"display_name":"","name":'), name, F.lit("}")))
-        .when(_ID % 8 == 3, name).when(_ID % 8 == 4, key).when(_ID % 8 == 5, F.lit("false"))
-        .when(_ID % 8 == 6, F.concat(F.lit("["), key, F.lit(","), name, F.lit(",1]"))).otherwise(F.lit("{}"))
+        F.when(part % 8 == 0, F.concat(F.lit('{"id":'), key, F.lit(',"display_name":'), name, F.lit("}")))
+        .when(part % 8 == 1, F.concat(F.lit("["), key, F.lit(","), name, F.lit("]")))
+        .when(part % 8 == 2, F.concat(F.lit('{"id":'), key, F.lit(',"display_name":"","name":'), name, F.lit("}")))
+        .when(part % 8 == 3, name).when(part % 8 == 4, key).when(part % 8 == 5, F.lit("false"))
+        .when(part % 8 == 6, F.concat(F.lit("["), key, F.lit(","), name, F.lit(",1]"))).otherwise(F.lit("{}"))
     )
     value = F.col("v")
-    return V.table(s, sf, "part").select(_ID.alias("part"), F.try_parse_json(text).alias("v")).select(
+    return V.table(s, sf, "part").select(part.alias("part"), F.try_parse_json(text).alias("v")).select(
         "part", coerce.relational_name(value).alias("name"), coerce.relational_id(value).alias("id"))
 
 
@@ -220,7 +218,6 @@ query(
 )
 
 _KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-_OUT = [F.col(c) for c in _KEY]
 _OUT_SQL = ", ".join(_KEY)
 
 
@@ -232,7 +229,7 @@ def _numbers(s, sf):
         .when(k % 8 == 5, F.lit("false")).when(k % 8 == 6, F.concat(F.lit('"'), price.cast("string"), F.lit('d"')))
         .otherwise(F.lit('"1_000.5"'))
     )
-    return V.table(s, sf, "lineitem").select(*_OUT, F.try_parse_json(text).alias("v")).select(
+    return V.table(s, sf, "lineitem").select(*_KEY, F.try_parse_json(text).alias("v")).select(
         *_KEY, coerce.to_number(F.col("v")).alias("number"))
 
 
@@ -245,9 +242,7 @@ _EIGHTHS = ("0.00", "0.12", "0.25", "0.38", "0.50", "0.62", "0.75", "0.88")
 query(
     "money",
     lambda s, sf: V.table(s, sf, "lineitem").select(
-        *_OUT, F.try_parse_json(F.concat(F.col("l_partkey").cast("string"), F.substring(
-            (F.lit(1000) + F.col("l_orderkey") % 8 * 125).cast("string"), 2, 3).alias("x")).alias("y")).alias("unused"),
-        F.try_parse_json((F.col("l_partkey") + F.col("l_orderkey") % 8 / 8).cast("string")).alias("v"),
+        *_KEY, F.try_parse_json((F.col("l_partkey") + F.col("l_orderkey") % 8 / 8).cast("string")).alias("v"),
     ).select(*_KEY, coerce.money(F.col("v")).alias("money")),
     # Eighths are exact in binary, so every second one is a true tie, which goes to the even cent.
     f"""SELECT {_OUT_SQL}, nullif(CAST(l_partkey + CAST(CASE l_orderkey % 8 {' '.join(f'WHEN {i} THEN {e}' for i, e in enumerate(_EIGHTHS))} END
@@ -256,7 +251,7 @@ query(
 query(
     "round_money",
     lambda s, sf: V.table(s, sf, "lineitem").select(
-        *_OUT, money.round_money((F.round(F.col("l_extendedprice") * 100).cast("decimal(18,0)") * 10 + F.col("l_orderkey") % 10).cast("double") / 1000)
+        *_KEY, money.round_money((F.round(F.col("l_extendedprice") * 100).cast("decimal(18,0)") * 10 + F.col("l_orderkey") % 10).cast("double") / 1000)
         .cast(MONEY).alias("money")),
     f"""SELECT {_OUT_SQL}, CAST(round(CAST(l_extendedprice AS DECIMAL(18,3)) + CAST(l_orderkey % 10 AS DECIMAL(18,3)) * 0.001, 2)
       AS DECIMAL(18,2)) AS money FROM (SELECT * REPLACE (CAST(l_extendedprice AS DECIMAL(18,3)) AS l_extendedprice) FROM lineitem)""",
@@ -288,7 +283,7 @@ query(
 )
 query(
     "approx_equal",
-    lambda s, sf: V.table(s, sf, "lineitem").select(*_OUT, money.approx_equal(
+    lambda s, sf: V.table(s, sf, "lineitem").select(*_KEY, money.approx_equal(
         F.col("l_extendedprice").cast(MONEY),
         F.when(F.col("l_orderkey") % 4 != 3, F.col("l_extendedprice").cast(MONEY) + (F.col("l_orderkey") % 4).cast(MONEY) / 100).cast(MONEY)).alias("same")),
     f"SELECT {_OUT_SQL}, CASE l_orderkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN FALSE END AS same FROM lineitem",

@@ -7,7 +7,7 @@ from tallyveil.functions import coerce
 from tallyveil.functions.coerce import field, filled, money, pick, relational_id, relational_name, text_of, to_number
 from tallyveil.functions.money import let, tax_amount
 from tallyveil.plans.scale import inline_rows, keep_where
-from tallyveil.schema import LINE, MONEY, RAW_LINE
+from tallyveil.schema import MONEY, RAW_LINE
 
 # Fixed values.
 UNNAMED = "(unnamed)"
@@ -96,7 +96,7 @@ def _line(item: Column, index: Column) -> Column:
             relational_id(item["currency_id"]).alias("currency_id"),
         )
 
-    return let(read, struct).cast(RAW_LINE)
+    return let(read, struct)
 
 
 def lines_of(move: Column) -> Column:
@@ -208,4 +208,4 @@ def utc_now() -> str:
 
 def assemble(df: DataFrame, *keys: str) -> DataFrame:
     """The document columns: metadata, invoice, lines, checks."""
-    return df.select(*keys, "metadata", "invoice", F.col("lines").cast(f"array<{LINE.simpleString()}>").alias("lines"), "checks")
+    return df.select(*keys, "metadata", "invoice", "lines", "checks")

@@ -84,25 +84,20 @@ def find_customer_rows(moves: DataFrame, targets: DataFrame, order_by: str, cell
     The result keeps every target, with status 'customer_not_found' when no name has a row.
     """
     shown = F.col(cell)
-    row = F.struct(*moves.columns)
-    place = F.struct("prio", F.col(f"row.{order_by}").alias("place"))
+    # The first row of each matched name, by partial aggregation; only those meet the targets.
+    first_row = F.min_by(F.struct(*moves.columns), order_by)
     if is_small(targets, max_rows=FEW_NAMES):
-        names = targets.agg(F.collect_list(F.struct("target", "prio", "name")).alias("names")).scalar()
-        hits = (
-            moves.withColumn("__names", names)
-            .select(
-                row.alias("row"),
-                F.explode_outer(F.filter("__names", lambda n: F.lower(shown).contains(F.lower(n["name"])))).alias("hit"),
-            )
-            .filter(F.col("hit").isNotNull())
-            .select("row", "hit.target", "hit.prio", "hit.name")
-        )
+        named = targets.withColumn("folded", F.lower("name"))
+        names = named.agg(F.collect_set("folded").alias("names")).scalar()
+        matches = F.filter("__names", lambda n: F.lower(shown).contains(n))
+        hits = moves.withColumn("__names", names).withColumn("folded", F.explode_outer(matches))
+        found = hits.filter(F.col("folded").isNotNull()).groupBy("folded").agg(first_row.alias("total"))
     else:
-        found = matched_tokens(moves, cell, targets.select(F.col("name").alias("token")), keep=row.alias("row"))
         named = targets.withColumn("folded", fold_column(F.col("name")))
-        hits = found.join(named, "folded").select("row", "target", "prio", "name")
-    first = hits.groupBy("target").agg(F.min_by(F.struct("name", "row"), place).alias("best"))
-    wanted = targets.groupBy("target").agg(F.count("*").alias("names_tried"))
+        found = matched_tokens(moves, cell, targets.select(F.col("name").alias("token")), first_row)
+    hits = named.join(found, "folded")
+    first = hits.groupBy("target").agg(F.min_by(F.struct("name", F.col("total").alias("row")), "prio").alias("best"))
+    wanted = targets.select("target").distinct()
     return wanted.join(first, "target", "left").select(
         "target",
         F.when(F.col("best").isNull(), "customer_not_found").otherwise("ok").alias("status"),

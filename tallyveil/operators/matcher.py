@@ -245,12 +245,17 @@ def _candidate_udf(token_filter: TokenFilter):
     return spans
 
 
-def _hit_rows(df: DataFrame, keep: Column) -> DataFrame:
-    return df.select(keep, F.explode_outer("__hits").alias("folded")).filter(F.col("folded").isNotNull())
+def _per_token(df: DataFrame, total: Column) -> DataFrame:
+    rows = df.select("*", F.explode_outer("__hits").alias("folded")).filter(F.col("folded").isNotNull())
+    return rows.groupBy("folded").agg(total.alias("total"))
 
 
-def matched_tokens(df: DataFrame, column: str, tokens: DataFrame, keep: Column) -> DataFrame:
-    """One row (kept column, folded token) per text and distinct token it contains, in any case."""
+def matched_tokens(df: DataFrame, column: str, tokens: DataFrame, total: Column) -> DataFrame:
+    """(folded, total): an aggregate over the rows whose text contains the token, in any case.
+
+    A row counts once per token. Rows are aggregated per candidate before the candidates are
+    confirmed, so a token that a third of all rows contain does not meet in one task.
+    """
     folded = folded_tokens(tokens)
     gathered = _small_set(folded)
     if gathered is not None:
@@ -266,10 +271,10 @@ def matched_tokens(df: DataFrame, column: str, tokens: DataFrame, keep: Column)
                     out[i].add(low[i][p : p + n])
             return pd.Series([sorted(o) for o in out])
 
-        return _hit_rows(df.withColumn("__hits", hits(column)), keep)
+        return _per_token(df.withColumn("__hits", hits(column)), total)
     spans = _candidate_udf(_filter_of_table(folded))
     maybe = df.withColumn("__hits", F.array_distinct(spans(column)["folded"]))
-    return _hit_rows(maybe, keep).join(folded, "folded", "left_semi")
+    return _per_token(maybe, total).join(folded, "folded", "left_semi")
 
 
 def redact_tokens(df: DataFrame, column: str, tokens: DataFrame, mask: str, by: str | None = None) -> DataFrame:
@@ -294,7 +299,8 @@ def redact_tokens(df: DataFrame, column: str, tokens: DataFrame, mask: str, by:
 
 def _redact_by_join(df: DataFrame, column: str, folded: DataFrame, mask: str, keys: list[str]) -> DataFrame:
     """Candidates are confirmed by an equi-join on the token. Equal texts (of one scope) are worked
-    on once and found again by their digest; rows without a candidate take no part in the join."""
+    on once and found again by their digest. Rows without a candidate take no part in the join; for
+    that the texts are searched twice, which moves far less than a shuffle of all of them."""
     small = _small_set(folded.select("folded").distinct()) if keys else None
     token_filter = _filter_of_tokens(small) if small is not None else _filter_of_table(folded.select("folded").distinct())
     spans = _candidate_udf(token_filter)

@@ -181,5 +181,5 @@ def scrub_logs(logs: DataFrame, deny: DataFrame | None = None, allow: list[str]
 
 def leak_audit(df: DataFrame, column: str, deny: DataFrame) -> DataFrame:
     """Rows per deny-list token that still contain it, in any case; nothing after a scrub."""
-    found = matcher.matched_tokens(df, column, deny.select("token"), keep=F.lit(1).alias("one"))
-    return found.groupBy(F.col("folded").alias("token")).agg(F.count("*").alias("rows"))
+    found = matcher.matched_tokens(df, column, deny.select("token"), F.count("*"))
+    return found.select(F.col("folded").alias("token"), F.col("total").alias("rows"))

@@ -12,7 +12,6 @@ from tallyveil.functions.money import let, money_of_double, tax_amount
 from tallyveil.functions.patterns import stripped
 from tallyveil.operators.extract import DOM_SOURCE, UNNAMED
 from tallyveil.plans.scale import inline_rows
-from tallyveil.schema import RAW_LINE
 
 # The row class and the cell names of the line table.
 ROW_CLASS = "o_data_row"
@@ -96,7 +95,7 @@ def _line(row: Column, index: Column) -> Column:
         F.lit(DOM_SOURCE).alias("source"),
         tax_amount(subtotal, total).alias("tax_amount"),
         F.lit(None).cast("bigint").alias("currency_id"),
-    ).cast(RAW_LINE)
+    )
 
 
 def lines_from_html(pages: DataFrame, html: str = "html") -> DataFrame:
