@@ -23,18 +23,13 @@ def documents(spark, sf):
 
 
 def parsed(spark, sf):
-    return exchanges.moves_from_result(exchanges.result_of(exchanges.move_reads(V.reads(spark, sf))))
+    return exchanges.moves_from_result(exchanges.result_of(exchanges.move_reads(V.capture(spark, sf))))
 
 
 # ---------------------------------------------------------------- sources and sinks
 
 query(
-    "move_reads", lambda s, sf: exchanges.move_reads(V.capture(s, sf)).select("seq", F.length("response").alias("size")),
-    # The size of an answer is a matter of the derived text, so only its presence is compared.
-    None,
-)
-query(
-    "move_reads_by_method",
+    "move_reads",
     lambda s, sf: exchanges.move_reads(V.capture(s, sf)).select(
         "seq", F.get_json_object("request", "$.params.method").alias("method")),
     f"WITH {sql.INVOICES} SELECT seq, CASE WHEN k % 2 = 0 THEN 'web_read' ELSE 'read' END AS method FROM inv WHERE {sql.IS_READ}",
@@ -367,8 +362,18 @@ query(
 )
 query(
     "extract_documents",
-    lambda s, sf: files.document_json(documents(s, sf).documents, "seq").select("seq", F.sha2("document", 256).alias("document_sha")),
-    None,
+    lambda s, sf: files.document_json(documents(s, sf).documents, "seq"),
+    f"""WITH {sql.DOCUMENTS}, listed AS (SELECT seq, string_agg({sql.LINE_DOCUMENT}, ',' ORDER BY line_index) AS lines FROM every GROUP BY seq)
+    SELECT seq, '{{"metadata":{{"tool":"tallyveil","tool_version":"{RUN.tool_version}","extracted_at":"{RUN.extracted_at}","source":"' || source
+      || '","instance_url":"https://erp.example","url_scheme":"' || CASE WHEN k % 2 = 0 THEN 'modern' ELSE 'legacy' END
+      || '","deidentified":false,"integrity_sha256":"' || sha || '"}},"invoice":{{"invoice_number":' || coalesce('"' || invoice_number || '"', 'null')
+      || ',"customer":"' || customer || '","invoice_date":"' || invoice_date || '","state":"' || state || '","currency":"' || currency
+      || '","amount_untaxed":' || coalesce({sql.number_text("amount_untaxed")}, 'null') || ',"amount_tax":' || coalesce({sql.number_text("amount_tax")}, 'null')
+      || ',"amount_total":' || coalesce({sql.number_text("amount_total")}, 'null') || ',"source":"json-rpc:account.move/web_read"}},"lines":[' || lines
+      || '],"checks":{{"line_count":' || n || ',"line_tax_sum":' || {sql.number_text("line_tax_sum")} || ',"line_total_sum":' || {sql.number_text("line_total_sum")}
+      || ',"line_tax_sum_equals_header":' || coalesce(CAST(tax_match AS VARCHAR), 'null')
+      || ',"line_total_sum_equals_amount_total":' || coalesce(CAST(total_match AS VARCHAR), 'null') || '}}}}' AS document
+    FROM docs JOIN listed USING (seq)""",
 )
 query(
     "rejected_captures", lambda s, sf: documents(s, sf).rejects,

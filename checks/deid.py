@@ -174,7 +174,7 @@ query(
 
 
 def _document_stream(s, sf):
-    source, out, codes, checkpoint = _folders(s, "capture", "extracted", "codes", "extract-progress")
+    source, out, codes, checkpoint = _folders(s, "arrived", "extracted", "codes", "extract-progress")
     V.capture(s, sf).write.parquet(source)
     pages = html.lines_from_html(V.pages(s, sf)).select("seq", "dom_lines")
     stream = s.readStream.schema(s.read.parquet(source).schema).parquet(source)

@@ -95,6 +95,15 @@ LINE_JSON = (
     + """ || ',"unit_price":' || """ + number_text("unit_price") + """ || '}'"""
 )
 
+# A line as it stands in a written document.
+LINE_DOCUMENT = (
+    """'{"line_index":' || line_index || ',"product":"' || product || '","description":"' || description || '","quantity":' || """
+    + number_text("quantity") + """ || ',"unit_price":' || """ + number_text("unit_price")
+    + """ || ',"taxes":["' || replace(tag, ' ', '","') || '"],"subtotal":' || """ + number_text("subtotal")
+    + """ || ',"total":' || """ + number_text("total") + """ || ',"currency":"' || currency || '","source":"' || source
+ || '","tax_amount":' || """ + number_text("tax_amount") + """ || '}'"""
+)
+
 # Documents of the whole way: reads that pass, with lines from the payload or the page.
 DOCUMENTS = PAYLOAD_LINES + f""",
 canon AS (

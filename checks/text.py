@@ -68,7 +68,7 @@ def _redacted_sql(table: str, key: str, column: str, source: str) -> str:
 
 
 def _redact_documents(tokens):
-    return lambda s, sf: redact.redact_tokens(V.table(s, sf, "documents").select("doc_id", "text"), "text", tokens(s, sf))
+    return lambda s, sf: redact.redact_tokens(V.texts(s, sf, "documents").select("doc_id", "text"), "text", tokens(s, sf))
 
 
 query("redact_tokens", _redact_documents(_bench_tokens), _redacted_sql("documents", "doc_id", "text", _BENCH_SQL))
@@ -106,7 +106,7 @@ _WORDS_OUT = _redacted_sql("documents", "doc_id", "text", _WORDS_SQL)
 query("redact_overlapping_words", _redact_documents(_word_tokens), _WORDS_OUT)
 query(
     "redact_overlapping_words_by_join",
-    lambda s, sf: matcher._redact_by_join(V.table(s, sf, "documents").select("doc_id", "text"), "text",
+    lambda s, sf: matcher._redact_by_join(V.texts(s, sf, "documents").select("doc_id", "text"), "text",
                                           matcher.folded_tokens(_word_tokens(s, sf)), MASK, []),
     _WORDS_OUT,
 )
@@ -119,7 +119,7 @@ def _conversation_tokens(s, sf):
 
 query(
     "redact_scoped_tokens",
-    lambda s, sf: redact.redact_tokens(V.table(s, sf, "conversations").select("conv_id", "turn", "text"), "text",
+    lambda s, sf: redact.redact_tokens(V.texts(s, sf, "conversations").select("conv_id", "turn", "text"), "text",
                                        _conversation_tokens(s, sf), by="conv_id"),
     rf"""WITH t AS (SELECT DISTINCT conv_id, token FROM (SELECT conv_id, unnest(string_split_regex(text, '\s+')) AS token
       FROM conversations WHERE turn = 0) WHERE length(token) >= 6), m AS ({_alternation('SELECT * FROM t', 'conv_id')})
@@ -140,8 +140,8 @@ _LABELS = tuple(dict.fromkeys(p.label for p in patterns.PATTERNS))
 
 def _pattern_rows(label):
     def run(s, sf):
-        texts = V.table(s, sf, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), "text").unionByName(
-            V.table(s, sf, "pages").select(F.lit("pages").alias("tab"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+        texts = V.texts(s, sf, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("id"), "text").unionByName(
+            V.texts(s, sf, "pages").select(F.lit("pages").alias("tab"), F.col("page_id").alias("id"), F.col("html").alias("text"))
         ).unionByName(_made(s, sf))
         return texts.withColumn("text", patterns.redact(F.col("text"), label))
     return run
@@ -180,7 +180,7 @@ query(
 )
 query(
     "redact_allowing",
-    lambda s, sf: V.table(s, sf, "pages").select("page_id", patterns.redact_allowing(patterns.redact_allowing(
+    lambda s, sf: V.texts(s, sf, "pages").select("page_id", patterns.redact_allowing(patterns.redact_allowing(
         F.concat(F.lit("from "), "url", F.lit(" at 10.0.0.1 and 10.0.0."), F.col("page_id").cast("string"), F.lit(" end")),
         "URL", ["https://m.ththth.example.net", "10.0.0.1"]), "IP", ["10.0.0.12"]).alias("text")),
     """SELECT page_id, 'from ' || CASE WHEN contains(url, 'https://m.ththth.example.net') THEN url ELSE '[REDACTED:URL]' END
@@ -193,7 +193,7 @@ query(
 def _scrub_table(name, key, column):
     query(
         f"scrub_{name}",
-        lambda s, sf: redact.scrub(V.table(s, sf, name).select(*key, column), [column]),
+        lambda s, sf: redact.scrub(V.texts(s, sf, name).select(*key, column), [column]),
         f"SELECT {', '.join(key)}, {sql.scrub_sql(column)} AS {column} FROM {name}",
     )
 
@@ -203,7 +203,7 @@ _scrub_table("pages", ["page_id"], "html")
 _scrub_table("conversations", ["conv_id", "turn"], "text")
 query(
     "scrub_with_deny_list",
-    lambda s, sf: redact.scrub(V.table(s, sf, "documents").select("doc_id", "text"), ["text"], _bench_tokens(s, sf)),
+    lambda s, sf: redact.scrub(V.texts(s, sf, "documents").select("doc_id", "text"), ["text"], _bench_tokens(s, sf)),
     f"WITH m AS ({_alternation(_BENCH_SQL)}), r AS (SELECT doc_id, regexp_replace(text, pattern, '{MASK}', 'g') AS text FROM documents, m) "
     f"SELECT doc_id, {sql.scrub_sql('text')} AS text FROM r",
 )
@@ -261,7 +261,7 @@ def _log_deny(s, sf):
 
 
 def _scrubbed_logs(s, sf):
-    logs = V.logs_of(V.table(s, sf, "events"))
+    logs = V.logs_of(V.texts(s, sf, "events"))
     clean = redact.scrub_logs(logs, _log_deny(s, sf), ["10.0.0.1"])
     return clean.select("event_id", "msg", F.size("args").alias("args"), "exc_text", "stack_info")
 
@@ -280,12 +280,12 @@ def logs_sql(source: str = "events") -> str:
 query("scrub_logs", _scrubbed_logs, logs_sql())
 query(
     "leak_audit",
-    lambda s, sf: redact.leak_audit(V.table(s, sf, "documents"), "text", _word_tokens(s, sf)),
+    lambda s, sf: redact.leak_audit(V.texts(s, sf, "documents"), "text", _word_tokens(s, sf)),
     f"""WITH t AS (SELECT DISTINCT lower(token) AS token FROM ({_WORDS_SQL})), d AS (SELECT lower(text) AS text FROM documents)
     SELECT token, count(*) AS rows FROM t JOIN d ON contains(text, token) GROUP BY token""",
 )
 query(
     "leak_audit_after_scrub",
-    lambda s, sf: redact.leak_audit(redact.redact_tokens(V.table(s, sf, "documents"), "text", _word_tokens(s, sf)), "text", _word_tokens(s, sf)),
+    lambda s, sf: redact.leak_audit(redact.redact_tokens(V.texts(s, sf, "documents"), "text", _word_tokens(s, sf)), "text", _word_tokens(s, sf)),
     "SELECT '' AS token, CAST(0 AS BIGINT) AS rows WHERE FALSE",
 )

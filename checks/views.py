@@ -12,7 +12,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.plans.scale import broadcast_if_small
+from tallyveil.plans.scale import broadcast_if_small, shared_folder, spread
 from tallyveil.schema import MONEY
 
 PIECE = 500
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spread(table(spark, sf, name))
+
+
 def ensure_shared_folder(spark: SparkSession) -> None:
     """Use the folder the cluster names; only where none is named, as in tests, make one."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
@@ -32,6 +36,26 @@ def ensure_shared_folder(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(folder)
 
 
+_STORED: dict = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A derived table, written once per application to the shared folder and read from there.
+
+    Captured exchanges and pages are files in practice; reading them as such keeps the making of
+    the inputs out of the plans that work on them.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        ensure_shared_folder(spark)
+        path = shared_folder(spark, name)
+        df = build(spark, sf)
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spread(spark.read.schema(schema).parquet(path))
+
+
 def js(text: Column) -> Column:
     """A JSON string literal, or null as JSON."""
     listed = F.to_json(F.array(text))
@@ -208,7 +232,7 @@ def moves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parsed_moves(spark: SparkSession, sf: str) -> DataFrame:
-    return moves(spark, sf).select("k", "piece", "seq", F.try_parse_json("move_json").alias("move"))
+    return stored(spark, sf, "moves", moves).select("k", "piece", "seq", F.try_parse_json("move_json").alias("move"))
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,7 +283,8 @@ def searches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capture(spark: SparkSession, sf: str) -> DataFrame:
-    return searches(spark, sf).unionByName(reads(spark, sf))
+    """All captured exchanges, searches and reads, as a stored table."""
+    return stored(spark, sf, "capture", lambda s, f: searches(s, f).unionByName(reads(s, f)))
 
 
 def _cell(name: str, text: Column) -> Column:
@@ -267,7 +292,12 @@ def _cell(name: str, text: Column) -> Column:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Form pages (seq, html) of the invoices whose payload lists bare line ids."""
+    """Captured form pages (seq, html) as a stored table."""
+    return stored(spark, sf, "pages", made_pages)
+
+
+def made_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Form pages of the invoices whose payload lists bare line ids."""
     k = F.col("k")
 
     def number(value: Column) -> Column:

@@ -16,6 +16,7 @@ RPC_SOURCE = "json-rpc"
 DOM_SOURCE = "dom"
 HEADER_SOURCE = "json-rpc:account.move/web_read"
 FALLBACK_SOURCE = "dom-fallback"
+NO_LINES = "no lines"
 UNTAXED_KEYS = ("base_amount_currency", "base_amount", "amount_untaxed")
 TAX_KEYS = ("tax_amount_currency", "tax_amount", "amount_tax")
 TOTAL_KEYS = ("total_amount_currency", "total_amount", "amount_total")
@@ -158,18 +159,27 @@ def choose_lines(rpc: DataFrame, dom: DataFrame, keys: list[str]) -> DataFrame:
     go through the join. Adds ``used_source`` and ``reject_reason`` ('no lines' when both are empty).
     """
     has_lines = F.size("lines") > 0
-    settled = keep_where(rpc, has_lines).withColumn("used_source", F.lit(RPC_SOURCE))
+    reason = F.lit(None).cast("string")
+    settled = keep_where(rpc, has_lines).withColumns({"used_source": F.lit(RPC_SOURCE), "reject_reason": reason})
+    return settled.unionByName(fill_from_pages(keep_where(rpc, ~has_lines), dom, keys))
+
+
+def no_lines() -> Column:
+    return F.array().cast(f"array<{RAW_LINE.simpleString()}>")
+
+
+def fill_from_pages(bare: DataFrame, dom: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines of the form page for invoices whose payload has none."""
     pages = dom.select(*keys, F.col("dom_lines").cast(f"array<{RAW_LINE.simpleString()}>").alias("dom_lines"))
-    empty = F.array().cast(f"array<{RAW_LINE.simpleString()}>")
-    filled_in = (
-        keep_where(rpc, ~has_lines)
-        .join(pages, keys, "left")
-        .withColumn("lines", F.coalesce("dom_lines", empty))
-        .drop("dom_lines")
-        .withColumn("used_source", F.lit(FALLBACK_SOURCE))
-    )
-    reason = F.when(F.size("lines") == 0, F.lit("no lines"))
-    return settled.unionByName(filled_in).withColumn("reject_reason", reason)
+    lines = F.coalesce("dom_lines", no_lines())
+    filled_in = bare.drop("lines").join(pages, keys, "left").withColumn("lines", lines).drop("dom_lines")
+    reason = F.when(F.size("lines") == 0, F.lit(NO_LINES))
+    return filled_in.withColumns({"used_source": F.lit(FALLBACK_SOURCE), "reject_reason": reason})
+
+
+def has_product_lines(move: Column) -> Column:
+    """Whether a record will give lines; far cheaper than reading them."""
+    return F.exists(raw_items(move), is_product_line)
 
 
 def with_metadata(

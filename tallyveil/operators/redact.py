@@ -16,7 +16,7 @@ from tallyveil.plans.scale import is_small
 
 MIN_TOKEN_LEN = 3
 # Up to this many tokens one regex alternation is used; beyond it, window matching.
-FEW_TOKENS = 64
+FEW_TOKENS = 16
 
 
 def deny_list(df: DataFrame, cols: list[str], min_len: int = MIN_TOKEN_LEN, scope: str | None = None) -> DataFrame:

@@ -28,38 +28,37 @@ class Extracted(NamedTuple):
     rejects: DataFrame
 
 
-def raw_documents(capture: DataFrame, mode: str = "first") -> tuple[DataFrame, DataFrame]:
-    """Header and payload lines of every read exchange, and the rejected exchanges."""
-    reads = exchanges.result_of(exchanges.move_reads(capture))
-    ok, rejected = exchanges.split_errors(exchanges.moves_from_result(reads, mode))
-    parsed = extract.extract_lines(extract.extract_header(ok))
-    return parsed.select("seq", "record_pos", "url", "invoice", "invoice_currency_id", "lines"), rejected
-
-
 def extract_documents(
     capture: DataFrame, run: RunInfo, pages: DataFrame | None = None, codes: DataFrame | None = None, mode: str = "first",
 ) -> Extracted:
     """Documents (seq, record_pos, metadata, invoice, lines, checks) and rejects (seq, reject_reason).
 
     ``pages`` has (seq, dom_lines) for exchanges whose payload held no lines. ``codes`` defaults to
-    the currency codes of the searches in the same capture.
+    the currency codes of the searches in the same capture. Only records without lines of their
+    own meet the pages; all others go from payload to document without moving.
     """
-    parsed, rejected = raw_documents(capture, mode)
+    reads = exchanges.result_of(exchanges.move_reads(capture))
+    ok, rejected = exchanges.split_errors(exchanges.moves_from_result(reads, mode))
     if codes is None:
         codes = lookup.currency_codes(exchanges.move_searches(capture))
+    columns = ("seq", "record_pos", "url", "invoice", "invoice_currency_id", "lines", "used_source", "reject_reason")
+    none = F.lit(None).cast("string")
+    has_lines = extract.has_product_lines(F.col("move"))
+    settled = extract.extract_lines(extract.extract_header(keep_where(ok, has_lines)))
+    settled = settled.withColumns({"used_source": F.lit(extract.RPC_SOURCE), "reject_reason": none}).select(*columns)
+    bare = extract.extract_header(keep_where(ok, ~has_lines)).withColumn("lines", extract.no_lines())
     if pages is None:
-        chosen = parsed.withColumn("used_source", F.lit(extract.RPC_SOURCE)).withColumn(
-            "reject_reason", F.when(F.size("lines") == 0, F.lit("no lines"))
-        )
+        bare = bare.withColumns({"used_source": F.lit(extract.RPC_SOURCE), "reject_reason": F.lit(extract.NO_LINES)})
+        chosen = settled
     else:
-        chosen = extract.choose_lines(parsed, pages, ["seq"])
-    lost = rejected.select("seq", "reject_reason").unionByName(
-        keep_where(chosen, F.col("reject_reason").isNotNull()).select("seq", "reject_reason")
-    )
-    kept = lookup.resolve_currency(keep_where(chosen, F.col("reject_reason").isNull()), codes, key="seq")
+        bare = extract.fill_from_pages(bare.select(*columns[:6]), pages, ["seq"])
+        chosen = settled.unionByName(keep_where(bare, F.col("reject_reason").isNull()).select(*columns))
+    lost = keep_where(bare, F.col("reject_reason").isNotNull())
+    rejects = rejected.select("seq", "reject_reason").unionByName(lost.select("seq", "reject_reason"))
+    kept = lookup.resolve_currency(chosen, codes, key="seq")
     checked = integrity.build_checks(kept)
     tagged = extract.with_metadata(
         checked, run.tool, run.tool_version, run.extracted_at, "url", run.instance_url, run.modern_path
     )
     documents = extract.assemble(integrity.with_fingerprint(tagged), "seq", "record_pos")
-    return Extracted(documents, lost)
+    return Extracted(documents, rejects)

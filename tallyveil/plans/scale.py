@@ -25,6 +25,15 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer files than cores, dealt out over the cores.
+
+    Meant for heavy work per row on a few files; a table of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """Keep the rows of a condition on derived columns.
 
