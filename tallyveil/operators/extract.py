@@ -145,11 +145,14 @@ def header_of(move: Column) -> Column:
     return let(coerce.record(move, *MOVE_FIELDS), header)
 
 
+def header_columns(move: str = "move") -> dict[str, Column]:
+    currency_id = relational_id(field(F.col(move), "$.currency_id"))
+    return {"invoice": header_of(F.col(move)), "invoice_currency_id": currency_id}
+
+
 def extract_header(moves: DataFrame, move: str = "move") -> DataFrame:
     """Adds ``invoice`` (the header) and ``invoice_currency_id`` (still to be resolved)."""
-    return moves.withColumn("invoice", header_of(F.col(move))).withColumn(
-        "invoice_currency_id", relational_id(field(F.col(move), "$.currency_id"))
-    )
+    return moves.withColumns(header_columns(move))
 
 
 def choose_lines(rpc: DataFrame, dom: DataFrame, keys: list[str]) -> DataFrame:

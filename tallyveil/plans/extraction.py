@@ -44,9 +44,10 @@ def extract_documents(
     columns = ("seq", "record_pos", "url", "invoice", "invoice_currency_id", "lines", "used_source", "reject_reason")
     none = F.lit(None).cast("string")
     has_lines = extract.has_product_lines(F.col("move"))
-    settled = extract.extract_lines(extract.extract_header(keep_where(ok, has_lines)))
+    header = extract.header_columns()
+    settled = extract.extract_lines(keep_where(ok, has_lines).withColumns(header))
     settled = settled.withColumns({"used_source": F.lit(extract.RPC_SOURCE), "reject_reason": none}).select(*columns)
-    bare = extract.extract_header(keep_where(ok, ~has_lines)).withColumn("lines", extract.no_lines())
+    bare = keep_where(ok, ~has_lines).withColumns({**header, "lines": extract.no_lines()})
     if pages is None:
         bare = bare.withColumns({"used_source": F.lit(extract.RPC_SOURCE), "reject_reason": F.lit(extract.NO_LINES)})
         chosen = settled
