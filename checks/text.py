@@ -74,6 +74,12 @@ def _redact_documents(tokens):
 query("redact_tokens", _redact_documents(_bench_tokens), _redacted_sql("documents", "doc_id", "text", _BENCH_SQL))
 
 
+def _joined(s, tokens, by=None):
+    """The form for token tables too large to gather, used here on small ones."""
+    V.ensure_shared_folder(s)
+    return matcher.joined_layer(tokens, MASK, by)
+
+
 def _segments(s, sf):
     return redact.deny_list(_customer_values(s, sf), ["segment"])
 
@@ -97,17 +103,15 @@ _NAMES_OUT = f"""SELECT c_custkey, 'x{MASK}y saw ' ||
       ELSE 'customer#' || right('000000000' || (c_custkey * 7 % 1000), 9) END || ' in {MASK}s; Customer#00000' AS note FROM customer c"""
 query("redact_many_tokens", lambda s, sf: redact.redact_tokens(_customer_notes(s, sf), "note", _deny(s, sf)), _NAMES_OUT)
 query(
-    # The form for token tables too large to gather, here on the same tokens.
     "redact_tokens_by_join",
-    lambda s, sf: matcher._redact_by_join(_customer_notes(s, sf), "note", matcher.folded_tokens(_deny(s, sf)), MASK, []),
+    lambda s, sf: _joined(s, _deny(s, sf))(_customer_notes(s, sf), "note"),
     _NAMES_OUT,
 )
 _WORDS_OUT = _redacted_sql("documents", "doc_id", "text", _WORDS_SQL)
 query("redact_overlapping_words", _redact_documents(_word_tokens), _WORDS_OUT)
 query(
     "redact_overlapping_words_by_join",
-    lambda s, sf: matcher._redact_by_join(V.texts(s, sf, "documents").select("doc_id", "text"), "text",
-                                          matcher.folded_tokens(_word_tokens(s, sf)), MASK, []),
+    lambda s, sf: _joined(s, _word_tokens(s, sf))(V.texts(s, sf, "documents").select("doc_id", "text"), "text"),
     _WORDS_OUT,
 )
 
@@ -119,8 +123,8 @@ def _conversation_tokens(s, sf):
 
 query(
     "redact_scoped_tokens",
-    lambda s, sf: redact.redact_tokens(V.texts(s, sf, "conversations").select("conv_id", "turn", "text"), "text",
-                                       _conversation_tokens(s, sf), by="conv_id"),
+    lambda s, sf: _joined(s, _conversation_tokens(s, sf), "conv_id")(
+        V.texts(s, sf, "conversations").select("conv_id", "turn", "text"), "text"),
     rf"""WITH t AS (SELECT DISTINCT conv_id, token FROM (SELECT conv_id, unnest(string_split_regex(text, '\s+')) AS token
       FROM conversations WHERE turn = 0) WHERE length(token) >= 6), m AS ({_alternation('SELECT * FROM t', 'conv_id')})
     SELECT conv_id, turn, CASE WHEN pattern IS NULL THEN text ELSE regexp_replace(text, pattern, '{MASK}', 'g') END AS text

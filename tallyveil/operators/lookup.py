@@ -11,6 +11,8 @@ from tallyveil.schema import LINE
 
 # Targets compared by a plain expression; longer lists go through the token matcher.
 FEW_NAMES = 64
+# Currency tables read as one map value, which is searched entry by entry.
+MAP_ROWS = 1000
 
 
 def harvested_codes(searches: DataFrame) -> DataFrame:
@@ -27,20 +29,24 @@ def harvested_codes(searches: DataFrame) -> DataFrame:
     return rows.filter(F.col("currency_id").isNotNull() & (F.col("code") != ""))
 
 
-def last_code(harvested: DataFrame) -> DataFrame:
-    """The code seen last per currency.
+def latest_codes(harvested: DataFrame) -> DataFrame:
+    """(currency_id, code, place): the code seen last per currency, and where it was seen.
 
     First the last place of each (currency, code) pair, as one decimal, which a hash aggregate
     can hold, so the harvested rows are not sorted; then the latest of the few pairs.
     """
     place = F.col("seq").cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos")
-    pairs = harvested.groupBy("currency_id", "code").agg(F.max(place).alias("place"))
-    return pairs.groupBy("currency_id").agg(F.max_by("code", "place").alias("code"))
+    pairs = harvested.groupBy("currency_id", "code").agg(F.max(place).cast("decimal(38,0)").alias("place"))
+    return latest_of(pairs)
+
+
+def latest_of(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("currency_id").agg(F.max_by("code", "place").alias("code"), F.max("place").alias("place"))
 
 
 def currency_codes(searches: DataFrame) -> DataFrame:
     """Currency id to code; the last one seen, by capture order, wins."""
-    return last_code(harvested_codes(searches))
+    return latest_codes(harvested_codes(searches)).drop("place")
 
 
 def _resolved(lines: Column, header: Column, code_of) -> Column:
@@ -59,7 +65,7 @@ def resolve_currency(df: DataFrame, codes: DataFrame, key: str | None = None) ->
     move; a larger one is joined by id, which needs a unique ``key`` on the rows.
     """
     invoice = F.col("invoice")
-    if is_small(codes, max_rows=10_000):
+    if is_small(codes, max_rows=MAP_ROWS):
         entries = codes.agg(F.map_from_entries(F.collect_list(F.struct("currency_id", "code"))).alias("m"))
         df = df.withColumn("__codes", entries.scalar())
     else:

@@ -9,6 +9,7 @@ the tokens themselves: in the task for a small token set, by an equi-join for a
 text is paired with all tokens.
 """
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.plans.scale import inline_rows, is_small, keep_where
+from tallyveil.plans.scale import inline_rows, is_small, keep_where, written
 
 _SEPARATOR = 0xFFFFFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -213,10 +214,8 @@ def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
     return "".join(out) + text[end:]
 
 
-def _small_set(folded: DataFrame) -> list[str] | None:
-    """The tokens themselves when row count and bytes are within bounds, else null."""
-    if not is_small(folded.select("folded")):
-        return None
+def _gathered(folded: DataFrame) -> list[str]:
+    """The tokens themselves; only called within the bounds of ``is_small``."""
     return [r["folded"] for r in folded.select("folded").collect()]
 
 
@@ -250,6 +249,11 @@ def _per_token(df: DataFrame, total: Column) -> DataFrame:
     return rows.groupBy("folded").agg(total.alias("total"))
 
 
+def _per_token(df: DataFrame, total: Column) -> DataFrame:
+    rows = df.select("*", F.explode_outer("__hits").alias("folded")).filter(F.col("folded").isNotNull())
+    return rows.groupBy("folded").agg(total.alias("total"))
+
+
 def matched_tokens(df: DataFrame, column: str, tokens: DataFrame, total: Column) -> DataFrame:
     """(folded, total): an aggregate over the rows whose text contains the token, in any case.
 
@@ -257,63 +261,56 @@ def matched_tokens(df: DataFrame, column: str, tokens: DataFrame, total: Column)
     confirmed, so a token that a third of all rows contain does not meet in one task.
     """
     folded = folded_tokens(tokens)
-    gathered = _small_set(folded)
-    if gathered is not None:
-        token_filter, token_set = _filter_of_tokens(gathered), set(gathered)
+    if is_small(folded):
+        listed = _gathered(folded)
+        token_filter, token_set = _filter_of_tokens(listed), set(listed)
 
         @F.pandas_udf("array<string>")
         def hits(texts: pd.Series) -> pd.Series:
-            listed = _text_list(texts)
-            out = [set() for _ in listed]
-            number, at, lengths, low = token_filter.candidates(listed)
+            rows = _text_list(texts)
+            out = [set() for _ in rows]
+            number, at, lengths, low = token_filter.candidates(rows)
             for i, p, n in zip(number.tolist(), at.tolist(), lengths.tolist()):
                 if low[i][p : p + n] in token_set:
                     out[i].add(low[i][p : p + n])
             return pd.Series([sorted(o) for o in out])
 
         return _per_token(df.withColumn("__hits", hits(column)), total)
+    folded = written(folded, "tokens")
     spans = _candidate_udf(_filter_of_table(folded))
     maybe = df.withColumn("__hits", F.array_distinct(spans(column)["folded"]))
     return _per_token(maybe, total).join(folded, "folded", "left_semi")
 
 
-def redact_tokens(df: DataFrame, column: str, tokens: DataFrame, mask: str, by: str | None = None) -> DataFrame:
-    """Mask every token in any case, as one pass that prefers the leftmost and then the longest.
+def gathered_layer(tokens: DataFrame, mask: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Masks every token in any case, as one pass that prefers the leftmost and then the longest.
+
+    For a token set within bounds: it goes to the tasks, which finish a batch of texts on their own.
+    """
+    listed = _gathered(folded_tokens(tokens))
+    token_filter, token_set = _filter_of_tokens(listed), set(listed)
+
+    @F.pandas_udf("string")
+    def cover(texts: pd.Series) -> pd.Series:
+        spans = _exact_spans(_text_list(texts), token_filter, token_set)
+        return pd.Series([masked(t, spans[i], mask) if i in spans else t for i, t in enumerate(texts)], dtype=object)
+
+    return lambda df, column: df.withColumn(column, cover(column))
+
 
-    ``tokens`` has ``token``, and ``by`` when tokens apply only to rows with the same value there.
+def joined_layer(tokens: DataFrame, mask: str, by: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """The same for token tables of any size, and for tokens that hold only within a scope.
+
+    Candidates are confirmed by an equi-join on the token (and ``by``). Equal texts of one scope
+    are worked on once and found again by their digest. Rows without a candidate take no part in
+    the join; for that the texts are searched twice, which moves far less than a shuffle of all.
     """
     keys = [by] if by else []
-    folded = folded_tokens(tokens, *keys)
-    gathered = None if by else _small_set(folded)
-    if gathered is not None:
-        token_filter, token_set = _filter_of_tokens(gathered), set(gathered)
-
-        @F.pandas_udf("string")
-        def cover(texts: pd.Series) -> pd.Series:
-            spans = _exact_spans(_text_list(texts), token_filter, token_set)
-            return pd.Series([masked(t, spans[i], mask) if i in spans else t for i, t in enumerate(texts)], dtype=object)
-
-        return df.withColumn(column, cover(column))
-    return _redact_by_join(df, column, folded, mask, keys)
-
-
-def _redact_by_join(df: DataFrame, column: str, folded: DataFrame, mask: str, keys: list[str]) -> DataFrame:
-    """Candidates are confirmed by an equi-join on the token. Equal texts (of one scope) are worked
-    on once and found again by their digest. Rows without a candidate take no part in the join; for
-    that the texts are searched twice, which moves far less than a shuffle of all of them."""
-    small = _small_set(folded.select("folded").distinct()) if keys else None
-    token_filter = _filter_of_tokens(small) if small is not None else _filter_of_table(folded.select("folded").distinct())
+    folded = written(folded_tokens(tokens, *keys), "tokens")
+    distinct_tokens = folded.select("folded").distinct()
+    small = is_small(distinct_tokens)
+    token_filter = _filter_of_tokens(_gathered(distinct_tokens)) if small else _filter_of_table(distinct_tokens)
     spans = _candidate_udf(token_filter)
-    marked = df.withColumn("__spans", F.coalesce(spans(column), F.array())).withColumn("__digest", F.sha2(F.col(column), 256))
-    clean = keep_where(marked, F.size("__spans") == 0).select(*df.columns)
-    maybe = keep_where(marked, F.size("__spans") > 0)
-    distinct = maybe.select("__digest", *keys, "__spans").dropDuplicates(["__digest", *keys])
-    confirmed = (
-        inline_rows(distinct, "__spans", "__digest", *keys)
-        .join(folded, ["folded", *keys], "left_semi")
-        .groupBy("__digest", *keys)
-        .agg(F.collect_list(F.struct("pos", "size")).alias("__found"))
-    )
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series, found: pd.Series) -> pd.Series:
@@ -323,6 +320,19 @@ def _redact_by_join(df: DataFrame, column: str, folded: DataFrame, mask: str, ke
         ]
         return pd.Series(listed, dtype=object)
 
-    joined = maybe.drop("__spans").join(confirmed, ["__digest", *keys], "left")
-    out = joined.withColumn(column, cover(F.col(column), F.col("__found"))).select(*df.columns)
-    return clean.unionByName(out)
+    def apply(df: DataFrame, column: str) -> DataFrame:
+        digest = F.sha2(F.col(column), 256)
+        marked = df.withColumn("__spans", F.coalesce(spans(column), F.array())).withColumn("__digest", digest)
+        clean = keep_where(marked, F.size("__spans") == 0).select(*df.columns)
+        maybe = keep_where(marked, F.size("__spans") > 0)
+        distinct = maybe.select("__digest", *keys, "__spans").dropDuplicates(["__digest", *keys])
+        confirmed = (
+            inline_rows(distinct, "__spans", "__digest", *keys)
+            .join(folded, ["folded", *keys], "left_semi")
+            .groupBy("__digest", *keys)
+            .agg(F.collect_list(F.struct("pos", "size")).alias("__found"))
+        )
+        joined = maybe.drop("__spans").join(confirmed, ["__digest", *keys], "left")
+        return clean.unionByName(joined.withColumn(column, cover(F.col(column), F.col("__found"))).select(*df.columns))
+
+    return apply

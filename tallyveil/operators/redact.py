@@ -12,7 +12,7 @@ from tallyveil.functions.patterns import (
     ENTITY_MASK, ERROR_MASK, LOG_ERROR_MASK, TOKEN_MASK, alternation, stripped, with_patterns,
 )
 from tallyveil.operators import matcher
-from tallyveil.plans.scale import is_small
+from tallyveil.plans.scale import SMALL_BYTES, SMALL_ROWS, measure
 
 MIN_TOKEN_LEN = 3
 # Up to this many tokens one regex alternation is used; beyond it, window matching.
@@ -41,17 +41,31 @@ def matcher_order(deny: DataFrame) -> DataFrame:
     return kept.select("token", F.length("token").alias("size")).orderBy(F.desc("size"), "token")
 
 
-def redact_tokens(df: DataFrame, column: str, deny: DataFrame, by: str | None = None) -> DataFrame:
-    """Mask every deny-list token, in any case and inside words too, longest first.
+def token_layer(deny: DataFrame, by: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """What masks the deny-list's tokens in a column; made once, applied to any number of columns.
 
-    A few tokens make one regex, which is built by Spark and read as a scalar, so no token
-    stands in the plan. More tokens, or tokens scoped by a column, go through the matcher.
+    A few tokens make one regex, which is built by Spark and read as a scalar, so no token stands
+    in the plan. More tokens, or tokens scoped by a column, go through the matcher.
     """
-    if by is None and is_small(deny, max_rows=FEW_TOKENS):
-        pattern = deny.agg(alternation(F.collect_set("token")).alias("pattern")).scalar()
+    if by:
+        return matcher.joined_layer(deny, TOKEN_MASK, by)
+    rows, size = measure(deny)
+    if rows > SMALL_ROWS or size > SMALL_BYTES:
+        return matcher.joined_layer(deny, TOKEN_MASK)
+    if rows > FEW_TOKENS:
+        return matcher.gathered_layer(deny, TOKEN_MASK)
+    pattern = deny.agg(alternation(F.collect_set("token")).alias("pattern")).scalar()
+
+    def apply(df: DataFrame, column: str) -> DataFrame:
         text = F.col(column)
         return df.withColumn(column, F.coalesce(F.regexp_replace(text, pattern, F.lit(TOKEN_MASK)), text))
-    return matcher.redact_tokens(df, column, deny, TOKEN_MASK, by)
+
+    return apply
+
+
+def redact_tokens(df: DataFrame, column: str, deny: DataFrame, by: str | None = None) -> DataFrame:
+    """Mask every deny-list token, in any case and inside words too, longest first."""
+    return token_layer(deny, by)(df, column)
 
 
 def entity_layer(text: Column, detector: Callable[[], Callable[[str], list[tuple[int, int]]]]) -> Column:
@@ -103,11 +117,12 @@ def scrub(
     ner=None, by: str | None = None,
 ) -> DataFrame:
     """Clean text columns: null to empty, deny-list tokens, patterns in order, then the entity layer."""
+    mask_tokens = token_layer(deny, by) if deny is not None else None
     for column in cols:
         raw = f"__raw_{column}"
         df = df.withColumn(column, _as_text(df, column)).withColumn(raw, F.col(column))
-        if deny is not None:
-            df = redact_tokens(df, column, deny, by)
+        if mask_tokens:
+            df = mask_tokens(df, column)
         df = with_patterns(df, column, guard=raw, allow=allow).drop(raw)
         if ner is not None:
             df = df.withColumn(column, entity_layer(F.col(column), ner))

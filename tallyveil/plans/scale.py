@@ -10,14 +10,17 @@ SMALL_ROWS = 100_000
 SMALL_BYTES = 16 << 20
 
 
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
-    """Whether the table has at most ``max_rows`` rows and ``max_bytes`` of text.
-
-    Counted in parallel by partial sums; only the two numbers reach the driver.
-    """
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table, counted by partial sums; only the two numbers reach the driver."""
     size = F.octet_length(F.to_json(F.struct(*df.columns)))
     seen = df.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
-    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
+    return seen["n"], seen["b"] or 0
+
+
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
+    """Whether the table has at most ``max_rows`` rows and ``max_bytes`` of text."""
+    rows, size = measure(df)
+    return rows <= max_rows and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
