@@ -9,6 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from checks import views
 from checks.catalog import QUERIES
 
 HEADLINE = (
@@ -59,6 +60,10 @@ def main() -> None:
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     spark.range(1_000_000).selectExpr("sum(id)").collect()
     seconds = {}
+    start = time.perf_counter()
+    for make in (views.parsed_moves, views.capture, views.pages):
+        make(spark, sf_dir)
+    seconds["prepare_stored_inputs"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
