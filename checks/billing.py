@@ -224,7 +224,7 @@ def _numbers(s, sf):
         .when(k % 8 == 5, F.lit("false")).when(k % 8 == 6, F.concat(F.lit('"'), price.cast("string"), F.lit('d"')))
         .otherwise(F.lit('"1_000.5"'))
     )
-    return V.table(s, sf, "lineitem").select(*_KEY, F.try_parse_json(text).alias("v")).select(
+    return V.texts(s, sf, "lineitem").select(*_KEY, F.try_parse_json(text).alias("v")).select(
         *_KEY, coerce.to_number(F.col("v")).alias("number"))
 
 
@@ -236,7 +236,7 @@ query(
 _EIGHTHS = ("0.00", "0.12", "0.25", "0.38", "0.50", "0.62", "0.75", "0.88")
 query(
     "money",
-    lambda s, sf: V.table(s, sf, "lineitem").select(
+    lambda s, sf: V.texts(s, sf, "lineitem").select(
         *_KEY, F.try_parse_json((F.col("l_partkey") + F.col("l_orderkey") % 8 / 8).cast("string")).alias("v"),
     ).select(*_KEY, coerce.money(F.col("v")).alias("money")),
     # Eighths are exact in binary, so every second one is a true tie, which goes to the even cent.
@@ -245,7 +245,7 @@ query(
 )
 query(
     "round_money",
-    lambda s, sf: V.table(s, sf, "lineitem").select(
+    lambda s, sf: V.texts(s, sf, "lineitem").select(
         *_KEY, money.round_money((F.round(F.col("l_extendedprice") * 100).cast("decimal(18,0)") * 10 + F.col("l_orderkey") % 10).cast("double") / 1000)
         .cast(MONEY).alias("money")),
     f"""SELECT {_OUT_SQL}, CAST(round(CAST(l_extendedprice AS DECIMAL(18,3)) + CAST(l_orderkey % 10 AS DECIMAL(18,3)) * 0.001, 2)
@@ -261,7 +261,7 @@ def _localized(s, sf):
         .when(k % 6 == 3, F.concat(F.col("l_linenumber").cast("string"), F.lit(",250")))
         .when(k % 6 == 4, F.concat(F.col("l_linenumber").cast("string"), F.lit("-"))).otherwise(F.lit(""))
     )
-    return V.table(s, sf, "lineitem").select(*_KEY, coerce.parse_localized_number(text).alias("number"))
+    return V.texts(s, sf, "lineitem").select(*_KEY, coerce.parse_localized_number(text).alias("number"))
 
 
 query(
@@ -278,7 +278,7 @@ query(
 )
 query(
     "approx_equal",
-    lambda s, sf: V.table(s, sf, "lineitem").select(*_KEY, money.approx_equal(
+    lambda s, sf: V.texts(s, sf, "lineitem").select(*_KEY, money.approx_equal(
         F.col("l_extendedprice").cast(MONEY),
         F.when(F.col("l_orderkey") % 4 != 3, F.col("l_extendedprice").cast(MONEY) + (F.col("l_orderkey") % 4).cast(MONEY) / 100).cast(MONEY)).alias("same")),
     f"SELECT {_OUT_SQL}, CASE l_orderkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN FALSE END AS same FROM lineitem",

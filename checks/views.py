@@ -24,6 +24,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for heavy work per row, dealt out over the cores where its files are few."""
     return spread(table(spark, sf, name))
 
 

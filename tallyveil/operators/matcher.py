@@ -87,18 +87,33 @@ def _window_hashes(points: np.ndarray, sizes: set[int]) -> dict[int, np.ndarray]
         size *= 2
 
 
-def _whole_hash(first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+def _whole_hash(first: np.ndarray, last: np.ndarray, length) -> np.ndarray:
     return _mixed(first * _STEP + last + np.uint64(length))
 
 
-def token_bits(token: str, bits: int) -> tuple[int, int, int]:
-    """Length of a folded token and its two positions in the filters (first window, whole)."""
-    points = _code_points(token)
-    size = _window(len(points))
-    hashes = _window_hashes(points, {size})[size]
+def _joined_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of many texts in one array, each followed by a separator, and their starts."""
+    parts = [_code_points(t) for t in texts]
+    starts = np.cumsum([0] + [len(p) + 1 for p in parts])
+    points = np.full(starts[-1], _SEPARATOR, dtype=np.uint32)
+    for start, part in zip(starts, parts):
+        points[start : start + len(part)] = part
+    return points, starts
+
+
+def token_bits(tokens: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of folded tokens and their positions in the two filters (first window, whole)."""
+    points, starts = _joined_points(tokens)
+    starts, lengths = starts[:-1], np.diff(starts) - 1
+    windows = np.array([_window(n) for n in lengths.tolist()], dtype=np.int64)
+    first, whole = np.zeros(len(tokens), dtype=np.uint64), np.zeros(len(tokens), dtype=np.uint64)
+    for size, hashes in _window_hashes(points, set(windows.tolist())).items():
+        own = np.flatnonzero(windows == size)
+        at, n = starts[own], lengths[own]
+        first[own] = hashes[at]
+        whole[own] = _whole_hash(hashes[at], hashes[at + n - size], n.astype(np.uint64))
     shift = np.uint64(64 - bits)
-    whole = _whole_hash(hashes[:1], hashes[len(points) - size :][:1], len(points))
-    return len(points), int(hashes[0] >> shift), int(whole[0] >> shift)
+    return lengths, (first >> shift).astype(np.int64), (whole >> shift).astype(np.int64)
 
 
 class TokenFilter:
@@ -117,11 +132,7 @@ class TokenFilter:
 
     def candidates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Arrays (text number, position, length) over a batch, and the folded texts."""
-        parts = [_code_points(t) for t in texts]
-        starts = np.cumsum([0] + [len(p) + 1 for p in parts])
-        points = np.full(starts[-1], _SEPARATOR, dtype=np.uint32)
-        for start, part in zip(starts, parts):
-            points[start : start + len(part)] = part
+        points, starts = _joined_points(texts)
         points = np.where(points == _SEPARATOR, points, _folded(points))
         found_at, found_len = [], []
         for size, hashes in _window_hashes(points, set(self.by_window)).items():
@@ -149,14 +160,11 @@ class TokenFilter:
 def _filter_of_tokens(tokens: list[str]) -> TokenFilter:
     """Filter of a gathered token set, at least 32 bits wide per token."""
     bits = max(12, min(FILTER_BITS, (32 * max(1, len(tokens))).bit_length()))
-    first, whole = np.zeros(1 << (bits - 6), dtype=np.uint64), np.zeros(1 << (bits - 6), dtype=np.uint64)
-    lengths = set()
-    for token in tokens:
-        length, a, b = token_bits(token, bits)
-        lengths.add(length)
-        first[a >> 6] |= np.uint64(1 << (a & 63))
-        whole[b >> 6] |= np.uint64(1 << (b & 63))
-    return TokenFilter(bits, sorted(lengths), first, whole)
+    lengths, *places = token_bits(tokens, bits)
+    first, whole = (np.zeros(1 << (bits - 6), dtype=np.uint64) for _ in range(2))
+    for words, place in zip((first, whole), places):
+        np.bitwise_or.at(words, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    return TokenFilter(bits, sorted(set(lengths.tolist())), first, whole)
 
 
 _BITS = T.StructType(
@@ -166,8 +174,7 @@ _BITS = T.StructType(
 
 @F.pandas_udf(_BITS)
 def _token_bits_udf(token: pd.Series) -> pd.DataFrame:
-    rows = [token_bits(t, FILTER_BITS) for t in token]
-    return pd.DataFrame(rows, columns=["size", "first", "whole"])
+    return pd.DataFrame(dict(zip(("size", "first", "whole"), token_bits(list(token), FILTER_BITS))))
 
 
 def _filter_of_table(folded: DataFrame) -> TokenFilter:

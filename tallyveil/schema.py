@@ -62,4 +62,3 @@ METADATA = struct_of(METADATA_FIELDS)
 # A line as it leaves the payload: the currency id is still to be resolved.
 RAW_LINE = T.StructType(LINE.fields + [T.StructField("currency_id", T.LongType())])
 CAPTURE = "seq BIGINT, ts TIMESTAMP, url STRING, request STRING, response STRING"
-LOGS = "ts TIMESTAMP, level STRING, logger STRING, msg STRING, args ARRAY<STRING>, exc_text STRING, stack_info STRING"

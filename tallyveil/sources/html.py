@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyveil.functions.coerce import filled, parse_localized_number
-from tallyveil.functions.money import let, money_of_double, tax_amount
+from tallyveil.functions.money import money_of_double, tax_amount
 from tallyveil.functions.patterns import stripped
 from tallyveil.operators.extract import DOM_SOURCE, UNNAMED
 from tallyveil.plans.scale import inline_rows

@@ -2,6 +2,8 @@
 
 import json
 
+from tallyveil.schema import CAPTURE
+
 CALL = "https://erp.example/web/dataset/call_kw/account.move"
 
 CHAIR = {
@@ -38,7 +40,7 @@ def exchange(seq, method, response, url=CALL):
 
 
 def captured(spark, *rows):
-    return spark.createDataFrame(list(rows), "seq BIGINT, ts TIMESTAMP, url STRING, request STRING, response STRING")
+    return spark.createDataFrame(list(rows), CAPTURE)
 
 
 def variants(spark, *values):

@@ -43,6 +43,8 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = rows(df.columns, df.collect())
     if name in ORACLES:
         answer = sql.execute(ORACLES[name])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.surrogate import Surrogates
 from tallyveil.operators import deid, integrity, lookup
-from tallyveil.schema import CHECKS, HEADER, LINE, METADATA, struct_of  # noqa: F401
+from tallyveil.schema import CHECKS, HEADER, LINE, METADATA
 
 from .samples import values
 

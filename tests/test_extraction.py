@@ -11,7 +11,7 @@ from tallyveil.sources import capture as exchanges
 from tallyveil.sources import documents as files
 from tallyveil.sources import html
 
-from .samples import CALL, CHAIR, DESK, MOVE, NOTEBOOK, SEARCH, SECTION, captured, exchange, request, values, variants
+from .samples import CALL, CHAIR, DESK, MOVE, SEARCH, SECTION, captured, exchange, request, values, variants
 
 RUN = RunInfo(extracted_at="2026-05-29T02:14:46Z", instance_url="https://erp.example", modern_path="/app/")
 D = Decimal
