@@ -16,8 +16,9 @@ def kind(value: Column) -> Column:
 
 
 def seen(value: Column, body) -> Column:
-    """``body(value, kind)`` with both evaluated once: reaching into a VARIANT copies bytes."""
-    return let(value, lambda v: let(kind(v), lambda k: body(v, k)))
+    """``body(value, kind)`` with the kind evaluated once. The value itself is used several times, so
+    it should be a column or a struct field; bind anything costlier with ``let`` first."""
+    return let(kind(value), lambda k: body(value, k))
 
 
 def is_text(value: Column) -> Column:
@@ -38,11 +39,12 @@ def record(value: Column, *fields: str) -> Column:
     return F.try_variant_get(value, "$", f"struct<{','.join(f'{f}:variant' for f in fields)}>")
 
 
-_NUMERIC = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+def numeric_kind(shape: Column) -> Column:
+    return shape.startswith("DECIMAL") | shape.isin("BIGINT", "DOUBLE", "FLOAT")
 
 
 def is_numeric(value: Column) -> Column:
-    return kind(value).rlike(_NUMERIC)
+    return numeric_kind(kind(value))
 
 
 def items_of(value: Column) -> Column:
@@ -56,7 +58,7 @@ def _plain(value: Column) -> Column:
 
 def text_of(value: Column) -> Column:
     """A JSON string, or null. ``false`` is not a string here, though a plain cast says 'false'."""
-    return let(value, lambda v: F.when(is_text(v), _plain(v)))
+    return F.when(is_text(value), _plain(value))
 
 
 def filled(text: Column) -> Column:
@@ -133,7 +135,7 @@ def number_of_text(text: Column) -> Column:
 
 def _number(v: Column, shape: Column) -> Column:
     return (
-        F.when(shape.rlike(_NUMERIC), F.nullif(F.try_variant_get(v, "$", "double"), F.lit(0.0)))
+        F.when(numeric_kind(shape), F.nullif(F.try_variant_get(v, "$", "double"), F.lit(0.0)))
         .when(shape == "STRING", number_of_text(_plain(v)))
         .when(shape == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit(1.0)))
     )
@@ -165,7 +167,7 @@ def pick(totals: Column, *keys: str) -> Column:
         raw = field(totals, f"$.{key}")
         return F.when(~F.is_variant_null(raw), raw)
 
-    return money(F.coalesce(*[present(key) for key in keys]))
+    return let(F.coalesce(*[present(key) for key in keys]), money)
 
 
 def parse_localized_number(text: Column) -> Column:
