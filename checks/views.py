@@ -58,9 +58,11 @@ def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 
 def js(text: Column) -> Column:
-    """A JSON string literal, or null as JSON."""
+    """A JSON string literal, or null as JSON; plain text needs no JSON writer."""
     listed = F.to_json(F.array(text))
-    return F.when(text.isNull(), "null").otherwise(F.substring(listed, 2, F.length(listed) - 2))
+    escaped = F.substring(listed, 2, F.length(listed) - 2)
+    plain = F.when(text.rlike(r"^[ !#-\[\]-~]*$"), F.concat(F.lit('"'), text, F.lit('"')))
+    return F.when(text.isNull(), "null").otherwise(F.coalesce(plain, escaped))
 
 
 def pieced(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,8 +234,12 @@ def moves(spark: SparkSession, sf: str) -> DataFrame:
     return inv.withColumn("move_json", move)
 
 
+def stored_moves(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "moves", moves)
+
+
 def parsed_moves(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "moves", moves).select("k", "piece", "seq", F.try_parse_json("move_json").alias("move"))
+    return stored_moves(spark, sf).select("k", "piece", "seq", F.try_parse_json("move_json").alias("move"))
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,7 +261,7 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 3 == 1, F.concat(F.lit('{"error":false,"result":{"records":['), F.col("move_json"), F.lit("]}}")))
         .otherwise(F.concat(F.lit('{"result":'), F.col("move_json"), F.lit("}")))
     )
-    return moves(spark, sf).select(
+    return stored_moves(spark, sf).select(
         "seq", F.lit(None).cast("timestamp").alias("ts"), url.alias("url"), request.alias("request"), response.alias("response")
     )
 
@@ -317,7 +323,7 @@ def made_pages(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     section = F.lit('<tr class="o_data_row o_is_line_section"><td name="name">Section</td></tr>')
-    shown = invoices(spark, sf).filter((k % 7 == 0) & F.col("items").isNotNull())
+    shown = stored_moves(spark, sf).filter((k % 7 == 0) & F.col("items").isNotNull())
     body = F.array_join(F.transform("items", row), "")
     html = F.concat(F.lit("<html><body><table><tr><td name='product_id'>no line</td></tr>"), section, body, F.lit("</table></body></html>"))
     return shown.select("seq", html.alias("html"))
