@@ -403,7 +403,7 @@ def _with_lines(s, sf):
         F.array(V.tax_tag(i["l_tax"])).alias("taxes"), i["subtotal"].alias("subtotal"), i["total"].alias("total"),
         F.lit("EUR").alias("currency"), F.lit("json-rpc").alias("source"),
         (i["total"] - i["subtotal"]).cast(MONEY).alias("tax_amount"))
-    inv = V.invoices(s, sf)
+    inv = V.invoices(s, sf, items=True)
     header = F.struct("invoice_number", "customer", "invoice_date", "state", F.lit("EUR").alias("currency"), "amount_untaxed",
                       _header_tax().alias("amount_tax"), "amount_total", F.lit("json-rpc").alias("source"))
     return inv.filter(F.col("items").isNotNull()).select("seq", header.alias("invoice"), F.transform("items", item).alias("lines"))
@@ -416,9 +416,10 @@ query("build_checks", lambda s, sf: integrity.build_checks(_with_lines(s, sf)).s
 
 
 def _flat_checks(s, sf):
-    headers = V.invoices(s, sf).filter(F.col("items").isNotNull()).select(
+    headers = V.invoices(s, sf).filter(F.col("line_count") > 0).select(
         "seq", _header_tax().alias("amount_tax"), "amount_total")
-    return integrity.build_checks_flat(V.lines(s, sf), headers, "seq")
+    lines = V.line_amounts(s, sf).select(V.seq().alias("seq"), "total", "tax_amount")
+    return integrity.build_checks_flat(lines, headers, "seq")
 
 
 query("reconcile_flat_lines", _flat_checks, _CHECKS_SQL)

@@ -119,33 +119,53 @@ def tax_tag(rate: Column) -> Column:
     return F.concat(F.round(rate * 100).cast("int").cast("string"), F.lit("%"))
 
 
-def invoices(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per invoice: facts of the order, its lines, and header amounts with planted errors."""
+def line_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, piece, subtotal, total, tax_amount) per line, in no order and without a shuffle."""
+    items = _amounts(pieced(spark, sf))
+    tax = (F.col("total") - F.col("subtotal")).cast(MONEY)
+    return items.select(F.col("l_orderkey").alias("k"), "piece", "subtotal", "total", tax.alias("tax_amount"))
+
+
+def _summed(spark: SparkSession, sf: str) -> DataFrame:
+    sums = [F.sum(c).cast(MONEY).alias(f"sum_{c}") for c in ("subtotal", "total")]
+    return line_amounts(spark, sf).groupBy("k", "piece").agg(F.count("*").alias("line_count"), *sums)
+
+
+def _summed_with_items(spark: SparkSession, sf: str) -> DataFrame:
+    total = lambda name: F.aggregate("items", F.lit(0).cast(MONEY), lambda acc, i: (acc + i[name]).cast(MONEY))
+    sums = {f"sum_{c}": total(c) for c in ("subtotal", "total")}
+    return nested_lines(spark, sf).withColumns({"line_count": F.size("items").cast("bigint"), **sums})
+
+
+def invoices(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
+    """One row per invoice: facts of the order and header amounts with planted errors.
+
+    The amounts come from partial sums; only with ``items`` are the lines themselves gathered.
+    """
+    billed = _summed_with_items(spark, sf) if items else _summed(spark, sf)
     customers = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("customer"), F.col("c_nationkey").alias("nation")
     )
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus", "o_orderdate")
     k = F.col("k")
-    known = (
-        orders.join(customers, "o_custkey", "left").join(nested_lines(spark, sf), "k", "left").fillna(0, ["piece"])
-    )
+    known = orders.join(customers, "o_custkey", "left").join(billed, "k", "left").fillna(0, ["piece", "line_count"])
     digits = k.cast("string")
     padded = F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), "0")
     suffix = F.when(F.col("piece") > 0, F.concat(F.lit("-"), F.col("piece").cast("string"))).otherwise(F.lit(""))
     state = F.when(F.col("o_orderstatus") == "F", "posted").when(F.col("o_orderstatus") == "O", "draft").otherwise("cancel")
     number = F.concat(F.lit("INV/"), F.year("o_orderdate").cast("string"), F.lit("/"), padded, suffix)
-    total = lambda name: F.aggregate("items", F.lit(0).cast(MONEY), lambda acc, i: (acc + i[name]).cast(MONEY))
+    listed = ["items"] if items else []
     error = F.when(k % 10 == 0, 1.0).when(k % 10 == 1, 0.01).otherwise(0.0).cast(MONEY)
-    missing = (k % 10 == 2) | F.col("items").isNull()
+    missing = (k % 10 == 2) | (F.col("line_count") == 0)
     out = known.select(
-        "k", "piece", seq().alias("seq"), "customer", F.col("nation").cast("bigint").alias("nation"), "items",
+        "k", "piece", seq().alias("seq"), "customer", F.col("nation").cast("bigint").alias("nation"), "line_count", *listed,
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("invoice_date"),
         state.alias("state"), number.alias("number"), error.alias("error"), missing.alias("missing"),
-        total("subtotal").alias("sum_subtotal"), total("total").alias("sum_total"),
+        "sum_subtotal", "sum_total",
     )
     tax = (F.col("sum_total") - F.col("sum_subtotal") + F.col("error")).cast(MONEY)
     return out.select(
-        "k", "piece", "seq", "customer", "nation", "items", "invoice_date", "state",
+        "k", "piece", "seq", "customer", "nation", "line_count", *listed, "invoice_date", "state",
         F.when(F.col("state") != "draft", F.col("number")).alias("invoice_number"),
         F.when(~F.col("missing"), F.col("sum_subtotal")).alias("amount_untaxed"),
         F.when(~F.col("missing"), tax).alias("amount_tax"),
@@ -197,7 +217,7 @@ def _item_json(k: Column, nation: Column, item: Column, index: Column) -> Column
 
 def moves(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices with their record as JSON text in ``move_json``."""
-    inv = invoices(spark, sf)
+    inv = invoices(spark, sf, items=True)
     k, nation = F.col("k"), F.col("nation")
     items = F.transform(F.coalesce("items", F.array()), lambda i, n: _item_json(k, nation, i, n))
     bare = F.transform(F.coalesce("items", F.array()), lambda i, n: n.cast("string"))
