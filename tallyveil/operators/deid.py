@@ -7,10 +7,14 @@ from tallyveil.functions.coerce import filled, year_only
 from tallyveil.functions.jsontext import lines_fingerprint
 from tallyveil.functions.patterns import TOKEN_MASK, alternation, redact_patterns, stripped
 from tallyveil.functions.surrogate import Surrogates
-from tallyveil.operators.redact import FEW_TOKENS, MIN_TOKEN_LEN, scrub
+from tallyveil.operators.redact import MIN_TOKEN_LEN, scrub
 from tallyveil.plans.scale import is_small
 
 
+# Up to this many tokens the lines are swept in place by one regex, which saves a join.
+ONE_PATTERN = 64
+
+
 def deidentify_header(docs: DataFrame, surrogates: Surrogates) -> DataFrame:
     """Customer and number become surrogates, the date its year."""
     invoice = F.col("invoice")
@@ -58,7 +62,7 @@ def deidentify_lines(
         return docs.withColumn("lines", _with_descriptions(lines, lambda t: _own_description(t, max(1, min_len), allow)))
     if deny is None:
         return docs.withColumn("lines", _with_descriptions(lines, lambda t: redact_patterns(t, allow)))
-    if is_small(deny, max_rows=FEW_TOKENS):
+    if is_small(deny, max_rows=ONE_PATTERN):
         pattern = deny.agg(alternation(F.collect_set("token")).alias("p")).scalar()
         docs = docs.withColumn("__pattern", pattern)
 
