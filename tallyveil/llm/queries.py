@@ -1,10 +1,13 @@
 """The queries of the operators by name, and SQL for those that SQL can express."""
 
-from tallyveil.llm import langid, neardup, quality
+from tallyveil.llm import langid, mixing, neardup, packing, quality, warc
 
 QUERIES = {
     "op1_quality_embeddings": quality.op1,
+    "op2_arc_to_warc": warc.op2,
     "op4_language_filters": langid.op4,
+    "op5_lexical_packing": packing.op5,
+    "op7_cube_mixing": mixing.op7,
     "op8_minhash_forest": neardup.op8,
 }
-ORACLES = {"op8_minhash_forest": neardup.OP8_SQL}
+ORACLES = {"op2_arc_to_warc": warc.OP2_SQL, "op8_minhash_forest": neardup.OP8_SQL}
