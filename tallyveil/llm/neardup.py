@@ -106,6 +106,8 @@ def _hub_pairs(prefix: np.ndarray, low: np.ndarray, ids: np.ndarray, least: int)
     """(hub, row, agreement) of the regions of sorted rows, deeper where a region's hub does not explain a row."""
     active = np.arange(len(ids))
     for depth in range(1, PREFIX + 1):
+        if not len(active):
+            return
         part = prefix[active, :depth]
         new = np.concatenate([[True], (part[1:] != part[:-1]).any(axis=1)])
         region = np.cumsum(new) - 1
