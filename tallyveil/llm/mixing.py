@@ -9,7 +9,9 @@ Who gets the extra copy is drawn by the cube method. A flight moves three open p
 null space of the two constraints (words and documents), so both totals stay exactly what they were until at most two
 probabilities of a block are open. Blocks of a source are flown apart; what they leave open is flown again in merged
 blocks until one block per source is left. Its last two documents and a dozen kept out of the flight are the landing
-problem: of all choices the one that misses the words least, then the documents. Draws are seeded by source, block and level, and a block's rows are sorted, so reruns agree.
+problem: of all choices the one that misses the words least, then the documents; a gap that a huge document leaves is
+closed by changing decided documents, the nearest to it first. Draws are seeded by source, block and level, and a block's rows
+are sorted, so reruns agree.
 
 A block holds ``BLOCK`` rows on average, whatever the size of its source. Only totals reach the driver.
 
@@ -99,13 +101,15 @@ def fly(size: list[float], p: list[float], rng: random.Random, land: bool) -> li
     A landing also keeps ``LANDING`` documents of all sizes out of the flight and tries every choice of these and of
     what the flight leaves open.
     """
-    p = list(p)
-    order = [i for i in range(len(p)) if 0 < p[i] < 1]
+    drawn, p = list(p), list(p)
+    order = all_ = [i for i in range(len(p)) if 0 < p[i] < 1]
     kept: list[int] = []
     if land:
         by_size = sorted(order, key=lambda i: size[i])
         kept = [by_size[j] for j in sorted({int(x) for x in np.linspace(0, len(by_size) - 1, min(LANDING, len(by_size)))})]
-        order = [i for i in order if i not in set(kept)]
+        held = set(kept)
+        order = [i for i in order if i not in held]
+    order = list(order)
     rng.shuffle(order)
     open_: list[int] = []
     for at in order:
@@ -119,6 +123,16 @@ def fly(size: list[float], p: list[float], rng: random.Random, land: bool) -> li
         words, rows = np.abs(gap @ np.array([size[i] for i in last])), np.abs(gap.sum(axis=1))
         for x, i in zip(choice[np.lexsort((rows, np.round(words, 6)))[0]], last):
             p[i] = float(x)
+        # A document as large as its source's target may leave a gap that only decided ones can close.
+        gap = words.min() if len(words) else 0.0
+        signed = sum((p[i] - q) * s for i, (q, s) in enumerate(zip(drawn, size)))
+        while gap > 1:
+            able = [i for i in all_ if (p[i] == 1) == (signed > 0)]
+            best = min(able, key=lambda i: (abs(abs(signed) - size[i]), i), default=None)
+            if best is None or abs(abs(signed) - size[best]) >= abs(signed):
+                break
+            signed += size[best] if p[best] == 0 else -size[best]
+            p[best], gap = 1 - p[best], abs(signed)
     return p
 
 

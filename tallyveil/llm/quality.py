@@ -33,8 +33,9 @@ SIZES = (3, 4)
 #: How often a pair of neighbours counts in the average: about as often as its words' n-grams together.
 PAIR_WEIGHT = 8
 DIM = 8
-EPOCHS = 6
-RATE = 0.1
+#: Updates of a training run, whatever the number of documents.
+UPDATES = 24_000
+RATE = 0.2
 SEED = 11
 
 
@@ -103,10 +104,10 @@ def fit(labels: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], seed: int
         return Embeddings(vectors * 0, layer, bias, base)
     # The rarer label weighs as much as the other.
     weight = len(use) / (2 * np.bincount(labels[use], minlength=2))
-    steps, done = EPOCHS * len(use), 0
-    for _ in range(EPOCHS):
-        for i in rng.permutation(use):
-            rate = RATE * (1 - done / steps)
+    done = 0
+    while done < UPDATES:
+        for i in rng.permutation(use)[: UPDATES - done]:
+            rate = RATE * (1 - done / UPDATES)
             buckets, share = bags[i]
             hidden = share @ vectors[buckets]
             z = layer @ hidden + bias

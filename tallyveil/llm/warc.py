@@ -212,7 +212,8 @@ def _converted(batches):
                     parts += _warc_record("revisit", made, head)
                 else:
                     parts += _warc_record("response" if head else "resource", made | {"WARC-Block-Digest": _digest(body)}, body)
-            yield _text_row(parts, 4)
+            if parts:  # Spark writes an empty file for an empty table
+                yield _text_row(parts, 4)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST) -> None:
