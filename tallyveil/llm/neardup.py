@@ -258,7 +258,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     pairs = pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("hub").alias("hub"))
     pairs = stored(pairs, "candidates")
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = rows.select(F.col("key").alias("id"), "text").join(involved, "id", "left_semi")
+    texts = rows.select(F.col("key").alias("id"), "text").join(involved.hint("shuffle_hash"), "id", "left_semi")
     keys = full.agg(F.count("key").alias("n"), F.countDistinct("key").alias("d")).first()
     texts = stored(texts if keys["n"] == keys["d"] else texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
     # Each row with the hub it agrees with most; then what those links leave apart.
