@@ -94,7 +94,7 @@ query(
 
 def _planted_documents(s, sf):
     """Document texts with planted faults."""
-    k = F.floor(F.col("seq") / 1000)
+    k = F.col("seq")
     text = F.col("document")
     broken = (
         F.when(k % 9 == 0, F.regexp_replace(text, '"invoice":\\{', '"invoice":{"note":1,'))
@@ -406,19 +406,20 @@ def _with_lines(s, sf):
     inv = V.invoices(s, sf, items=True)
     header = F.struct("invoice_number", "customer", "invoice_date", "state", F.lit("EUR").alias("currency"), "amount_untaxed",
                       _header_tax().alias("amount_tax"), "amount_total", F.lit("json-rpc").alias("source"))
-    return inv.filter(F.col("items").isNotNull()).select("seq", header.alias("invoice"), F.transform("items", item).alias("lines"))
+    lines = F.transform(F.coalesce("items", F.array()), item)
+    return inv.select("seq", header.alias("invoice"), lines.alias("lines"))
 
 
-_CHECKS_SQL = f"""WITH {sql.INVOICES} SELECT seq, line_count, sum_tax AS line_tax_sum, sum_total AS line_total_sum,
-  abs(sum_tax - amount_tax) <= 0.01 AS line_tax_sum_equals_header,
-  abs(sum_total - amount_total) <= 0.01 AS line_total_sum_equals_amount_total FROM inv WHERE line_count > 0"""
+_CHECKS_SQL = f"""WITH {sql.INVOICES} SELECT seq, line_count, coalesce(sum_tax, 0.00) AS line_tax_sum, coalesce(sum_total, 0.00) AS line_total_sum,
+  abs(coalesce(sum_tax, 0) - amount_tax) <= 0.01 AS line_tax_sum_equals_header,
+  abs(coalesce(sum_total, 0) - amount_total) <= 0.01 AS line_total_sum_equals_amount_total FROM inv"""
 query("build_checks", lambda s, sf: integrity.build_checks(_with_lines(s, sf)).select("seq", "checks.*"), _CHECKS_SQL)
 
 
 def _flat_checks(s, sf):
-    headers = V.invoices(s, sf).filter(F.col("line_count") > 0).select(
+    headers = V.invoices(s, sf).select(
         "seq", _header_tax().alias("amount_tax"), "amount_total")
-    lines = V.line_amounts(s, sf).select(V.seq().alias("seq"), "total", "tax_amount")
+    lines = V.line_amounts(s, sf).select(F.col("k").alias("seq"), "total", "tax_amount")
     return integrity.build_checks_flat(lines, headers, "seq")
 
 
@@ -427,7 +428,9 @@ query("reconcile_flat_lines", _flat_checks, _CHECKS_SQL)
 _FLAT_JSON = sql.LINE_JSON.replace("source || '\"", "'json-rpc' || '\"").replace("coalesce('\"' || currency || '\"', 'null')", "'\"EUR\"'")
 _PRINT_SQL = f"""WITH {sql.INVOICES} SELECT seq, sha256('[' || string_agg({_FLAT_JSON}, ',' ORDER BY line_index) || ']') AS integrity_sha256
   FROM ln GROUP BY seq"""
-query("lines_fingerprint", lambda s, sf: _with_lines(s, sf).select("seq", jsontext.lines_fingerprint(F.col("lines")).alias("integrity_sha256")), _PRINT_SQL)
+_EVERY_PRINT_SQL = f"""WITH {sql.INVOICES} SELECT inv.seq, sha256('[' || coalesce(string_agg({_FLAT_JSON}, ',' ORDER BY line_index), '') || ']') AS integrity_sha256
+  FROM inv LEFT JOIN ln ON ln.seq = inv.seq GROUP BY inv.seq"""
+query("lines_fingerprint", lambda s, sf: _with_lines(s, sf).select("seq", jsontext.lines_fingerprint(F.col("lines")).alias("integrity_sha256")), _EVERY_PRINT_SQL)
 query("fingerprint_flat_lines", lambda s, sf: integrity.fingerprint_flat(V.lines(s, sf), "seq"), _PRINT_SQL)
 # Pieces of two lines, so that the running hash does most of the work.
 query("fingerprint_streamed_pieces", lambda s, sf: integrity.fingerprint_flat(V.lines(s, sf), "seq", chunk=2), _PRINT_SQL)
@@ -435,7 +438,7 @@ query("fingerprint_streamed_pieces", lambda s, sf: integrity.fingerprint_flat(V.
 
 def _tampered(s, sf):
     docs = documents(s, sf).documents
-    k = F.floor(F.col("seq") / 1000)
+    k = F.col("seq")
     raised = F.transform("lines", lambda l: F.when(l["line_index"] == 0, l.withField("quantity", l["quantity"] + 1)).otherwise(l))
     docs = docs.withColumn("lines", F.when(k % 10 == 5, raised).otherwise(F.col("lines")))
     checks = F.when(k % 10 == 6, F.col("checks").withField("line_count", F.lit(99999))).otherwise(F.col("checks"))

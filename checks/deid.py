@@ -92,14 +92,14 @@ query(
 )
 query(
     "invoice_tokens",
-    lambda s, sf: deid.invoice_tokens(_with_lines(s, sf), "seq", ["Deco Addict", "X"]),
-    f"""WITH {sql.INVOICES}, i AS (SELECT * FROM inv WHERE line_count > 0)
-    SELECT seq, 'Deco Addict' AS token FROM i UNION SELECT seq, customer FROM i UNION SELECT seq, invoice_number FROM i WHERE invoice_number IS NOT NULL
+    lambda s, sf: deid.invoice_tokens(_with_lines(s, sf), "seq", ["Harbor Mill", "X"]),
+    f"""WITH {sql.INVOICES}, i AS (SELECT * FROM inv)
+    SELECT seq, 'Harbor Mill' AS token FROM i UNION SELECT seq, customer FROM i UNION SELECT seq, invoice_number FROM i WHERE invoice_number IS NOT NULL
     UNION SELECT seq, product FROM ln UNION SELECT seq, description FROM ln""",
 )
 query(
     "surrogate_collisions",
-    # One hex digit is kept of each surrogate, so that collisions occur at this size.
+    # Two hex digits are kept of each surrogate, so that collisions occur at this size.
     lambda s, sf: deid.surrogate_collisions(V.table(s, sf, "customer").select(
         "c_name", F.substring(Surrogates(s, SALT).of(F.col("c_name"), "C"), 1, 4).alias("surrogate")), "surrogate", "c_name"),
     f"""SELECT surrogate, count(DISTINCT c_name) AS originals FROM (SELECT c_name, 'C-' || substr({sql.hmac_sql('c_name', SALT)}, 1, 2) AS surrogate
@@ -179,7 +179,7 @@ def _document_stream(s, sf):
     pages = html.lines_from_html(V.pages(s, sf)).select("seq", "dom_lines")
     stream = s.readStream.schema(s.read.parquet(source).schema).parquet(source)
     _finished(jobs.extract_stream(stream, out, codes, checkpoint, RUN, pages))
-    return s.read.parquet(f"{out}/documents").select(
+    return jobs.extracted_documents(s, out).select(
         "seq", F.col("invoice.currency").alias("currency"), F.size("lines").alias("lines"), "metadata.integrity_sha256")
 
 

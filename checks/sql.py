@@ -1,43 +1,38 @@
 """Pieces of the independent SQL: the derived billing data, straight from the given tables."""
 
-# Lines of each invoice in order, and its key. An order over 500 lines is issued in pieces.
+# Lines of each invoice in order, and its key.
 LINES = """
-sized AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
-pieced AS (
-  SELECT *, CASE WHEN n > 500 THEN
-    (l_partkey * 7 + l_suppkey * 3 + l_linenumber + CAST(round(l_extendedprice * 100) AS BIGINT)) % ((n + 499) // 500)
-    ELSE 0 END AS piece FROM sized),
 li AS (
-  SELECT l_orderkey AS k, piece, l_orderkey * 1000 + piece AS seq,
-    CAST(row_number() OVER (PARTITION BY l_orderkey, piece ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+  SELECT l_orderkey AS k, l_orderkey AS seq,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
       l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS INTEGER) AS line_index,
     l_partkey AS part, l_suppkey AS supp, p_name AS product, p_name || ', lot ' || l_suppkey AS description,
     l_quantity AS quantity, l_extendedprice AS unit_price,
     CAST(CAST(round(l_tax * 100) AS INTEGER) AS VARCHAR) || '%' AS tag,
     CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))), 2) AS DECIMAL(18,2)) AS subtotal,
     CAST(l_tax AS DECIMAL(18,2)) AS rate
-  FROM pieced LEFT JOIN part ON p_partkey = l_partkey),
+  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
 ln AS (
   SELECT *, CAST(subtotal + round(subtotal * rate, 2) AS DECIMAL(18,2)) AS total,
     CAST(round(subtotal * rate, 2) AS DECIMAL(18,2)) AS tax_amount FROM li)"""
 
 INVOICES = LINES + """,
 sums AS (
-  SELECT k, piece, CAST(count(*) AS INTEGER) AS line_count, CAST(sum(subtotal) AS DECIMAL(18,2)) AS sum_subtotal,
+  SELECT k, CAST(count(*) AS INTEGER) AS line_count, CAST(sum(subtotal) AS DECIMAL(18,2)) AS sum_subtotal,
     CAST(sum(tax_amount) AS DECIMAL(18,2)) AS sum_tax, CAST(sum(total) AS DECIMAL(18,2)) AS sum_total
-  FROM ln GROUP BY k, piece),
+  FROM ln GROUP BY k),
 inv0 AS (
-  SELECT o_orderkey AS k, coalesce(s.piece, 0) AS piece, o_orderkey * 1000 + coalesce(s.piece, 0) AS seq,
+  SELECT o_orderkey AS k, o_orderkey AS seq,
     c_name AS customer, CAST(c_nationkey AS BIGINT) AS nation, strftime(o_orderdate, '%Y-%m-%d') AS invoice_date,
     CASE o_orderstatus WHEN 'F' THEN 'posted' WHEN 'O' THEN 'draft' ELSE 'cancel' END AS state,
     'INV/' || year(o_orderdate) || '/' || CASE WHEN o_orderkey < 10000 THEN right('00000' || o_orderkey, 5)
-      ELSE CAST(o_orderkey AS VARCHAR) END || CASE WHEN coalesce(s.piece, 0) > 0 THEN '-' || s.piece ELSE '' END AS number,
+      ELSE CAST(o_orderkey AS VARCHAR) END AS number,
     CAST(CASE o_orderkey % 10 WHEN 0 THEN 1.00 WHEN 1 THEN 0.01 ELSE 0 END AS DECIMAL(18,2)) AS error,
     (o_orderkey % 10 = 2 OR s.k IS NULL) AS missing,
     coalesce(line_count, 0) AS line_count, sum_subtotal, sum_tax, sum_total
   FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN sums s ON s.k = o_orderkey),
 inv AS (
-  SELECT k, piece, seq, customer, nation, invoice_date, state, line_count, sum_subtotal, sum_tax, sum_total,
+  SELECT k, seq, customer, nation, invoice_date, state, line_count, sum_subtotal, sum_tax, sum_total,
     CASE WHEN state <> 'draft' THEN number END AS invoice_number,
     CASE WHEN NOT missing THEN nullif(sum_subtotal, 0) END AS amount_untaxed,
     CASE WHEN NOT missing THEN nullif(CAST(sum_tax + error AS DECIMAL(18,2)), CASE WHEN k % 6 <> 0 THEN 0 END) END AS amount_tax,
@@ -65,7 +60,7 @@ heads AS (
   SELECT inv.*, coalesce(CASE WHEN k % 2 = 1 THEN 'C' || nation END, c.code) AS currency
   FROM inv LEFT JOIN codes c ON c.currency_id = inv.nation),
 pl AS (
-  SELECT ln.k, ln.piece, ln.seq, ln.line_index, ln.product,
+  SELECT ln.k, ln.seq, ln.line_index, ln.product,
     CASE WHEN ln.k % 4 = 3 THEN ln.product ELSE ln.description END AS description, ln.quantity, ln.unit_price, ln.tag,
     ln.subtotal, ln.total, ln.tax_amount,
     coalesce(CASE ln.k % 4 WHEN 0 THEN c.code WHEN 1 THEN 'X' || heads.nation END, heads.currency) AS currency,
@@ -73,7 +68,7 @@ pl AS (
   FROM ln JOIN heads ON heads.seq = ln.seq LEFT JOIN codes c ON c.currency_id = heads.nation
   WHERE ln.k % 7 <> 0),
 dl AS (
-  SELECT ln.k, ln.piece, ln.seq, ln.line_index, ln.product, ln.description, ln.quantity, ln.unit_price, ln.tag || ' incl.' AS tag,
+  SELECT ln.k, ln.seq, ln.line_index, ln.product, ln.description, ln.quantity, ln.unit_price, ln.tag || ' incl.' AS tag,
     ln.subtotal, CASE WHEN ln.k % 14 = 0 THEN ln.subtotal ELSE ln.total END AS total,
     CASE WHEN ln.k % 14 = 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE ln.tax_amount END AS tax_amount,
     heads.currency, 'dom' AS source

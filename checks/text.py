@@ -156,14 +156,14 @@ def _made(s, sf):
     k = F.col("k")
     digits = lambda n, width: F.lpad((k % n).cast("string"), width, "0")
     text = F.concat(
-        F.lit("ssn "), digits(1000, 3), F.lit("-12-"), digits(10000, 4), F.lit(", call +1 415 555 "), digits(10000, 4),
+        F.lit("ssn "), digits(1000, 3), F.lit("-12-"), digits(10000, 4), F.lit(", call +1 212 867 "), digits(10000, 4),
         F.lit(" now, see https://h"), k.cast("string"), F.lit(".example.com/p) or hTTps://é"), k.cast("string"),
         F.lit(" ref "), F.coalesce("invoice_number", F.lit("DRAFT/1/2")), F.lit(" id é123-45-6789 mail a"), k.cast("string"),
         F.lit("@b.example.co ip 10.0.0."), (k % 300).cast("string"), F.lit(" card 4316 5226 7852 "), digits(10000, 4), F.lit(" ok"))
     return V.invoices(s, sf).select(F.lit("made").alias("tab"), F.col("seq").alias("id"), text.alias("text"))
 
 
-_MADE_SQL = """'ssn ' || right('000' || k % 1000, 3) || '-12-' || right('0000' || k % 10000, 4) || ', call +1 415 555 ' ||
+_MADE_SQL = """'ssn ' || right('000' || k % 1000, 3) || '-12-' || right('0000' || k % 10000, 4) || ', call +1 212 867 ' ||
   right('0000' || k % 10000, 4) || ' now, see https://h' || k || '.example.com/p) or hTTps://é' || k || ' ref ' ||
   coalesce(invoice_number, 'DRAFT/1/2') || ' id é123-45-6789 mail a' || k || '@b.example.co ip 10.0.0.' || (k % 300) ||
   ' card 4316 5226 7852 ' || right('0000' || k % 10000, 4) || ' ok'"""
@@ -179,7 +179,7 @@ query(
     "scrub_made_texts",
     lambda s, sf: redact.scrub(_made(s, sf), ["text"]).select("id", "text"),
     f"""WITH {sql.INVOICES} SELECT seq AS id, 'ssn [REDACTED:SSN], call [REDACTED:PHONE] now, see [REDACTED:URL]) or [REDACTED:URL] ref ' ||
-      CASE WHEN invoice_number IS NULL THEN 'DRAFT/1/2' WHEN piece > 0 THEN '[REDACTED:INVOICE_NO]-' || piece ELSE '[REDACTED:INVOICE_NO]' END ||
+      CASE WHEN invoice_number IS NULL THEN 'DRAFT/1/2' ELSE '[REDACTED:INVOICE_NO]' END ||
       ' id é123-45-6789 mail [REDACTED:EMAIL] ip [REDACTED:IP] card [REDACTED:CARD]ok' AS text FROM inv""",
 )
 query(

@@ -1,8 +1,7 @@
 """Billing data derived from the given tables by Spark.
 
-An invoice is an order; one with more than PIECE lines is issued as several invoices of about that
-size, so that no payload outgrows a row. The payloads carry the encodings, gaps and errors that
-the extraction has to cope with, planted by order key.
+An invoice is an order, whatever its number of lines. The payloads carry the encodings, gaps and
+errors that the extraction has to cope with, planted by order key.
 """
 
 import atexit
@@ -12,10 +11,9 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.plans.scale import broadcast_if_small, shared_folder, spread
+from tallyveil.plans.scale import shared_folder, spread
 from tallyveil.schema import MONEY
 
-PIECE = 500
 CALL = "https://erp.example/web/dataset/call_kw/account.move"
 
 
@@ -65,18 +63,6 @@ def js(text: Column) -> Column:
     return F.when(text.isNull(), "null").otherwise(F.coalesce(plain, escaped))
 
 
-def pieced(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem with the piece of its order, computed only for orders over the size of a piece."""
-    items = table(spark, sf, "lineitem")
-    sizes = items.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter(F.col("n") > PIECE)
-    if sizes.isEmpty():
-        return items.withColumn("piece", F.lit(0).cast("bigint"))
-    mark = F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")
-    mark = mark + F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    pieces = F.floor((F.coalesce("n", F.lit(1)) + (PIECE - 1)) / PIECE)
-    return items.join(broadcast_if_small(sizes), "l_orderkey", "left").withColumn("piece", F.pmod(mark, pieces)).drop("n")
-
-
 def _amounts(items: DataFrame) -> DataFrame:
     dec = lambda name: F.col(name).cast(MONEY)
     subtotal = F.round(dec("l_extendedprice") * (F.lit(1) - dec("l_discount")), 2).cast(MONEY)
@@ -85,19 +71,19 @@ def _amounts(items: DataFrame) -> DataFrame:
 
 
 def nested_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """(k, piece, items): the lines of each invoice in order; a piece is of bounded size."""
+    """(k, items): the lines of each invoice in order."""
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    items = _amounts(pieced(spark, sf)).join(parts, "l_partkey", "left")
+    items = _amounts(table(spark, sf, "lineitem")).join(parts, "l_partkey", "left")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
     kept = F.struct(*order, "subtotal", "total", "p_name")
-    return items.groupBy(F.col("l_orderkey").alias("k"), "piece").agg(F.array_sort(F.collect_list(kept)).alias("items"))
+    return items.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(kept)).alias("items"))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """The flat line table in the shape of the document's lines, with a dense line_index."""
-    flat = nested_lines(spark, sf).select("k", "piece", F.posexplode("items").alias("line_index", "i"))
+    flat = nested_lines(spark, sf).select("k", F.posexplode("items").alias("line_index", "i"))
     return flat.select(
-        seq().alias("seq"), "line_index",
+        F.col("k").alias("seq"), "line_index",
         F.col("i.p_name").alias("product"),
         F.concat(F.col("i.p_name"), F.lit(", lot "), F.col("i.l_suppkey").cast("string")).alias("description"),
         F.col("i.l_quantity").alias("quantity"),
@@ -111,24 +97,20 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def seq(key: str = "k") -> Column:
-    return F.col(key) * 1000 + F.col("piece")
-
-
 def tax_tag(rate: Column) -> Column:
     return F.concat(F.round(rate * 100).cast("int").cast("string"), F.lit("%"))
 
 
 def line_amounts(spark: SparkSession, sf: str) -> DataFrame:
-    """(k, piece, subtotal, total, tax_amount) per line, in no order and without a shuffle."""
-    items = _amounts(pieced(spark, sf))
+    """(k, subtotal, total, tax_amount) per line, in no order and without a shuffle."""
+    items = _amounts(table(spark, sf, "lineitem"))
     tax = (F.col("total") - F.col("subtotal")).cast(MONEY)
-    return items.select(F.col("l_orderkey").alias("k"), "piece", "subtotal", "total", tax.alias("tax_amount"))
+    return items.select(F.col("l_orderkey").alias("k"), "subtotal", "total", tax.alias("tax_amount"))
 
 
 def _summed(spark: SparkSession, sf: str) -> DataFrame:
     sums = [F.sum(c).cast(MONEY).alias(f"sum_{c}") for c in ("subtotal", "total")]
-    return line_amounts(spark, sf).groupBy("k", "piece").agg(F.count("*").alias("line_count"), *sums)
+    return line_amounts(spark, sf).groupBy("k").agg(F.count("*").alias("line_count"), *sums)
 
 
 def _summed_with_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,24 +130,23 @@ def invoices(spark: SparkSession, sf: str, items: bool = False) -> DataFrame:
     )
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", "o_orderstatus", "o_orderdate")
     k = F.col("k")
-    known = orders.join(customers, "o_custkey", "left").join(billed, "k", "left").fillna(0, ["piece", "line_count"])
+    known = orders.join(customers, "o_custkey", "left").join(billed, "k", "left").fillna(0, ["line_count"])
     digits = k.cast("string")
     padded = F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), "0")
-    suffix = F.when(F.col("piece") > 0, F.concat(F.lit("-"), F.col("piece").cast("string"))).otherwise(F.lit(""))
     state = F.when(F.col("o_orderstatus") == "F", "posted").when(F.col("o_orderstatus") == "O", "draft").otherwise("cancel")
-    number = F.concat(F.lit("INV/"), F.year("o_orderdate").cast("string"), F.lit("/"), padded, suffix)
+    number = F.concat(F.lit("INV/"), F.year("o_orderdate").cast("string"), F.lit("/"), padded)
     listed = ["items"] if items else []
     error = F.when(k % 10 == 0, 1.0).when(k % 10 == 1, 0.01).otherwise(0.0).cast(MONEY)
     missing = (k % 10 == 2) | (F.col("line_count") == 0)
     out = known.select(
-        "k", "piece", seq().alias("seq"), "customer", F.col("nation").cast("bigint").alias("nation"), "line_count", *listed,
+        "k", k.alias("seq"), "customer", F.col("nation").cast("bigint").alias("nation"), "line_count", *listed,
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("invoice_date"),
         state.alias("state"), number.alias("number"), error.alias("error"), missing.alias("missing"),
         "sum_subtotal", "sum_total",
     )
     tax = (F.col("sum_total") - F.col("sum_subtotal") + F.col("error")).cast(MONEY)
     return out.select(
-        "k", "piece", "seq", "customer", "nation", "line_count", *listed, "invoice_date", "state",
+        "k", "seq", "customer", "nation", "line_count", *listed, "invoice_date", "state",
         F.when(F.col("state") != "draft", F.col("number")).alias("invoice_number"),
         F.when(~F.col("missing"), F.col("sum_subtotal")).alias("amount_untaxed"),
         F.when(~F.col("missing"), tax).alias("amount_tax"),
@@ -259,7 +240,7 @@ def stored_moves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parsed_moves(spark: SparkSession, sf: str) -> DataFrame:
-    return stored_moves(spark, sf).select("k", "piece", "seq", F.try_parse_json("move_json").alias("move"))
+    return stored_moves(spark, sf).select("k", "seq", F.try_parse_json("move_json").alias("move"))
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
@@ -372,7 +353,7 @@ def logs_of(events: DataFrame) -> DataFrame:
     return events.select(
         key, "ts", F.lit("INFO").alias("level"), F.lit("job").alias("logger"), msg.alias("msg"), args.alias("args"),
         F.when(key % 4 == 0, failure).alias("exc_text"),
-        F.when(key % 8 == 0, F.concat(F.lit("call +1 415 555 "), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit(" now"))).alias("stack_info"),
+        F.when(key % 8 == 0, F.concat(F.lit("call +1 212 867 "), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit(" now"))).alias("stack_info"),
     )
 
 

@@ -5,14 +5,10 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.coerce import filled, year_only
 from tallyveil.functions.jsontext import lines_fingerprint
-from tallyveil.functions.patterns import TOKEN_MASK, alternation, redact_patterns, stripped
+from tallyveil.functions.patterns import TOKEN_MASK, redact_patterns, stripped
 from tallyveil.functions.surrogate import Surrogates
 from tallyveil.operators.redact import MIN_TOKEN_LEN, scrub
-from tallyveil.plans.scale import is_small
-
-
-# Up to this many tokens the lines are swept in place by one regex, which saves a join.
-ONE_PATTERN = 64
+from tallyveil.plans.scale import own_key
 
 
 def deidentify_header(docs: DataFrame, surrogates: Surrogates) -> DataFrame:
@@ -55,30 +51,28 @@ def deidentify_lines(
     """Descriptions swept for identifiers; products, quantities and money stay.
 
     ``own_tokens`` sweeps with the tokens of the invoice itself (see ``invoice_tokens``), ``deny``
-    with a table of tokens. A long ``deny`` works on the flat lines and needs a unique ``key``.
+    with a table of tokens; with both, a description too short to be a token of its invoice is still
+    swept for the table's. ``deny`` works on the flat descriptions. ``key`` names a column that tells
+    the documents apart; without it they get numbers of their own.
     """
-    lines = F.col("lines")
-    if own_tokens:
-        return docs.withColumn("lines", _with_descriptions(lines, lambda t: _own_description(t, max(1, min_len), allow)))
+    lines, columns, least = F.col("lines"), docs.columns, max(1, min_len)
     if deny is None:
-        return docs.withColumn("lines", _with_descriptions(lines, lambda t: redact_patterns(t, allow)))
-    if is_small(deny, max_rows=ONE_PATTERN):
-        pattern = deny.agg(alternation(F.collect_set("token")).alias("p")).scalar()
-        docs = docs.withColumn("__pattern", pattern)
-
-        def sweep(text: Column) -> Column:
-            covered = F.coalesce(F.regexp_replace(text, F.col("__pattern"), F.lit(TOKEN_MASK)), text)
-            return redact_patterns(covered, allow)
-
-        return docs.withColumn("lines", _with_descriptions(lines, sweep)).drop("__pattern")
+        sweep = (lambda t: _own_description(t, least, allow)) if own_tokens else (lambda t: redact_patterns(t, allow))
+        return docs.withColumn("lines", _with_descriptions(lines, sweep))
     if key is None:
-        raise ValueError("a long deny-list needs a unique key on the documents")
+        docs, key = own_key(docs), "__key"
     texts = docs.select(key, F.explode_outer(F.array_distinct("lines.description")).alias("old")).filter(F.col("old") != "")
+    too_short = lambda t: F.length(stripped(t)) < least
+    if own_tokens:
+        texts = texts.filter(too_short(F.col("old")))
     swept = scrub(texts.withColumn("new", F.col("old")), ["new"], deny, allow).filter(F.col("new") != F.col("old"))
     maps = swept.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__new"))
     joined = docs.join(maps, key, "left")
     new = lambda text: F.coalesce(F.try_element_at(F.col("__new"), text), text)
-    return joined.withColumn("lines", _with_descriptions(lines, new)).select(*docs.columns)
+    if own_tokens:
+        swept_text = new
+        new = lambda text: F.when(too_short(text), swept_text(text)).otherwise(_own_description(text, least, allow))
+    return joined.withColumn("lines", _with_descriptions(lines, new)).select(*columns)
 
 
 def deidentify(docs: DataFrame, surrogates: Surrogates, **sweep) -> DataFrame:
@@ -90,9 +84,11 @@ def deidentify(docs: DataFrame, surrogates: Surrogates, **sweep) -> DataFrame:
 
 def invoice_tokens(docs: DataFrame, key: str, names: list[str] | None = None, min_len: int = MIN_TOKEN_LEN) -> DataFrame:
     """(key, token): the wanted names, then the invoice's own customer, number, products, descriptions."""
-    fixed = F.array(*[F.lit(n) for n in names or []]).cast("array<string>")
+    # Read from a one-row table, so no name stands in the plan.
+    wanted = docs.sparkSession.createDataFrame([(list(names or []),)], "names ARRAY<STRING>")
+    docs = docs.withColumn("__names", wanted.select("names").scalar())
     values = F.concat(
-        fixed, F.array("invoice.customer", "invoice.invoice_number"), F.col("lines.product"), F.col("lines.description")
+        F.col("__names"), F.array("invoice.customer", "invoice.invoice_number"), F.col("lines.product"), F.col("lines.description")
     )
     tokens = F.filter(F.transform(values, stripped), lambda t: F.length(t) >= max(1, min_len))
     return docs.select(key, F.explode_outer(F.array_distinct(tokens)).alias("token")).filter(F.col("token").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.jsontext import line_json, lines_fingerprint
 from tallyveil.functions.money import approx_equal
+from tallyveil.plans.scale import keep_where
 from tallyveil.schema import CHECKS, LINE, MONEY
 
 # Lines hashed as one piece of text; an invoice with more is hashed piece after piece.
@@ -80,9 +81,10 @@ def fingerprint_flat(lines: DataFrame, key: str, chunk: int = CHUNK) -> DataFram
         )
     )
     whole = (F.col("piece") == 0) & (F.col("n") < chunk)
-    small = pieces.filter(whole).select(key, F.sha2(F.concat(F.lit("["), "text", F.lit("]")), 256).alias("integrity_sha256"))
+    # Filters behind a generator leave both branches on one equal aggregate, whose shuffle Spark reuses.
+    small = keep_where(pieces, whole).select(key, F.sha2(F.concat(F.lit("["), "text", F.lit("]")), 256).alias("integrity_sha256"))
     large = (
-        pieces.filter(~whole)
+        keep_where(pieces, ~whole)
         .select(key, "piece", "text")
         .repartition(F.col(key))
         .sortWithinPartitions(key, "piece")

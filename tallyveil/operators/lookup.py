@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 from tallyveil.functions import coerce
 from tallyveil.functions.surrogate import SALT_ID
 from tallyveil.operators.matcher import fold_column, matched_tokens
-from tallyveil.plans.scale import broadcast_if_small, is_small
+from tallyveil.plans.scale import is_small, own_key
 from tallyveil.schema import LINE
 
-# Targets compared by a plain expression; longer lists go through the token matcher.
-FEW_NAMES = 64
 # Currency tables read as one map value, which is searched entry by entry.
 MAP_ROWS = 1000
 
@@ -57,50 +55,55 @@ def _resolved(lines: Column, header: Column, code_of) -> Column:
     return F.transform(lines, line)
 
 
-def resolve_currency(df: DataFrame, codes: DataFrame, key: str | None = None) -> DataFrame:
+def resolve_currency(df: DataFrame, codes: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Currency codes on the header and its lines: an embedded code, else the map by id; lines then
     fall back to the header's code.
 
     ``codes`` has one row per id. A small one (checked) is read as one map value, so rows do not
-    move; a larger one is joined by id, which needs a unique ``key`` on the rows.
+    move; a larger one is joined by id. ``key`` names the columns that tell the rows apart; without
+    it rows that have to meet the join get numbers of their own.
     """
+    columns = df.columns
     invoice = F.col("invoice")
     if is_small(codes, max_rows=MAP_ROWS):
         entries = codes.agg(F.map_from_entries(F.collect_list(F.struct("currency_id", "code"))).alias("m"))
         df = df.withColumn("__codes", entries.scalar())
     else:
         if key is None:
-            raise ValueError("a large currency table needs a unique key on the rows")
+            df, key = own_key(df), ["__key"]
         ids = F.array_compact(F.array_distinct(F.concat(F.array("invoice_currency_id"), F.col("lines.currency_id"))))
-        known = df.select(key, F.explode_outer(ids).alias("currency_id")).join(codes, "currency_id")
-        maps = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("currency_id", "code"))).alias("__codes"))
+        wanted = df.select(*key, F.explode_outer(ids).alias("currency_id")).distinct()
+        known = wanted.join(codes, "currency_id")
+        maps = known.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("currency_id", "code"))).alias("__codes"))
         df = df.join(maps, key, "left")
     code_of = lambda currency_id: F.try_element_at(F.col("__codes"), currency_id)
     header = F.coalesce(coerce.filled(invoice["currency"]), code_of(F.col("invoice_currency_id")))
     df = df.withColumn("invoice", invoice.withField("currency", header))
-    return df.withColumn("lines", _resolved(F.col("lines"), F.col("invoice.currency"), code_of)).drop(
-        "__codes", "invoice_currency_id"
-    )
+    resolved = df.withColumn("lines", _resolved(F.col("lines"), F.col("invoice.currency"), code_of))
+    return resolved.select(*[c for c in columns if c != "invoice_currency_id"])
+
+
+def unresolved_currencies(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows whose header or lines have a currency id without an embedded code that ``codes`` lacks."""
+    header = F.when(coerce.filled(F.col("invoice.currency")).isNull(), F.col("invoice_currency_id"))
+    lines = F.transform("lines", lambda l: F.when(coerce.filled(l["currency"]).isNull(), l["currency_id"]))
+    wanted = F.array_compact(F.array_distinct(F.concat(F.array(header), lines)))
+    rows = df.select("*", F.explode_outer(wanted).alias("__wanted")).filter(F.col("__wanted").isNotNull())
+    known = codes.select(F.col("currency_id").alias("__wanted"))
+    return rows.join(known, "__wanted", "left_anti").drop("__wanted")
 
 
 def find_customer_rows(moves: DataFrame, targets: DataFrame, order_by: str, cell: str = "customer") -> DataFrame:
     """First row per target: its names are tried in order, the first with any row wins.
 
-    ``targets`` has (target, prio, name); a name matches when the cell contains it, in any case.
+    ``targets`` has (target, prio, name); a name matches when the cell contains it, in any case. An
+    empty name matches nothing.
     The result keeps every target, with status 'customer_not_found' when no name has a row.
     """
-    shown = F.col(cell)
     # The first row of each matched name, by partial aggregation; only those meet the targets.
     first_row = F.min_by(F.struct(*moves.columns), order_by)
-    if is_small(targets, max_rows=FEW_NAMES):
-        named = targets.withColumn("folded", F.lower("name"))
-        names = named.agg(F.collect_set("folded").alias("names")).scalar()
-        matches = F.filter("__names", lambda n: F.lower(shown).contains(n))
-        hits = moves.withColumn("__names", names).withColumn("folded", F.explode_outer(matches))
-        found = hits.filter(F.col("folded").isNotNull()).groupBy("folded").agg(first_row.alias("total"))
-    else:
-        named = targets.withColumn("folded", fold_column(F.col("name")))
-        found = matched_tokens(moves, cell, targets.select(F.col("name").alias("token")), first_row)
+    named = targets.withColumn("folded", fold_column(F.col("name")))
+    found = matched_tokens(moves, cell, targets.select(F.col("name").alias("token")), first_row)
     hits = named.join(found, "folded")
     first = hits.groupBy("target").agg(F.min_by(F.struct("name", F.col("total").alias("row")), "prio").alias("best"))
     wanted = targets.select("target").distinct()
@@ -143,7 +146,7 @@ def join_on_surrogate(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -
     salts = [df.schema[on].metadata.get(SALT_ID) for df in (a, b)]
     if salts[0] is None or salts[0] != salts[1]:
         raise ValueError(f"surrogates of different or unknown salts: {salts}")
-    return a.join(broadcast_if_small(b), on, how)
+    return a.join(b, on, how)
 
 
 def state_counts(moves: DataFrame, state: str = "state") -> DataFrame:

@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.plans.scale import inline_rows, is_small, keep_where, written
+from tallyveil.functions.patterns import ERROR_MASK
+from tallyveil.plans.scale import inline_rows, is_small, keep_where
 
 _SEPARATOR = 0xFFFFFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
-# Size of the filter for token sets too large to gather: 2**26 bits are 8 MB, whatever their number.
-FILTER_BITS = 26
+# Bits of the filter for token sets too large to gather: 32 for each token, from 8 MB up to 128 MB.
+FILTER_BITS = (26, 30)
 _WORD = 64
 
 
@@ -159,7 +160,7 @@ class TokenFilter:
 
 def _filter_of_tokens(tokens: list[str]) -> TokenFilter:
     """Filter of a gathered token set, at least 32 bits wide per token."""
-    bits = max(12, min(FILTER_BITS, (32 * max(1, len(tokens))).bit_length()))
+    bits = max(12, min(FILTER_BITS[0], (32 * max(1, len(tokens))).bit_length()))
     lengths, *places = token_bits(tokens, bits)
     first, whole = (np.zeros(1 << (bits - 6), dtype=np.uint64) for _ in range(2))
     for words, place in zip((first, whole), places):
@@ -172,17 +173,22 @@ _BITS = T.StructType(
 )
 
 
-@F.pandas_udf(_BITS)
-def _token_bits_udf(token: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(dict(zip(("size", "first", "whole"), token_bits(list(token), FILTER_BITS))))
+def _token_bits_udf(width: int):
+    @F.pandas_udf(_BITS)
+    def places(token: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("size", "first", "whole"), token_bits(list(token), width))))
+
+    return places
 
 
 def _filter_of_table(folded: DataFrame) -> TokenFilter:
     """Filter of a token table that is not gathered: its words are or-ed together by Spark.
 
-    What reaches the driver is bounded by the filter size and by the number of distinct lengths.
+    Its width follows the number of tokens, so that few positions of a text pass by chance. What reaches
+    the driver is bounded by the widest filter and by the number of distinct lengths.
     """
-    bits = folded.select(_token_bits_udf("folded").alias("b")).select("b.*")
+    width = max(FILTER_BITS[0], min(FILTER_BITS[1], (32 * folded.count()).bit_length()))
+    bits = folded.select(_token_bits_udf(width)("folded").alias("b")).select("b.*")
     lengths = [r["size"] for r in bits.select("size").distinct().collect()]
 
     def words(name: str) -> np.ndarray:
@@ -190,11 +196,11 @@ def _filter_of_table(folded: DataFrame) -> TokenFilter:
         rows = (
             bits.groupBy(F.floor(F.col(name) / _WORD).alias("word")).agg(F.bit_or(one).alias("value")).toPandas()
         )
-        out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+        out = np.zeros(1 << (width - 6), dtype=np.int64)
         out[rows["word"].to_numpy(dtype=np.int64)] = rows["value"].to_numpy(dtype=np.int64)
         return out.view(np.uint64)
 
-    return TokenFilter(FILTER_BITS, sorted(lengths), words("first"), words("whole"))
+    return TokenFilter(width, sorted(lengths), words("first"), words("whole"))
 
 
 def folded_tokens(tokens: DataFrame, *keys: str) -> DataFrame:
@@ -256,11 +262,6 @@ def _per_token(df: DataFrame, total: Column) -> DataFrame:
     return rows.groupBy("folded").agg(total.alias("total"))
 
 
-def _per_token(df: DataFrame, total: Column) -> DataFrame:
-    rows = df.select("*", F.explode_outer("__hits").alias("folded")).filter(F.col("folded").isNotNull())
-    return rows.groupBy("folded").agg(total.alias("total"))
-
-
 def matched_tokens(df: DataFrame, column: str, tokens: DataFrame, total: Column) -> DataFrame:
     """(folded, total): an aggregate over the rows whose text contains the token, in any case.
 
@@ -283,12 +284,25 @@ def matched_tokens(df: DataFrame, column: str, tokens: DataFrame, total: Column)
             return pd.Series([sorted(o) for o in out])
 
         return _per_token(df.withColumn("__hits", hits(column)), total)
-    folded = written(folded, "tokens")
     spans = _candidate_udf(_filter_of_table(folded))
     maybe = df.withColumn("__hits", F.array_distinct(spans(column)["folded"]))
     return _per_token(maybe, total).join(folded, "folded", "left_semi")
 
 
+def fail_closed(work: Callable[[list], list], rows: list) -> list:
+    """The work done on a batch; where it fails, row by row, and a row that fails is masked, never passed."""
+    try:
+        return work(rows)
+    except Exception:
+        out = []
+        for row in rows:
+            try:
+                out += work([row])
+            except Exception:
+                out.append(ERROR_MASK)
+        return out
+
+
 def gathered_layer(tokens: DataFrame, mask: str) -> Callable[[DataFrame, str], DataFrame]:
     """Masks every token in any case, as one pass that prefers the leftmost and then the longest.
 
@@ -297,10 +311,13 @@ def gathered_layer(tokens: DataFrame, mask: str) -> Callable[[DataFrame, str], D
     listed = _gathered(folded_tokens(tokens))
     token_filter, token_set = _filter_of_tokens(listed), set(listed)
 
+    def covered(texts: list) -> list:
+        spans = _exact_spans(_text_list(texts), token_filter, token_set)
+        return [masked(t, spans[i], mask) if i in spans else t for i, t in enumerate(texts)]
+
     @F.pandas_udf("string")
     def cover(texts: pd.Series) -> pd.Series:
-        spans = _exact_spans(_text_list(texts), token_filter, token_set)
-        return pd.Series([masked(t, spans[i], mask) if i in spans else t for i, t in enumerate(texts)], dtype=object)
+        return pd.Series(fail_closed(covered, list(texts)), dtype=object)
 
     return lambda df, column: df.withColumn(column, cover(column))
 
@@ -313,19 +330,18 @@ def joined_layer(tokens: DataFrame, mask: str, by: str | None = None) -> Callabl
     the join; for that the texts are searched twice, which moves far less than a shuffle of all.
     """
     keys = [by] if by else []
-    folded = written(folded_tokens(tokens, *keys), "tokens")
+    folded = folded_tokens(tokens, *keys)
     distinct_tokens = folded.select("folded").distinct()
     small = is_small(distinct_tokens)
     token_filter = _filter_of_tokens(_gathered(distinct_tokens)) if small else _filter_of_table(distinct_tokens)
     spans = _candidate_udf(token_filter)
 
+    def covered(rows: list) -> list:
+        return [t if f is None or len(f) == 0 else masked(t, [(s["pos"], s["size"]) for s in f], mask) for t, f in rows]
+
     @F.pandas_udf("string")
     def cover(texts: pd.Series, found: pd.Series) -> pd.Series:
-        listed = [
-            t if f is None or len(f) == 0 else masked(t, [(s["pos"], s["size"]) for s in f], mask)
-            for t, f in zip(texts, found)
-        ]
-        return pd.Series(listed, dtype=object)
+        return pd.Series(fail_closed(covered, list(zip(texts, found))), dtype=object)
 
     def apply(df: DataFrame, column: str) -> DataFrame:
         digest = F.sha2(F.col(column), 256)

@@ -1,22 +1,23 @@
 """Deny-lists and the scrubbing of text and log tables."""
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyveil.functions.money import float_text
 from tallyveil.functions.patterns import (
-    ENTITY_MASK, ERROR_MASK, LOG_ERROR_MASK, TOKEN_MASK, alternation, stripped, with_patterns,
+    ENTITY_MASK, ERROR_MASK, LOG_ERROR_MASK, TOKEN_MASK, stripped, with_patterns,
 )
 from tallyveil.operators import matcher
 from tallyveil.plans.scale import SMALL_BYTES, SMALL_ROWS, measure
 
 MIN_TOKEN_LEN = 3
-# Up to this many tokens one regex alternation is used; beyond it, window matching.
-FEW_TOKENS = 16
 
 
 def deny_list(df: DataFrame, cols: list[str], min_len: int = MIN_TOKEN_LEN, scope: str | None = None) -> DataFrame:
@@ -44,23 +45,15 @@ def matcher_order(deny: DataFrame) -> DataFrame:
 def token_layer(deny: DataFrame, by: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
     """What masks the deny-list's tokens in a column; made once, applied to any number of columns.
 
-    A few tokens make one regex, which is built by Spark and read as a scalar, so no token stands
-    in the plan. More tokens, or tokens scoped by a column, go through the matcher.
+    One matching rule whatever the number of tokens: those within bounds go to the tasks, more of
+    them, or tokens scoped by a column, are confirmed by a join. Empty tokens match nothing.
     """
     if by:
         return matcher.joined_layer(deny, TOKEN_MASK, by)
     rows, size = measure(deny)
     if rows > SMALL_ROWS or size > SMALL_BYTES:
         return matcher.joined_layer(deny, TOKEN_MASK)
-    if rows > FEW_TOKENS:
-        return matcher.gathered_layer(deny, TOKEN_MASK)
-    pattern = deny.agg(alternation(F.collect_set("token")).alias("pattern")).scalar()
-
-    def apply(df: DataFrame, column: str) -> DataFrame:
-        text = F.col(column)
-        return df.withColumn(column, F.coalesce(F.regexp_replace(text, pattern, F.lit(TOKEN_MASK)), text))
-
-    return apply
+    return matcher.gathered_layer(deny, TOKEN_MASK)
 
 
 def redact_tokens(df: DataFrame, column: str, deny: DataFrame, by: str | None = None) -> DataFrame:
@@ -68,19 +61,30 @@ def redact_tokens(df: DataFrame, column: str, deny: DataFrame, by: str | None =
     return token_layer(deny, by)(df, column)
 
 
+_LOADED: dict = {}
+
+
+def loaded(key: str, detector: Callable):
+    """The detector's function, made once in each worker; None where it cannot be made."""
+    if key not in _LOADED:
+        try:
+            _LOADED[key] = detector()
+        except Exception:
+            _LOADED[key] = None
+    return _LOADED[key]
+
+
 def entity_layer(text: Column, detector: Callable[[], Callable[[str], list[tuple[int, int]]]]) -> Column:
     """Mask the spans an entity detector finds.
 
-    ``detector`` is called once per task and returns a function from text to (start, end) spans.
+    ``detector`` is called once per worker and returns a function from text to (start, end) spans.
     When loading or a call fails, the text passes unchanged.
     """
+    key = hashlib.sha256(cloudpickle.dumps(detector)).hexdigest()
 
     @F.pandas_udf("string")
     def cover(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            find = detector()
-        except Exception:
-            find = None
+        find = loaded(key, detector)
 
         def one(value):
             if find is None or not value:
@@ -145,20 +149,49 @@ def scrub_with(df: DataFrame, column: str, scrubber: Callable[[str], str]) -> Da
     return df.withColumn(column, F.coalesce(safely(_as_text(df, column)), F.lit("")))
 
 
-# Conversions rendered here; a message with another one is suppressed as a whole.
-_CONVERSION = "%[sdi]"
-_PERCENT = "\x00"
+_PLAIN = "%[sdi]"
+_FORM = re.compile(r"%[#0\- +]*(\*|\d+)?(?:\.(\*|\d+)?)?[hlL]?(.)", re.DOTALL)
+
+
+def formatted(msg: str, args: list) -> str:
+    """``msg % args`` where the arguments come as text: numbers are read as the conversions ask."""
+    values, left = [], iter(args)
+    for form in _FORM.finditer(msg):
+        values += [int(next(left)) for star in form.group(1, 2) if star == "*"]
+        if form[3] == "%":
+            continue
+        value = next(left)
+        if form[3] in "diu":
+            value = int(value) if re.fullmatch(r"[+-]?\d+", value) else int(float(value))
+        elif form[3] in "oxXc":
+            value = int(value) if re.fullmatch(r"[+-]?\d+", value) else value
+        elif form[3] in "eEfFgG":
+            value = float(value)
+        values.append(value)
+    return msg % (*values, *left)
+
+
+@F.pandas_udf(T.StringType())
+def _formatted_udf(msg: pd.Series, args: pd.Series) -> pd.Series:
+    def one(text, values):
+        try:
+            return None if text is None else formatted(text, [v for v in values])
+        except Exception:
+            return None
+
+    return pd.Series([one(m, a) for m, a in zip(msg, args)], dtype=object)
 
 
 def rendered(msg: Column, args: Column) -> Column:
-    """``msg % args`` for %s, %d, %i and %%; null when they do not fit together.
+    """``msg % args``; null when they do not fit together.
 
-    The message is split at its conversions and zipped with the arguments, so text inside an
-    argument is never read as a conversion. Without arguments the message stands as it is.
+    Messages with %s, %d and %i only are split at these and zipped with the arguments, so text
+    inside an argument is never read as a conversion. Those with another percent sign go through
+    Python's own formatting. Without arguments the message stands as it is.
     """
-    bare = F.replace(msg, F.lit("%%"), F.lit(_PERCENT))
-    pieces = F.split(bare, _CONVERSION, -1)
-    marks = F.regexp_extract_all(bare, F.lit(f"({_CONVERSION})"), F.lit(1))
+    other = F.regexp_replace(msg, _PLAIN, "").contains("%")
+    pieces = F.split(msg, _PLAIN, -1)
+    marks = F.regexp_extract_all(msg, F.lit(f"({_PLAIN})"), F.lit(1))
     whole = F.transform(args, lambda a: F.regexp_extract(a, r"^([+-]?\d+)(\.\d*)?$", 1))
     shown = F.zip_with(
         marks,
@@ -168,12 +201,11 @@ def rendered(msg: Column, args: Column) -> Column:
         ),
     )
     text = F.array_join(F.zip_with(pieces, shown, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    fits = (F.size(marks) == F.size(args)) & F.forall(shown, lambda s: s.isNotNull()) & ~F.exists(
-        pieces, lambda p: p.contains("%")
-    )
-    full = F.replace(text, F.lit(_PERCENT), F.lit("%"))
+    fits = (F.size(marks) == F.size(args)) & F.forall(shown, lambda s: s.isNotNull())
     message = F.coalesce(msg, F.lit("None"))
-    return F.when(F.coalesce(F.size(args), F.lit(0)) <= 0, message).when(fits, full)
+    some = F.coalesce(F.size(args), F.lit(0)) > 0
+    by_python = _formatted_udf(F.when(some & other, msg), args)
+    return F.when(~some, message).when(other, by_python).when(fits, text)
 
 
 def scrub_logs(logs: DataFrame, deny: DataFrame | None = None, allow: list[str] | None = None, ner=None) -> DataFrame:

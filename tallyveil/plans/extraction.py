@@ -26,12 +26,14 @@ class RunInfo:
 class Extracted(NamedTuple):
     documents: DataFrame
     rejects: DataFrame
+    unresolved: DataFrame
 
 
 def extract_documents(
     capture: DataFrame, run: RunInfo, pages: DataFrame | None = None, codes: DataFrame | None = None, mode: str = "first",
 ) -> Extracted:
-    """Documents (seq, record_pos, metadata, invoice, lines, checks) and rejects (seq, reject_reason).
+    """Documents (seq, record_pos, metadata, invoice, lines, checks), rejects (seq, reject_reason) and
+    the exchanges (seq) of documents with a currency id that ``codes`` does not have.
 
     ``pages`` has (seq, dom_lines) for exchanges whose payload held no lines. ``codes`` defaults to
     the currency codes of the searches in the same capture. Only records without lines of their
@@ -52,14 +54,19 @@ def extract_documents(
         bare = bare.withColumns({"used_source": F.lit(extract.RPC_SOURCE), "reject_reason": F.lit(extract.NO_LINES)})
         chosen = settled
     else:
-        bare = extract.fill_from_pages(bare.select(*columns[:6]), pages, ["seq"])
+        bare = bare.select(*columns[:6])
+        if mode == "all":
+            # A page shows one invoice. Where several records of an answer lack lines, it is nobody's.
+            alone = bare.groupBy("seq").agg(F.count("*").alias("n")).filter(F.col("n") == 1).select("seq")
+            pages = pages.join(alone, "seq", "left_semi")
+        bare = extract.fill_from_pages(bare, pages, ["seq"])
         chosen = settled.unionByName(keep_where(bare, F.col("reject_reason").isNull()).select(*columns))
     lost = keep_where(bare, F.col("reject_reason").isNotNull())
     rejects = rejected.select("seq", "reject_reason").unionByName(lost.select("seq", "reject_reason"))
-    kept = lookup.resolve_currency(chosen, codes, key="seq")
+    kept = lookup.resolve_currency(chosen, codes, key=["seq", "record_pos"])
     checked = integrity.build_checks(kept)
     tagged = extract.with_metadata(
         checked, run.tool, run.tool_version, run.extracted_at, "url", run.instance_url, run.modern_path
     )
     documents = extract.assemble(integrity.with_fingerprint(tagged), "seq", "record_pos")
-    return Extracted(documents, rejects)
+    return Extracted(documents, rejects, lookup.unresolved_currencies(chosen, codes).select("seq"))

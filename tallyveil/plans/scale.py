@@ -29,12 +29,17 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer files than cores, dealt out over the cores.
+    """Rows of a table with fewer partitions than cores, dealt out over the cores.
 
-    Meant for heavy work per row on a few files; a table of many files stays as it is.
+    Meant for heavy work per row on a few files; a table of many partitions stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def own_key(df: DataFrame, name: str = "__key") -> DataFrame:
+    """The table with a number of its own on each row; it is written first, so that the numbers stay."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:

@@ -14,20 +14,20 @@ from .samples import values
 DOCUMENT = f"k INT, metadata {METADATA.simpleString()}, invoice {HEADER.simpleString()}, lines ARRAY<{LINE.simpleString()}>, checks {CHECKS.simpleString()}"
 
 
-def document(spark, *descriptions, customer="Deco Addict", number="INV/2026/00001"):
+def document(spark, *descriptions, customer="Harbor Mill", number="BIL/2031/00417"):
     d = Decimal
-    lines = [(i, "Office Chair", text, 1.0, 100.0, [], d("100.00"), d("119.00"), None, "json-rpc", d("19.00")) for i, text in enumerate(descriptions)]
+    lines = [(i, "Field Tent", text, 1.0, 100.0, [], d("100.00"), d("119.00"), None, "json-rpc", d("19.00")) for i, text in enumerate(descriptions)]
     n = len(lines)
-    row = (1, ("tool", "1.0.0", "2026-05-29T00:00:00Z", "json-rpc", None, None, False, None), (number, customer, "2026-05-20", "posted", None, None, None, d("812.82"), "json-rpc"),
+    row = (1, ("tool", "1.0.0", "2026-05-29T00:00:00Z", "json-rpc", None, None, False, None), (number, customer, "2031-02-11", "posted", None, None, None, d("238.00"), "json-rpc"),
            lines, (n, d(19 * n), d(119 * n), None, None))
     return integrity.with_fingerprint(spark.createDataFrame([row], DOCUMENT))
 
 
-NOTE = "Chair for Jane Doe, jane@x.com"
+NOTE = "Tent hired by Ira Moss, ira@moss.example.org"
 
 
 def test_surrogates_equal_hmac(spark):
-    texts = ["Deco Addict", "é", "", "日本", "(unknown)", None]
+    texts = ["Harbor Mill", "é", "", "日本", "(unknown)", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
     for salt in ("k", "", "é-salt", "x" * 64, "x" * 80):
         want = [t if t is None else "CUST-" + hmac.new(salt.encode(), t.encode(), hashlib.sha256).hexdigest()[:12] for t in texts]
@@ -36,16 +36,16 @@ def test_surrogates_equal_hmac(spark):
 
 def test_identifiers_go_and_the_rest_stays(spark):
     source = document(spark, NOTE, None, "")
-    out = deid.deidentify(source, Surrogates(spark, "s3cr3t")).first()
-    assert out.invoice.customer.startswith("CUST-") and out.invoice.invoice_number.startswith("INV-") and out.invoice.invoice_date == "2026"
-    assert out.metadata.deidentified and out.lines[0].product == "Office Chair"
-    assert [l.description for l in out.lines] == ["Chair for Jane Doe, [REDACTED:EMAIL]", None, ""]
-    assert source.first().invoice.customer == "Deco Addict" and out.checks == source.first().checks
+    out = deid.deidentify(source, Surrogates(spark, "one-salt")).first()
+    assert out.invoice.customer.startswith("CUST-") and out.invoice.invoice_number.startswith("INV-") and out.invoice.invoice_date == "2031"
+    assert out.metadata.deidentified and out.lines[0].product == "Field Tent"
+    assert [l.description for l in out.lines] == ["Tent hired by Ira Moss, [REDACTED:EMAIL]", None, ""]
+    assert source.first().invoice.customer == "Harbor Mill" and out.checks == source.first().checks
 
 
 def test_salts(spark):
     keys = lambda salt: deid.deidentify(document(spark, NOTE), Surrogates(spark, salt)).first().invoice.customer
-    assert keys("k") == keys("k") and keys("k1") != keys("k2")
+    assert keys("a") == keys("a") and keys("b") != keys("c")
 
 
 def test_a_new_fingerprint_verifies(spark):
@@ -68,20 +68,34 @@ def sweep_by_own_tokens(spark, docs, names, min_len=3):
 
 @pytest.mark.parametrize("min_len", [1, 3, 12])
 def test_own_descriptions_are_masked_as_the_rule_says(spark, min_len):
-    texts = ["Office Chair, mesh", "  padded chair\t", "ab", " x ", "a@b.co.uk", "for Deco Addict", "Chair\nfor two", "ab\u00a0", "1.2.3.4", "日本"]
+    texts = ["Field Tent, green", "  large tent\t", "ab", " x ", "a@b.co.uk", "for Harbor Mill", "Tent\nfor two", "ab\u00a0", "1.2.3.4", "日本"]
     docs = document(spark, *texts)
     out = deid.deidentify_lines(docs, own_tokens=True, min_len=min_len)
     got = [l.description for l in out.first().lines]
-    assert got == sweep_by_own_tokens(spark, docs, ["Deco Addict", "Azure"], min_len)
+    assert got == sweep_by_own_tokens(spark, docs, ["Harbor Mill", "Orchard"], min_len)
 
 
 def test_deny_list_sweeps_agree(spark):
-    docs = document(spark, NOTE, "jane doe", None, "")
-    few = spark.createDataFrame([("Jane Doe",)], "token STRING")
+    docs = document(spark, NOTE, "ira moss", None, "")
+    few = spark.createDataFrame([("Ira Moss",)], "token STRING")
     many = few.unionByName(spark.createDataFrame([(f"name {i}",) for i in range(100)], "token STRING"))
     for deny in (few, many):
-        out = deid.deidentify_lines(docs, deny, key="k").first()
-        assert [l.description for l in out.lines] == ["Chair for [REDACTED:PHI], [REDACTED:EMAIL]", "[REDACTED:PHI]", None, ""]
+        for key in ("k", None):
+            out = deid.deidentify_lines(docs, deny, key=key)
+            assert out.columns == docs.columns
+            assert [l.description for l in out.first().lines] == ["Tent hired by [REDACTED:PHI], [REDACTED:EMAIL]", "[REDACTED:PHI]", None, ""]
+
+
+def test_own_tokens_and_a_deny_list_together(spark):
+    docs = document(spark, "a longer text", "by Al", "b@c.de", None)
+    out = deid.deidentify_lines(docs, spark.createDataFrame([("al",)], "token STRING"), own_tokens=True, min_len=9).first()
+    assert [l.description for l in out.lines] == ["[REDACTED:PHI]", "by [REDACTED:PHI]", "[REDACTED:EMAIL]", None]
+
+
+def test_names_do_not_stand_in_the_plan(spark):
+    tokens = deid.invoice_tokens(document(spark, "x"), "k", ["Very Secret Name"])
+    assert "Very Secret Name" in {r.token for r in tokens.collect()}
+    assert "Very Secret" not in tokens._jdf.queryExecution().toString()
 
 
 def test_the_salt_does_not_stand_in_the_plan(spark):

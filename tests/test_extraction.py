@@ -1,6 +1,7 @@
 import json
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyveil.functions.jsontext import lines_fingerprint
@@ -11,7 +12,7 @@ from tallyveil.sources import capture as exchanges
 from tallyveil.sources import documents as files
 from tallyveil.sources import html
 
-from .samples import CALL, CHAIR, DESK, MOVE, SEARCH, SECTION, captured, exchange, request, values, variants
+from .samples import CALL, CHAIR, DESK, EUR_ID, MOVE, SEARCH, SECTION, captured, exchange, request, values, variants
 
 RUN = RunInfo(extracted_at="2026-05-29T02:14:46Z", instance_url="https://erp.example", modern_path="/app/")
 D = Decimal
@@ -67,8 +68,8 @@ def test_errors_are_split_off(spark):
 def test_lines_skip_sections_and_read_both_encodings(spark):
     chair, desk = lines(spark, dict(MOVE, invoice_line_ids=[CHAIR, SECTION, DESK]))
     assert (chair.line_index, chair.product, chair.tax_amount, chair.taxes) == (0, "Office Chair", D("45.79"), ["19%"])
-    assert (desk.line_index, desk.product, desk.currency, desk.currency_id) == (1, "Standing Desk", "EUR", 126)
-    assert chair.currency is None and chair.currency_id == 126
+    assert (desk.line_index, desk.product, desk.currency, desk.currency_id) == (1, "Standing Desk", "EUR", EUR_ID)
+    assert chair.currency is None and chair.currency_id == EUR_ID
 
 
 def test_line_defaults_and_display_types(spark):
@@ -102,7 +103,7 @@ def test_header_uses_totals_and_rounds(spark):
     got, currency = header(spark, MOVE)
     assert (got.invoice_number, got.customer, got.invoice_date, got.state) == ("INV/2026/00001", "Deco Addict", "2026-05-20", "posted")
     assert (got.amount_untaxed, got.amount_tax, got.amount_total) == (D("690.00"), D("122.82"), D("812.82"))
-    assert currency == 126 and got.currency is None
+    assert currency == EUR_ID and got.currency is None
 
 
 def test_header_gaps(spark):
@@ -117,9 +118,9 @@ def test_header_gaps(spark):
 
 def test_currency_codes(spark):
     bad = [exchange(9, "search_read", '{"result":{"records":['), exchange(8, "search_read", {"result": 5})]
-    late = exchange(3, "search_read", {"result": [{"currency_id": [126, "EUX"]}, 7, {"currency_id": [1, "USD"]}, {"currency_id": [1, ""]}]})
+    late = exchange(3, "search_read", {"result": [{"currency_id": [EUR_ID, "EUX"]}, 7, {"currency_id": [1, "USD"]}, {"currency_id": [1, ""]}]})
     codes = lookup.currency_codes(captured(spark, late, exchange(4, "web_search_read", {"result": SEARCH}), *bad))
-    assert {r.currency_id: r.code for r in codes.collect()} == {126: "EUR", 1: "USD"}
+    assert {r.currency_id: r.code for r in codes.collect()} == {EUR_ID: "EUR", 1: "USD"}
 
 
 def test_document_equals_the_known_fingerprint(spark):
@@ -144,7 +145,7 @@ def test_document_equals_the_known_fingerprint(spark):
 
 def test_the_nested_way_moves_no_rows(spark):
     capture = captured(spark, exchange(2, "web_read", {"result": [MOVE]}))
-    codes = spark.createDataFrame([(126, "EUR")], "currency_id BIGINT, code STRING")
+    codes = spark.createDataFrame([(EUR_ID, "EUR")], "currency_id BIGINT, code STRING")
     docs = extract_documents(capture, RUN, codes=codes).documents
     main = docs._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
     assert "Exchange" not in main and "Join" not in main
@@ -166,7 +167,7 @@ def test_page_lines_replace_missing_payload_lines(spark):
     assert two.dom_amounts[1].total == 1.005
     bare = dict(MOVE, invoice_line_ids=[1, 2])
     capture = captured(spark, *[exchange(i, "read", {"result": [m]}) for i, m in ((1, MOVE), (2, bare), (3, bare))])
-    codes = spark.createDataFrame([(126, "EUR")], "currency_id BIGINT, code STRING")
+    codes = spark.createDataFrame([(EUR_ID, "EUR")], "currency_id BIGINT, code STRING")
     done = extract_documents(capture, RUN, pages.select("seq", "dom_lines"), codes)
     got = {r.seq: r for r in done.documents.collect()}
     assert sorted(got) == [1, 2] and got[2].metadata.source == "dom-fallback" and got[2].lines[0].currency == "EUR"
@@ -176,17 +177,34 @@ def test_page_lines_replace_missing_payload_lines(spark):
 def test_resolve_currency_by_join_equals_the_map(spark):
     moves = captured(spark, *[exchange(i, "read", {"result": [dict(MOVE, currency_id={"id": i})]}) for i in range(1, 4)])
     parsed = extract.extract_lines(extract.extract_header(exchanges.moves_from_result(exchanges.result_of(moves)))).drop("move", "body", "result")
-    codes = spark.createDataFrame([(1, "AAA"), (126, "EUR")], "currency_id BIGINT, code STRING")
-    small = lookup.resolve_currency(parsed, codes, "seq").select("seq", "invoice.currency", "lines.currency").orderBy("seq").collect()
+    codes = spark.createDataFrame([(1, "AAA"), (EUR_ID, "EUR")], "currency_id BIGINT, code STRING")
+    small = lookup.resolve_currency(parsed, codes, ["seq"]).select("seq", "invoice.currency", "lines.currency").orderBy("seq").collect()
     lookup.is_small, kept = (lambda *a, **k: False), lookup.is_small
     try:
-        large = lookup.resolve_currency(parsed, codes, "seq").select("seq", "invoice.currency", "lines.currency").orderBy("seq").collect()
+        large = lookup.resolve_currency(parsed, codes, ["seq"]).select("seq", "invoice.currency", "lines.currency").orderBy("seq").collect()
     finally:
         lookup.is_small = kept
     assert small == large
     assert [r[1] for r in small] == ["AAA", None, None] and small[1][2] == ["EUR", "EUR", "EUR"]
 
 
+@pytest.mark.parametrize("names", [1, 1_500])
+def test_an_answer_with_several_records(spark, names):
+    """Records of one answer stay apart; a page goes to no record where several lack lines."""
+    bare = dict(MOVE, invoice_line_ids=[9])
+    answers = [[dict(MOVE, currency_id={"id": 900}), dict(MOVE, name="INV/2026/00002")], [bare, dict(bare, name="X")], [MOVE, bare]]
+    capture = captured(spark, *[exchange(i, "read", {"result": a}) for i, a in enumerate(answers, 1)])
+    page = "<tr class='o_data_row'><td name='product_id'>Lamp</td><td name='price_subtotal'>5.00</td></tr>"
+    pages = html.lines_from_html(spark.createDataFrame([(i, page) for i in (1, 2, 3)], "seq BIGINT, html STRING")).select("seq", "dom_lines")
+    codes = spark.createDataFrame([(EUR_ID, "EUR")] + [(899 + i, f"C{i}") for i in range(1, names)], "currency_id BIGINT, code STRING")
+    done = extract_documents(capture, RUN, pages, codes, mode="all")
+    got = {(r.seq, r.record_pos): r for r in done.documents.collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (3, 0), (3, 1)]
+    assert got[1, 0].invoice.currency == ("C1" if names > 1 else None) and got[1, 1].invoice.currency == "EUR"
+    assert got[3, 1].lines[0].product == "Lamp" and got[3, 0].lines[0].product == "Office Chair"
+    assert sorted(tuple(r) for r in done.rejects.collect()) == [(2, "no lines"), (2, "no lines")]
+
+
 def checks_of(spark, amounts, tax, total):
     rows = [(1, [(D(str(s)), D(str(t))) for s, t in amounts], (tax and D(str(tax)), total and D(str(total))))]
     df = spark.createDataFrame(rows, "k INT, l ARRAY<STRUCT<subtotal: DECIMAL(18,2), total: DECIMAL(18,2)>>, invoice STRUCT<amount_tax: DECIMAL(18,2), amount_total: DECIMAL(18,2)>")
@@ -259,13 +277,14 @@ def test_violations(spark):
 
 
 def test_customer_rows(spark):
-    moves = spark.createDataFrame([(5, "Deco Addict, Brussels"), (3, "DECO ADDICT"), (1, "Azure Interior")], "seq INT, customer STRING")
-    wanted = [("a", 1, "Nobody"), ("a", 2, "deco addict"), ("a", 3, "Azure"), ("b", 1, "zzz"), ("c", 1, "r")]
+    moves = spark.createDataFrame([(5, "Harbor Mill, Lyon"), (3, "HARBOR MILL"), (1, "Orchard Works"), (0, "Mi\u017fs Smith")], "seq INT, customer STRING")
+    wanted = [("a", 1, "Nobody"), ("a", 2, "harbor mill"), ("a", 3, "Orchard"), ("b", 1, "zzz"), ("c", 1, "r"), ("d", 1, "miss smith"), ("e", 1, "")]
     targets = spark.createDataFrame(wanted, "target STRING, prio INT, name STRING")
     more = spark.createDataFrame([(f"x{i}", 1, f"no such {i}") for i in range(100)], "target STRING, prio INT, name STRING")
     for some in (targets, targets.unionByName(more)):
         got = {r.target: (r.status, r.matched_name, r.row and r.row.seq) for r in lookup.find_customer_rows(moves, some, "seq").collect()}
-        assert got["a"] == ("ok", "deco addict", 3) and got["b"] == ("customer_not_found", None, None) and got["c"] == ("ok", "r", 1)
+        assert got["d"] == ("ok", "miss smith", 0) and got["e"] == ("customer_not_found", None, None)
+        assert got["a"] == ("ok", "harbor mill", 3) and got["b"] == ("customer_not_found", None, None) and got["c"] == ("ok", "r", 1)
 
 
 def test_insert_if_absent_is_idempotent(spark):

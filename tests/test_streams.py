@@ -1,10 +1,10 @@
 from pyspark.sql import functions as F
 
 from tallyveil.operators import redact
-from tallyveil.plans.extraction import RunInfo
+from tallyveil.plans.extraction import RunInfo, extract_documents
 from tallyveil.streaming import jobs
 
-from .samples import MOVE, SEARCH, captured, exchange
+from .samples import EUR_ID, MOVE, SEARCH, captured, exchange
 
 LOGS = "i INT, msg STRING, args ARRAY<STRING>, exc_text STRING, stack_info STRING"
 MASK = "[REDACTED:PHI]"
@@ -21,11 +21,11 @@ def add(df, folder):
 
 def test_logs_are_clean_before_the_sink(spark, tmp_path):
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
-    add(spark.createDataFrame([(1, "for %s", ["Deco Addict"], None, "a@b.co")], LOGS), source)
-    deny = spark.createDataFrame([("Deco Addict",)], "token STRING")
+    add(spark.createDataFrame([(1, "for %s", ["Harbor Mill"], None, "a@b.co")], LOGS), source)
+    deny = spark.createDataFrame([("Harbor Mill",)], "token STRING")
     stream = lambda: spark.readStream.schema(LOGS).parquet(source)
     done(jobs.scrub_stream(stream(), out, progress, deny))
-    add(spark.createDataFrame([(2, "100%", [], "Deco Addict", None)], LOGS), source)
+    add(spark.createDataFrame([(2, "100%", [], "Harbor Mill", None)], LOGS), source)
     done(jobs.scrub_stream(stream(), out, progress, deny))
     got = {r.i: r for r in spark.read.parquet(out).collect()}
     assert got[1].msg == f"for {MASK}" and got[1].stack_info == "[REDACTED:EMAIL]" and got[1].args == []
@@ -36,21 +36,35 @@ def test_logs_with_a_deny_list_that_is_joined(spark, tmp_path, monkeypatch):
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     add(spark.createDataFrame([(i, "for %s", [f"Customer {i}"], None, None) for i in range(20)], LOGS), source)
     deny = spark.createDataFrame([(f"customer {i}",) for i in range(10)], "token STRING")
-    monkeypatch.setattr(jobs, "is_small", lambda *a, **k: False)
-    monkeypatch.setattr(redact, "measure", lambda df: (1 << 40, 1 << 40))
     done(jobs.scrub_stream(spark.readStream.schema(LOGS).parquet(source), out, progress, deny))
+    # The list outgrows the bound between two starts; readers find the rows of both.
+    add(spark.createDataFrame([(i, "for %s", [f"Customer {i}"], None, None) for i in range(20, 40)], LOGS), source)
+    monkeypatch.setattr(redact, "measure", lambda df: (1 << 40, 1 << 40))
+    more = deny.unionByName(spark.createDataFrame([("customer 33",)], "token STRING"))
+    done(jobs.scrub_stream(spark.readStream.schema(LOGS).parquet(source), out, progress, more))
     got = {r.i: r.msg for r in spark.read.parquet(out).collect()}
-    assert len(got) == 20 and got[3] == f"for {MASK}" and got[12] == f"for {MASK}2"
+    assert len(got) == 40 and got[3] == f"for {MASK}" and got[12] == f"for {MASK}2" and got[33] == f"for {MASK}"
+
+
+def test_a_stream_takes_the_callers_trigger(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    add(spark.createDataFrame([(1, "a@b.co", [], None, None)], LOGS), source)
+    running = jobs.scrub_stream(spark.readStream.schema(LOGS).parquet(source), out, progress, trigger={"processingTime": "1 second"})
+    try:
+        running.processAllAvailable()
+        assert running.isActive and spark.read.parquet(out).first().msg == "[REDACTED:EMAIL]"
+    finally:
+        running.stop()
 
 
 def test_currencies_follow_the_capture_not_the_arrival(spark, tmp_path):
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
-    code = lambda text: {"records": [{"currency_id": {"id": 126, "display_name": text}}]}
+    code = lambda text: {"records": [{"currency_id": {"id": EUR_ID, "display_name": text}}]}
     for batch in ([exchange(5, "search_read", {"result": code("new")})], [exchange(2, "search_read", {"result": code("old")}), exchange(3, "search_read", "{")]):
         add(captured(spark, *batch), source)
         stream = spark.readStream.schema(captured(spark, *batch).schema).parquet(source)
         done(jobs.start_currency_stream(stream, out, progress))
-    assert [tuple(r) for r in jobs.current_codes(spark, out).collect()] == [(126, "new")]
+    assert [tuple(r) for r in jobs.current_codes(spark, out).collect()] == [(EUR_ID, "new")]
 
 
 def test_tokens_registered_later_apply_later(spark, tmp_path):
@@ -65,13 +79,22 @@ def test_tokens_registered_later_apply_later(spark, tmp_path):
     assert (got[1], got[3], got[5]) == ("Ann and Bob", f"{MASK} and Bob", f"{MASK} and {MASK}")
 
 
-def test_documents_use_the_codes_captured_so_far(spark, tmp_path):
-    source, out, codes, progress = (str(tmp_path / n) for n in ("in", "out", "codes", "progress"))
+def test_documents_wait_for_their_currency(spark, tmp_path):
+    """Whatever the cut into batches, the documents are those of the batch form."""
     bare = dict(MOVE, invoice_line_ids=[dict(l, currency_id=False) for l in MOVE["invoice_line_ids"]])
-    for batch in ([exchange(1, "read", {"result": bare}), exchange(2, "read", {"error": 1})], [exchange(3, "search_read", {"result": SEARCH}), exchange(4, "read", {"result": bare})]):
-        add(captured(spark, *batch), source)
-        stream = spark.readStream.schema(captured(spark, *batch).schema).parquet(source)
-        done(jobs.extract_stream(stream, out, codes, progress, RunInfo()))
-    got = {r.seq: r for r in spark.read.parquet(f"{out}/documents").collect()}
-    assert got[1].invoice.currency is None and got[4].invoice.currency == "EUR" and got[4].lines[0].currency == "EUR"
-    assert [r.seq for r in spark.read.parquet(f"{out}/rejects").collect()] == [2]
+    never = dict(bare, currency_id={"id": 999})
+    rows = [exchange(1, "read", {"result": bare}), exchange(2, "read", {"error": 1}), exchange(3, "search_read", {"result": SEARCH}),
+            exchange(4, "read", {"result": bare}), exchange(5, "read", {"result": never})]
+    whole = extract_documents(captured(spark, *rows), RunInfo(extracted_at="t"))
+    want = {r.seq: (r.invoice.currency, r.lines[0].currency) for r in whole.documents.collect()}
+    assert want == {1: ("EUR", "EUR"), 4: ("EUR", "EUR"), 5: (None, None)}
+    for name, cuts in (("one", [rows]), ("two", [rows[:2], rows[2:]]), ("each", [[r] for r in (rows[4], *rows[:4])])):
+        source, out, codes, progress = (str(tmp_path / name / n) for n in ("in", "out", "codes", "progress"))
+        for batch in cuts:
+            add(captured(spark, *batch), source)
+            stream = spark.readStream.schema(captured(spark, *batch).schema).parquet(source)
+            done(jobs.extract_stream(stream, out, codes, progress, RunInfo(extracted_at="t")))
+        got = [(r.seq, (r.invoice.currency, r.lines[0].currency)) for r in jobs.extracted_documents(spark, out).collect()]
+        assert dict(got) == want and len(got) == 3
+        assert [r.seq for r in spark.read.parquet(f"{out}/rejects").collect()] == [2]
+        assert len([p for p in (tmp_path / name / "codes").iterdir() if p.name.startswith("slot=")]) <= 2
