@@ -56,11 +56,18 @@ def crc_fold(key: Column, folds: int) -> Column:
 def sampled_ids(df: DataFrame, key: str, stratum: str, most: int) -> DataFrame:
     """Up to ``most`` keys of each stratum, by smallest hash: a sample that no order of rows changes.
 
-    Null keys and strata take no part. Spark limits each stratum before the shuffle.
+    Null keys and strata take no part. With the strata's counts known, only keys below a hash that about four times
+    as many pass meet in a task, however many rows a stratum has. The driver gets one count per stratum.
     """
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(17), key), key)
     rows = df.select(key, stratum).filter(F.col(key).isNotNull() & F.col(stratum).isNotNull())
-    return rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).drop("__rank")
+    counts = {r[stratum]: r["count"] for r in rows.groupBy(stratum).count().collect()}
+    if not counts:
+        return rows
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 4 * most / n))])
+    place = F.xxhash64(F.lit(17), key)
+    near = rows.filter(F.pmod(place, F.lit(1 << 30)) / F.lit(float(1 << 30)) < share[F.col(stratum)])
+    order = Window.partitionBy(stratum).orderBy(F.pmod(place, F.lit(1 << 30)), key)
+    return near.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= most).drop("__rank")
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +170,16 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_slices(column, size: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive rows with about ``size`` bytes of text together."""
+    _, offsets = text_bytes(column)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, min(end, len(column)) - at
+        at = end
+
+
 def space_table(codes: bytes) -> np.ndarray:
     """Which bytes are in ``codes``, by value."""
     out = np.zeros(256, bool)

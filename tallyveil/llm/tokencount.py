@@ -7,14 +7,15 @@ The model: pieces are the entries of a public byte-pair vocabulary, which holds
 follows Zipf's law in its rank. A pre-token's segmentation is the one with the largest sum of log probabilities, kept as
 whole micro-units so that sums are exact; of equal ones the one with fewer pieces counts.
 
-The distinct pre-tokens of a batch form a trie. Its nodes of one depth are made and scored together: a node's forward
+The distinct pre-tokens of a slice of texts form a trie. Its nodes of one depth are made and scored together: a node's forward
 score is the best of its ancestors' scores plus the piece between them, so a prefix shared by many pre-tokens is scored
-once. The counts at the terminal nodes then go back to the texts. Memory is that of one batch's distinct pre-tokens.
+once. The counts at the terminal nodes then go back to the texts. Memory is that of one slice's pre-tokens.
 
 Results: null and empty texts have no tokens. Every row has its own result; an empty table gives no rows.
 """
 
 import base64
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import BYTE_CODES, WHITE, blocks, row_sums, span_hashes, text_bytes
+from tallyveil.llm.common import BYTE_CODES, WHITE, blocks, row_slices, row_sums, span_hashes, text_bytes
 
 LONGEST = 128
+#: Bytes of text whose pre-tokens make one trie; a longer text makes its own.
+SLICE = 8 << 20
 #: Zipf's shift of the ranks.
 SHIFT = 2.7
 MICRO = 1_000_000
@@ -65,6 +68,12 @@ class Pieces:
         return likely[real], self.scores[at[real]]
 
 
+@lru_cache(maxsize=1)
+def _pieces(path: str | None) -> Pieces:
+    """A worker's table of pieces, kept from task to task."""
+    return Pieces(piece_scores(path))
+
+
 def pre_token_spans(white: np.ndarray, space: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pre-tokens; ``heads`` are the first bytes of rows."""
     n = len(white)
@@ -147,10 +156,12 @@ def count_tokens(documents: DataFrame, text: str = "text", keep: tuple[str, ...]
     keep = tuple(documents.columns) if keep is None else keep
 
     def run(batches):
-        pieces = Pieces(piece_scores(vocabulary))
+        pieces = _pieces(vocabulary)
         for batch in batches:
-            tokens, parts = count_batch(pieces, batch.column("__text"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(tokens), pa.array(parts)], names=[*keep, "n_tokens", "n_pretokens"])
+            for at, n in row_slices(batch.column("__text"), SLICE):
+                part = batch.slice(at, n)
+                tokens, parts = count_batch(pieces, part.column("__text"))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(tokens), pa.array(parts)], names=[*keep, "n_tokens", "n_pretokens"])
 
     rows = documents.select(*keep, F.col(text).alias("__text"))
     return rows.mapInArrow(run, T.StructType([*[documents.schema[c] for c in keep], T.StructField("n_tokens", T.LongType()), T.StructField("n_pretokens", T.LongType())]))
