@@ -12,7 +12,7 @@ Training, in one task on a sample bounded by ``train_docs`` per label and ``TRAI
    the labels of all sampled texts.
 
 Scoring runs forward-backward over every token of every text. With two states both passes are recursions of one ratio,
-taken by all texts of a batch in step. A span is a run of tokens with marginals of one half or more.
+taken in step by all texts of a slice of bounded size. A span is a run of tokens with marginals of one half or more.
 
 Results: texts that are null or without letters have no spans and the score that the layer gives to no evidence. If the
 sample has one label only, or none, every text scores its share of toxic texts (0 without labels) and has no spans.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import LOWER, blocks, crc_fold, sampled_ids, span_hasher, text_bytes, word_spans
+from tallyveil.llm.common import LOWER, blocks, crc_fold, row_slices, sampled_ids, span_hasher, text_bytes, word_spans
 
 #: Labelled documents that training takes of each label at most, and bytes of such a text at most.
 TRAIN_DOCS = 1_500
@@ -37,6 +37,8 @@ BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 8)
 EPOCHS = 3
 RATE = 0.3
+#: Bytes of text whose tokens a task holds at once; a longer text is held alone.
+SLICE = 6 << 20
 #: What every token's emission starts from.
 BIAS = -3.0
 SEED = 3
@@ -277,8 +279,12 @@ def score(documents: DataFrame, field: Field, text: str = "text", keep: tuple[st
 
     def run(batches):
         for batch in batches:
-            scores, spans = score_batch(shared.value, batch.column("__text"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores), pa.array(spans, kind)], names=[*keep, "toxic_score", "toxic_spans"])
+            for at, n in row_slices(batch.column("__text"), SLICE):
+                yield scored(batch.slice(at, n))
+
+    def scored(batch):
+        scores, spans = score_batch(shared.value, batch.column("__text"))
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores), pa.array(spans, kind)], names=[*keep, "toxic_score", "toxic_spans"])
 
     rows = documents.select(*keep, F.col(text).alias("__text"))
     return rows.mapInArrow(run, T.StructType([*[documents.schema[c] for c in keep], T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_spans", _SPANS)]))
