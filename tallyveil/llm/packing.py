@@ -17,8 +17,11 @@ Results: null and empty texts consist of the end id. Rows are packed one by one:
 packed each for itself. Equal scores go to the row that comes first. An empty table gives no rows.
 """
 
+import array
 import re
+import sys
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,31 +34,40 @@ WINDOW = 1_024
 #: Tails of a shard at most.
 SHARD = 1_024
 #: Cached chunks of a task at most.
-CACHE = 400_000
+CACHE = 500_000
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
 END = 0
 
-#: Two neighbouring white space characters, or one at an end: there a chunk is not tokenised alone.
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
+#: Next to other white space a space does not simply begin the following piece.
+_RUNS = re.compile(r"\s\s")
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str | None):
+    """The byte-pair merges of a rank file, kept by a worker from task to task."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class Tokens:
     """Ids of texts as little-endian 16-bit bytes, under the ranks of a public byte-pair vocabulary."""
 
     def __init__(self, path: str | None = None):
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._encode = _encoder(path)
         self._cache: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u2").tobytes()
+        ids = array.array("H", self._encode(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _miss(self, chunk: str) -> bytes:
         """A chunk and the space before it; a sign after letters is a piece of its own."""
