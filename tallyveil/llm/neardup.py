@@ -5,15 +5,21 @@
 2. The forest: ``ORDERS`` sorted orders of the signatures, each starting at another coordinate, range partitioned, so a
    frequent value spreads over partitions. Neighbours in an order share the longest prefixes and are candidates.
    A region, the rows with a common prefix, also proposes its hub (the row whose signature agrees most with the
-   region's) to its rows; rows that the hub does not explain go one coordinate deeper, as far as a region needs.
-   A pair is a candidate only if its signatures agree as a pair at the threshold does, but for a 5.5 sigma margin.
+   region's) to its rows; rows whose signatures are far from the hub's go one coordinate deeper, up to ``PREFIX``.
+   A pair is proposed only if its signatures agree as a pair at the threshold does, but for a 5.5 sigma margin.
 3. Confirmation reads the texts of candidates only: first each row with its best hub, then all pairs that the first
    links have not already joined. No pair within a group is needed twice, so copies never expand into all pairs.
 4. Components of the links by alternating star contraction, written to the shared folder in each round.
+5. What the forest left apart is joined exactly: with shingles in one order, rare ones first, two sets as similar as
+   asked share one of their first shingles, at places that leave enough shingles behind (prefix and positional filter).
+   Sets of different components that do so are confirmed on their texts, and the links between components contracted.
+
+The forest only saves work: it joins large groups, so that step 5 never expands a group into pairs of its own. No link is
+missed, whatever the forest proposes; the tests compare with brute force. Shingle counts in ``1 << COUNTED`` buckets
+decide the order, which changes the number of candidates, never the links.
 
 Signatures of one partition's batch at a time are in memory, and of confirmation one batch of pairs. Nothing but counts
-reaches the driver. A link can be missed only if the forest never proposes a path between its two ends; the tests
-compare with brute force.
+reaches the driver, of shingles those of the buckets.
 
 Results: one row per input row. Null keys: the row keeps a null component and is linked with nothing. Null or empty
 texts, and texts without words: 0 shingles, own component. Rows that repeat a key are one document; if their texts
@@ -39,6 +45,9 @@ AHEAD = 4
 SIGMAS = 5.5
 #: Rows of an order whose regions are worked out at once.
 BATCH = 10_000
+#: Bits of a shingle that choose the bucket of its count; a table's buckets travel in CHUNKS parts.
+COUNTED = 22
+CHUNKS = 64
 
 _SEEDS = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
@@ -77,8 +86,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(48)).astype(">u2")
 
 
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNTED)).astype(np.int64)
+
+
 def _sketch(size: int):
+    """A row for each text; at the end rows of n < 0 with the task's shingle counts: places in a chunk, and their counts."""
+    names = ["key", "n", "digest", "mark", "low"]
+
     def run(batches):
+        counts = np.zeros((CHUNKS, (1 << COUNTED) // CHUNKS), np.uint32)
         for batch in batches:
             words, bounds = word_hashes(batch.column("text"))
             n, digests, marks, lows = [], [], [], []
@@ -86,17 +103,73 @@ def _sketch(size: int):
                 held = shingle_set(words[bounds[i] : bounds[i + 1]], size)
                 n.append(len(held))
                 if len(held):
+                    np.add.at(counts.reshape(-1), _bucket(held), np.uint32(1))
                     mark = signature(held)
                     digests.append(hashlib.blake2b(held.tobytes(), digest_size=16).digest())
                     marks.append(mark.tobytes())
                     lows.append(mark.astype(np.uint8).tobytes())
                 else:
                     digests.append(None), marks.append(None), lows.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.array(lows, pa.binary())], names=["key", "n", "digest", "mark", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.array(lows, pa.binary())], names=names)
+        for i, chunk in enumerate(counts):
+            at = np.flatnonzero(chunk)
+            if len(at):
+                row = [None], [-1 - i], [None], [at.astype("<u4").tobytes()], [chunk[at].astype("<u4").tobytes()]
+                kinds = pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
 
     return run
 
 
+def _summed(batches):
+    """The tasks' counts added up, a row for each chunk."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for n, at, counts in zip(*(batch.column(c).to_pylist() for c in ("n", "mark", "low"))):
+            held = sums.setdefault(n, np.zeros((1 << COUNTED) // CHUNKS, np.int64))
+            held[np.frombuffer(at, "<u4")] += np.frombuffer(counts, "<u4")
+    for n, held in sums.items():
+        counts = np.minimum(held, np.iinfo(np.uint32).max).astype("<u4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([counts], pa.binary())], names=["n", "counts"])
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """First shingles of a set of n that a set as similar as asked must share one of."""
+    return n + percent * n // -100 + 1
+
+
+def _prefixes(size: int, percent: int, shared):
+    """Each set's first shingles, rare ones first."""
+
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            words, bounds = word_hashes(batch.column("text"))
+            n, digests, firsts = [], [], []
+            for i in range(batch.num_rows):
+                held = shingle_set(words[bounds[i] : bounds[i + 1]], size)
+                n.append(len(held))
+                digests.append(hashlib.blake2b(held.tobytes(), digest_size=16).digest())
+                order = np.lexsort((held, counts[_bucket(held)]))
+                firsts.append(held[order[: prefix_length(len(held), percent) if len(held) else 0]].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(firsts, pa.binary())], names=["id", "digest", "n", "first"])
+
+    return run
+
+
+def _postings(batches):
+    """A row for each of a set's first shingles, with its place."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            piece = batch.slice(at, 1000)
+            firsts = [np.frombuffer(x, "<u8") for x in piece.column("first").to_pylist()]
+            length = np.array([len(x) for x in firsts])
+            rows = pa.array(np.repeat(np.arange(len(firsts)), length))
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            columns = [pa.array(np.concatenate(firsts).astype(np.uint64).view(np.int64)), pa.array(place)]
+            yield pa.RecordBatch.from_arrays([*columns, *(piece.column(c).take(rows) for c in ("id", "n", "part"))], names=["shingle", "place", "id", "n", "part"])
+
+
 def least_agreement(threshold: float) -> int:
     """Equal coordinates below which a pair at the threshold practically never falls."""
     return max(1, int(np.floor(WIDTH * threshold - SIGMAS * np.sqrt(WIDTH * threshold * (1 - threshold)))))
@@ -241,10 +314,45 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return member.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def _shared_counts(sketch: DataFrame):
+    """The bucket counts of all shingles, as a broadcast of fixed size."""
+    table = np.zeros((CHUNKS, (1 << COUNTED) // CHUNKS), np.uint32)
+    rows = sketch.filter("n < 0").select("n", "mark", "low").repartition("n").mapInArrow(_summed, "n long, counts binary")
+    for r in rows.collect():  # CHUNKS rows at most
+        table[-1 - r["n"]] = np.frombuffer(r["counts"], "<u4")
+    return sketch.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+
+def _pairs_apart(rows: DataFrame, classes: DataFrame, parts: DataFrame, shared, size: int, percent: int) -> DataFrame:
+    """(a, b, part_a, part_b): all pairs of classes in different parts that may be as similar as asked.
+
+    ``parts`` has (id, component) of the classes that are joined to others already.
+    """
+    texts = rows.filter("key IS NOT NULL").select(F.col("key").alias("id"), "text")
+    firsts = texts.mapInArrow(_prefixes(size, percent, shared), "id long, digest binary, n long, first binary").filter("n > 0")
+    firsts = firsts.join(classes.select("id", "digest"), ["id", "digest"]).groupBy("id", "digest").agg(F.min("n").alias("n"), F.min("first").alias("first"))
+    firsts = firsts.join(parts, "id", "left").select("id", "n", "first", F.coalesce("component", "id").alias("part"))
+    flat = stored(firsts, "firsts").mapInArrow(_postings, "shingle long, place long, id long, n long, part long")
+    met = flat.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most")
+    flat = stored(flat.join(met.select("shingle"), "shingle", "left_semi"), "postings")
+    # Of a shingle's parts the largest is never met with itself, so a group's common shingles stay one row each.
+    main = flat.groupBy("shingle", "part").count().groupBy("shingle").agg(F.max(F.struct("count", "part")).alias("top"))
+    left = flat.join(main.select("shingle", F.col("top.part").alias("main")), "shingle").filter("part <> main").drop("main")
+    left = left.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "part", "place")])
+    right = flat.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "part", "place")])
+    enough = f"{100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
+    met = left.join(right, "shingle").filter("part_a <> part_b").filter(enough)
+    swap = F.col("id_a") > F.col("id_b")
+    pick = lambda c, x, y: F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}"))
+    return met.select(pick("id", "a", "b").alias("a"), pick("id", "b", "a").alias("b"), pick("part", "a", "b").alias("part_a"), pick("part", "b", "a").alias("part_b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; see the module. ``percent``: least similarity in hundredths."""
     rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sketch = stored(rows.mapInArrow(_sketch(shingle), "key long, n long, digest binary, mark binary, low binary"), "sketch")
+    shared = _shared_counts(sketch)
+    sketch = sketch.filter("n >= 0")
     full = sketch.filter(F.col("digest").isNotNull() & F.col("key").isNotNull())
     classes = stored(full.groupBy("digest").agg(F.min("key").alias("id"), F.min("mark").alias("mark"), F.min("low").alias("low")), "classes")
     least = least_agreement(percent / 100)
@@ -257,10 +365,14 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     pairs = sorted_.mapInArrow(_candidates(least), "a long, b long, agree int, hub long")
     pairs = pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("hub").alias("hub"))
     pairs = stored(pairs, "candidates")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = rows.select(F.col("key").alias("id"), "text").join(involved.hint("shuffle_hash"), "id", "left_semi")
     keys = full.agg(F.count("key").alias("n"), F.countDistinct("key").alias("d")).first()
-    texts = stored(texts if keys["n"] == keys["d"] else texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
+
+    def texts_of(pairs):
+        involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = rows.select(F.col("key").alias("id"), "text").join(involved.hint("shuffle_hash"), "id", "left_semi")
+        return stored(texts if keys["n"] == keys["d"] else texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
+
+    texts = texts_of(pairs)
     # Each row with the hub it agrees with most; then what those links leave apart.
     spoke = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
     best = pairs.filter("hub IS NOT NULL").withColumn("spoke", spoke).groupBy("spoke").agg(F.max(F.struct("agree", (-F.col("hub")).alias("hub"))).alias("top"))
@@ -274,6 +386,14 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     with small_batches(documents.sparkSession):
         more = stored(_links(rest, texts, shingle, percent), "links")
     whole = stored(components(joined.unionByName(more)), "components")
+    apart = stored(_pairs_apart(rows, classes, whole, shared, shingle, percent), "apart")
+    if not apart.isEmpty():
+        with small_batches(documents.sparkSession):
+            found = stored(_links(apart, texts_of(apart), shingle, percent), "links")
+        bridges = found.join(apart, ["a", "b"]).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+        moved = stored(components(bridges), "moved").select(F.col("id").alias("part"), F.col("component").alias("target"))
+        ids = classes.select("id").distinct().join(whole, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+        whole = ids.join(moved, "part", "left").select("id", F.coalesce("target", "part").alias("component"))
     named = sketch.select("key", "n", "digest").join(classes.select("digest", "id"), "digest", "left")
     named = named.join(whole, "id", "left")
     return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id", "key").alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

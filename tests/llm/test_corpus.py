@@ -84,6 +84,26 @@ def test_copies_of_one_text_meet_in_their_hub(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_twins_among_texts_just_below_the_threshold(spark):
+    """A region in which all texts are almost as similar as asked, each of them so to one other text only."""
+    rng = random.Random(6)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for i in range(300):
+        one = list(base)
+        for at in rng.sample(range(0, 200, 5), 5):
+            one[at] = f"x{i}-{at}"
+        two = list(one)
+        for at in rng.sample(range(2, 200, 5), 5):
+            two[at] = f"y{i}-{at}"
+        texts += [" ".join(one), " ".join(two)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+    want = classes(rows, 3, 85)
+    assert len({c for _, c in want.values()}) == 300
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long_ = "x y z " * 20_000
     rows = [(1, None), (2, ""), (3, " \n"), (None, "a b c"), (5, "a b c"), (6, "A  b\tc"), (7, long_), (8, long_ + "end"), (9, "a b c"), (9, "a b c"), (None, None)]
