@@ -1,7 +1,8 @@
 """Token counts under a unigram model, by dynamic programming over a trie of distinct pre-tokens.
 
-Pre-tokens: a run of non-white bytes, with the one space before it if there is one; the white space left over; neither
-longer than ``LONGEST`` bytes, longer ones are cut at every such length. They cover each byte of a text once.
+Pre-tokens: a run of non-white bytes, with the one space before it if there is one; the white space left over. They
+cover each byte of a text once and are segmented whole, however long; n_pretokens counts one for each ``LONGEST`` bytes
+begun.
 
 The model: pieces are the entries of a public byte-pair vocabulary, which holds every byte; the probability of a piece
 follows Zipf's law in its rank. A pre-token's segmentation is the one with the largest sum of log probabilities, kept as
@@ -9,7 +10,8 @@ whole micro-units so that sums are exact; of equal ones the one with fewer piece
 
 The distinct pre-tokens of a slice of texts form a trie. Its nodes of one depth are made and scored together: a node's forward
 score is the best of its ancestors' scores plus the piece between them, so a prefix shared by many pre-tokens is scored
-once. The counts at the terminal nodes then go back to the texts. Memory is that of one slice's pre-tokens.
+once. The counts at the terminal nodes then go back to the texts. Pre-tokens over ``LONGEST`` bytes, which share little,
+are scored one by one with the same recursion over their pieces. Memory is that of one slice's pre-tokens.
 
 Results: null and empty texts have no tokens. Every row has its own result; an empty table gives no rows.
 """
@@ -25,7 +27,10 @@ from pyspark.sql import types as T
 
 from tallyveil.llm.common import BYTE_CODES, WHITE, blocks, row_slices, row_sums, span_hashes, text_bytes
 
+#: Bytes of a piece at most, and of a pre-token that goes into the trie.
 LONGEST = 128
+#: Bytes of a longer pre-token whose pieces are looked up at once.
+STRETCH = 1 << 14
 #: Bytes of text whose pre-tokens make one trie; a longer text makes its own.
 SLICE = 8 << 20
 #: Zipf's shift of the ranks.
@@ -91,13 +96,34 @@ def pre_token_spans(white: np.ndarray, space: np.ndarray, heads: np.ndarray) ->
     first |= head
     first[n] = False
     starts = np.flatnonzero(first)
-    length = np.diff(np.append(starts, n))
-    parts = -(-length // LONGEST)
-    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts = np.repeat(starts, parts) + nth * LONGEST
     return starts, np.append(starts[1:], n)
 
 
+def long_count(data: np.ndarray, pieces: Pieces) -> int:
+    """Pieces in the best segmentation of one span of any length; of its scores the last ``LONGEST`` are kept."""
+    n, code = len(data), BYTE_CODES[data]
+    # A score's micro-units stand above 32 bits from which each piece takes one.
+    none = -(1 << 200)
+    ahead = [0] + [none] * LONGEST
+    for at in range(0, n, STRETCH):
+        m = min(STRETCH, n - at)
+        best = ahead + [none] * m
+        value, found = np.zeros(m, np.uint64), []
+        for size in range(1, min(LONGEST, n - at) + 1):
+            k = min(m, n - at - size + 1)
+            value = value[:k] * _STEP + code[at + size - 1 : at + size - 1 + k]
+            first, gain = pieces.look_up(value)
+            found.append((first, first + size, gain << 32))
+        first, last, gain = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.argsort(first, kind="stable")
+        for i, j, g in zip(first[order].tolist(), last[order].tolist(), gain[order].tolist()):
+            score = best[i] + g - 1
+            if score > best[j]:
+                best[j] = score
+        ahead = best[m:]
+    return -ahead[0] & 0xFFFFFFFF
+
+
 def trie_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Pieces in the best segmentation of each span, by one pass over the levels of a trie."""
     out = np.zeros(len(starts), np.int64)
@@ -146,9 +172,12 @@ def count_batch(pieces: Pieces, column) -> tuple[np.ndarray, np.ndarray]:
         spans.append((starts + at, ends + at, span_hashes(data[at:stop], starts, ends)))
     starts, ends, hashes = (np.concatenate([s[i] for s in spans]) for i in range(3))
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    found = trie_counts(data, starts[first], ends[first], pieces)[which]
+    long_ = ends[first] - starts[first] > LONGEST
+    found = np.zeros(len(first), np.int64)
+    found[~long_] = trie_counts(data, starts[first[~long_]], ends[first[~long_]], pieces)
+    found[long_] = [long_count(data[starts[i] : ends[i]], pieces) for i in first[long_]]
     bounds = np.searchsorted(starts, offsets)
-    return row_sums(found, bounds), np.diff(bounds)
+    return row_sums(found[which], bounds), row_sums(-(-(ends - starts) // LONGEST), bounds)
 
 
 def count_tokens(documents: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, vocabulary: str | None = None) -> DataFrame:

@@ -215,3 +215,22 @@ def test_token_counts_equal_the_plain_rule(spark, monkeypatch):
     got = tokencount.count_tokens(rows.withColumnRenamed("n_tokens", "k"), keep=("k",)).orderBy("k").collect()
     assert [(r["n_tokens"], r["n_pretokens"]) for r in got] == want
     assert tokencount.count_tokens(rows.select("text").limit(0)).count() == 0
+
+
+def test_long_runs_are_segmented_whole(monkeypatch):
+    """Runs over LONGEST bytes against uncut dynamic programming, with characters that lie across its multiples."""
+    rng = random.Random(8)
+    runs = ["".join(rng.choice("ABCDabcdexyz0189+/") for _ in range(700)), "".join(rng.choice("的一是不了人我在有他") for _ in range(150))]
+    runs += ["thereforeinternational" * 20, "\n" * 131 + "\t" * 333, "x" + "é" * 200, "=" * 401, "\n" * 128, "of" * 64, "function" * 17]
+    scores = tokencount.piece_scores()
+    want = []
+    for run in runs:
+        data, best = run.encode(), [(0, 0)]
+        for end in range(1, len(data) + 1):
+            low = max(0, end - max(map(len, scores)))
+            best.append(max((best[i][0] + scores[data[i:end]], best[i][1] - 1) for i in range(low, end) if data[i:end] in scores))
+        want.append(-best[-1][1])
+    pieces = tokencount.Pieces(scores)
+    for stretch in (1 << 14, 50):
+        monkeypatch.setattr(tokencount, "STRETCH", stretch)
+        assert tokencount.count_batch(pieces, pa.array(runs))[0].tolist() == want
