@@ -1,6 +1,6 @@
 """The queries of the operators by name, and SQL for those that SQL can express."""
 
-from tallyveil.llm import ann, langid, mixing, neardup, packing, quality, tokencount, topk, toxicity, warc
+from tallyveil.llm import ann, htmltext, langid, mixing, neardup, packing, prefixtrie, quality, spelling, tokencount, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_embeddings": quality.op1,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_minhash_forest": neardup.op8,
     "op9_toxic_spans": toxicity.op9,
     "op10_branch_and_bound": topk.op10,
+    "op11_prefix_bitmaps": prefixtrie.op11,
+    "op12_block_field_text": htmltext.op12,
+    "op13_count_trie_spelling": spelling.op13,
 }
-ORACLES = {"op2_arc_to_warc": warc.OP2_SQL, "op8_minhash_forest": neardup.OP8_SQL, "op10_branch_and_bound": topk.OP10_SQL}
+ORACLES = {"op2_arc_to_warc": warc.OP2_SQL, "op8_minhash_forest": neardup.OP8_SQL, "op10_branch_and_bound": topk.OP10_SQL, "op11_prefix_bitmaps": prefixtrie.OP11_SQL}
