@@ -11,7 +11,7 @@ Labelled pages. A page with one ``article`` (or, without one, one ``main``) elem
 but not in a part marked as something else. A sample bounded by ``train_pages``, of pages up to ``TRAIN_BYTES``, trains
 the field, each page as it is and ``DRESSES`` times dressed anew: its paragraphs in other containers (or none), among
 menus, notices, adverts, sidebars, forms, comments and footers in many wrappings, all labelled as they are written. So
-the field also knows pages without such elements. Where a table has few labelled pages, made-up prose is dressed too.
+the field also knows pages without such elements. Some made-up prose is dressed too, for tables with few labelled pages.
 Training runs in one task, by stochastic gradient descent, with expectations from forward-backward; the driver gets the
 weights only.
 
@@ -39,10 +39,10 @@ from tallyveil.llm.common import row_slices
 TRAIN_PAGES = 400
 TRAIN_BYTES = 65_536
 DRESSES = 3
-#: With fewer labelled pages than this, as many made-up ones join them.
-FEW = 60
+#: Articles of made-up prose that are dressed too, for tables whose labelled pages are few or all alike.
+MADE_UP = 80
 BUCKETS = 1 << 16
-EPOCHS = 6
+EPOCHS = 8
 RATE = 0.3
 SEED = 12
 #: Bytes of pages that a task reads at once; a longer page is read alone.
@@ -95,7 +95,7 @@ def _marks_of(tag: str, attributes: str, above: frozenset) -> frozenset:
     found = {tag}
     for groups in _MARKS.findall(attributes):
         for name in groups:
-            found.update("." + w.lower() for w in _WORD.findall(name[:200]))
+            found.update("." + w.lower().removesuffix("s") for w in _WORD.findall(name[:200]))
     return above if found <= above else above | found
 
 
@@ -209,8 +209,8 @@ def features(page: list[Block]) -> list[list[int]]:
             f"d:{_share(sum(map(str.isdigit, b.text[:200])), min(size, 200))}", f"c:{b.text[0].isupper()}", f"f:{min(i, 3)}", f"z:{min(len(page) - 1 - i, 3)}",
             f"w:{bool(i) and page[i - 1].parent == b.parent}", f"r:{'©' in b.text or '|' in b.text or '»' in b.text}",
         ]
-        if size <= 80:
-            names += ["x:" + w.lower() for w in _SHORT_WORD.findall(b.text)[:10]]
+        if size <= 30 and not stops:
+            names += ["x:" + w.lower() for w in _SHORT_WORD.findall(b.text)]
         out.append([*_place_features(b.tags, b.marks), *map(_bucket, names)])
     return out
 
@@ -284,8 +284,8 @@ def fit(pages: list[tuple[list[list[int]], list[bool]]], seed: int = SEED) -> Fi
 
 #: Marks by which a part within the main element is something else.
 _ASIDE = frozenset(
-    "nav aside footer form .ad .ads .advert .advertisement .sponsored .promo .comment .comments .respond .sidebar .related .share .sharing .social "
-    ".newsletter .subscribe .cookie .cookies .notice .banner .menu .breadcrumb .breadcrumbs".split()
+    "nav aside footer form .ad .advert .advertisement .sponsored .promo .comment .respond .sidebar .related .share .sharing .social .newsletter "
+    ".subscribe .cookie .notice .banner .menu .breadcrumb".split()
 )
 
 
@@ -363,7 +363,9 @@ def dressed(paragraphs: list[str], prose: list[str], rng: random.Random) -> str:
             body = leaf(text, OTHER)
             if kind in ("menu", "sidebar", "footer") and rng.random() < 0.7 or rng.random() < 0.1:
                 body = f'<a href="/x">{body}</a>'
-            inner = {"menu": "li", "form": "label", "comments": "p"}.get(kind, "p")
+            inner = {"menu": "li", "form": "label"}.get(kind, "p")
+            if text is texts[0] and rng.random() < 0.3:
+                inner = rng.choice(("h1", "h2") if kind == "header" else ("h2", "h3", "h3", "h4"))
             made.append(f"<{inner}>{body}</{inner}>" if rng.random() < 0.7 else f"<div>{body}</div>")
         if kind == "form":
             made = [m + "<br>" if m.startswith("<label") else m + "<input>" for m in made]
@@ -376,15 +378,18 @@ def dressed(paragraphs: list[str], prose: list[str], rng: random.Random) -> str:
         return _element(rng.choice(("div", "div class=row", "section")), whole) if rng.random() < 0.15 else whole
 
     body = []
+    short = 0.7 if rng.random() < 0.25 else 0.15
     for i, text in enumerate(paragraphs):
-        tag = rng.choice(("h1", "h1", "h2")) if i == 0 else rng.choice(("p",) * 12 + ("h2", "blockquote", "li", "div", "pre", "td"))
+        if rng.random() < short:
+            text = text[: rng.randint(8, 80)].rsplit(" ", 1)[0].rstrip(".,") + (rng.choice((".", ".", "!", "")) if i else "")
+        tag = rng.choice(("h1", "h1", "h2")) if i == 0 else rng.choice(("p",) * 12 + ("h2", "h3", "blockquote", "li", "div", "pre", "td"))
         inner = leaf(text, MAIN)
         cut = inner.find(" ", 5)
         if cut > 0 and rng.random() < 0.2:
             inner = f"{inner[:cut]}<{rng.choice(('b', 'em', 'br', 'span'))}>{inner[cut:]}"
         if rng.random() < 0.06:
             inner = inner.replace(MAIN, MAIN + '<a href="/y">', 1) + "</a>"
-        made = f"<{tag}>{inner}" + (f"</{tag}>" if rng.random() < 0.9 or tag in ("h1", "h2", "td", "div", "pre", "blockquote") else "")
+        made = f"<{tag}>{inner}" + (f"</{tag}>" if rng.random() < 0.9 or tag in ("h1", "h2", "h3", "td", "div", "pre", "blockquote") else "")
         made = {"li": f"<ul>{made}</ul>", "td": f"<table><tr>{made}</tr></table>"}.get(tag, made)
         body.append(f"<header>{made}</header>" if i == 0 and rng.random() < 0.15 else made)
     for kind, often in (("advert", 0.3), ("notice", 0.2), ("sidebar", 0.25), ("form", 0.15)):
@@ -433,8 +438,7 @@ def training_pages(pages: list[str], seed: int = SEED) -> list[tuple[list[list[i
         if labels and any(labels):
             out.append((features(blocks), labels))
             bodies.append([b.text for b, main in zip(blocks, labels) if main])
-    while len(bodies) < FEW:
-        bodies.append(made_up_prose(rng, rng.randint(2, 14)))
+    bodies += [made_up_prose(rng, rng.randint(2, 14)) for _ in range(MADE_UP)]
     for i, body in enumerate(bodies):
         # Other parts are filled with other pages' prose, so that prose alone tells nothing.
         prose = [t for t in bodies[(i + 1) % len(bodies)] if len(t) < 1_000][:8] + made_up_prose(rng, 2)
@@ -459,6 +463,8 @@ def train(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES)
         yield pa.RecordBatch.from_pydict({"weights": [field.weights.tobytes()], "moves": [field.moves.tobytes()], "start": [field.start]})
 
     found = near.select("html").repartition(1).mapInArrow(task, "weights binary, moves binary, start double").first()
+    if found is None:
+        return fit(training_pages([]))
     return Field(np.frombuffer(found["weights"], np.float32), np.frombuffer(found["moves"]).reshape(2, 2), found["start"])
 
 
