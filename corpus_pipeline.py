@@ -1,15 +1,16 @@
 """A corpus made ready for training: five stages over the documents, each written before the next reads it.
 
 Each stage works on all rows that its predecessor kept and learns from these rows only. All but the last return the
-columns of documents. Documents without text or letters go in the first stage; documents without a key are groups of
-their own and are taken once by the mix.
+columns of documents, extra ones too. Documents without text or letters go in the first stage, long ones are read whole.
+Where keys repeat or lack, the stages that join their decisions back give every row a number of its own: texts under one
+key, or none, are compared and taken like all others, and of equal texts the smallest key (or number) stays.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyveil.llm import langid, mixing, neardup, packing, quality
-from tallyveil.llm.common import shared_folder
+from tallyveil.llm.common import new_name, shared_folder, with_own_key
 
 #: A document whose best language knows less of its n-grams is in none of the learned languages.
 LEAST_KNOWN = 0.2
@@ -31,19 +32,18 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id")
-    repeated = not kept.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    rows = docs.join(kept.distinct() if repeated else kept, "doc_id", "left_semi")
-    if repeated:
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    rows, key = with_own_key(docs, "doc_id")
+    kept = neardup.near_duplicates(rows.select(key, "text"), key=key).filter("kept").select(key)
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).filter("doc_id IS NOT NULL AND copies > 0").select("doc_id", "copies")
-    rows = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()).select(*docs.columns))
+    rows, key = with_own_key(docs, "doc_id")
+    taken = mixing.mix(rows.select(key, "text", "source"), key=key).filter("copies > 0").select(key, "copies")
+    each = new_name(rows)
+    copies = F.explode(F.sequence(F.lit(1), F.col(each).cast("int"))).alias(each)
+    return rows.join(taken.withColumnRenamed("copies", each), key).select(*docs.columns, copies).drop(each)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by inner product: robust-pruned directed graphs, one per shard, and beam search.
 
 Equal vectors are one node; of its keys only the ``k + 1`` smallest can be among a query's ``k`` nearest, so no more
-travel (Spark limits them before the shuffle). Nodes are dealt to shards of bounded size. Within a shard, vectors get
-one more component that makes all of them equally long, so that the largest inner product is the smallest distance.
+travel (Spark limits them before the shuffle). Nodes are dealt to shards of bounded size, each of vectors of about one
+length (a power of two). Within a shard, vectors are scaled and get one more component that makes all of them equally
+long, so that the largest inner product is the smallest distance.
 
 Build: nodes enter in batches that grow with the graph. A greedy search in the graph so far proposes each node's
 neighbours; relaxed distance pruning keeps a candidate unless a kept one is ``ALPHA`` times nearer to it than the node
@@ -28,7 +29,7 @@ from tallyveil.llm.topk import blocked, matrix, usable
 
 #: Nodes of a shard and queries of a block, on average.
 SHARD = 16_384
-QUERIES = 2_048
+QUERIES = 16_384
 #: Edges that pruning keeps, and edges a list may hold before it is pruned again.
 KEPT, FULL = 24, 40
 ALPHA = 1.2
@@ -39,20 +40,19 @@ LOCKSTEP = 512
 
 
 def beam_search(data: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, width: int) -> np.ndarray:
-    """The nearest nodes that a beam finds for each query, nearest first, -1 where it found fewer.
+    """The nodes of largest inner product that a beam finds for each query, largest first, -1 where it found fewer.
 
-    All queries take their steps together.
+    The nodes are equally long, so these are the nearest. All queries take their steps together.
     """
     n = len(queries)
     lines = np.arange(n)[:, None]
-    norms = (data * data).sum(axis=1)
     seen = np.zeros((n, len(data)), bool)
     ids = np.full((n, width), -1, np.int64)
     dist = np.full((n, width), np.inf, np.float32)
     done = np.ones((n, width), bool)
     first = entries[: min(len(entries), width)]
     ids[:, : len(first)] = first
-    dist[:, : len(first)] = norms[first] - 2 * queries @ data[first].T
+    dist[:, : len(first)] = -(queries @ data[first].T)
     done[:, : len(first)] = False
     seen[:, first] = True
     active = np.arange(n)
@@ -83,7 +83,7 @@ def beam_search(data: np.ndarray, edges: np.ndarray, entries: np.ndarray, querie
         more = np.full((len(active), int(count.max())), -1, np.int64)
         far = np.full(more.shape, np.inf, np.float32)
         more[row, place] = node
-        far[row, place] = norms[node] - 2 * np.einsum("ij,ij->i", data[node], queries[active[row]])
+        far[row, place] = -np.einsum("ij,ij->i", data[node], queries[active[row]])
         all_ids = np.concatenate([ids[active], more], axis=1)
         all_dist = np.concatenate([dist[active], far], axis=1)
         all_done = np.concatenate([done[active], more < 0], axis=1)
@@ -162,8 +162,18 @@ def build(vectors: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return edges, entries
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """The vectors of length 1, whatever the size of their components."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
 def lengthened(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more component that makes all as long as the longest."""
+    """Vectors, all scaled alike, with one more component that makes all as long as the longest.
+
+    The vectors of a shard differ in length by a factor of 2 or so, so single precision is enough for the beam.
+    """
+    vectors = vectors / np.abs(vectors).max()
     square = (vectors * vectors).sum(axis=1)
     return np.concatenate([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
 
@@ -188,8 +198,18 @@ def index(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     order = Window.partitionBy("v").orderBy("id")
     least = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= copies)
     nodes = stored(least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("v")), "nodes")
-    shards = max(1, -(-nodes.count() // SHARD))
-    dealt = nodes.withColumn("s", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+    # A shard holds vectors of one length class, so none drowns in the rounding of another; doubles have some 2,000 classes.
+    largest = F.array_max(F.transform("v", F.abs))
+    square = F.aggregate("v", F.lit(0.0), lambda total, x: total + (x / F.col("largest")) * (x / F.col("largest")))
+    length = F.floor(F.log2("largest") + F.log2(F.sqrt(square))).cast("int")
+    classed = nodes.withColumn("largest", largest).withColumn("class", length).drop("largest")
+    first, shards = {}, 0
+    for r in sorted(classed.groupBy("class").count().collect(), key=lambda r: r["class"]):
+        n = -(-r["count"] // SHARD)
+        first[r["class"]] = (shards, n)
+        shards += n
+    own = F.create_map(*[F.lit(x) for name, (at, n) in first.items() for x in (name, F.array(F.lit(at), F.lit(n)))])[F.col("class")] if first else F.array(F.lit(0), F.lit(1))
+    dealt = classed.withColumn("s", (own[0] + F.pmod(F.monotonically_increasing_id(), own[1])).cast("int"))
     return stored(dealt.select("dim", "s", "v", "ids").groupBy("dim", "s").applyInArrow(_build_shard, _INDEX), "index")
 
 
@@ -216,8 +236,11 @@ def _search_unit(k: int):
             if len(vectors) <= BEAM:
                 found = np.tile(np.arange(len(vectors)), (len(part), 1))
             else:
-                flat = np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32)
+                flat = np.concatenate([unit(part), np.zeros((len(part), 1))], axis=1).astype(np.float32)
                 found = beam_search(data, edges, entries, flat, BEAM)
+                # A beam that ran dry is no reason for a short list: such a query meets the whole shard.
+                dry = (found >= 0).sum(axis=1) <= k
+                found = [np.arange(len(vectors)) if d else near for d, near in zip(dry, found)]
             for i, near in enumerate(found):
                 near = near[near >= 0]
                 score = vectors[near] @ part[i]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time; a cut lies at white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -41,6 +41,28 @@ def small_batches(spark: SparkSession, rows: int = 1_000):
         spark.conf.set(name, before)
 
 
+def kept_columns(df: DataFrame, keep: tuple[str, ...] | None, made: tuple[str, ...]) -> tuple[str, ...]:
+    """The columns to keep (all by default) without those that are named as an output column: these give way to it."""
+    return tuple(c for c in (df.columns if keep is None else keep) if c not in made)
+
+
+def new_name(df: DataFrame) -> str:
+    """A column name that the table does not have."""
+    return max(df.columns, key=len) + "_"
+
+
+def with_own_key(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """The table and the column that names each of its rows: ``key`` where no row repeats or lacks it, else a new number.
+
+    Numbered rows are written first, so that the numbers stay.
+    """
+    seen = df.agg(F.count("*").alias("n"), F.count(key).alias("k"), F.countDistinct(key).alias("d")).first()
+    if seen["n"] == seen["k"] == seen["d"]:
+        return df, key
+    name = new_name(df)
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back: later work starts from files, whatever is lost."""
     path = shared_folder(df.sparkSession, name)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import crc_fold, gram_blocks, mixed, row_sums, sampled_ids
+from tallyveil.llm.common import crc_fold, gram_blocks, kept_columns, mixed, row_slices, row_sums, sampled_ids
 
 #: Lengths of the n-grams in bytes of lower-cased words, each with one space before and after it.
 SIZES = (3, 5)
@@ -31,6 +31,8 @@ TRAIN_DOCS = 2_000
 #: An n-gram belongs to a language if this share of the sampled documents holds it.
 SHARE = 0.004
 PROBES = 3
+#: Bytes of text that a task works on at once; a longer text is held alone.
+SLICE = 2 << 20
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -54,8 +56,8 @@ def _gram_blocks(texts):
 
 
 def _counts(batches):
-    """(language, n-gram, documents) of each batch."""
-    for batch in batches:
+    """(language, n-gram, documents) of each slice of a batch."""
+    for batch in (whole.slice(at, n) for whole in batches for at, n in row_slices(whole.column("text"), SLICE)):
         langs = batch.column("lang").to_pylist()
         names = sorted(set(langs))
         held: dict[int, list] = {}
@@ -142,16 +144,19 @@ def predict_batch(model: LanguageFilters, texts) -> tuple[np.ndarray, np.ndarray
 
 
 def identify(documents: DataFrame, model: LanguageFilters, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The kept columns (all by default) with lang_pred, lang_score and lang_known; see the module for odd texts."""
+    """The kept columns (all by default) with lang_pred, lang_score and lang_known; see the module for odd texts.
+
+    A kept column of one of these names gives way to it.
+    """
     spark = documents.sparkSession
-    keep = tuple(documents.columns) if keep is None else keep
+    keep = kept_columns(documents, keep, ("lang_pred", "lang_score", "lang_known"))
     rows = documents.select(*[F.col(c) for c in keep], F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
-        for batch in batches:
+        for batch in (whole.slice(at, n) for whole in batches for at, n in row_slices(whole.column("__text"), SLICE)):
             column = batch.column("__text")
             best, score, known = predict_batch(m, column) if m.languages else (np.zeros(len(column), int), np.zeros(len(column)), np.zeros(len(column)))
             none = ~np.asarray(batch.column("__letter").to_numpy(zero_copy_only=False), bool) | (len(m.languages) == 0)

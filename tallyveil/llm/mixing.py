@@ -149,7 +149,11 @@ def _fly_block(level: int, seed: int):
 
 def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """(key, source, size, source_size, target, copies) of every row: how often the mix takes it."""
-    sizes = stored(sized(documents, key, text, source), "sizes")
+    sizes = stored(sized(documents, key, text, source).withColumn("place", F.monotonically_increasing_id()), "sizes")
+    # Rows that nothing tells apart are dealt by their place where a block could not hold them: fewer than rows / block.
+    alike = sizes.groupBy("key", "size").count().filter(F.col("count") > BLOCK // 4).select(F.col("key").alias("__key"), F.col("size").alias("__size"), F.lit(True).alias("alike"))
+    sizes = sizes.join(F.broadcast(alike), F.col("key").eqNullSafe(F.col("__key")) & (F.col("size") == F.col("__size")), "left")
+    sizes = sizes.withColumn("place", F.when(F.col("alike"), F.col("place")).otherwise(F.lit(0))).drop("__key", "__size", "alike")
     goal = stored(targets(sizes, weights, most), "targets")
     rows = sizes.join(goal.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -157,7 +161,7 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     part = F.greatest(ratio - full, F.lit(0.0))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("long")
     rows = rows.withColumn("full", full).withColumn("p", F.when(F.col("size") > 0, part).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("blocks", F.greatest(blocks, F.lit(1))).withColumn("block", F.expr("pmod(xxhash64(key, size), blocks)"))
+    rows = rows.withColumn("blocks", F.greatest(blocks, F.lit(1))).withColumn("block", F.expr("pmod(xxhash64(key, size, place), blocks)"))
     rows = rows.select("key", "source", "size", "source_size", "target", "full", "p", "block", "blocks")
     open_, done, level = rows.filter("p > 0 AND p < 1"), [rows.filter("p <= 0 OR p >= 1")], 0
     while True:

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word, every word-bound character n-gram and, for each pair of neighbouring words, whether they are equal, is
-hashed to a row of a table of learned vectors. A document is the average of its vectors; a softmax layer turns it into
+Every word, every pair of neighbouring words (all repetitions of a word are one pair) and every word-bound character
+n-gram is hashed to a row of a table of learned vectors. A document is the average of its vectors; a softmax layer turns it into
 the probability of label 1. Table and layer are trained together by numpy stochastic gradient descent, in one task,
 on a sample of labelled documents that is bounded by ``train_docs`` per label and chosen by hash. The features of the
 sample are hashed counts, so that a very long text is no larger than the table.
@@ -23,20 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import WHITE, blocks, crc_fold, gram_blocks, row_bounds, row_sums, sampled_ids, span_hashes, text_bytes, word_spans
+from tallyveil.llm.common import WHITE, blocks, crc_fold, gram_blocks, kept_columns, mixed, row_bounds, row_slices, row_sums, sampled_ids, span_hashes, text_bytes, word_spans
 
 #: Labelled documents that training takes of each label at most.
 TRAIN_DOCS = 2_000
-#: Buckets of the vector table, a power of two; the last two stand for equal and unequal neighbours.
+#: Buckets of the vector table, a power of two.
 BUCKETS = 1 << 17
 SIZES = (3, 4)
-#: How often a pair of neighbours counts in the average: about as often as its words' n-grams together.
-PAIR_WEIGHT = 8
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
 DIM = 8
 #: Updates of a training run, whatever the number of documents.
 UPDATES = 24_000
 RATE = 0.2
 SEED = 11
+#: Bytes of text that a task works on at once; a longer text is held alone.
+SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -72,13 +73,15 @@ def features(column):
         last_row = np.concatenate([[before[0]], rows[:-1]])
         last_word = np.concatenate([np.array([before[1]], np.uint64), words[:-1]])
         has = last_row == rows
-        yield np.repeat(np.where(last_word == words, BUCKETS - 2, BUCKETS - 1)[has], PAIR_WEIGHT), np.repeat(rows[has], PAIR_WEIGHT)
+        # The second word of a pair is written relative to the first: a repetition is one bigram, whatever the word.
+        pair = np.where(last_word == words, _PAIR, mixed(last_word * _PAIR + words))[has]
+        yield (pair & most).astype(np.int64), rows[has]
         before = (int(rows[-1]), words[-1])
 
 
 def _bags(batches):
     """Each labelled text as buckets with counts."""
-    for batch in batches:
+    for batch in (whole.slice(at, n) for whole in batches for at, n in row_slices(whole.column("text"), SLICE)):
         n = batch.num_rows
         parts: list[list] = [[] for _ in range(n)]
         for bucket, rows in features(batch.column("text")):
@@ -157,12 +160,12 @@ def score_batch(pull: np.ndarray, lean: float, base: float, column) -> np.ndarra
 
 
 def score(documents: DataFrame, model: Embeddings, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The kept columns (all by default) with quality_score, the probability of label 1."""
-    keep = tuple(documents.columns) if keep is None else keep
+    """The kept columns (all by default) with quality_score, the probability of label 1; a column of that name gives way."""
+    keep = kept_columns(documents, keep, ("quality_score",))
     shared = documents.sparkSession.sparkContext.broadcast((model.pull(), float(model.bias[1] - model.bias[0]), model.base))
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, n) for whole in batches for at, n in row_slices(whole.column("__text"), SLICE)):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score_batch(*shared.value, batch.column("__text")))], names=[*keep, "quality_score"])
 
     rows = documents.select(*keep, F.col(text).alias("__text"))

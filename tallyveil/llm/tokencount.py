@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import BYTE_CODES, WHITE, blocks, row_slices, row_sums, span_hashes, text_bytes
+from tallyveil.llm.common import BYTE_CODES, WHITE, blocks, kept_columns, row_slices, row_sums, span_hashes, text_bytes
 
 #: Bytes of a piece at most, and of a pre-token that goes into the trie.
 LONGEST = 128
@@ -177,12 +177,15 @@ def count_batch(pieces: Pieces, column) -> tuple[np.ndarray, np.ndarray]:
     found[~long_] = trie_counts(data, starts[first[~long_]], ends[first[~long_]], pieces)
     found[long_] = [long_count(data[starts[i] : ends[i]], pieces) for i in first[long_]]
     bounds = np.searchsorted(starts, offsets)
-    return row_sums(found[which], bounds), row_sums(-(-(ends - starts) // LONGEST), bounds)
+    return row_sums(found[which], bounds), np.diff(bounds)
 
 
 def count_tokens(documents: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, vocabulary: str | None = None) -> DataFrame:
-    """The kept columns (all by default) with n_tokens and n_pretokens; ``vocabulary`` is the path of a rank file."""
-    keep = tuple(documents.columns) if keep is None else keep
+    """The kept columns (all by default) with n_tokens and n_pretokens; columns of these names give way.
+
+    ``vocabulary`` is the path of a rank file.
+    """
+    keep = kept_columns(documents, keep, ("n_tokens", "n_pretokens"))
 
     def run(batches):
         pieces = _pieces(vocabulary)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyveil.llm.common import LOWER, blocks, crc_fold, row_slices, sampled_ids, span_hasher, text_bytes, word_spans
+from tallyveil.llm.common import LOWER, blocks, crc_fold, kept_columns, row_slices, sampled_ids, span_hasher, stored, text_bytes, word_spans
 
 #: Labelled documents that training takes of each label at most, and bytes of such a text at most.
 TRAIN_DOCS = 1_500
@@ -246,25 +246,30 @@ def _fit_task(batches):
     parts = [np.frombuffer(r[2], np.int32).reshape(-1, 1 + len(PREFIXES)) for r in rows]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
     features = np.concatenate([np.zeros((0, 1 + len(PREFIXES)), np.int32), *parts])
-    field = fit(features, bounds, np.array([r[1] for r in rows], np.int64))
-    yield pa.RecordBatch.from_pydict({"weights": [field.weights.tobytes()], "moves": [field.moves.tobytes()], "start": [field.start], "layer": [field.layer.tobytes()], "base": [field.base], "trained": [field.trained]})
+    toxic = np.array([r[1] for r in rows], np.int64)
+    field = fit(features, bounds, toxic)
+    yield pa.RecordBatch.from_pydict({"weights": [field.weights.tobytes()], "moves": [field.moves.tobytes()], "start": [field.start], "layer": [field.layer.tobytes()], "base": [field.base], "trained": [field.trained], "clean": [int((toxic == 0).sum())], "bad": [int((toxic == 1).sum())]})
 
 
-def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1, train_docs: int = TRAIN_DOCS) -> Field:
-    """A field from labelled rows whose crc32 fold is not the held-out one; the driver gets the model only."""
+def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Field:
+    """A field from labelled rows whose crc32 fold is not the held-out one; the driver gets the model only.
+
+    The sample is drawn from the labels whose texts have at most ``train_bytes``.
+    """
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (crc_fold(F.col("key"), folds) != held_out)).dropDuplicates()
+    texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.octet_length("text") <= train_bytes)
+    n = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    marks = stored(marks.join(texts.select("key"), "key", "left_semi"), "labels")
     # Clean texts tell chance from markers, so there are twice as many.
     bad = sampled_ids(marks.filter("label = 1"), "key", "label", train_docs)
     clean = sampled_ids(marks.filter("label = 0"), "key", "label", 2 * train_docs)
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
-    rows = rows.join(F.broadcast(bad.unionByName(clean)), "key").select(F.col("key").cast("string").alias("key"), "label", "text")
+    rows = texts.join(F.broadcast(bad.unionByName(clean)), "key").select(F.col("key").cast("string").alias("key"), "label", "text")
     made = rows.mapInArrow(_token_rows, "key string, label int, tokens binary")
     made = made.orderBy(F.xxhash64("key", "tokens")).limit(3 * train_docs)  # the bound holds for repeated keys too
-    n = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    taken = {1: min(train_docs, n.get(1, 0)), 0: min(2 * train_docs, n.get(0, 0))}
     # The sample holds more toxic texts than the labels do; the layer's bias takes that back.
-    prior = float(np.log(n[1] / n[0] * taken[0] / taken[1])) if n.get(0) and n.get(1) else 0.0
-    found = made.repartition(1).mapInArrow(_fit_task, "weights binary, moves binary, start double, layer binary, base double, trained boolean").first()
+    found = made.repartition(1).mapInArrow(_fit_task, "weights binary, moves binary, start double, layer binary, base double, trained boolean, clean long, bad long").first()
+    used = found["clean"] and found["bad"]
+    prior = float(np.log(n[1] / n[0] * found["clean"] / found["bad"])) if used else 0.0
     return Field(np.frombuffer(found["weights"], np.float32), np.frombuffer(found["moves"]).reshape(2, 2), found["start"], np.frombuffer(found["layer"]) + [prior, 0, 0], found["base"], found["trained"])
 
 
@@ -272,8 +277,8 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struc
 
 
 def score(documents: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The kept columns (all by default) with toxic_score and toxic_spans."""
-    keep = tuple(documents.columns) if keep is None else keep
+    """The kept columns (all by default) with toxic_score and toxic_spans; columns of these names give way."""
+    keep = kept_columns(documents, keep, ("toxic_score", "toxic_spans"))
     shared = documents.sparkSession.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

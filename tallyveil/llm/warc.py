@@ -288,7 +288,7 @@ def op2(spark, sf_dir):
     arcs, warcs = shared_folder(spark, "arc"), shared_folder(spark, "warc")
     write_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), arcs)
     convert(spark, arcs, warcs)
-    return read_warc(spark, warcs, payload=False)
+    return read_warc(spark, warcs, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """

@@ -360,3 +360,46 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     total = sum(len(t) for t in tokens_of([r["text"] for r in kept[4][1].collect()]))
     assert kept[4][2].agg(F.sum("length")).first()[0] == total
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == total
+
+
+def test_mix_splits_rows_that_nothing_tells_apart(spark, monkeypatch):
+    rows = [(None, "one two", "s") for _ in range(3_000)] + [(7, "one two", "s")] * 2_000 + [(i, "a b c", "s") for i in range(100, 400)] + [(i, "x y", "t") for i in range(500, 600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BLOCK", 256)
+    largest = []
+    real = mixing.stored
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "flight-0":
+            largest.append(out.groupBy("source", "block").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(mixing, "stored", spy)
+    got = mixing.mix(table).collect()
+    assert len(got) == len(rows) and largest[0] < 2 * 256
+    for source in "st":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 3
+
+
+def test_pipeline_stages_of_repeated_and_missing_keys(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    made = [" ".join("".join(rng.choice("ta ke mi ro lu ve".split()) for _ in range(3)) for _ in range(40)) for _ in range(9)]
+    keys = [5, 5, 5, None, None, None, 8, 9, 9]
+    rows = [(k, t, "aa", "s", len(t), "extra") for k, t in zip(keys, made)]
+    rows += [(None, made[3], "aa", "s", 1, "copy"), (5, made[0], "aa", "s", 1, "copy"), (11, made[6], "aa", "s", 1, "copy"), (12, "long " * 30_000, "aa", "s", 1, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __copy string")
+    kept = corpus_pipeline.distinct(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["text"][:40] for r in kept.collect()) == sorted([t[:40] for t in made] + [("long " * 30_000)[:40]])
+    taken = corpus_pipeline.mixed(spark, common.stored(kept.filter("n_chars > 1 OR doc_id <> 12"), "kept"), "")
+    assert taken.columns == docs.columns
+    counts = {}
+    for r in taken.collect():
+        counts[r["text"]] = counts.get(r["text"], 0) + 1
+    assert set(counts) <= set(made) | {"long " * 30_000} and max(counts.values()) == 1 and len(counts) == 9
+    empty = docs.limit(0)
+    assert corpus_pipeline.distinct(spark, empty, "").count() == corpus_pipeline.mixed(spark, empty, "").count() == 0

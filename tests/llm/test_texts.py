@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyveil.llm import common, langid, quality, tokencount, toxicity
 
@@ -189,13 +190,12 @@ def slow_count(text, scores):
     """Tokens of a text by the plain rule: pre-tokens by pattern, each by quadratic dynamic programming."""
     total, parts = 0, 0
     for piece in re.findall(rb" ?[^\x09-\x0d ]+|[\x09-\x0d ]+(?= [^\x09-\x0d ])|[\x09-\x0d ]+", text.encode()):
-        for at in range(0, len(piece), tokencount.LONGEST):
-            part = piece[at : at + tokencount.LONGEST]
-            best = [(0, 0)]
-            for end in range(1, len(part) + 1):
-                best.append(max((best[i][0] + scores[part[i:end]], best[i][1] - 1) for i in range(end) if part[i:end] in scores))
-            total -= best[-1][1]
-            parts += 1
+        best = [(0, 0)]
+        for end in range(1, len(piece) + 1):
+            low = max(0, end - max(map(len, scores)))
+            best.append(max((best[i][0] + scores[piece[i:end]], best[i][1] - 1) for i in range(low, end) if piece[i:end] in scores))
+        total -= best[-1][1]
+        parts += 1
     return total, parts
 
 
@@ -211,8 +211,8 @@ def test_token_counts_equal_the_plain_rule(spark, monkeypatch):
         monkeypatch.setattr(tokencount, "blocks", lambda cut, offsets, real=real, size=size: real(cut, offsets, size))
         tokens, parts = tokencount.count_batch(tokencount.Pieces(scores), pa.array(texts, pa.string()))
         assert list(zip(tokens.tolist(), parts.tolist())) == want
-    rows = spark.createDataFrame(list(enumerate(texts)), "n_tokens long, text string")
-    got = tokencount.count_tokens(rows.withColumnRenamed("n_tokens", "k"), keep=("k",)).orderBy("k").collect()
+    rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "k long, text string, n_tokens string")
+    got = tokencount.count_tokens(rows, keep=("k", "n_tokens")).orderBy("k").collect()
     assert [(r["n_tokens"], r["n_pretokens"]) for r in got] == want
     assert tokencount.count_tokens(rows.select("text").limit(0)).count() == 0
 
@@ -234,3 +234,74 @@ def test_long_runs_are_segmented_whole(monkeypatch):
     for stretch in (1 << 14, 50):
         monkeypatch.setattr(tokencount, "STRETCH", stretch)
         assert tokencount.count_batch(pieces, pa.array(runs))[0].tolist() == want
+
+
+def plain_grams(text, sizes, held):
+    """Hashes of a text's word-bound n-grams, each with one space before and after its word, by the plain rule."""
+    out = []
+    words = re.findall(b"[" + re.escape(bytes(held)) + b"]+", text.encode())
+    for n in sizes:
+        for word in words:
+            padded = b" " + word + b" "
+            for i in range(len(padded) - n + 1):
+                value = n
+                for byte in padded[i : i + n]:
+                    value = (value * common._ODD + int(common.BYTE_CODES[byte])) % 2**64
+                out.append(int(common.mixed(np.array([value], np.uint64))[0]))
+    return out, words
+
+
+def test_language_decision_equals_the_plain_rule(spark, corpus):
+    documents, _ = corpus
+    model = langid.train(documents)
+    texts = [r["text"] for r in documents.limit(40).collect()] + [t for t in ODD if t and len(t) < 100] + ["", "ta sch ção", "Ta KE, mi"]
+    best, score, known = langid.predict_batch(model, pa.array(texts))
+    for i, text in enumerate(texts):
+        grams, _ = plain_grams(text.lower(), langid.SIZES, np.flatnonzero(langid._LETTER).tolist())
+        slots = [np.array([s[j] for s in langid._slots(np.array(grams, np.uint64), model.slots.shape[1])]) for j in range(len(grams))]
+        true = []
+        for k in range(len(model.languages)):
+            hits = sum(all(int(model.slots[0][p]) >> k & 1 for p in places) for places in slots)
+            true.append(max(0.0, (hits - len(grams) * model.rates[k]) / (1 - model.rates[k])))
+        want = int(np.argmax(true)) if sum(true) else model.usual
+        assert best[i] == want
+        assert score[i] == pytest.approx(min(1, true[want] / sum(true)) if sum(true) else 0)
+        assert known[i] == pytest.approx(min(1, true[want] / len(grams)) if grams else 0)
+
+
+def test_quality_score_equals_the_plain_rule(spark, corpus):
+    documents, labels = corpus
+    model = quality.train(documents, labels)
+    pull, lean = model.pull(), float(model.bias[1] - model.bias[0])
+    texts = [r["text"] for r in documents.limit(30).collect()] + ["one one one two", "x", "", " \n", "é ß é é"]
+    got = quality.score_batch(pull, lean, model.base, pa.array(texts))
+    held = [b for b in range(256) if b not in (9, 10, 11, 12, 13, 32)]
+    for text, score in zip(texts, got):
+        buckets, words = plain_grams(text, quality.SIZES, held)
+        lines = [np.frombuffer(w, np.uint8) for w in words]
+        hashes = [common.span_hashes(b, np.array([0]), np.array([len(b)]))[0] for b in lines]
+        pairs = [quality._PAIR if a == b else common.mixed(np.array([a], np.uint64) * quality._PAIR + np.array([b], np.uint64))[0] for a, b in zip(hashes, hashes[1:])]
+        whole = [int(x) % quality.BUCKETS for x in [*buckets, *hashes, *pairs]]
+        want = 1 / (1 + np.exp(-(np.mean([float(pull[b]) for b in whole]) + lean))) if whole else model.base
+        assert score == pytest.approx(want, rel=1e-9)
+
+
+def test_columns_named_like_results_give_way(spark, corpus):
+    documents, labels = corpus
+    for name, made in (
+        ("lang_pred", lambda d: langid.identify(d, langid.train(documents))),
+        ("quality_score", lambda d: quality.score(d, quality.train(documents, labels))),
+        ("toxic_score", lambda d: toxicity.score(d, toxicity.train(documents, labels))),
+    ):
+        out = made(documents.limit(5).withColumn(name, F.lit("clash")))
+        assert out.columns.count(name) == 1 and "clash" not in {r[name] for r in out.select(name).collect()}
+
+
+def test_toxicity_learns_from_what_fits(spark, corpus):
+    """Long labelled texts are replaced by shorter ones in the draw, and the prior counts the texts that were used."""
+    documents, labels = corpus
+    long_ = documents.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" "), F.repeat("text", 60))).otherwise(F.col("text")))
+    field = toxicity.train(long_, labels, train_docs=40, train_bytes=2_000)
+    got = toxicity.score(long_, field).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    test = [r for r in got if held(r["doc_id"], 3, 1)]
+    assert field.trained and sum((r["toxic_score"] >= 0.5) == (r["toxic"] == 1) for r in test) >= 0.95 * len(test)

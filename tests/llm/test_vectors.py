@@ -95,3 +95,20 @@ def test_graph_search_of_odd_rows(spark):
     want = brute([r for r in rows if r[1] and any(x != 0 for x in r[1])], 20, lambda i: i % 20 == 0, float)
     assert {tuple(r) for r in got} == want
     assert ann.nearest(table(spark, []), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("longer", [1.0, 1e5, 1e20])
+def test_one_long_vector_drowns_no_other(spark, longer):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(1_500, 16)).astype(np.float32)
+    data[700] *= np.float32(longer)
+    got = ann.nearest(table(spark, data), F.col("vec_id") % 20 == 0).collect()
+    want = brute(list(enumerate(data.tolist())), 20, lambda i: i % 20 == 0, float)
+    assert len(got) == len(want)
+    assert len({(r["query_id"], r["vec_id"]) for r in got} & {(q, i) for q, _, i, _ in want}) >= 0.97 * len(want)
+
+
+def test_lists_are_full_where_a_beam_runs_dry():
+    data = np.eye(300, dtype=np.float32)
+    edges = np.full((300, ann.FULL), -1, np.int64)
+    assert (ann.beam_search(ann.lengthened(data), edges, np.arange(3), ann.lengthened(data)[:2], 8) >= 0).sum() == 6
