@@ -386,6 +386,30 @@ query(
     f"WITH {sql.DOCUMENTS} SELECT seq, canonical FROM docs",
 )
 
+def _batch_documents(s, sf):
+    pages = html.lines_from_html(V.pages(s, sf)).select("seq", "dom_lines")
+    return extract_documents(V.batch_capture(s, sf), RUN, pages, mode="all")
+
+
+# Answers in lists hold the record twice, at 0 and 3; where both lack lines, the page belongs to neither.
+_TWICE = "k % 3 <> 2"
+query(
+    "extract_documents_all",
+    lambda s, sf: _batch_documents(s, sf).documents.select(
+        "seq", "record_pos", F.col("metadata.source").alias("source"), F.col("invoice.currency").alias("currency"),
+        F.size("lines").alias("lines"), F.col("metadata.integrity_sha256").alias("sha"), F.col("checks.line_total_sum_equals_amount_total").alias("total_match")),
+    f"""WITH {sql.DOCUMENTS} SELECT seq, unnest(CASE WHEN {_TWICE} THEN [0, 3] ELSE [0] END) AS record_pos, source, currency, n AS lines, sha, total_match
+    FROM docs WHERE NOT ({_TWICE} AND k % 7 = 0)""",
+)
+query(
+    "rejected_captures_all", lambda s, sf: _batch_documents(s, sf).rejects,
+    f"""WITH {sql.INVOICES}, r AS (SELECT seq, k, line_count, {sql.REASON} AS reason FROM inv WHERE {sql.IS_READ})
+    SELECT seq, reason AS reject_reason FROM r WHERE reason IS NOT NULL
+    UNION ALL SELECT seq, unnest(['no record', 'no record']) FROM r WHERE reason IS NULL AND {_TWICE}
+    UNION ALL SELECT seq, unnest(['no lines', 'no lines']) FROM r WHERE reason IS NULL AND {_TWICE} AND (k % 7 = 0 OR line_count = 0)
+    UNION ALL SELECT seq, 'no lines' FROM r WHERE reason IS NULL AND NOT ({_TWICE}) AND line_count = 0""",
+)
+
 # ---------------------------------------------------------------- integrity
 
 

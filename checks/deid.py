@@ -10,7 +10,7 @@ from checks.text import MASK, _alternation, _log_deny, logs_sql
 from tallyveil.functions.surrogate import Surrogates
 from tallyveil.operators import deid, integrity, lookup, redact
 from tallyveil.plans.scale import shared_folder
-from tallyveil.sources import html
+from tallyveil.sources import html, versions
 from tallyveil.streaming import jobs
 
 SALT = "check-salt"
@@ -131,16 +131,23 @@ def _folders(s, *names):
     return [shared_folder(s, n) for n in names]
 
 
-def _stream(s, sf, name):
-    """A stream over one of the given tables. As a glob, since a stream wants no single file."""
-    return s.readStream.schema(V.table(s, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
+#: Rows arrive in so many parts; the stream is started again after each, so each is a micro-batch of its own at least.
+ARRIVALS = 3
+
+
+def _arriving(s, df, part_of, start):
+    """Rows of a table arrive by the number of their part; ``start`` begins a stream over what has arrived so far."""
+    source = _folders(s, "arrived")[0]
+    for part in range(ARRIVALS):
+        df.filter(part_of == part).write.mode("append").parquet(source)
+        _finished(start(s.readStream.schema(df.schema).parquet(source)))
 
 
 def _log_stream(s, sf):
     out, checkpoint = _folders(s, "logs", "logs-progress")
-    logs = V.logs_of(_stream(s, sf, "events"))
-    _finished(jobs.scrub_stream(logs, out, checkpoint, _log_deny(s, sf), ["10.0.0.1"]))
-    return s.read.parquet(out).select("event_id", "msg", F.size("args").alias("args"), "exc_text", "stack_info")
+    start = lambda events: jobs.scrub_stream(V.logs_of(events), out, checkpoint, _log_deny(s, sf), ["10.0.0.1"])
+    _arriving(s, V.table(s, sf, "events"), F.col("event_id") % ARRIVALS, start)
+    return versions.committed(s, out).select("event_id", "msg", F.size("args").alias("args"), "exc_text", "stack_info")
 
 
 query("scrub_stream", _log_stream, logs_sql())
@@ -148,7 +155,8 @@ query("scrub_stream", _log_stream, logs_sql())
 
 def _code_stream(s, sf):
     out, checkpoint = _folders(s, "codes", "codes-progress")
-    _finished(jobs.start_currency_stream(V.searches_of(_stream(s, sf, "customer")), out, checkpoint))
+    start = lambda customers: jobs.start_currency_stream(V.searches_of(customers), out, checkpoint)
+    _arriving(s, V.table(s, sf, "customer"), F.col("c_custkey") % ARRIVALS, start)
     return jobs.current_codes(s, out)
 
 
@@ -157,28 +165,35 @@ query("currency_stream", _code_stream, f"WITH {sql.CODES} SELECT currency_id, co
 
 def _growing(s, sf):
     deny, out, checkpoint = _folders(s, "deny", "turns", "turns-progress")
-    turns = _stream(s, sf, "conversations").select("conv_id", "turn", "role", "text")
-    # The longest words of the openings are registered while the stream runs.
+    # The longest words of the openings are registered as they arrive, and hide from then on.
     tokens = lambda batch: V.words(batch.filter((F.col("turn") == 0) & (F.col("role") == "user")), "conv_id", 14)
-    _finished(jobs.scrub_with_growing_list(turns, tokens, deny, out, checkpoint, ["text"]))
-    return s.read.parquet(out).select("conv_id", "turn", "text")
+    start = lambda turns: jobs.scrub_with_growing_list(turns, tokens, deny, out, checkpoint, ["text"])
+    _arriving(s, V.table(s, sf, "conversations").select("conv_id", "turn", "role", "text"), F.col("conv_id") % ARRIVALS, start)
+    return versions.committed(s, out).select("conv_id", "turn", "text")
+
+
+def _grown_sql(part):
+    """The turns of one arrival, without the words that this one and those before it registered."""
+    listed = rf"""SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(text, '\s+')) AS token FROM conversations
+      WHERE turn = 0 AND role = 'user' AND conv_id % {ARRIVALS} <= {part}) WHERE length(token) >= 14"""
+    return f"""SELECT conv_id, turn, {sql.scrub_sql('text')} AS text FROM (
+      SELECT conv_id, turn, coalesce(regexp_replace(text, pattern, '{MASK}', 'g'), text) AS text
+      FROM conversations, ({_alternation(listed)}) WHERE conv_id % {ARRIVALS} = {part})"""
 
 
 query(
     "scrub_with_growing_list", _growing,
-    rf"""WITH t AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(text, '\s+')) AS token FROM conversations
-      WHERE turn = 0 AND role = 'user') WHERE length(token) >= 14), m AS ({_alternation('SELECT * FROM t')}),
-    r AS (SELECT conv_id, turn, coalesce(regexp_replace(text, pattern, '{MASK}', 'g'), text) AS text FROM conversations, m)
-    SELECT conv_id, turn, {sql.scrub_sql('text')} AS text FROM r""",
+    " UNION ALL ".join(_grown_sql(part) for part in range(ARRIVALS)),
 )
 
 
 def _document_stream(s, sf):
-    source, out, codes, checkpoint = _folders(s, "arrived", "extracted", "codes", "extract-progress")
-    V.capture(s, sf).write.parquet(source)
+    out, codes, checkpoint = _folders(s, "extracted", "codes", "extract-progress")
     pages = html.lines_from_html(V.pages(s, sf)).select("seq", "dom_lines")
-    stream = s.readStream.schema(s.read.parquet(source).schema).parquet(source)
-    _finished(jobs.extract_stream(stream, out, codes, checkpoint, RUN, pages))
+    start = lambda capture: jobs.extract_stream(capture, out, codes, checkpoint, RUN, pages)
+    # Half of the invoices arrive before the codes that they need, and wait.
+    part = F.when(F.col("url").endswith("/search"), 1).otherwise(F.col("seq") % 2 * 2)
+    _arriving(s, V.capture(s, sf), part, start)
     return jobs.extracted_documents(s, out).select(
         "seq", F.col("invoice.currency").alias("currency"), F.size("lines").alias("lines"), "metadata.integrity_sha256")
 

@@ -243,8 +243,12 @@ def parsed_moves(spark: SparkSession, sf: str) -> DataFrame:
     return stored_moves(spark, sf).select("k", "seq", F.try_parse_json("move_json").alias("move"))
 
 
-def reads(spark: SparkSession, sf: str) -> DataFrame:
-    """Captured read exchanges, some on another path, of another model, failed or empty."""
+def reads(spark: SparkSession, sf: str, listed: Column | None = None) -> DataFrame:
+    """Captured read exchanges, some on another path, of another model, failed or empty.
+
+    ``listed`` is what a list of records holds, by default the one record.
+    """
+    listed = F.col("move_json") if listed is None else listed
     k = F.col("k")
     method = F.when(k % 29 == 0, "write").when(k % 2 == 0, "web_read").otherwise("read")
     model = F.when(k % 17 == 0, "res.partner").otherwise("account.move")
@@ -258,8 +262,8 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 31 == 0, F.lit("oops"))
         .when(k % 19 == 0, F.lit('{"error":{"code":200,"message":"denied"}}'))
         .when(k % 23 == 0, F.lit('{"result":[]}'))
-        .when(k % 3 == 0, F.concat(F.lit('{"result":['), F.col("move_json"), F.lit("]}")))
-        .when(k % 3 == 1, F.concat(F.lit('{"error":false,"result":{"records":['), F.col("move_json"), F.lit("]}}")))
+        .when(k % 3 == 0, F.concat(F.lit('{"result":['), listed, F.lit("]}")))
+        .when(k % 3 == 1, F.concat(F.lit('{"error":false,"result":{"records":['), listed, F.lit("]}}")))
         .otherwise(F.concat(F.lit('{"result":'), F.col("move_json"), F.lit("}")))
     )
     return stored_moves(spark, sf).select(
@@ -295,6 +299,16 @@ def capture(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, sf, "capture", lambda s, f: searches(s, f).unionByName(reads(s, f)))
 
 
+def batch_capture(spark: SparkSession, sf: str) -> DataFrame:
+    """The same exchanges, but a list in an answer holds its record twice, with a number and an empty object between."""
+    return stored(spark, sf, "batch-capture", _batched)
+
+
+def _batched(spark: SparkSession, sf: str) -> DataFrame:
+    twice = F.concat(F.col("move_json"), F.lit(",5,{},"), F.col("move_json"))
+    return searches(spark, sf).unionByName(reads(spark, sf, twice))
+
+
 def _cell(name: str, text: Column) -> Column:
     return F.concat(F.lit(f'<td name="{name}">'), text, F.lit("</td>"))
 

@@ -27,6 +27,20 @@ def harvested_codes(searches: DataFrame) -> DataFrame:
     return rows.filter(F.col("currency_id").isNotNull() & (F.col("code") != ""))
 
 
+def codes_of(result: Column) -> Column:
+    """The currency codes that a search answer holds, as an array of (pos, currency_id, code)."""
+    records = F.coalesce(F.try_variant_get(result, "$.records", "array<variant>"), coerce.items_of(result))
+
+    def seen(record: Column, pos: Column) -> Column:
+        currency = coerce.field(record, "$.currency_id")
+        held = coerce.is_object(record)
+        return F.struct(
+            pos.alias("pos"), F.when(held, coerce.relational_id(currency)).alias("currency_id"), coerce.relational_name(currency).alias("code")
+        )
+
+    return F.filter(F.transform(records, seen), lambda c: c["currency_id"].isNotNull() & (c["code"] != ""))
+
+
 def latest_codes(harvested: DataFrame) -> DataFrame:
     """(currency_id, code, place): the code seen last per currency, and where it was seen.
 

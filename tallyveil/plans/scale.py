@@ -69,8 +69,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written once to the shared folder and read back: work after it starts from files."""
+def written(df: DataFrame, name: str, parts: list[str] | None = None) -> DataFrame:
+    """The table written once to the shared folder and read back: work after it starts from files.
+
+    ``parts`` names columns whose values get folders of their own, so that a filter on them reads no others.
+    """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*(parts or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,6 +37,16 @@ def move_searches(capture: DataFrame) -> DataFrame:
     return _calls(capture, SEARCH_METHODS)
 
 
+def calls(capture: DataFrame) -> DataFrame:
+    """Reads and searches of the invoice model, told apart by ``kind``; a request is parsed once."""
+    params = coerce.field(F.try_parse_json("request"), "$.params")
+    seen = capture.filter(F.col("url").contains(RPC_PATH)).withColumn("params", params)
+    method = coerce.text_of(coerce.field(F.col("params"), "$.method"))
+    wanted = coerce.is_object(F.col("params")) & (coerce.text_of(coerce.field(F.col("params"), "$.model")) == MOVE_MODEL)
+    kind = F.when(wanted & method.isin(*READ_METHODS), "read").when(wanted & method.isin(*SEARCH_METHODS), "search")
+    return keep_where(seen.withColumn("kind", kind).drop("params"), F.col("kind").isNotNull())
+
+
 def _object_or_null(value: Column) -> Column:
     return F.when(coerce.is_object(value), value)
 

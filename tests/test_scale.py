@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyveil.operators import extract
-from tallyveil.plans import scale
+from tallyveil.plans import extraction, scale
 from tallyveil.sources import capture as exchanges
 
 from .samples import MOVE, captured, exchange
@@ -60,3 +60,24 @@ def test_few_files_are_dealt_out(spark, stored):
 def test_written_tables_start_from_files(spark):
     df = scale.written(spark.range(3), "numbers")
     assert "FileScan parquet" in plan(df) and df.count() == 3
+
+
+def test_one_pass_serves_every_output(spark, stored, tmp_path):
+    """Documents, rejects, codes and what waits come from one reading of the capture."""
+    def seen(batches):
+        for batch in batches:
+            with open(tmp_path / "seen", "a") as f:
+                f.write(f"{batch.num_rows}\n")
+            yield batch
+
+    rows = stored.unionByName(captured(spark, exchange(90, "read", {"error": 1}), exchange(91, "search_read", {"result": []}), exchange(92, "write", {})))
+    done = extraction.extract_documents(rows.mapInArrow(seen, rows.schema), extraction.RunInfo(extracted_at="t"))
+    assert done.documents.count() == 8 and [r.seq for r in done.rejects.collect()] == [90] and done.unresolved.count() == 8
+    assert sum(map(int, open(tmp_path / "seen"))) == rows.count() == 11
+
+
+def test_tagging_parses_once_and_moves_nothing(stored):
+    for mode in ("first", "all"):
+        logical, physical = plan(extraction.tagged_records(stored, mode)).split("== Physical Plan ==")
+        assert logical.count("parseJson(response") == logical.count("parseJson(request") == 1
+        assert logical.count("StructField(price_subtotal") == 1 and "Exchange" not in physical

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.operators import redact
 from tallyveil.plans.extraction import RunInfo, extract_documents
+from tallyveil.sources import versions
 from tallyveil.streaming import jobs
 
 from .samples import EUR_ID, MOVE, SEARCH, captured, exchange
@@ -98,3 +99,43 @@ def test_documents_wait_for_their_currency(spark, tmp_path):
         assert dict(got) == want and len(got) == 3
         assert [r.seq for r in spark.read.parquet(f"{out}/rejects").collect()] == [2]
         assert len([p for p in (tmp_path / name / "codes").iterdir() if p.name.startswith("slot=")]) <= 2
+
+
+def test_a_new_checkpoint_adds_to_what_is_there(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, progress in enumerate(("first", "second")):
+        add(spark.createDataFrame([(i, f"record {i}", [], None, None)], LOGS), f"{source}{i}")
+        stream = spark.readStream.schema(LOGS).parquet(f"{source}{i}")
+        done(jobs.scrub_stream(stream, out, str(tmp_path / progress)))
+    assert sorted(r.i for r in versions.committed(spark, out).collect()) == [0, 1]
+    assert sorted(r.i for r in spark.read.parquet(out).collect()) == [0, 1]
+
+
+def test_readers_see_whole_commits_only(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = lambda *n: spark.createDataFrame([(i,) for i in n], "i INT")
+    versions.commit(rows(1, 2), out, "a", 0)
+    # An attempt that was stopped half way left rows; they are no commit, and the next attempt replaces them.
+    rows(77).write.parquet(f"{out}/run=a/batch=1")
+    assert sorted(r.i for r in versions.committed(spark, out).collect()) == [1, 2]
+    versions.commit(rows(3), out, "a", 1)
+    versions.commit(rows(99), out, "a", 1)
+    versions.commit(rows(), out, "b", 0)
+    assert sorted(r.i for r in versions.committed(spark, out).collect()) == [1, 2, 3]
+    assert versions.newest(spark, out).count() == 0 and versions.before(spark, out, "b", 0).count() == 1
+    assert versions.before(spark, str(tmp_path / "none"), "a", 0) is None
+    for n in range(2, 6):
+        versions.commit(rows(n), out, "a", n)
+        versions.keep_newest(spark, out, "a", n)
+    assert not versions.exists(spark, f"{out}/run=a/batch=2") and versions.newest(spark, out).first().i == 5
+
+
+def test_a_new_checkpoint_takes_over_what_waits(spark, tmp_path):
+    out, codes = str(tmp_path / "out"), str(tmp_path / "codes")
+    bare = dict(MOVE, invoice_line_ids=[dict(l, currency_id=False) for l in MOVE["invoice_line_ids"]])
+    for i, rows in enumerate(([exchange(1, "read", {"result": bare})], [exchange(2, "search_read", {"result": SEARCH})])):
+        add(captured(spark, *rows), str(tmp_path / f"in{i}"))
+        stream = spark.readStream.schema(captured(spark, *rows).schema).parquet(str(tmp_path / f"in{i}"))
+        done(jobs.extract_stream(stream, out, codes, str(tmp_path / f"progress{i}"), RunInfo(extracted_at="t")))
+        got = [(r.seq, r.invoice.currency) for r in jobs.extracted_documents(spark, out).collect()]
+        assert got == [(1, "EUR" if i else None)]
