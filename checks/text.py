@@ -121,14 +121,21 @@ def _conversation_tokens(s, sf):
     return V.words(first, "conv_id", 6)
 
 
+_SCOPED_SQL = rf"""WITH t AS (SELECT DISTINCT conv_id, token FROM (SELECT conv_id, unnest(string_split_regex(text, '\s+')) AS token
+      FROM conversations WHERE turn = 0) WHERE length(token) >= 6), m AS ({_alternation('SELECT * FROM t', 'conv_id')})
+    SELECT conv_id, turn, CASE WHEN pattern IS NULL THEN text ELSE regexp_replace(text, pattern, '{MASK}', 'g') END AS text
+    FROM conversations LEFT JOIN m USING (conv_id)"""
 query(
     "redact_scoped_tokens",
     lambda s, sf: _joined(s, _conversation_tokens(s, sf), "conv_id")(
         V.texts(s, sf, "conversations").select("conv_id", "turn", "text"), "text"),
-    rf"""WITH t AS (SELECT DISTINCT conv_id, token FROM (SELECT conv_id, unnest(string_split_regex(text, '\s+')) AS token
-      FROM conversations WHERE turn = 0) WHERE length(token) >= 6), m AS ({_alternation('SELECT * FROM t', 'conv_id')})
-    SELECT conv_id, turn, CASE WHEN pattern IS NULL THEN text ELSE regexp_replace(text, pattern, '{MASK}', 'g') END AS text
-    FROM conversations LEFT JOIN m USING (conv_id)""",
+    _SCOPED_SQL,
+)
+query(
+    "redact_tokens_of_each_scope",
+    lambda s, sf: redact.redact_tokens(
+        V.texts(s, sf, "conversations").select("conv_id", "turn", "text"), "text", _conversation_tokens(s, sf), by="conv_id"),
+    _SCOPED_SQL,
 )
 query(
     "redact_row_tokens",

@@ -112,7 +112,8 @@ def quoted(token: Column) -> Column:
 
 
 def alternation(tokens: Column) -> Column:
-    """One case-insensitive pattern for an array of tokens, longest first; null for no tokens."""
+    """One case-insensitive pattern for an array of tokens, longest first; null for no tokens. Empty tokens match nothing."""
+    tokens = F.filter(tokens, lambda t: t.isNotNull() & (t != ""))
     ranked = F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("size"), t.alias("token"))))
     body = F.array_join(F.transform(ranked, lambda r: quoted(r["token"])), "|")
     return F.when(F.size(tokens) > 0, F.concat(F.lit("(?iu)"), body))

@@ -9,23 +9,31 @@ the tokens themselves: in the task for a small token set, by an equi-join for a
 text is paired with all tokens.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyveil.functions.patterns import ERROR_MASK
-from tallyveil.plans.scale import inline_rows, is_small, keep_where
+from tallyveil.plans.scale import SMALL_BYTES, SMALL_ROWS, inline_rows, is_small, keep_where, written
 
 _SEPARATOR = 0xFFFFFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
-# Bits of the filter for token sets too large to gather: 32 for each token, from 8 MB up to 128 MB.
-FILTER_BITS = (26, 30)
+# Bits of the filter for token sets too large to gather: 32 for each token, from 8 MB up to 64 MB.
+FILTER_BITS = (26, 29)
+# Tokens that one such filter serves; more tokens have several, each with its own pass over the texts.
+FILTER_TOKENS = 1 << 24
+# Bits in which filters are merged.
+CHUNK = 1 << 19
+# Texts of one scope that one task works on.
+SCOPE_ROWS = 100_000
 _WORD = 64
 
 
@@ -181,26 +189,58 @@ def _token_bits_udf(width: int):
     return places
 
 
-def _filter_of_table(folded: DataFrame) -> TokenFilter:
-    """Filter of a token table that is not gathered: its words are or-ed together by Spark.
+def _merged_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits of one filter or the other, sorted by chunk, or-ed into one binary value for each chunk."""
+    name, words = None, None
 
-    Its width follows the number of tokens, so that few positions of a text pass by chance. What reaches
-    the driver is bounded by the widest filter and by the number of distinct lengths.
+    def done():
+        return pa.RecordBatch.from_pydict({"kind": pa.array([name[0]], pa.int32()), "chunk": pa.array([name[1]], pa.int64()), "words": [words.tobytes()]})
+
+    for batch in batches:
+        kind, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "place"))
+        chunk = place // CHUNK
+        cuts = np.flatnonzero((np.diff(kind) != 0) | (np.diff(chunk) != 0)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(kind)]):
+            if low == high:
+                continue
+            if (kind[low], chunk[low]) != name:
+                if name:
+                    yield done()
+                name, words = (int(kind[low]), int(chunk[low])), np.zeros(CHUNK // 64, dtype=np.uint64)
+            at = place[low:high] % CHUNK
+            np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    if name:
+        yield done()
+
+
+def _filter_of_table(folded: DataFrame, tokens: int | None = None) -> TokenFilter:
+    """Filter of a token table that is not gathered.
+
+    Its width follows the number of tokens, so that few positions of a text pass by chance. Bits are dealt by chunk and
+    merged there; the driver hands on the merged chunks, bounded by the widest filter, and the distinct lengths.
     """
-    width = max(FILTER_BITS[0], min(FILTER_BITS[1], (32 * folded.count()).bit_length()))
+    tokens = folded.count() if tokens is None else tokens
+    width = max(FILTER_BITS[0], min(FILTER_BITS[1], (32 * tokens).bit_length()))
     bits = folded.select(_token_bits_udf(width)("folded").alias("b")).select("b.*")
     lengths = [r["size"] for r in bits.select("size").distinct().collect()]
-
-    def words(name: str) -> np.ndarray:
-        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col(name), F.lit(_WORD)).cast("int"))
-        rows = (
-            bits.groupBy(F.floor(F.col(name) / _WORD).alias("word")).agg(F.bit_or(one).alias("value")).toPandas()
-        )
-        out = np.zeros(1 << (width - 6), dtype=np.int64)
-        out[rows["word"].to_numpy(dtype=np.int64)] = rows["value"].to_numpy(dtype=np.int64)
-        return out.view(np.uint64)
-
-    return TokenFilter(width, sorted(lengths), words("first"), words("whole"))
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("place")) for i, c in enumerate(("first", "whole"))]))
+    places = bits.select(sides.alias("s")).select("s.kind", "s.place", F.floor(F.col("s.place") / CHUNK).alias("chunk"))
+    dealt = places.repartition("kind", "chunk").sortWithinPartitions("kind", "chunk").select("kind", "place")
+    both = [np.zeros(1 << (width - 6), dtype=np.uint64) for _ in range(2)]
+    for r in dealt.mapInArrow(_merged_chunks, "kind int, chunk long, words binary").collect():
+        at = r["chunk"] * (CHUNK // 64)
+        both[r["kind"]][at : at + CHUNK // 64] = np.frombuffer(r["words"], dtype=np.uint64)
+    return TokenFilter(width, sorted(lengths), *both)
+
+
+def _filters_of_table(folded: DataFrame) -> list[TokenFilter]:
+    """One filter for each FILTER_TOKENS tokens, which are dealt by hash: none gets too full or too large."""
+    tokens = folded.count()
+    parts = max(1, -(-tokens // FILTER_TOKENS))
+    if parts == 1:
+        return [_filter_of_table(folded, tokens)]
+    part = F.pmod(F.xxhash64("folded"), F.lit(parts))
+    return [_filter_of_table(folded.filter(part == i), -(-tokens // parts)) for i in range(parts)]
 
 
 def folded_tokens(tokens: DataFrame, *keys: str) -> DataFrame:
@@ -284,9 +324,15 @@ def matched_tokens(df: DataFrame, column: str, tokens: DataFrame, total: Column)
             return pd.Series([sorted(o) for o in out])
 
         return _per_token(df.withColumn("__hits", hits(column)), total)
-    spans = _candidate_udf(_filter_of_table(folded))
-    maybe = df.withColumn("__hits", F.array_distinct(spans(column)["folded"]))
-    return _per_token(maybe, total).join(folded, "folded", "left_semi")
+    # A token is in one filter's part; what another filter proposes by chance would count a row twice.
+    filters = _filters_of_table(folded)
+    part = F.pmod(F.xxhash64("folded"), F.lit(len(filters)))
+    found = None
+    for i, token_filter in enumerate(filters):
+        maybe = df.withColumn("__hits", F.array_distinct(_candidate_udf(token_filter)(column)["folded"]))
+        some = _per_token(maybe, total).filter(part == i)
+        found = some if found is None else found.unionByName(some)
+    return found.join(folded, "folded", "left_semi")
 
 
 def fail_closed(work: Callable[[list], list], rows: list) -> list:
@@ -322,40 +368,131 @@ def gathered_layer(tokens: DataFrame, mask: str) -> Callable[[DataFrame, str], D
     return lambda df, column: df.withColumn(column, cover(column))
 
 
+def _masking_udf(mask: str):
+    """Masks the found spans of a text; null for none."""
+
+    def covered(rows: list) -> list:
+        return [t if f is None or len(f) == 0 else masked(t, [(s["pos"], s["size"]) for s in f], mask) for t, f in rows]
+
+    @F.pandas_udf("string")
+    def cover(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series(fail_closed(covered, list(zip(texts, found))), dtype=object)
+
+    return cover
+
+
 def joined_layer(tokens: DataFrame, mask: str, by: str | None = None) -> Callable[[DataFrame, str], DataFrame]:
     """The same for token tables of any size, and for tokens that hold only within a scope.
 
     Candidates are confirmed by an equi-join on the token (and ``by``). Equal texts of one scope
     are worked on once and found again by their digest. Rows without a candidate take no part in
     the join; for that the texts are searched twice, which moves far less than a shuffle of all.
+    A table that needs several filters has its distinct texts written and searched once for each.
     """
     keys = [by] if by else []
     folded = folded_tokens(tokens, *keys)
     distinct_tokens = folded.select("folded").distinct()
     small = is_small(distinct_tokens)
-    token_filter = _filter_of_tokens(_gathered(distinct_tokens)) if small else _filter_of_table(distinct_tokens)
-    spans = _candidate_udf(token_filter)
+    filters = [_filter_of_tokens(_gathered(distinct_tokens))] if small else _filters_of_table(distinct_tokens)
+    cover = _masking_udf(mask)
 
-    def covered(rows: list) -> list:
-        return [t if f is None or len(f) == 0 else masked(t, [(s["pos"], s["size"]) for s in f], mask) for t, f in rows]
+    def confirmed(candidates: DataFrame) -> DataFrame:
+        rows = inline_rows(candidates, "__spans", "__digest", *keys).join(folded, ["folded", *keys], "left_semi")
+        return rows.groupBy("__digest", *keys).agg(F.collect_set(F.struct("pos", "size")).alias("__found"))
 
-    @F.pandas_udf("string")
-    def cover(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series(fail_closed(covered, list(zip(texts, found))), dtype=object)
+    def searched(df: DataFrame, column: str, token_filter: TokenFilter) -> DataFrame:
+        return df.withColumn("__spans", F.coalesce(_candidate_udf(token_filter)(column), F.array()))
 
     def apply(df: DataFrame, column: str) -> DataFrame:
-        digest = F.sha2(F.col(column), 256)
-        marked = df.withColumn("__spans", F.coalesce(spans(column), F.array())).withColumn("__digest", digest)
-        clean = keep_where(marked, F.size("__spans") == 0).select(*df.columns)
-        maybe = keep_where(marked, F.size("__spans") > 0)
-        distinct = maybe.select("__digest", *keys, "__spans").dropDuplicates(["__digest", *keys])
-        confirmed = (
-            inline_rows(distinct, "__spans", "__digest", *keys)
-            .join(folded, ["folded", *keys], "left_semi")
-            .groupBy("__digest", *keys)
-            .agg(F.collect_list(F.struct("pos", "size")).alias("__found"))
-        )
-        joined = maybe.drop("__spans").join(confirmed, ["__digest", *keys], "left")
-        return clean.unionByName(joined.withColumn(column, cover(F.col(column), F.col("__found"))).select(*df.columns))
+        digested = df.withColumn("__digest", F.sha2(F.col(column), 256))
+        if len(filters) == 1:
+            marked = searched(digested, column, filters[0])
+            clean = keep_where(marked, F.size("__spans") == 0).select(*df.columns)
+            maybe = keep_where(marked, F.size("__spans") > 0)
+            candidates = maybe.select("__digest", *keys, "__spans").dropDuplicates(["__digest", *keys])
+            joined = maybe.drop("__spans").join(confirmed(candidates), ["__digest", *keys], "left")
+            return clean.unionByName(joined.withColumn(column, cover(F.col(column), F.col("__found"))).select(*df.columns))
+        texts = written(digested.select("__digest", *keys, column).filter(F.col(column).isNotNull()).dropDuplicates(["__digest", *keys]), "texts")
+        candidates = None
+        for token_filter in filters:
+            some = searched(texts, column, token_filter).select("__digest", *keys, "__spans")
+            candidates = some if candidates is None else candidates.unionByName(some)
+        found = written(confirmed(candidates), "found")
+        joined = digested.join(found, ["__digest", *keys], "left")
+        return joined.withColumn(column, cover(F.col(column), F.col("__found"))).select(*df.columns)
 
     return apply
+
+
+def scoped_layer(tokens: DataFrame, mask: str, by: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Masks the tokens of each row's own scope, one matcher for each scope.
+
+    Texts and tokens meet by scope: in a task the tokens of a scope come first, then its texts pass by as a stream, so a
+    text is compared with its scope's tokens only, however many scopes there are. Scopes with many texts are dealt to
+    several tasks, with their tokens in each; scopes whose tokens pass the bounds for gathering are confirmed by a join.
+    Texts of no scope stay as they are, where they are.
+    """
+    folded = folded_tokens(tokens.filter(F.col(by).isNotNull()), by)
+    sizes = folded.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.octet_length("folded")).alias("size"))
+    # Each of these scopes has over SMALL_ROWS tokens or SMALL_BYTES of them, so they are few.
+    large = sizes.filter((F.col("n") > SMALL_ROWS) | (F.col("size") > SMALL_BYTES)).select(by)
+    has_large = not large.isEmpty()
+
+    def apply(df: DataFrame, column: str) -> DataFrame:
+        rest = df.filter(F.col(by).isNull())
+        mine = df.filter(F.col(by).isNotNull())
+        few = folded
+        if has_large:
+            rest = rest.unionByName(joined_layer(tokens.join(F.broadcast(large), by, "left_semi"), mask, by)(mine.join(F.broadcast(large), by, "left_semi").select(*df.columns), column))
+            mine = mine.join(F.broadcast(large), by, "left_anti").select(*df.columns)
+            few = folded.join(F.broadcast(large), by, "left_anti")
+        # Each of these scopes has over SCOPE_ROWS texts, so they are few.
+        busy = mine.groupBy(by).agg(F.ceil(F.count("*") / SCOPE_ROWS).cast("int").alias("__tasks")).filter("__tasks > 1")
+        busy = F.broadcast(busy)
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("__tasks", F.lit(1)) - 1)).alias("__task")
+        held = few.join(busy, by, "left").select(by, each, F.col("folded").alias("__token"))
+        asked = mine.join(busy, by, "left").withColumn("__task", F.pmod(F.xxhash64(column, F.spark_partition_id()), F.coalesce("__tasks", F.lit(1))).cast("int"))
+        other = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != by]
+        both = held.select(by, *other, "__task", "__token").select(*df.columns, "__task", "__token")
+        both = both.unionByName(asked.select(*df.columns, "__task", F.lit(None).cast("string").alias("__token")))
+        dealt = both.withColumn("__scope", F.col(by).cast("string")).repartition("__scope", "__task")
+        dealt = dealt.sortWithinPartitions("__scope", "__task", F.col("__token").asc_nulls_last())
+        return dealt.mapInArrow(_scope_stream(df.columns, column, mask), df.schema).unionByName(rest)
+
+    return apply
+
+
+def _scope_stream(columns: list[str], column: str, mask: str):
+    """Masks texts that come after the tokens of their scope."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, token_filter = None, [], None
+
+        def covered(texts: list) -> list:
+            spans = _exact_spans(_text_list(texts), token_filter, held_set)
+            return [masked(t, spans[i], mask) if i in spans else t for i, t in enumerate(texts)]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scope, task, token = (batch.column(c) for c in ("__scope", "__task", "__token"))
+            kind = token.is_valid().to_numpy(zero_copy_only=False)
+            new = pc.or_(pc.not_equal(scope[1:], scope[:-1]), pc.not_equal(task[1:], task[:-1])).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(new | (kind[1:] != kind[:-1])) + 1
+            out = batch.column(column).to_pylist()
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                own = (scope[low].as_py(), task[low].as_py())
+                if own != name:
+                    name, held, token_filter = own, [], None
+                if kind[low]:
+                    held += token[low:high].to_pylist()
+                    continue
+                if held and token_filter is None:
+                    token_filter, held_set = _filter_of_tokens(held), set(held)
+                if held:
+                    out[low:high] = fail_closed(covered, out[low:high])
+            texts = pa.array(out, batch.schema.field(column).type)
+            made = pa.RecordBatch.from_arrays([texts if c == column else batch.column(c) for c in columns], names=columns)
+            yield made.filter(pa.array(~kind))
+
+    return run

@@ -46,10 +46,11 @@ def token_layer(deny: DataFrame, by: str | None = None) -> Callable[[DataFrame,
     """What masks the deny-list's tokens in a column; made once, applied to any number of columns.
 
     One matching rule whatever the number of tokens: those within bounds go to the tasks, more of
-    them, or tokens scoped by a column, are confirmed by a join. Empty tokens match nothing.
+    them are confirmed by a join, and tokens scoped by a column meet the texts of their scope.
+    Empty tokens match nothing.
     """
     if by:
-        return matcher.joined_layer(deny, TOKEN_MASK, by)
+        return matcher.scoped_layer(deny, TOKEN_MASK, by)
     rows, size = measure(deny)
     if rows > SMALL_ROWS or size > SMALL_BYTES:
         return matcher.joined_layer(deny, TOKEN_MASK)

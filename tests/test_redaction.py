@@ -121,6 +121,58 @@ def test_scoped_tokens(spark):
     assert values(redact.redact_tokens(df, "t", deny, by="s").select("i", "t")) == [f"{MASK} met Bob", f"Ann met {MASK}", "Ann met Bob", f"{MASK} met Bob"]
 
 
+def scoped_rows():
+    """Scopes of very different sizes, among them one with half of the texts, and texts without a scope."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 4)))
+    items = [(i, rng.choice(["hot", f"s{rng.randrange(30)}", None]), " ".join(word() for _ in range(12)) if i % 17 else None) for i in range(400)]
+    deny = [(s, word()) for s in ["hot", "none", None, *(f"s{n}" for n in range(0, 30, 2))] for _ in range(rng.randint(1, 9))]
+    own = {}
+    for s, t in deny:
+        own.setdefault(s, set()).add(t)
+    want = {}
+    for i, s, t in items:
+        listed = sorted(own.get(s, ()) if s else (), key=len, reverse=True)
+        want[i] = re.sub("|".join(map(re.escape, listed)), MASK, t, flags=re.I) if listed and t else t
+    return items, deny, want
+
+
+@pytest.mark.parametrize("busy, most", [(100_000, 100_000), (7, 100_000), (50, 4), (100_000, 0)])
+def test_each_scope_has_its_own_matcher(spark, monkeypatch, busy, most):
+    items, deny, want = scoped_rows()
+    monkeypatch.setattr(matcher, "SCOPE_ROWS", busy)
+    monkeypatch.setattr(matcher, "SMALL_ROWS", most)
+    df = spark.createDataFrame(items, "i INT, s STRING, t STRING").withColumn("more", F.array("s"))
+    out = redact.redact_tokens(df, "t", spark.createDataFrame(deny + [("s1", ""), ("s1", None)], "s STRING, token STRING"), by="s")
+    rows = out.collect()
+    assert out.columns == df.columns and len(rows) == len(items) and {r.i: r.t for r in rows} == want
+    assert all(r.more == [r.s] for r in rows)
+
+
+def test_candidates_of_a_scope_do_not_grow_with_other_scopes(spark):
+    """Tokens of a thousand other scopes stand in every text; a scope's matcher never meets them."""
+    shared = " ".join(f"tok{n}" for n in range(1000))
+    df = spark.createDataFrame([(i, f"s{i}", shared) for i in range(4)], "i INT, s STRING, t STRING")
+    deny = spark.createDataFrame([(f"s{n}", f"tok{n}") for n in range(1000)], "s STRING, token STRING")
+    plan = matcher.scoped_layer(deny, MASK, "s")(df, "t")
+    assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    # tok1 stands in tok10 to tok19 and tok100 to tok199, too.
+    assert {r.i: r.t.count(MASK) for r in plan.collect()} == {0: 1, 1: 111, 2: 111, 3: 111}
+
+
+def test_token_tables_of_several_filters(spark, monkeypatch):
+    """Tokens dealt to several filters by hash are found and counted like those of one."""
+    monkeypatch.setattr(matcher, "is_small", lambda df: False)
+    deny = tokens(spark, *[f"item {i}" for i in range(90)], "abc", "bc d", "é")
+    df = texts(spark, *[f"item {i} and ITEM {i + 60}, abc d É" for i in range(40)], None, "none", *["item 3 twice"] * 5)
+    one = values(matcher.joined_layer(deny, MASK)(df, "t").select("i", "t"))
+    counts = sorted(tuple(r) for r in matcher.matched_tokens(df, "t", deny, F.count("*")).collect())
+    monkeypatch.setattr(matcher, "FILTER_TOKENS", 20)
+    assert len(matcher._filters_of_table(matcher.folded_tokens(deny))) == 5
+    assert values(matcher.joined_layer(deny, MASK)(df, "t").select("i", "t")) == one
+    assert sorted(tuple(r) for r in matcher.matched_tokens(df, "t", deny, F.count("*")).collect()) == counts
+
+
 def test_filter_of_a_large_token_table_equals_the_gathered_one(spark):
     deny = tokens(spark, *[f"Customer#{i:09d}" for i in range(300)], "x", "yz", "日本語")
     known = sorted(r.folded for r in matcher.folded_tokens(deny).collect())
@@ -137,8 +189,8 @@ def test_filter_of_a_large_token_table_equals_the_gathered_one(spark):
 
 
 def test_row_tokens(spark):
-    df = spark.createDataFrame([(0, "Ann met Annabel", ["Ann", "annabel"]), (1, "x", []), (2, "x", None), (3, "a\\Eb", ["a\\Eb"])], "i INT, t STRING, k ARRAY<STRING>")
-    assert values(df.select("i", patterns.redact_row_tokens(F.col("t"), F.col("k")))) == [f"{MASK} met {MASK}", "x", "x", MASK]
+    df = spark.createDataFrame([(0, "Ann met Annabel", ["Ann", "annabel"]), (1, "x", []), (2, "x", None), (3, "a\\Eb", ["a\\Eb"]), (4, "abc Miss", ["Miss", "", None]), (5, "abc", [""])], "i INT, t STRING, k ARRAY<STRING>")
+    assert values(df.select("i", patterns.redact_row_tokens(F.col("t"), F.col("k")))) == [f"{MASK} met {MASK}", "x", "x", MASK, f"abc {MASK}", "abc"]
 
 
 def test_a_hot_text_and_a_hot_token(spark):
