@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from checks import sql
 from checks import views as V
 from checks.billing import RUN, _with_lines, documents
-from checks.registry import query
+from checks.registry import ORACLES, query
 from checks.text import MASK, _alternation, _log_deny, logs_sql
 from tallyveil.functions.surrogate import Surrogates
 from tallyveil.operators import deid, integrity, lookup, redact
 from tallyveil.plans.scale import shared_folder
 from tallyveil.sources import html, versions
-from tallyveil.streaming import jobs
+from tallyveil.streaming import jobs, waiting
 
 SALT = "check-salt"
 
@@ -135,10 +135,10 @@ def _folders(s, *names):
 ARRIVALS = 3
 
 
-def _arriving(s, df, part_of, start):
+def _arriving(s, df, part_of, start, parts=ARRIVALS):
     """Rows of a table arrive by the number of their part; ``start`` begins a stream over what has arrived so far."""
     source = _folders(s, "arrived")[0]
-    for part in range(ARRIVALS):
+    for part in range(parts):
         df.filter(part_of == part).write.mode("append").parquet(source)
         _finished(start(s.readStream.schema(df.schema).parquet(source)))
 
@@ -202,3 +202,18 @@ query(
     "extract_stream", _document_stream,
     f"WITH {sql.DOCUMENTS} SELECT seq, currency, n AS lines, sha AS integrity_sha256 FROM docs",
 )
+
+
+def _keyed_stream(s, sf):
+    out, checkpoint = _folders(s, "keyed", "keyed-progress")
+    pages = html.lines_from_html(V.pages(s, sf)).select("seq", "dom_lines")
+    start = lambda capture: waiting.extract_keyed_stream(capture, out, checkpoint, RUN, pages, patience=1, salts=4)
+    # As above; the exchanges of other paths come last, when only what no search names is left to time out.
+    searched, other = F.col("url").endswith("/search"), ~F.col("url").contains("/call_kw/")
+    part = F.when(other, 3).when(searched, 1).otherwise(F.col("seq") % 2 * 2)
+    _arriving(s, V.capture(s, sf), part, start, ARRIVALS + 1)
+    return waiting.keyed_documents(s, out).select(
+        "seq", F.col("invoice.currency").alias("currency"), F.size("lines").alias("lines"), "metadata.integrity_sha256")
+
+
+query("extract_keyed_stream", _keyed_stream, ORACLES["extract_stream"])

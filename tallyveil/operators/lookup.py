@@ -97,12 +97,16 @@ def resolve_currency(df: DataFrame, codes: DataFrame, key: list[str] | None = No
     return resolved.select(*[c for c in columns if c != "invoice_currency_id"])
 
 
-def unresolved_currencies(df: DataFrame, codes: DataFrame) -> DataFrame:
-    """Rows whose header or lines have a currency id without an embedded code that ``codes`` lacks."""
+def asked_currencies() -> Column:
+    """The currency ids of a header and its lines that have no embedded code."""
     header = F.when(coerce.filled(F.col("invoice.currency")).isNull(), F.col("invoice_currency_id"))
     lines = F.transform("lines", lambda l: F.when(coerce.filled(l["currency"]).isNull(), l["currency_id"]))
-    wanted = F.array_compact(F.array_distinct(F.concat(F.array(header), lines)))
-    rows = df.select("*", F.explode_outer(wanted).alias("__wanted")).filter(F.col("__wanted").isNotNull())
+    return F.array_compact(F.array_distinct(F.concat(F.array(header), lines)))
+
+
+def unresolved_currencies(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows whose header or lines have a currency id without an embedded code that ``codes`` lacks."""
+    rows = df.select("*", F.explode_outer(asked_currencies()).alias("__wanted")).filter(F.col("__wanted").isNotNull())
     known = codes.select(F.col("currency_id").alias("__wanted"))
     return rows.join(known, "__wanted", "left_anti").drop("__wanted")
 

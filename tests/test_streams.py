@@ -1,9 +1,13 @@
+import json
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tallyveil.operators import redact
 from tallyveil.plans.extraction import RunInfo, extract_documents
 from tallyveil.sources import versions
-from tallyveil.streaming import jobs
+from tallyveil.streaming import jobs, waiting
 
 from .samples import EUR_ID, MOVE, SEARCH, captured, exchange
 
@@ -101,6 +105,72 @@ def test_documents_wait_for_their_currency(spark, tmp_path):
         assert len([p for p in (tmp_path / name / "codes").iterdir() if p.name.startswith("slot=")]) <= 2
 
 
+@pytest.mark.parametrize("cuts", [[5], [2, 3], [1, 1, 1, 1, 1]])
+def test_keyed_waiting_equals_the_batch_form(spark, tmp_path, cuts, monkeypatch):
+    bare = dict(MOVE, invoice_line_ids=[dict(l, currency_id=False) for l in MOVE["invoice_line_ids"]])
+    never = dict(bare, currency_id={"id": 999})
+    rows = [exchange(5, "read", {"result": never}), exchange(1, "read", {"result": bare}), exchange(2, "read", {"error": 1}),
+            exchange(3, "search_read", {"result": SEARCH}), exchange(4, "read", {"result": bare})]
+    whole = extract_documents(captured(spark, *rows), RunInfo(extracted_at="t"))
+    want = sorted(map(str, whole.documents.filter("seq <> 5").collect()))
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for n in cuts:
+        batch, rows = rows[:n], rows[n:]
+        add(captured(spark, *batch), source)
+        stream = spark.readStream.schema(captured(spark, *batch).schema).parquet(source)
+        done(waiting.extract_keyed_stream(stream, out, progress, RunInfo(extracted_at="t"), salts=2))
+    # What no search names waits, and is written by no batch.
+    assert sorted(map(str, waiting.keyed_documents(spark, out).collect())) == want
+    assert [r.seq for r in versions.committed(spark, f"{out}/rejects").collect()] == [2]
+
+
+class Store(dict):
+    """A map state, and a count of what is read and written."""
+
+    work = 0
+
+    def containsKey(self, key):
+        Store.work += 1
+        return key in self
+
+    getValue = dict.__getitem__
+
+    def updateValue(self, key, value):
+        Store.work += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        Store.work += len(self)
+        return iter(list(self.items()))
+
+
+def test_a_batch_does_not_touch_what_waits(monkeypatch):
+    """With ten thousand waiting records, a batch works as with ten, until a code that was unknown comes."""
+    def frame(*rows):
+        return iter([pd.DataFrame(rows, columns=["seq", "record_pos", "record", "asks", "codes"])])
+
+    def code(seq, currency, name):
+        return (seq, 0, None, None, json.dumps([{"pos": 0, "currency_id": currency, "code": name}]))
+
+    costs = []
+    for n in (10, 10_000):
+        keyed = waiting.WaitingRecords(None)
+        keyed.codes, keyed.records = Store({(1,): ("EUR", 5, 0)}), Store({(i, 0): (f"r{i}", "[7]", 0) for i in range(n)})
+        Store.work = 0
+        rows = [(90_000, 0, "a", "[1]", None), (90_001, 0, "b", "[]", None), (90_002, 0, "c", "[7, 1]", None), code(4, 1, "OLD"), code(6, 1, "EUX")]
+        out = [tuple(r) for f in keyed.handleInputRows(None, frame(*rows), None) for r in f.itertuples(index=False)]
+        costs.append(Store.work)
+        assert out == [("a", '[{"currency_id": 1, "code": "EUX"}]'), ("b", "[]")]
+        monkeypatch.setattr(waiting, "HELD", 4)
+        late = [tuple(r) for f in keyed.handleInputRows(None, frame(code(9, 7, "SEK"), *[(91_000 + i, 0, "d", "[7]", None) for i in range(9)]), None) for r in f.itertuples(index=False)]
+        monkeypatch.undo()
+        assert len(late) == n + 1 + 9 and not keyed.records
+    assert costs[0] == costs[1]
+
+
 def test_a_new_checkpoint_adds_to_what_is_there(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for i, progress in enumerate(("first", "second")):
