@@ -456,6 +456,8 @@ _EVERY_PRINT_SQL = f"""WITH {sql.INVOICES} SELECT inv.seq, sha256('[' || coalesc
   FROM inv LEFT JOIN ln ON ln.seq = inv.seq GROUP BY inv.seq"""
 query("lines_fingerprint", lambda s, sf: _with_lines(s, sf).select("seq", jsontext.lines_fingerprint(F.col("lines")).alias("integrity_sha256")), _EVERY_PRINT_SQL)
 query("fingerprint_flat_lines", lambda s, sf: integrity.fingerprint_flat(V.lines(s, sf), "seq"), _PRINT_SQL)
+query("fingerprint_flat_every_invoice",
+      lambda s, sf: integrity.fingerprint_flat(V.lines(s, sf), "seq", headers=V.table(s, sf, "orders").select(F.col("o_orderkey").alias("seq"))), _EVERY_PRINT_SQL)
 # Pieces of two lines, so that the running hash does most of the work.
 query("fingerprint_streamed_pieces", lambda s, sf: integrity.fingerprint_flat(V.lines(s, sf), "seq", chunk=2), _PRINT_SQL)
 

@@ -11,9 +11,10 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyveil.plans.scale import shared_folder, spread
+from tallyveil.plans.scale import numbered_within, shared_folder, spread
 from tallyveil.schema import MONEY
 
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 CALL = "https://erp.example/web/dataset/call_kw/account.move"
 
 
@@ -74,26 +75,26 @@ def nested_lines(spark: SparkSession, sf: str) -> DataFrame:
     """(k, items): the lines of each invoice in order."""
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     items = _amounts(table(spark, sf, "lineitem")).join(parts, "l_partkey", "left")
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
-    kept = F.struct(*order, "subtotal", "total", "p_name")
+    kept = F.struct(*LINE_ORDER, "subtotal", "total", "p_name")
     return items.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(kept)).alias("items"))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """The flat line table in the shape of the document's lines, with a dense line_index."""
-    flat = nested_lines(spark, sf).select("k", F.posexplode("items").alias("line_index", "i"))
+    ensure_shared_folder(spark)
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    flat = numbered_within(_amounts(table(spark, sf, "lineitem")).join(parts, "l_partkey", "left"), "l_orderkey", LINE_ORDER, "line_index")
     return flat.select(
-        F.col("k").alias("seq"), "line_index",
-        F.col("i.p_name").alias("product"),
-        F.concat(F.col("i.p_name"), F.lit(", lot "), F.col("i.l_suppkey").cast("string")).alias("description"),
-        F.col("i.l_quantity").alias("quantity"),
-        F.col("i.l_extendedprice").alias("unit_price"),
-        F.array(tax_tag(F.col("i.l_tax"))).alias("taxes"),
-        F.col("i.subtotal").alias("subtotal"),
-        F.col("i.total").alias("total"),
+        F.col("l_orderkey").alias("seq"), F.col("line_index").cast("int").alias("line_index"),
+        F.col("p_name").alias("product"),
+        F.concat(F.col("p_name"), F.lit(", lot "), F.col("l_suppkey").cast("string")).alias("description"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("unit_price"),
+        F.array(tax_tag(F.col("l_tax"))).alias("taxes"),
+        "subtotal", "total",
         F.lit("EUR").alias("currency"),
         F.lit("json-rpc").alias("source"),
-        (F.col("i.total") - F.col("i.subtotal")).cast(MONEY).alias("tax_amount"),
+        (F.col("total") - F.col("subtotal")).cast(MONEY).alias("tax_amount"),
     )
 
 

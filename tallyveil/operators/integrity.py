@@ -62,12 +62,13 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.withColumn("metadata", F.col("metadata").withField("integrity_sha256", sha))
 
 
-def fingerprint_flat(lines: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
+def fingerprint_flat(lines: DataFrame, key: str, chunk: int = CHUNK, headers: DataFrame | None = None) -> DataFrame:
     """Fingerprint per invoice from a flat line table with dense line indices.
 
     Lines are rendered where they lie and gathered in pieces of at most ``chunk`` lines, so one
     huge invoice spreads over many tasks. An invoice that fits one piece is hashed at once. The
     pieces of the others are streamed in order through a running hash, never held together.
+    With ``headers``, their invoices without lines get the fingerprint of no lines.
     """
     text = line_json(F.struct(*[F.col(f) for f in LINE.fieldNames()]))
     pieces = (
@@ -109,7 +110,11 @@ def fingerprint_flat(lines: DataFrame, key: str, chunk: int = CHUNK) -> DataFram
             digest.update(b"]")
             yield pd.DataFrame([(current, digest.hexdigest())], columns=[key, "integrity_sha256"])
 
-    return small.unionByName(large.mapInPandas(running, f"{key} {key_type}, integrity_sha256 string"))
+    done = small.unionByName(large.mapInPandas(running, f"{key} {key_type}, integrity_sha256 string"))
+    if headers is None:
+        return done
+    bare = headers.select(key).distinct().join(lines.select(key).distinct(), key, "left_anti")
+    return done.unionByName(bare.withColumn("integrity_sha256", F.sha2(F.lit("[]").cast("binary"), 256)))
 
 
 def verify_documents(docs: DataFrame) -> DataFrame:

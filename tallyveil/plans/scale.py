@@ -2,8 +2,12 @@
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A side is broadcast, or gathered for a matcher, only below both bounds.
 SMALL_ROWS = 100_000
@@ -42,6 +46,46 @@ def own_key(df: DataFrame, name: str = "__key") -> DataFrame:
     return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def _places(batches):
+    """Adds the task's number, and each row's place among the task's rows of its key; rows come sorted by key."""
+    from pyspark import TaskContext
+
+    task, last, held = TaskContext.get().partitionId(), (), 0
+    for batch in batches:
+        key = batch.column("__key")
+        n = batch.num_rows
+        if not n:
+            continue
+        differ = pc.fill_null(pc.not_equal(key[1:], key[:-1]), True).to_numpy(zero_copy_only=False)
+        none = key.is_null().to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.flatnonzero(differ & ~(none[1:] & none[:-1])) + 1])
+        place = np.arange(n) - np.repeat(first, np.diff([*first, n]))
+        if last == (key[0].as_py(),):
+            place[: first[1] if len(first) > 1 else n] += held
+        last, held = (key[n - 1].as_py(),), int(place[-1]) + 1
+        yield batch.append_column("__task", pa.array(np.full(n, task, np.int32))).append_column("__place", pa.array(place, pa.int64()))
+
+
+def numbered_within(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 within each key by ``order``, null keys too, whatever share of the rows a key has.
+
+    Rows are sorted by ranges of key and order, so a key with very many rows lies in several tasks. Each task numbers its
+    own; only keys at the edges of tasks need an offset, at most one key for each edge. The table is written in between.
+    """
+    tagged = df.withColumn("__key", F.col(key).cast("string"))
+    by = ["__key", *order]
+    schema = T.StructType([*tagged.schema.fields, T.StructField("__task", T.IntegerType()), T.StructField("__place", T.LongType())])
+    rows = written(tagged.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_places, schema), "numbered")
+    group = F.struct("__key").alias("__group")
+    edges = rows.groupBy("__task").agg(F.min(group).alias("low"), F.max(group).alias("high"))
+    shared = edges.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("__group")).groupBy("__group").count().filter("count > 1")
+    held = rows.select(group, "__task").join(F.broadcast(shared), "__group", "left_semi").groupBy("__group", "__task").count()
+    before = Window.partitionBy("__group").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select("__group", "__task", F.sum("count").over(before).alias("__before"))
+    out = rows.withColumn("__group", group).join(F.broadcast(offsets), ["__group", "__task"], "left")
+    return out.select(*df.columns, (F.col("__place") + F.coalesce("__before", F.lit(0))).alias(name))
+
+
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """Keep the rows of a condition on derived columns.
 

@@ -81,3 +81,24 @@ def test_tagging_parses_once_and_moves_nothing(stored):
         logical, physical = plan(extraction.tagged_records(stored, mode)).split("== Physical Plan ==")
         assert logical.count("parseJson(response") == logical.count("parseJson(request") == 1
         assert logical.count("StructField(price_subtotal") == 1 and "Exchange" not in physical
+
+
+def test_numbers_within_hot_and_missing_keys(spark, monkeypatch):
+    """A key with most of the rows lies in several tasks, and its numbers have no gap."""
+    rows = [(("hot" if i % 3 else None) if i % 10 else f"k{i % 70}", i * 7919 % 4001, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k STRING, x INT, i INT").repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    real, kept = scale.written, []
+    monkeypatch.setattr(scale, "written", lambda *a: kept.append(real(*a)) or kept[-1])
+    try:
+        got = scale.numbered_within(df, "k", ["x", "i"], "n")
+        tasks = kept[0].filter("k = 'hot'").select("__task").distinct().count()
+        found = sorted((r.k or "", r.n, r.i) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want, seen = [], {}
+    for k, x, i in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        want.append((k or "", seen.setdefault(k, 0), i))
+        seen[k] += 1
+    assert found == want and got.columns == ["k", "x", "i", "n"] and tasks > 1
+    assert scale.numbered_within(df.limit(0), "k", ["x"], "n").count() == 0
