@@ -1,5 +1,7 @@
 """Writing documents as JSON, and checking JSON against the strict document schema."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from tallyveil import schema
 from tallyveil.functions import coerce
 from tallyveil.functions.money import let
 from tallyveil.plans.scale import inline_rows, keep_where
+from tallyveil.sources import versions
 
 DOCUMENT = ("metadata", "invoice", "lines", "checks")
 REQUIRED = {
@@ -53,8 +56,18 @@ def document_json(docs: DataFrame, *keys: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
-    """JSON Lines, one document per line, nulls kept, an existing folder replaced."""
-    docs.select(*_document()).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """JSON Lines, one document per line, nulls kept, an existing folder replaced.
+
+    The new documents are written beside the old ones and take their place when all are there; a write that fails
+    leaves the old ones as they are.
+    """
+    spark, staged = docs.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    try:
+        docs.select(*_document()).write.option("ignoreNullFields", "false").json(staged)
+    except Exception:
+        versions.remove(spark, staged)
+        raise
+    versions.put_in_place(spark, staged, path)
 
 
 def read_documents(spark, path: str) -> DataFrame:

@@ -260,6 +260,17 @@ def test_written_documents_are_valid_and_read_back(spark, tmp_path):
     assert valid.count() == 1 and bad.count() == 0
 
 
+def test_a_failing_write_leaves_the_old_documents(spark, tmp_path):
+    capture = captured(spark, exchange(2, "web_read", {"result": [MOVE]}))
+    docs = extract_documents(capture, RUN).documents
+    path = str(tmp_path / "docs")
+    files.write_documents(docs, path)
+    broken = docs.withColumn("seq", F.raise_error(F.lit("lost"))).filter("seq = 1").drop("seq")
+    with pytest.raises(Exception, match="lost"):
+        files.write_documents(broken, path)
+    assert files.read_documents(spark, path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["docs"]
+
+
 def test_violations(spark):
     bad = {"metadata": {"tool_version": "1", "extracted_at": "x", "source": "s", "deidentified": "maybe"}, "extra": 1,
            "invoice": {"customer": None, "zz": 1}, "lines": [{"line_index": -1, "product": "p", "quantity": "x", "unit_price": 1, "subtotal": None, "total": "5", "taxes": ["a", 1]}, 5],
