@@ -70,6 +70,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables of one run, each written to the shared folder before later work reads it, and removed when none does."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._held = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_folder(self._spark, name)
+        df.write.parquet(path)
+        table = self._spark.read.schema(df.schema).parquet(path)
+        self._held.append((table, path))
+        return table
+
+    def remove(self, *tables: DataFrame) -> None:
+        self._remove(lambda held: any(held is t for t in tables))
+
+    def remove_all_but(self, *tables: DataFrame) -> None:
+        self._remove(lambda held: not any(held is t for t in tables))
+
+    def _remove(self, which: Callable[[DataFrame], bool]) -> None:
+        jvm = self._spark.sparkContext._jvm
+        for table, path in [x for x in self._held if which(x[0])]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        self._held = [x for x in self._held if not which(x[0])]
+
+
 def crc_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % folds

@@ -12,7 +12,10 @@
 4. Components of the links by alternating star contraction, written to the shared folder in each round.
 5. What the forest left apart is joined exactly: with shingles in one order, rare ones first, two sets as similar as
    asked share one of their first shingles, at places that leave enough shingles behind (prefix and positional filter).
-   Sets of different components that do so are confirmed on their texts, and the links between components contracted.
+   In the smaller of two such sets that shingle stands further ahead still, and their sizes lie close: a posting meets
+   only those of a fitting class of sizes, and a shingle that stands too far back in all its sets meets nothing, however
+   many texts share it. Sets of different components that meet are confirmed on their texts, and the links between
+   components contracted.
 
 The forest only saves work: it joins large groups, so that step 5 never expands a group into pairs of its own. No link is
 missed, whatever the forest proposes; the tests compare with brute force. Shingle counts in ``1 << COUNTED`` buckets
@@ -27,13 +30,14 @@ differ, its links are confirmed on the last text in byte order. An empty table g
 """
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import LOWER, WHITE, blocks, mixed, small_batches, span_hashes, stored, text_bytes, word_spans
+from tallyveil.llm.common import LOWER, WHITE, Steps, blocks, mixed, small_batches, span_hashes, text_bytes, word_spans
 
 #: Coordinates of a signature; an order starts at every fourth and is PREFIX coordinates deep.
 WIDTH = 64
@@ -48,6 +52,9 @@ BATCH = 10_000
 #: Bits of a shingle that choose the bucket of its count; a table's buckets travel in CHUNKS parts.
 COUNTED = 22
 CHUNKS = 64
+#: What postings of two sets must have in common to meet: a shingle, the smaller set's class of sizes, and whether that set
+#: is of the shingle's main part.
+MEET = ["shingle", "sizes", "in_main"]
 
 _SEEDS = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FACTORS = mixed(_SEEDS) | np.uint64(1)
@@ -277,7 +284,7 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, steps: Steps | None = None) -> DataFrame:
     """(id, component) of every linked id, component its smallest reachable id.
 
     Large-star and small-star steps in turn move all of a node's neighbours to its smallest one until nothing changes.
@@ -302,10 +309,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return row["n"], row["h"]
 
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    steps = steps or Steps(links.sparkSession)
+    edges = steps.stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = mark(edges)
     while seen[0]:
-        edges = stored(star(star(edges, True), False), name)
+        before, edges = edges, steps.stored(star(star(edges, True), False), "edges")
+        steps.remove(before)
         now = mark(edges)
         if now == seen:
             break
@@ -323,7 +332,26 @@ def _shared_counts(sketch: DataFrame):
     return sketch.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
 
-def _pairs_apart(rows: DataFrame, classes: DataFrame, parts: DataFrame, shared, size: int, percent: int) -> DataFrame:
+def _size_class(n: str, percent: int) -> str:
+    """The class of a set's size: sizes as close as the share asks lie in one class or in two that follow each other."""
+    return f"{n}" if percent == 100 else f"cast(floor(ln({n}) / {math.log(100 / percent)}) AS long)"
+
+
+def _sides(flat: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Postings as those of a pair's smaller set and of its larger one, which meet by ``MEET``."""
+    small = flat.filter("ahead").select("shingle", F.expr(_size_class("n", percent)).alias("sizes"), "in_main", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "part", "place")])
+    # The larger set of a pair: sizes of partners that its place leaves possible, down to the share asked.
+    most = f"least(n, ({100 + percent} * (n - place) - {percent} * n) div {percent})"
+    fewest = f"({percent} * n + 99) div 100"
+    large = flat.withColumn("most", F.expr(most)).withColumn("fewest", F.expr(fewest)).filter("fewest <= most")
+    sizes = F.explode(F.expr(f"sequence({_size_class('fewest', percent)}, {_size_class('most', percent)})"))
+    large = large.select("shingle", sizes.alias("sizes"), "in_main", "fewest", "most", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "part", "place")])
+    mains = F.when(F.col("in_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    large = large.withColumn("in_main", F.explode(mains))
+    return small, large
+
+
+def _pairs_apart(steps: Steps, rows: DataFrame, classes: DataFrame, parts: DataFrame, shared, size: int, percent: int) -> DataFrame:
     """(a, b, part_a, part_b): all pairs of classes in different parts that may be as similar as asked.
 
     ``parts`` has (id, component) of the classes that are joined to others already.
@@ -332,16 +360,19 @@ def _pairs_apart(rows: DataFrame, classes: DataFrame, parts: DataFrame, shared,
     firsts = texts.mapInArrow(_prefixes(size, percent, shared), "id long, digest binary, n long, first binary").filter("n > 0")
     firsts = firsts.join(classes.select("id", "digest"), ["id", "digest"]).groupBy("id", "digest").agg(F.min("n").alias("n"), F.min("first").alias("first"))
     firsts = firsts.join(parts, "id", "left").select("id", "n", "first", F.coalesce("component", "id").alias("part"))
-    flat = stored(firsts, "firsts").mapInArrow(_postings, "shingle long, place long, id long, n long, part long")
-    met = flat.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most")
-    flat = stored(flat.join(met.select("shingle"), "shingle", "left_semi"), "postings")
+    firsts = steps.stored(firsts, "firsts")
+    flat = firsts.mapInArrow(_postings, "shingle long, place long, id long, n long, part long")
+    # So far ahead the shingle stands in the smaller set of a pair, or in both of equal size.
+    flat = flat.withColumn("ahead", F.expr(f"{100 + percent} * (n - place) >= {2 * percent} * n"))
+    met = flat.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max("ahead").alias("ahead"))
+    flat = steps.stored(flat.join(met.filter("ahead AND least < most").select("shingle"), "shingle", "left_semi"), "postings")
+    steps.remove(firsts)
     # Of a shingle's parts the largest is never met with itself, so a group's common shingles stay one row each.
     main = flat.groupBy("shingle", "part").count().groupBy("shingle").agg(F.max(F.struct("count", "part")).alias("top"))
-    left = flat.join(main.select("shingle", F.col("top.part").alias("main")), "shingle").filter("part <> main").drop("main")
-    left = left.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "part", "place")])
-    right = flat.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "part", "place")])
-    enough = f"{100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
-    met = left.join(right, "shingle").filter("part_a <> part_b").filter(enough)
+    flat = flat.join(main.select("shingle", F.col("top.part").alias("main")), "shingle").withColumn("in_main", F.col("part") == F.col("main"))
+    small, large = _sides(flat, percent)
+    enough = f"n_a BETWEEN fewest AND most AND {100 + percent} * (n_a - place_a) >= {percent} * (n_a + n_b)"
+    met = small.join(large, MEET).filter("part_a <> part_b").filter(enough)
     swap = F.col("id_a") > F.col("id_b")
     pick = lambda c, x, y: F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}"))
     return met.select(pick("id", "a", "b").alias("a"), pick("id", "b", "a").alias("b"), pick("part", "a", "b").alias("part_a"), pick("part", "b", "a").alias("part_b")).distinct()
@@ -350,11 +381,12 @@ def _pairs_apart(rows: DataFrame, classes: DataFrame, parts: DataFrame, shared,
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; see the module. ``percent``: least similarity in hundredths."""
     rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sketch = stored(rows.mapInArrow(_sketch(shingle), "key long, n long, digest binary, mark binary, low binary"), "sketch")
-    shared = _shared_counts(sketch)
-    sketch = sketch.filter("n >= 0")
+    steps = Steps(documents.sparkSession)
+    sketched = steps.stored(rows.mapInArrow(_sketch(shingle), "key long, n long, digest binary, mark binary, low binary"), "sketch")
+    shared = _shared_counts(sketched)
+    sketch = sketched.filter("n >= 0")
     full = sketch.filter(F.col("digest").isNotNull() & F.col("key").isNotNull())
-    classes = stored(full.groupBy("digest").agg(F.min("key").alias("id"), F.min("mark").alias("mark"), F.min("low").alias("low")), "classes")
+    classes = steps.stored(full.groupBy("digest").agg(F.min("key").alias("id"), F.min("mark").alias("mark"), F.min("low").alias("low")), "classes")
     least = least_agreement(percent / 100)
     step = WIDTH // ORDERS
     orders = classes.select("id", "mark", "low", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("order"))
@@ -364,13 +396,13 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     sorted_ = orders.repartitionByRange(parts, "order", "prefix", "id").sortWithinPartitions("order", "prefix", "id")
     pairs = sorted_.mapInArrow(_candidates(least), "a long, b long, agree int, hub long")
     pairs = pairs.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("hub").alias("hub"))
-    pairs = stored(pairs, "candidates")
+    pairs = steps.stored(pairs, "candidates")
     keys = full.agg(F.count("key").alias("n"), F.countDistinct("key").alias("d")).first()
 
     def texts_of(pairs):
         involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         texts = rows.select(F.col("key").alias("id"), "text").join(involved.hint("shuffle_hash"), "id", "left_semi")
-        return stored(texts if keys["n"] == keys["d"] else texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
+        return steps.stored(texts if keys["n"] == keys["d"] else texts.groupBy("id").agg(F.max("text").alias("text")), "texts")
 
     texts = texts_of(pairs)
     # Each row with the hub it agrees with most; then what those links leave apart.
@@ -378,22 +410,24 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     best = pairs.filter("hub IS NOT NULL").withColumn("spoke", spoke).groupBy("spoke").agg(F.max(F.struct("agree", (-F.col("hub")).alias("hub"))).alias("top"))
     first = best.select(F.least("spoke", -F.col("top.hub")).alias("a"), F.greatest("spoke", -F.col("top.hub")).alias("b")).distinct()
     with small_batches(documents.sparkSession):
-        joined = stored(_links(first, texts, shingle, percent), "links")
-    label = stored(components(joined), "labels")
+        joined = steps.stored(_links(first, texts, shingle, percent), "links")
+    label = steps.stored(components(joined, steps), "labels")
     of = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"{side}_in"))
     rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.withColumn("x", F.coalesce("a_in", "a")).withColumn("y", F.coalesce("b_in", "b")).filter("x <> y")
     with small_batches(documents.sparkSession):
-        more = stored(_links(rest, texts, shingle, percent), "links")
-    whole = stored(components(joined.unionByName(more)), "components")
-    apart = stored(_pairs_apart(rows, classes, whole, shared, shingle, percent), "apart")
+        more = steps.stored(_links(rest, texts, shingle, percent), "links")
+    whole = steps.stored(components(joined.unionByName(more), steps), "components")
+    steps.remove_all_but(sketched, classes, whole)
+    apart = steps.stored(_pairs_apart(steps, rows, classes, whole, shared, shingle, percent), "apart")
     if not apart.isEmpty():
         with small_batches(documents.sparkSession):
-            found = stored(_links(apart, texts_of(apart), shingle, percent), "links")
+            found = steps.stored(_links(apart, texts_of(apart), shingle, percent), "links")
         bridges = found.join(apart, ["a", "b"]).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
-        moved = stored(components(bridges), "moved").select(F.col("id").alias("part"), F.col("component").alias("target"))
+        moved = steps.stored(components(bridges, steps), "moved").select(F.col("id").alias("part"), F.col("component").alias("target"))
         ids = classes.select("id").distinct().join(whole, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
-        whole = ids.join(moved, "part", "left").select("id", F.coalesce("target", "part").alias("component"))
+        whole = steps.stored(ids.join(moved, "part", "left").select("id", F.coalesce("target", "part").alias("component")), "components")
+    steps.remove_all_but(sketched, classes, whole)
     named = sketch.select("key", "n", "digest").join(classes.select("digest", "id"), "digest", "left")
     named = named.join(whole, "id", "left")
     return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id", "key").alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

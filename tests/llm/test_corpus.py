@@ -104,6 +104,46 @@ def test_twins_among_texts_just_below_the_threshold(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+@pytest.mark.parametrize("size, percent", [(3, 85), (3, 100), (2, 50)])
+def test_sets_of_many_sizes_equal_all_pairs(spark, size, percent):
+    """Texts cut to all lengths around the share asked, some of them changed, where the forest may propose none."""
+    rng, texts = random.Random(8), []
+    for g in range(12):
+        base = [f"v{rng.randrange(40)}" for _ in range(rng.choice((8, 20, 60)))]
+        for cut in range(0, len(base) // 2, 2):
+            one = base[cut:] if rng.random() < 0.5 else base[: len(base) - cut]
+            if rng.random() < 0.4:
+                one = [*one, f"z{g}-{cut}"]
+            texts.append(" ".join(one))
+    rows = list(enumerate(texts))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=size, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == classes(rows, size, percent)
+
+
+def test_a_common_template_gives_no_pairs_of_its_texts(spark, monkeypatch):
+    """Pages that differ from a template in one word each: all share its shingles, and none are as similar as asked."""
+    met, sides = [], neardup._sides
+
+    def seen(flat, percent):
+        small, large = sides(flat, percent)
+        met.append(small.join(large, neardup.MEET).count())
+        return small, large
+
+    monkeypatch.setattr(neardup, "_sides", seen)
+    for n in (150, 600):
+        rows = [(i, " ".join(f"u{i}" if j == 2 + i % 32 else f"t{j}" for j in range(36))) for i in range(n)]
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()
+        assert all(r["component_id"] == r["doc_id"] for r in got)
+    assert met[1] <= 4 * met[0] + 600
+
+
+def test_no_intermediate_table_but_those_of_the_result_stays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda spark, name, n=iter(range(10**6)): f"{tmp_path}/{name}-{next(n)}")
+    rows = spark.createDataFrame(near_corpus(20), "doc_id long, text string")
+    neardup.near_duplicates(rows, shingle=3, percent=85).collect()
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["classes", "components", "sketch"]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long_ = "x y z " * 20_000
     rows = [(1, None), (2, ""), (3, " \n"), (None, "a b c"), (5, "a b c"), (6, "A  b\tc"), (7, long_), (8, long_ + "end"), (9, "a b c"), (9, "a b c"), (None, None)]
