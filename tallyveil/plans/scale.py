@@ -1,6 +1,8 @@
 """Size checks and shared folders used by the operators."""
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -9,10 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyveil.sources import versions
+
 # A side is broadcast, or gathered for a matcher, only below both bounds.
 SMALL_ROWS = 100_000
 SMALL_BYTES = 16 << 20
 
+# The folder, below the shared one, of the work in hand; empty where its tables are to stay.
+_WORK: ContextVar[str] = ContextVar("work", default="")
+
 
 def measure(df: DataFrame) -> tuple[int, int]:
     """Rows and bytes of a table, counted by partial sums; only the two numbers reach the driver."""
@@ -105,12 +112,34 @@ def inline_rows(df: DataFrame, column: str, *keys) -> DataFrame:
     return rows.select(*kept, *[F.col("__item")[n].alias(n) for n in names])
 
 
+def _shared_root(spark: SparkSession) -> str | None:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return root and root.rstrip("/")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's checkpoint folder, reachable by all executors."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = _shared_root(spark)
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root}{_WORK.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def intermediates_removed(spark: SparkSession):
+    """Intermediate tables that are written inside go at the end, after an error too.
+
+    They may hold texts as they were before any scrubbing. Results are lazy and read these tables: write or collect them
+    before the end.
+    """
+    before = _WORK.set(f"{_WORK.get()}/work-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        root, work = _shared_root(spark), _WORK.get()
+        _WORK.reset(before)
+        if root:
+            versions.remove(spark, root + work)
 
 
 def written(df: DataFrame, name: str, parts: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """Inputs shared by the tests."""
 
 import json
+import os
 
+from tallyveil.plans.scale import shared_folder
 from tallyveil.schema import CAPTURE
 
 CALL = "https://erp.example/web/dataset/call_kw/account.move"
@@ -69,3 +71,8 @@ def variants(spark, *values):
 def values(df):
     """The single value column of rows (i, x), in order of i."""
     return [r[1] for r in sorted(df.collect(), key=lambda r: r[0])]
+
+
+def shared_names(spark):
+    """What lies in the folder that all executors share."""
+    return set(os.listdir(shared_folder(spark, "x").removeprefix("file:").rsplit("/", 1)[0]))

@@ -1,11 +1,13 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from tallyveil.operators import extract
+from tallyveil.operators import extract, redact
 from tallyveil.plans import extraction, scale
 from tallyveil.sources import capture as exchanges
 
-from .samples import MOVE, captured, exchange
+from .samples import MOVE, captured, exchange, shared_names
 
 
 def plan(df):
@@ -102,3 +104,33 @@ def test_numbers_within_hot_and_missing_keys(spark, monkeypatch):
         seen[k] += 1
     assert found == want and got.columns == ["k", "x", "i", "n"] and tasks > 1
     assert scale.numbered_within(df.limit(0), "k", ["x"], "n").count() == 0
+
+
+def test_intermediate_tables_go_with_the_work(spark):
+    before = shared_names(spark)
+    with scale.intermediates_removed(spark):
+        assert scale.own_key(spark.range(10).toDF("x")).count() == 10
+        with scale.intermediates_removed(spark):
+            inner = scale.own_key(spark.range(3).toDF("x"))
+            assert os.listdir(inner.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+            inner.count()
+        assert shared_names(spark) != before
+    with pytest.raises(ZeroDivisionError), scale.intermediates_removed(spark):
+        scale.own_key(spark.range(10).toDF("x"))
+        raise ZeroDivisionError
+    assert shared_names(spark) == before
+
+
+def test_no_plain_text_stays_after_masking(spark, monkeypatch):
+    monkeypatch.setattr(redact, "measure", lambda df: (1 << 40, 1 << 40))
+    monkeypatch.setattr(redact.matcher, "is_small", lambda df: False)
+    monkeypatch.setattr(redact.matcher, "FILTER_TOKENS", 4)
+    before = shared_names(spark)
+    texts = spark.createDataFrame([(i, f"for Customer {i}") for i in range(20)], "i INT, text STRING")
+    deny = spark.createDataFrame([(f"Customer {i}",) for i in range(10, 20)], "token STRING")
+    with scale.intermediates_removed(spark):
+        got = {r.i: r.text for r in redact.redact_tokens(texts, "text", deny).collect()}
+        assert shared_names(spark) != before
+    assert got[3] == "for Customer 3" and "Customer" not in got[13]
+    assert shared_names(spark) == before

@@ -9,7 +9,7 @@ from tallyveil.plans.extraction import RunInfo, extract_documents
 from tallyveil.sources import versions
 from tallyveil.streaming import jobs, waiting
 
-from .samples import EUR_ID, MOVE, SEARCH, captured, exchange
+from .samples import EUR_ID, MOVE, SEARCH, captured, exchange, shared_names
 
 LOGS = "i INT, msg STRING, args ARRAY<STRING>, exc_text STRING, stack_info STRING"
 MASK = "[REDACTED:PHI]"
@@ -95,10 +95,12 @@ def test_documents_wait_for_their_currency(spark, tmp_path):
     assert want == {1: ("EUR", "EUR"), 4: ("EUR", "EUR"), 5: (None, None)}
     for name, cuts in (("one", [rows]), ("two", [rows[:2], rows[2:]]), ("each", [[r] for r in (rows[4], *rows[:4])])):
         source, out, codes, progress = (str(tmp_path / name / n) for n in ("in", "out", "codes", "progress"))
+        shared = shared_names(spark)
         for batch in cuts:
             add(captured(spark, *batch), source)
             stream = spark.readStream.schema(captured(spark, *batch).schema).parquet(source)
             done(jobs.extract_stream(stream, out, codes, progress, RunInfo(extracted_at="t")))
+        assert shared_names(spark) == shared
         got = [(r.seq, (r.invoice.currency, r.lines[0].currency)) for r in jobs.extracted_documents(spark, out).collect()]
         assert dict(got) == want and len(got) == 3
         assert [r.seq for r in spark.read.parquet(f"{out}/rejects").collect()] == [2]
