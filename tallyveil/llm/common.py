@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task turns into arrays at a time; a cut lies at white space.
 BLOCK = 1 << 17
 
+#: Folders of local sessions that name none; the session's own settings stay as they are.
+_LOCAL: dict[str, str] = {}
+
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15 | 1
 
@@ -24,8 +27,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="llm-shared-")
+        _LOCAL[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -137,6 +138,16 @@ def test_a_common_template_gives_no_pairs_of_its_texts(spark, monkeypatch):
     assert met[1] <= 4 * met[0] + 600
 
 
+def test_the_folder_of_a_local_session_is_private():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="local[2]", applicationId="app")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=context)
+    one, two = (common.shared_folder(session, "x") for _ in range(2))
+    assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
+    context.master = "yarn"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(session, "x")
+
+
 def test_no_intermediate_table_but_those_of_the_result_stays(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_folder", lambda spark, name, n=iter(range(10**6)): f"{tmp_path}/{name}-{next(n)}")
     rows = spark.createDataFrame(near_corpus(20), "doc_id long, text string")
