@@ -56,12 +56,16 @@ def _encoder(path: str | None):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-class Tokens:
-    """Ids of texts as little-endian 16-bit bytes, under the ranks of a public byte-pair vocabulary."""
+class Tokens(dict):
+    """Ids of texts as little-endian 16-bit bytes, under the ranks of a public byte-pair vocabulary.
+
+    It is its own bounded cache: the ids of chunks, each with the space before it.
+    """
 
     def __init__(self, path: str | None = None):
+        super().__init__()
         self._encode = _encoder(path)
-        self._cache: dict[str, bytes] = {}
+        self._signs = {sign: self._bytes(sign) for sign in ",."}
 
     def _bytes(self, text: str) -> bytes:
         ids = array.array("H", self._encode(text))
@@ -69,26 +73,22 @@ class Tokens:
             ids.byteswap()
         return ids.tobytes()
 
-    def _miss(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str) -> bytes:
         """A chunk and the space before it; a sign after letters is a piece of its own."""
-        body = chunk[:-1]
-        if chunk[-1:] in (",", ".") and body.isalpha():
-            found = (self._cache.get(body) or self._miss(body)) + self._bytes(chunk[-1])
+        if chunk.endswith((",", ".")) and chunk[:-1].isalpha():
+            # The letters alone are cached, the sign's ids are added to them.
+            found = self[chunk[:-1]] + self._signs[chunk[-1]]
         else:
             found = self._bytes(" " + chunk)
-        if len(self._cache) < CACHE and len(chunk) < 64:
-            self._cache[chunk] = found
+        if len(self) < CACHE and len(chunk) < 64:
+            self[chunk] = found
         return found
 
     def ids(self, text: str) -> bytes:
         if _RUNS.search(text):
             return self._bytes(text)
         first, *chunks = text.split(" ")
-        get = self._cache.get
-        found = list(map(get, chunks))
-        if None in found:
-            found = [self._miss(c) if x is None else x for x, c in zip(found, chunks)]
-        return self._bytes(first) + b"".join(found)
+        return self._bytes(first) + b"".join(map(self.__getitem__, chunks))
 
 
 def _crc(ids: np.ndarray) -> int:

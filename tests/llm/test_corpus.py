@@ -320,6 +320,18 @@ def test_neighbours_are_those_of_plain_bm25():
     assert got == sorted(np.flatnonzero(free).tolist(), key=lambda i: (-round(score(tails[4], tails[i]), 9), i))
 
 
+def test_a_chunk_is_encoded_once_while_the_cache_has_room(monkeypatch):
+    tokens, asked = packing.Tokens(), []
+    plain = tokens._encode
+    text = "One word, another word. word, \u00e9t\u00e9, 12. word,"
+    whole = tokens._bytes(text)
+    tokens._encode = lambda t: asked.append(t) or plain(t)
+    assert tokens.ids(text) == whole and tokens.ids(text) == whole
+    assert sorted(asked) == sorted(["One", "One", " word", " another", " \u00e9t\u00e9", " 12."])
+    monkeypatch.setattr(packing, "CACHE", 0)
+    assert packing.Tokens().ids(text) == whole
+
+
 def test_repeated_rows_are_packed_each(spark):
     table = spark.createDataFrame([(1, "same text")] * 5 + [(None, "x")] * 2, "doc_id long, text string")
     got = packing.pack(table).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
