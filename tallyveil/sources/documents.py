@@ -84,19 +84,50 @@ VIOLATION = "array<struct<path:string,key:string,problem:string>>"
 _SPOKEN = ("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n")
 
 
+# Types, as a VARIANT's schema names them, of which every value fits.
+_FITTING = {"string": "STRING", "boolean": "BOOLEAN", "int": "BIGINT", "strings": "ARRAY<(?:STRING|VOID)>"}
+_FITTING_NUMBER = r"(?:BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
+
+
+def _plain_shape(part: str) -> str:
+    """A pattern for the schema of an object with all keys that must be there, no unknown one, and fitting types."""
+    pattern = "^OBJECT<"
+    for name, kind in sorted(FIELDS[part].items()):
+        kind = "strings" if kind.simpleString().startswith("array") else kind.simpleString()
+        fitting = _FITTING.get(kind, _FITTING_NUMBER)
+        fitting = f"(?:{fitting}|VOID)" if name in NULLABLE[part] else fitting
+        pattern += f"(?:{name}: {fitting}(?:, |>$)){'' if name in REQUIRED[part] else '?'}"
+    return pattern + "$"
+
+
+def _plainly_valid(item: Column) -> Column:
+    """Whether the schema alone shows that an object has no violation; others are looked at value by value."""
+    value, part = item["value"], item["part"]
+    # The schema says neither whether an index is negative nor whether a list of texts has a null.
+    index = F.try_variant_get(value, "$.line_index", "double") >= 0
+    whole = ~F.exists(F.coalesce(F.try_variant_get(value, "$.taxes", "array<string>"), F.array().cast("array<string>")), lambda t: t.isNull())
+    plain = {p: coerce.kind(value).rlike(_plain_shape(p)) for p in FIELDS}
+    plain["lines"] = plain["lines"] & index & whole
+    found = F.when(part == "lines", plain.pop("lines"))
+    for name, test in plain.items():
+        found = found.when(part == name, test)
+    return F.coalesce(found, F.lit(False))
+
+
 def _violation(where: Column, key: Column, problem: Column) -> Column:
     return F.struct(where.alias("path"), key.alias("key"), problem.alias("problem"))
 
 
 def _rules() -> Column:
-    """What each 'part.key' must hold: a type name, with a '?' where null will do."""
-    rules = {f"document.{name}": "any" for name in DOCUMENT}
+    """For each part, what each of its keys must hold: a type name, with a '?' where null will do."""
+    rules = {"document": {name: "any" for name in DOCUMENT}}
     for part, fields in FIELDS.items():
         for name, kind in fields.items():
             wanted = {"int": "int", "boolean": "boolean", "string": "string"}.get(kind.simpleString(), "number")
             wanted = "strings" if kind.simpleString().startswith("array") else wanted
-            rules[f"{part}.{name}"] = wanted + ("?" if name in NULLABLE[part] else "")
-    return F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
+            rules.setdefault(part, {})[name] = wanted + ("?" if name in NULLABLE[part] else "")
+    of_part = lambda keys: F.create_map(*[F.lit(x) for pair in keys.items() for x in pair])
+    return F.create_map(*[x for part, keys in rules.items() for x in (F.lit(part), of_part(keys))])
 
 
 def _required() -> Column:
@@ -106,18 +137,18 @@ def _required() -> Column:
     )
 
 
-def _fits(value: Column, wanted: Column) -> Column:
-    """Whether a JSON value coerces to the wanted type."""
-    shape = coerce.kind(value)
+def _fits(value: Column, wanted: Column, shape: Column) -> Column:
+    """Whether a JSON value of this shape coerces to the wanted type."""
     text = F.when(shape == "STRING", F.try_variant_get(value, "$", "string"))
+    numeric = coerce.numeric_kind(shape)
     number = (
         F.when(shape == "BOOLEAN", F.lit(1.0))
         .when(shape == "STRING", coerce.number_of_text(text))
-        .when(coerce.is_numeric(value), F.try_variant_get(value, "$", "double"))
+        .when(numeric, F.try_variant_get(value, "$", "double"))
     )
     flag = (
         F.when(shape == "STRING", F.lower(text).isin(*_SPOKEN))
-        .when(coerce.is_numeric(value), number.isin(0.0, 1.0))
+        .when(numeric, number.isin(0.0, 1.0))
         .otherwise(shape == "BOOLEAN")
     )
     kind = F.rtrim(wanted, F.lit("?"))
@@ -136,16 +167,25 @@ def _object_violations(item: Column, rules: Column, required: Column) -> Column:
     """Unknown and missing keys of one JSON object, and values of the wrong type."""
     where, part = item["path"], item["part"]
 
+    def rule(key: Column, value: Column) -> Column:
+        wanted = F.try_element_at(F.element_at(rules, part), key)
+        return let(wanted, lambda w: F.struct(w.alias("wanted"), F.when(w != "any", coerce.kind(value)).alias("shape")))
+
     def problem(entry: Column) -> Column:
         key, value = entry["key"], entry["value"]
-        wanted = F.try_element_at(rules, F.concat(part, F.lit("."), key))
-        negative = (key == "line_index") & (F.try_variant_get(value, "$", "double") < 0)
-        found = (
-            F.when(wanted.isNull(), "unknown key")
-            .when(~_fits(value, wanted), "wrong type")
-            .when(negative, "negative")
-        )
-        return _violation(where, key, found)
+
+        # The rule and the value's kind are each looked up once and read many times.
+        def of_known(known: Column) -> Column:
+            wanted = known["wanted"]
+            negative = (key == "line_index") & (F.try_variant_get(value, "$", "double") < 0)
+            found = (
+                F.when(wanted.isNull(), "unknown key")
+                .when(~_fits(value, wanted, known["shape"]), "wrong type")
+                .when(negative, "negative")
+            )
+            return _violation(where, key, found)
+
+        return let(rule(key, value), of_known)
 
     def of_entries(entries: Column) -> Column:
         bad = F.filter(F.transform(F.map_entries(entries), problem), lambda v: v["problem"].isNotNull())
@@ -154,7 +194,8 @@ def _object_violations(item: Column, rules: Column, required: Column) -> Column:
 
     entries = F.try_variant_get(item["value"], "$", "map<string,variant>")
     no_object = F.array(_violation(where, F.lit(""), F.lit("not an object")))
-    return F.coalesce(let(entries, of_entries), no_object).cast(VIOLATION)
+    slow = F.coalesce(let(entries, of_entries), no_object).cast(VIOLATION)
+    return F.when(_plainly_valid(item), F.array().cast(VIOLATION)).otherwise(slow)
 
 
 def _objects(body: Column) -> Column:

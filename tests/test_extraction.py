@@ -287,6 +287,22 @@ def test_violations(spark):
         (3, "$", "invoice"): "missing key", (3, "$", "checks"): "missing key", (3, "lines", ""): "not a list"}
 
 
+def test_a_schema_that_shows_a_valid_object_hides_no_violation(spark, monkeypatch):
+    line = {"line_index": 0, "product": "P", "quantity": 1, "unit_price": 2.5, "subtotal": 2, "total": 3, "taxes": ["a"], "currency": None}
+    changes = [{}, {"taxes": []}, {"taxes": [None]}, {"taxes": ["a", None]}, {"taxes": None}, {"line_index": -1}, {"line_index": -0.5}, {"line_index": None},
+               {"quantity": "2"}, {"quantity": "x"}, {"total": True}, {"source": 1}, {"note": 1}, {"a b": 1}, {"product": None}, {"taxes": [["a"]]}]
+    lines = [{**line, **c} for c in changes] + [{k: v for k, v in line.items() if k != "total"}, [], "x", {}]
+    parts = {"metadata": {"tool_version": "1", "extracted_at": "t", "source": "s"}, "invoice": {"customer": "C"},
+             "checks": {"line_count": 1, "line_tax_sum": 0, "line_total_sum": 1e300}}
+    rows = spark.createDataFrame([(i, json.dumps({**parts, "lines": [one]})) for i, one in enumerate(lines)], "k INT, document STRING")
+    got = sorted(map(str, files.validate_documents(rows)[1].collect()))
+    tested = rows.select(F.try_parse_json("document").alias("v")).select(files._plainly_valid(F.struct(
+        F.lit("lines").alias("part"), F.try_variant_get("v", "$.lines[0]", "variant").alias("value"))).alias("plain"))
+    assert [i for i, r in enumerate(tested.collect()) if r.plain] == [0, 1]
+    monkeypatch.setattr(files, "_plainly_valid", lambda item: F.lit(False))
+    assert got == sorted(map(str, files.validate_documents(rows)[1].collect())) and len({g.split(",")[0] for g in got}) == 16
+
+
 def test_customer_rows(spark):
     moves = spark.createDataFrame([(5, "Harbor Mill, Lyon"), (3, "HARBOR MILL"), (1, "Orchard Works"), (0, "Mi\u017fs Smith")], "seq INT, customer STRING")
     wanted = [("a", 1, "Nobody"), ("a", 2, "harbor mill"), ("a", 3, "Orchard"), ("b", 1, "zzz"), ("c", 1, "r"), ("d", 1, "miss smith"), ("e", 1, "")]
