@@ -9,7 +9,7 @@ the tokens themselves: in the task for a small token set, by an equi-join for a
 text is paired with all tokens.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +32,10 @@ FILTER_BITS = (26, 29)
 FILTER_TOKENS = 1 << 24
 # Bits in which filters are merged.
 CHUNK = 1 << 19
+# Code points that are searched at once; a longer text is searched alone.
+SLICE = 1 << 18
+# Texts that are masked at once.
+MASKED_ROWS = 1_000
 # Texts of one scope that one task works on.
 SCOPE_ROWS = 100_000
 _WORD = 64
@@ -125,6 +129,18 @@ def token_bits(tokens: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np
     return lengths, (first >> shift).astype(np.int64), (whole >> shift).astype(np.int64)
 
 
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with at most SLICE code points each, or of one longer text."""
+    low, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > SLICE:
+            yield low, i
+            low, held = i, 0
+        held += len(text) + 1
+    if low < len(texts):
+        yield low, len(texts)
+
+
 class TokenFilter:
     """Which positions of a text may start a token, and of which length."""
 
@@ -140,7 +156,19 @@ class TokenFilter:
         return ((word >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
 
     def candidates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Arrays (text number, position, length) over a batch, and the folded texts."""
+        """Arrays (text number, position, length) over a batch, and the folded texts.
+
+        The hashes of all windows take many times the text's memory, so a batch is searched slice by slice.
+        """
+        found, folded = [(np.zeros(0, np.int64),) * 3], []
+        for low, high in slices(texts):
+            number, at, lengths, some = self._of_slice(texts[low:high])
+            found.append((number + low, at, lengths))
+            folded += some
+        number, at, lengths = (np.concatenate(parts) for parts in zip(*found))
+        return number, at, lengths, folded
+
+    def _of_slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         points, starts = _joined_points(texts)
         points = np.where(points == _SEPARATOR, points, _folded(points))
         found_at, found_len = [], []
@@ -272,7 +300,7 @@ def _gathered(folded: DataFrame) -> list[str]:
     return [r["folded"] for r in folded.select("folded").collect()]
 
 
-def _text_list(texts: pd.Series) -> list[str]:
+def _text_list(texts: Iterable[str | None]) -> list[str]:
     return ["" if t is None else t for t in texts]
 
 
@@ -285,14 +313,29 @@ def _exact_spans(texts: list[str], token_filter: TokenFilter, tokens: set[str])
     return spans
 
 
+_SPAN = pa.struct([("pos", pa.int32()), ("size", pa.int32()), ("folded", pa.string())])
+
+
+def _spans_of(texts: list[str], token_filter: TokenFilter) -> pa.Array:
+    """The candidates of each text, as one list array without an object for each candidate."""
+    number, at, lengths, folded = token_filter.candidates(texts)
+    order = np.argsort(number, kind="stable")
+    number, at, lengths = number[order], at[order], lengths[order]
+    # Texts repeat few tokens, so the slices are dealt as numbers into one list of the distinct ones.
+    known: dict[str, int] = {}
+    places = [known.setdefault(folded[i][p : p + n], len(known)) for i, p, n in zip(number.tolist(), at.tolist(), lengths.tolist())]
+    tokens = pa.array(list(known), pa.string()).take(pa.array(places, pa.int64()))
+    found = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(lengths, pa.int32()), tokens], fields=list(_SPAN))
+    ends = np.searchsorted(number, np.arange(len(texts) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+
+
 def _candidate_udf(token_filter: TokenFilter):
-    @F.pandas_udf("array<struct<pos:int,size:int,folded:string>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        out = [[] for _ in range(len(texts))]
-        number, at, lengths, folded = token_filter.candidates(_text_list(texts))
-        for i, p, n in zip(number.tolist(), at.tolist(), lengths.tolist()):
-            out[i].append({"pos": p, "size": n, "folded": folded[i][p : p + n]})
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<pos:int,size:int,folded:string>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        rows = _text_list(texts.to_pylist())
+        parts = [_spans_of(rows[low:high], token_filter) for low, high in slices(rows)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(_SPAN))
 
     return spans
 
@@ -363,7 +406,8 @@ def gathered_layer(tokens: DataFrame, mask: str) -> Callable[[DataFrame, str], D
 
     @F.pandas_udf("string")
     def cover(texts: pd.Series) -> pd.Series:
-        return pd.Series(fail_closed(covered, list(texts)), dtype=object)
+        rows = list(texts)
+        return pd.Series([t for low, high in slices(_text_list(rows)) for t in fail_closed(covered, rows[low:high])], dtype=object)
 
     return lambda df, column: df.withColumn(column, cover(column))
 
@@ -372,11 +416,19 @@ def _masking_udf(mask: str):
     """Masks the found spans of a text; null for none."""
 
     def covered(rows: list) -> list:
-        return [t if f is None or len(f) == 0 else masked(t, [(s["pos"], s["size"]) for s in f], mask) for t, f in rows]
+        return [t if f is None or len(f) == 0 else masked(t, f, mask) for t, f in rows]
 
-    @F.pandas_udf("string")
-    def cover(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series(fail_closed(covered, list(zip(texts, found))), dtype=object)
+    @F.arrow_udf("string")
+    def cover(texts: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for low in range(0, len(texts), MASKED_ROWS):
+            some = found.slice(low, MASKED_ROWS)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)).tolist()
+            spans = some.flatten()
+            pos, size = (spans.field(c).to_pylist() for c in ("pos", "size"))
+            each = [list(zip(pos[a:b], size[a:b])) for a, b in zip([0, *ends], ends)]
+            out += fail_closed(covered, list(zip(texts.slice(low, MASKED_ROWS).to_pylist(), each)))
+        return pa.array(out, pa.string())
 
     return cover
 

@@ -323,3 +323,19 @@ def test_no_token_is_left_on_disk(spark, tmp_path, monkeypatch):
     before = set(glob.glob(f"{folder}/../**/*", recursive=True))
     assert redact.redact_tokens(texts(spark, "Ann"), "t", tokens(spark, "ann")).first().t == MASK
     assert not [f for f in set(glob.glob(f"{folder}/../**/*", recursive=True)) - before if "token" in f]
+
+
+def test_a_batch_is_searched_in_bounded_slices(monkeypatch):
+    hashed, plain = [], matcher._window_hashes
+    monkeypatch.setattr(matcher, "_window_hashes", lambda points, sizes: hashed.append(len(points)) or plain(points, sizes))
+    texts = ["", "a harbor and a mill", "x" * 50, "harbor", "y" * 5000] * 40
+    token_filter = matcher._filter_of_tokens(["harbor", "mill", "xxxxx"])
+    whole = [c.tolist() if hasattr(c, "tolist") else c for c in token_filter.candidates(texts)]
+    monkeypatch.setattr(matcher, "SLICE", 200)
+    hashed.clear()
+    parts = token_filter.candidates(texts)
+    assert max(hashed) <= 5001 and len(hashed) >= 80
+    assert sorted(zip(*whole[:3])) == sorted(zip(*[c.tolist() for c in parts[:3]])) and parts[3] == whole[3]
+    assert [sorted(c["folded"] for c in row) for row in matcher._spans_of(texts[:4], token_filter).to_pylist()] == [
+        [], ["harbor", "mill"], ["xxxxx"] * 46, ["harbor"]]
+    assert list(matcher.slices([])) == [] and token_filter.candidates([])[3] == []
