@@ -90,3 +90,12 @@ def test_json_string_is_ascii(spark):
     texts = ["abc", 'q"\\', "tab\t", "é", "日本", "😀x", "\x7f", "", None, " ", "\b\f\r\n\x01", "a😀é\"b"]
     df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
     assert values(df.select("i", jsontext.json_string(F.col("t")))) == [json.dumps(t) for t in texts]
+
+
+def test_money_of_plain_text_is_read_as_it_stands(spark):
+    rng = random.Random(3)
+    texts = [f"{rng.randrange(10 ** rng.randrange(1, 13))}{rng.choice(['', '.5', '.05', '.99', '.125', '.'])}" for _ in range(400)]
+    texts += ["0", "-0", "-0.00", "999999999999.99", "1234567890123.45", "12.345", "1_0.5", " 7.25 ", "1.5\n", "x", "", "1e2", "\u0661"]
+    df = variants(spark, *[json.dumps(t) for t in texts])
+    got = values(df.select("i", coerce.money(F.col("v"))))
+    assert got == values(df.select("i", money.money_of_double(coerce.to_number(F.col("v")))))
