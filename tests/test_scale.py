@@ -64,6 +64,11 @@ def test_written_tables_start_from_files(spark):
     assert "FileScan parquet" in plan(df) and df.count() == 3
 
 
+def test_written_tables_are_packed_tightly(spark):
+    table = scale.written(spark.range(10), "packed")
+    assert all(f.endswith(".zstd.parquet") for f in table.inputFiles())
+
+
 def test_one_pass_serves_every_output(spark, stored, tmp_path):
     """Documents, rejects, codes and what waits come from one reading of the capture."""
     def seen(batches):
