@@ -139,3 +139,15 @@ def test_no_plain_text_stays_after_masking(spark, monkeypatch):
         assert shared_names(spark) != before
     assert got[3] == "for Customer 3" and "Customer" not in got[13]
     assert shared_names(spark) == before
+
+
+def test_tables_of_few_parts_are_written_unsorted(spark, stored, monkeypatch):
+    """A task keeps a file for each outcome and reads small splits; the session's settings come back."""
+    names = ("spark.sql.maxConcurrentOutputFileWriters", "spark.sql.files.maxPartitionBytes")
+    settings = lambda: [spark.conf.get(name) for name in names]
+    before, seen, write = settings(), [], type(stored.write).parquet
+    monkeypatch.setattr(type(stored.write), "parquet", lambda *a, **k: (seen.append(settings()), write(*a, **k)))
+    extraction.read_once(stored)
+    rows = scale.written(spark.range(100).withColumn("p", F.col("id") % 12), "many", ["p"])
+    assert seen == [[str(scale.PARTS), f"{scale.SPLIT}b"], [str(scale.PARTS), before[1]]] and settings() == before
+    assert {(r.p, r.n) for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()} == {(p, 9 if p < 4 else 8) for p in range(12)}

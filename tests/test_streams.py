@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyveil.operators import redact
 from tallyveil.plans.extraction import RunInfo, extract_documents
-from tallyveil.sources import versions
+from tallyveil.sources import html, versions
 from tallyveil.streaming import jobs, waiting
 
 from .samples import EUR_ID, MOVE, SEARCH, captured, exchange, shared_names
@@ -211,3 +211,23 @@ def test_a_new_checkpoint_takes_over_what_waits(spark, tmp_path):
         done(jobs.extract_stream(stream, out, codes, str(tmp_path / f"progress{i}"), RunInfo(extracted_at="t")))
         got = [(r.seq, r.invoice.currency) for r in jobs.extracted_documents(spark, out).collect()]
         assert got == [(1, "EUR" if i else None)]
+
+
+@pytest.mark.parametrize("start", [jobs.extract_stream, waiting.extract_keyed_stream])
+def test_a_batch_reads_the_pages_it_asks_for_once(spark, tmp_path, monkeypatch, start):
+    read, lines_from_html = [], html.lines_from_html
+    monkeypatch.setattr(html, "lines_from_html", lambda pages: (read.append(pages.count()), lines_from_html(pages))[1])
+    page = "<tr class='o_data_row'><td name='product_id'>a</td><td name='quantity'>2</td></tr>"
+    pages = spark.createDataFrame([(i, page) for i in range(1, 9)], "seq BIGINT, html STRING")
+    bare = dict(MOVE, invoice_line_ids=[1, 2], currency_id=[EUR_ID, "EUR"])
+    rows = [exchange(1, "read", {"result": bare}), exchange(2, "read", {"result": MOVE | {"currency_id": [EUR_ID, "EUR"]}}),
+            exchange(3, "search_read", {"result": SEARCH}), exchange(5, "read", {"result": bare}), exchange(9, "read", {"result": bare})]
+    source, out, codes, progress = (str(tmp_path / n) for n in ("in", "out", "codes", "progress"))
+    add(captured(spark, *rows), source)
+    stream = spark.readStream.schema(captured(spark, *rows).schema).parquet(source)
+    named = {"codes_path": codes} if start is jobs.extract_stream else {"salts": 2}
+    done(start(stream, out, checkpoint=progress, run_info=RunInfo(extracted_at="t"), pages=pages, **named))
+    documents = versions.committed(spark, f"{out}/documents")
+    assert {r.seq: (r.metadata.source, len(r.lines)) for r in documents.collect() if r.seq != 2} == {i: ("dom-fallback", 1) for i in (1, 5)}
+    assert [(r.seq, r.reject_reason) for r in versions.committed(spark, f"{out}/rejects").collect()] == [(9, "no lines")]
+    assert read == [2]
