@@ -1,9 +1,11 @@
 import json
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyveil.functions import coerce
 from tallyveil.functions.jsontext import lines_fingerprint
 from tallyveil.functions.surrogate import Surrogates
 from tallyveil.operators import deid, extract, integrity, lookup
@@ -341,3 +343,43 @@ def test_state_filters(spark):
     assert [r.state for r in extract.posted_only(df).collect()] == ["posted"]
     assert [r.state_warning for r in extract.flag_unposted(df).collect()] == [False, True, False, False]
     assert {r.state: r.invoices for r in lookup.state_counts(df).collect()}["posted"] == 1
+
+
+def test_numbers_are_read_as_before(spark):
+    """The text of a JSON number gives what its cast gave, for all kinds of numbers."""
+    rng = random.Random(5)
+    texts = ["0", "0.00", "-0.0", "7", "-12", "1e5", "2.5E-3", "9007199254740993", "123456789012345678901234567890", "1.005", "99999999999999999.99", "1" * 38, '"4.5"', "true"]
+    texts += [f"{rng.choice(['', '-'])}{rng.randrange(10 ** rng.randrange(1, 18))}.{rng.randrange(100):02d}" for _ in range(100)]
+    texts += [f"{rng.choice(['', '-'])}{rng.randrange(10 ** rng.randrange(1, 20))}.{rng.randrange(10 ** 6):0{rng.randrange(1, 7)}d}" for _ in range(300)]
+    df = spark.createDataFrame([(f'{{"a":{t}}}',) for t in texts], "j STRING").select(F.try_parse_json("j").alias("v"))
+    v = F.try_variant_get("v", "$.a", "variant")
+    zero_is_null = lambda c: F.when(c != 0, c)
+    rows = df.select(
+        coerce.kind(v).alias("k"), coerce.to_number(v).alias("number"), coerce.money(v).alias("money"),
+        zero_is_null(F.try_variant_get(v, "$", "double")).alias("cast"), zero_is_null(F.try_variant_get(v, "$", "decimal(18,2)")).alias("exact")).collect()
+    numbers = [r for r in rows if r.k not in ("STRING", "BOOLEAN")]
+    assert len(numbers) > 300 and all(r.number == r.cast for r in numbers)
+    short = [r for r in numbers if r.k == "BIGINT" or r.k.endswith((",0)", ",1)", ",2)"))]
+    assert len(short) > 20 and all(r.money == r.exact for r in short)
+
+
+def test_plain_pages_read_as_by_the_parser():
+    rng = random.Random(3)
+    bits = ["<tr class='o_data_row x'>", '<tr class="o_data_row">', "<tr>", "</tr>", '<td name="product_id">', "<TD NAME='name'>", '<td class="a" name="quantity" name="tax_ids">', "<td/>",
+            "</td>", "</TD>", "<br>", "<br/>", "<p>", "</p >", "<li\n>", "text", " 1,5 &euro; &amp;&lt", "\u00a0", "\n", "&", ">", "<span title='a > b'>", "</span>", "<td name=name>", "<!-- <td> -->",
+            "<script>", "</script>", "<3", "<", "<td name='a&amp;b'>", "<tr class>", "<title>", "</title>", "</>", "<svg:td name='name'>"]
+    plain = 0
+    for size in [*range(1, 6)] * 400 + [30] * 300:
+        page = "".join(rng.choice(bits[:22] if rng.random() < 0.7 else bits) for _ in range(size))
+        table = html._LineTable()
+        table.feed(page)
+        table.close()
+        assert html._rows_of(page) == table.rows, page
+        plain += bool(html._PLAIN.fullmatch(page))
+    assert plain > 700
+
+
+def test_page_lines_of_odd_pages(spark):
+    rows = [(1, None), (2, ""), (3, "<tr class='o_data_row'><td name='product_id'>a<br>b</td><td name='quantity'>2</td></tr>" * 2)]
+    got = {r.seq: r.dom_lines for r in html.lines_from_html(spark.createDataFrame(rows, "seq BIGINT, html STRING").coalesce(1)).collect()}
+    assert got[1] == got[2] == [] and [(x.line_index, x.product, x.quantity) for x in got[3]] == [(0, "a", 2.0), (1, "a", 2.0)]
