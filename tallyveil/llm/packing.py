@@ -1,8 +1,8 @@
 """Packing documents into training sequences by lexical retrieval.
 
 1. Tokenising: a text's ids and an end id. Whole windows of a long document are sequences of their own; the rest, its
-   tail, is packed. Tails travel as 16-bit ids, so nothing is tokenised twice. Chunks between single spaces are looked
-   up in a bounded cache per task, which the byte-pair merges of the public vocabulary fill; merges never cross such a
+   tail, is packed. Tails travel as 16-bit ids, so nothing is tokenised twice. The distinct chunks between single spaces
+   of a slice of texts are encoded together, by the byte-pair merges of the public vocabulary; merges never cross such a
    place, so the ids are those of the whole text.
 2. Token document frequencies over all tails are summed by Spark; the result has one row per vocabulary entry at most.
 3. Retrieval: consecutive tails of a task form shards, each with an inverted index weighted by BM25 under the whole
@@ -25,27 +25,32 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import stored
+from tallyveil.llm.common import row_slices, stored
 
 WINDOW = 1_024
 #: Tails of a shard at most.
 SHARD = 1_024
-#: Cached chunks of a task at most.
+#: Cached chunks at most, where texts are tokenised one by one.
 CACHE = 500_000
+#: Bytes of text that are tokenised at once; a longer text stands alone.
+TEXTS = 1 << 22
 #: BM25's saturation and length weight.
 K1, B = 1.2, 0.75
 END = 0
 
 #: Next to other white space a space does not simply begin the following piece.
 _RUNS = re.compile(r"\s\s")
+#: The same white space for Arrow, whose own is that of ASCII.
+_WHITE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str | None):
-    """The byte-pair merges of a rank file, kept by a worker from task to task."""
+    """The byte-pair merges of a rank file and which ids begin with a space, kept by a worker from task to task."""
     import base64
 
     import public_tokenizers
@@ -53,7 +58,9 @@ def _encoder(path: str | None):
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    opens = np.zeros(1 << 16, bool)
+    opens[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, opens
 
 
 class Tokens(dict):
@@ -64,7 +71,7 @@ class Tokens(dict):
 
     def __init__(self, path: str | None = None):
         super().__init__()
-        self._encode = _encoder(path)
+        self._encode, self._opens = _encoder(path)
         self._signs = {sign: self._bytes(sign) for sign in ",."}
 
     def _bytes(self, text: str) -> bytes:
@@ -85,11 +92,48 @@ class Tokens(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        """The ids of one text, its chunks looked up in the cache."""
         if _RUNS.search(text):
             return self._bytes(text)
         first, *chunks = text.split(" ")
         return self._bytes(first) + b"".join(map(self.__getitem__, chunks))
 
+    def ids_of(self, texts: pa.Array) -> list[bytes]:
+        """The same for a column, null as empty: its distinct chunks are encoded by one call, each once."""
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        whole = pc.match_substring_regex(texts, f"{_WHITE}{{2}}")
+        words = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        starts = words.offsets.to_numpy().astype(np.int64)
+        flat = words.flatten()
+        first = [self._bytes(t) for t in pc.if_else(whole, texts, flat.take(pa.array(starts[:-1]))).to_pylist()]
+        follows = np.ones(len(flat), bool)
+        follows[starts[:-1]] = False
+        coded = flat.filter(pa.array(follows)).dictionary_encode()
+        if not len(coded):
+            return first
+        held, place = self._encoded(coded.dictionary)
+        found = held.take(pa.array(place[coded.indices.to_numpy()]))
+        cuts = np.frombuffer(found.buffers()[1], np.int64)[starts - np.arange(len(starts))].tolist()
+        data = memoryview(found.buffers()[2])
+        return [b"".join((head, data[a:b])) for head, a, b in zip(first, cuts, cuts[1:])]
+
+    def _encoded(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The ids of chunks, each with the space before it, and where in them each chunk's stand.
+
+        In the ids of all chunks joined, one that begins with a space begins a chunk. A chunk whose end is white space would
+        meet the space of the next, so these few are encoded one by one and stand last.
+        """
+        alone = pc.match_substring_regex(chunks, rf"(\A|{_WHITE})\z").to_numpy(zero_copy_only=False)
+        place = np.where(alone, np.cumsum(alone) - 1 + (~alone).sum(), np.cumsum(~alone) - 1)
+        joined = chunks.filter(pa.array(~alone))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined), " ")[0].as_py()
+        ids = np.array(self._encode(" " + text) if len(joined) else [], "<u2")
+        ends = np.append(np.flatnonzero(self._opens[ids]), len(ids)) * 2
+        rest = [self._bytes(" " + c) for c in chunks.filter(pa.array(alone)).to_pylist()]
+        ends = np.append(ends, ends[-1] + np.cumsum([len(x) for x in rest], dtype=np.int64)).astype(np.int64)
+        data = ids.tobytes() + b"".join(rest)
+        return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]), place
+
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
@@ -100,15 +144,15 @@ def _tokenise(path: str | None):
         tokens = Tokens(path)
         for batch in batches:
             keys, texts = batch.column("key"), batch.column("text")
-            for at in range(0, batch.num_rows, 1000):
+            for at, size in row_slices(texts, TEXTS):
                 n, windows, tails = [], [], []
-                for text in texts.slice(at, 1000).to_pylist():
-                    ids = np.append(np.frombuffer(tokens.ids(text or ""), "<u2"), np.uint16(END))
+                for found in tokens.ids_of(texts.slice(at, size)):
+                    ids = np.append(np.frombuffer(found, "<u2"), np.uint16(END))
                     cut = len(ids) // WINDOW * WINDOW
                     n.append(len(ids))
                     windows.append([_crc(ids[i : i + WINDOW]) for i in range(0, cut, WINDOW)])
                     tails.append(ids[cut:].tobytes())
-                yield pa.RecordBatch.from_arrays([keys.slice(at, 1000), pa.array(n, pa.int64()), pa.array(windows, pa.list_(pa.int64())), pa.array(tails, pa.binary())], names=["key", "n", "windows", "tail"])
+                yield pa.RecordBatch.from_arrays([keys.slice(at, size), pa.array(n, pa.int64()), pa.array(windows, pa.list_(pa.int64())), pa.array(tails, pa.binary())], names=["key", "n", "windows", "tail"])
 
     return run
 

@@ -8,6 +8,7 @@ import zlib
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,6 +333,21 @@ def test_a_chunk_is_encoded_once_while_the_cache_has_room(monkeypatch):
     assert packing.Tokens().ids(text) == whole
 
 
+def test_a_column_is_encoded_by_one_call_for_its_distinct_chunks():
+    rng = random.Random(7)
+    words = ["alpha", "beta,", "l'\u00e9t\u00e9.", "\nNew", "tab\there", "\u00a0x", "\x1c", "\x1fy", ",", "'s", "\u65e5\u672c", "z" * 70, "end\n", "x\u2003", ""]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(300)] + [None, "", " ", "a ", "a \n b", " lead"]
+    for kind in (pa.string(), pa.large_string()):
+        for column in (pa.array(texts, kind), pa.array(texts, kind).slice(7, 50), pa.array(["one", None], kind), pa.array([], kind)):
+            tokens = packing.Tokens()
+            assert tokens.ids_of(column) == [tokens._bytes(t or "") for t in column.to_pylist()]
+    tokens, asked = packing.Tokens(), []
+    plain = tokens._encode
+    tokens._encode = lambda t: asked.append(t) or plain(t)
+    tokens.ids_of(pa.array(["One word, another word,", "Two another word, 12."]))
+    assert sorted(asked) == [" word, another 12.", "One", "Two"]
+
+
 def test_repeated_rows_are_packed_each(spark):
     table = spark.createDataFrame([(1, "same text")] * 5 + [(None, "x")] * 2, "doc_id long, text string")
     got = packing.pack(table).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
