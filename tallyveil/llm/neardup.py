@@ -21,7 +21,8 @@ The forest only saves work: it joins large groups, so that step 5 never expands
 missed, whatever the forest proposes; the tests compare with brute force. Shingle counts in ``1 << COUNTED`` buckets
 decide the order, which changes the number of candidates, never the links.
 
-Signatures of one partition's batch at a time are in memory, and of confirmation one batch of pairs. Nothing but counts
+Shingles of one slice of texts at a time are in memory, signatures of one partition's batch, and of confirmation one batch
+of pairs. Nothing but counts
 reaches the driver, of shingles those of the buckets.
 
 Results: one row per input row. Null keys: the row keeps a null component and is linked with nothing. Null or empty
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyveil.llm.common import LOWER, WHITE, Steps, blocks, mixed, small_batches, span_hashes, text_bytes, word_spans
+from tallyveil.llm.common import LOWER, WHITE, Steps, blocks, mixed, row_slices, small_batches, span_hashes, text_bytes, word_spans
 
 #: Coordinates of a signature; an order starts at every fourth and is PREFIX coordinates deep.
 WIDTH = 64
@@ -49,6 +50,8 @@ AHEAD = 4
 SIGMAS = 5.5
 #: Rows of an order whose regions are worked out at once.
 BATCH = 10_000
+#: Bytes of text whose words and shingles a task holds at once; a longer text stands alone.
+TEXTS = 1 << 20
 #: Bits of a shingle that choose the bucket of its count; a table's buckets travel in CHUNKS parts.
 COUNTED = 22
 CHUNKS = 64
@@ -97,13 +100,20 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - COUNTED)).astype(np.int64)
 
 
+def _sliced(batches):
+    """The rows in slices of about ``TEXTS`` bytes of text."""
+    for batch in batches:
+        for at, n in row_slices(batch.column("text"), TEXTS):
+            yield batch.slice(at, n)
+
+
 def _sketch(size: int):
     """A row for each text; at the end rows of n < 0 with the task's shingle counts: places in a chunk, and their counts."""
     names = ["key", "n", "digest", "mark", "low"]
 
     def run(batches):
         counts = np.zeros((CHUNKS, (1 << COUNTED) // CHUNKS), np.uint32)
-        for batch in batches:
+        for batch in _sliced(batches):
             words, bounds = word_hashes(batch.column("text"))
             n, digests, marks, lows = [], [], [], []
             for i in range(batch.num_rows):
@@ -150,7 +160,7 @@ def _prefixes(size: int, percent: int, shared):
 
     def run(batches):
         counts = shared.value
-        for batch in batches:
+        for batch in _sliced(batches):
             words, bounds = word_hashes(batch.column("text"))
             n, digests, firsts = [], [], []
             for i in range(batch.num_rows):
@@ -360,7 +370,8 @@ def _pairs_apart(steps: Steps, rows: DataFrame, classes: DataFrame, parts: DataF
     firsts = texts.mapInArrow(_prefixes(size, percent, shared), "id long, digest binary, n long, first binary").filter("n > 0")
     firsts = firsts.join(classes.select("id", "digest"), ["id", "digest"]).groupBy("id", "digest").agg(F.min("n").alias("n"), F.min("first").alias("first"))
     firsts = firsts.join(parts, "id", "left").select("id", "n", "first", F.coalesce("component", "id").alias("part"))
-    firsts = steps.stored(firsts, "firsts")
+    with small_batches(rows.sparkSession):
+        firsts = steps.stored(firsts, "firsts")
     flat = firsts.mapInArrow(_postings, "shingle long, place long, id long, n long, part long")
     # So far ahead the shingle stands in the smaller set of a pair, or in both of equal size.
     flat = flat.withColumn("ahead", F.expr(f"{100 + percent} * (n - place) >= {2 * percent} * n"))
@@ -382,7 +393,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     """(key, n_shingles, component_id, kept) of every row; see the module. ``percent``: least similarity in hundredths."""
     rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     steps = Steps(documents.sparkSession)
-    sketched = steps.stored(rows.mapInArrow(_sketch(shingle), "key long, n long, digest binary, mark binary, low binary"), "sketch")
+    with small_batches(documents.sparkSession):
+        sketched = steps.stored(rows.mapInArrow(_sketch(shingle), "key long, n long, digest binary, mark binary, low binary"), "sketch")
     shared = _shared_counts(sketched)
     sketch = sketched.filter("n >= 0")
     full = sketch.filter(F.col("digest").isNotNull() & F.col("key").isNotNull())

@@ -139,6 +139,25 @@ def test_a_common_template_gives_no_pairs_of_its_texts(spark, monkeypatch):
     assert met[1] <= 4 * met[0] + 600
 
 
+def test_texts_are_shingled_in_slices(monkeypatch):
+    """A large batch of texts holds the words of one slice at a time, in the sketch and in the first shingles."""
+    texts = [f"w{i} " * (i % 7) + " ".join(f"x{j}" for j in range(i % 40)) for i in range(500)] + [None, "y " * 5_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(502), pa.int64()), pa.array(texts)], names=["key", "text"])
+    held, plain = [], neardup.word_hashes
+    monkeypatch.setattr(neardup, "word_hashes", lambda column: held.append(sum(len(t or "") for t in column.to_pylist())) or plain(column))
+    shared = SimpleNamespace(value=np.zeros(1 << neardup.COUNTED, np.uint32))
+
+    def made():
+        sketch = pa.Table.from_batches(neardup._sketch(3)([batch])).to_pylist()
+        return sketch, pa.Table.from_batches(neardup._prefixes(3, 85, shared)([batch.rename_columns(["id", "text"])])).to_pylist()
+
+    whole = made()
+    held.clear()
+    monkeypatch.setattr(neardup, "TEXTS", 4_096, raising=False)
+    assert made() == whole
+    assert max(h for h in held if h != 10_000) <= 4_096 and held.count(10_000) == 2
+
+
 def test_the_folder_of_a_local_session_is_private():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="local[2]", applicationId="app")
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=context)
