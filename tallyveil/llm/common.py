@@ -74,14 +74,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 class Steps:
-    """Tables of one run, each written to the shared folder before later work reads it, and removed when none does."""
+    """Tables of one run, each written to the shared folder before later work reads it, and removed when none does.
+
+    They are written as zstd, which takes fewer bytes than the default.
+    """
 
     def __init__(self, spark: SparkSession):
         self._spark, self._held = spark, []
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_folder(self._spark, name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         table = self._spark.read.schema(df.schema).parquet(path)
         self._held.append((table, path))
         return table
