@@ -82,25 +82,21 @@ def truthy(value: Column) -> Column:
 
 
 def relational_name(value: Column) -> Column:
-    """Name out of ``{display_name | name}``, ``[id, name]`` or a plain string."""
+    """Name out of ``{display_name | name}``, ``[id, name]`` or a plain string.
 
-    def of_object(v: Column) -> Column:
-        return let(
-            record(v, "display_name", "name"),
-            lambda r: F.coalesce(filled(text_of(r["display_name"])), text_of(r["name"])),
-        )
+    The shape is told by what the value can be read as, which costs less than its schema.
+    """
 
-    def of_list(v: Column) -> Column:
-        return let(items_of(v), lambda i: F.when(F.size(i) == 2, text_of(F.get(i, F.lit(1)))))
+    def of_object(r: Column) -> Column:
+        return F.coalesce(filled(text_of(r["display_name"])), text_of(r["name"]))
 
-    def name(v: Column, shape: Column) -> Column:
-        return (
-            F.when(shape == "STRING", _plain(v))
-            .when(shape.startswith("OBJECT"), of_object(v))
-            .when(shape.startswith("ARRAY"), of_list(v))
-        )
+    def of_list(i: Column) -> Column:
+        return F.when(F.size(i) == 2, text_of(F.get(i, F.lit(1))))
 
-    return seen(value, name)
+    def other(v: Column) -> Column:
+        return let(items_of(v), lambda i: F.when(i.isNotNull(), of_list(i)).otherwise(text_of(v)))
+
+    return let(record(value, "display_name", "name"), lambda r: F.when(r.isNotNull(), of_object(r)).otherwise(other(value)))
 
 
 def _whole(value: Column) -> Column:
@@ -110,14 +106,10 @@ def _whole(value: Column) -> Column:
 def relational_id(value: Column) -> Column:
     """Id out of ``{id}``, ``[id, ...]`` or a plain integer."""
 
-    def key(v: Column, shape: Column) -> Column:
-        return (
-            F.when(shape == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-            .when(shape.startswith("OBJECT"), _whole(field(v, "$.id")))
-            .when(shape.startswith("ARRAY"), _whole(field(v, "$[0]")))
-        )
+    def other(v: Column) -> Column:
+        return let(items_of(v), lambda i: F.when(i.isNotNull(), _whole(F.get(i, F.lit(0)))).otherwise(_whole(v)))
 
-    return seen(value, key)
+    return let(record(value, "id"), lambda r: F.when(r.isNotNull(), _whole(r["id"])).otherwise(other(value)))
 
 
 # Text that counts as a number: digits may be grouped by single underscores.
@@ -129,6 +121,10 @@ _NUMBER_TEXT = (
 # Text of so few digits that the nearest cents of its double are its own.
 _MONEY_TEXT = r"\A-?\d{1,12}(?:\.\d{1,2})?\z"
 
+# The same as a JSON string, and the JSON text of a number short enough that it gives the double.
+_MONEY_QUOTED = r'\A"-?\d{1,12}(?:\.\d{1,2})?"\z'
+_NUMBER_JSON = r"\A-?\d{1,15}(?:\.\d{1,15})?\z"
+
 
 def number_of_text(text: Column) -> Column:
     """Text to double; empty or unreadable text gives null."""
@@ -161,15 +157,26 @@ def _number(v: Column, shape: Column) -> Column:
 
 def to_number(value: Column) -> Column:
     """JSON value to double. Null, false, empty text and a numeric zero give null."""
-    return seen(value, _number)
+
+    def read(json: Column) -> Column:
+        return F.when(json.rlike(_NUMBER_JSON), _nonzero(json.try_cast("double"))).otherwise(seen(value, _number))
+
+    return let(F.to_json(value), read)
 
 
 def money(value: Column) -> Column:
     """JSON value to money: as ``to_number``, then rounded to two places on the binary value.
 
-    A literal with at most two decimals already is its own rounding.
+    A literal with at most two decimals already is its own rounding; its JSON text tells it without a look at its type.
     """
 
+    def read(json: Column) -> Column:
+        return (
+            F.when(json.rlike(_MONEY_TEXT), _nonzero(json.try_cast(MONEY)))
+            .when(json.rlike(_MONEY_QUOTED), F.trim(json, F.lit('"')).try_cast(MONEY))
+            .otherwise(seen(value, rounded))
+        )
+
     def rounded(v: Column, shape: Column) -> Column:
         exact = _nonzero(F.to_json(v).try_cast(MONEY))
         short = (shape == "BIGINT") | (shape.startswith("DECIMAL") & F.substring(shape, -3, 3).isin(",0)", ",1)", ",2)"))
@@ -178,7 +185,7 @@ def money(value: Column) -> Column:
     def of_text(text: Column) -> Column:
         return F.when(text.rlike(_MONEY_TEXT), text.try_cast(MONEY)).otherwise(money_of_double(number_of_text(text)))
 
-    return seen(value, rounded)
+    return let(F.to_json(value), read)
 
 
 def pick(totals: Column, *keys: str) -> Column:

@@ -9,8 +9,12 @@ TOLERANCE = 0.01
 
 
 def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``, which may use it many times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Evaluate ``value`` once and hand it to ``body``, which may use it many times.
+
+    It is the start of a sum of nothing. An element taken out of an array would cost more: Spark then derives the type of
+    the whole ``body`` again for each value.
+    """
+    return F.aggregate(F.array(), value, lambda kept, _: kept, body)
 
 
 def round_money(value: Column, places: int = 2) -> Column:

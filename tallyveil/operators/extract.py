@@ -43,10 +43,11 @@ MOVE_FIELDS = ("name", "partner_id", "invoice_date", "state", "currency_id", "ta
 
 
 def _shown_as_product(display_type: Column) -> Column:
-    def test(v: Column, shape: Column) -> Column:
-        return F.when(shape == "STRING", F.try_variant_get(v, "$", "string") == "product").otherwise(~coerce.truthy(v))
+    def test(v: Column, json: Column) -> Column:
+        plain = json.isin('"product"', "false", "null")
+        return F.when(plain, F.lit(True)).when(json.startswith('"'), F.lit(False)).otherwise(~coerce.truthy(v))
 
-    return F.when(display_type.isNull(), F.lit(True)).otherwise(coerce.seen(display_type, test))
+    return F.when(display_type.isNull(), F.lit(True)).otherwise(let(F.to_json(display_type), lambda json: test(display_type, json)))
 
 
 def is_product_line(item: Column) -> Column:
@@ -56,21 +57,29 @@ def is_product_line(item: Column) -> Column:
 
 def tax_names(tax_ids: Column) -> Column:
     """Names of a line's taxes in their order, nameless ones left out."""
-    names = F.transform(coerce.items_of(tax_ids), relational_name)
+    return _names_of(coerce.items_of(tax_ids))
+
+
+def _names_of(taxes: Column) -> Column:
     empty = F.array().cast("array<string>")
-    return F.coalesce(F.filter(names, lambda n: n.isNotNull() & (n != "")), empty)
+    return F.coalesce(F.filter(F.transform(taxes, relational_name), lambda n: n.isNotNull() & (n != "")), empty)
 
 
-def raw_items(move: Column) -> Column:
-    """The line items: those of invoice_line_ids, or of line_ids when the first is empty."""
+def _items(move: Column, kind: str) -> Column:
+    """The line items as values of a type: those of invoice_line_ids, or of line_ids when the first is empty.
+
+    The list is chosen by its path and read once, so its items are not copied on the way.
+    """
+    first, second, none = F.lit("$.invoice_line_ids"), F.lit("$.line_ids"), F.lit(None).cast("string")
+    # Fits every list, whatever its items, and reads next to nothing of them.
+    size = F.size(F.try_variant_get(move, "$.invoice_line_ids", "array<struct<id:variant>>"))
+    path = let(size, lambda n: F.when(n > 0, first).when(n.isNull() & coerce.truthy(field(move, "$.invoice_line_ids")), none).otherwise(second))
+    return F.coalesce(F.try_variant_get(move, path, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
 
-    def chosen(lists: Column) -> Column:
-        first, second = lists["invoice_line_ids"], lists["line_ids"]
-        listed = coerce.items_of(first)
-        kept = F.when(listed.isNotNull(), F.when(F.size(listed) > 0, listed)).when(coerce.truthy(first), F.array().cast("array<variant>"))
-        return F.coalesce(kept, coerce.items_of(second), F.array().cast("array<variant>"))
 
-    return let(coerce.record(move, "invoice_line_ids", "line_ids"), chosen)
+def raw_items(move: Column) -> Column:
+    """The line items: those of invoice_line_ids, or of line_ids when the first is empty."""
+    return _items(move, "variant")
 
 
 def _line(item: Column, index: Column) -> Column:
@@ -88,7 +97,7 @@ def _line(item: Column, index: Column) -> Column:
             known["name"].alias("description"),
             F.coalesce(to_number(item["quantity"]), F.lit(0.0)).alias("quantity"),
             F.coalesce(to_number(item["price_unit"]), F.lit(0.0)).alias("unit_price"),
-            tax_names(item["tax_ids"]).alias("taxes"),
+            _names_of(item["tax_ids"]).alias("taxes"),
             known["subtotal"].alias("subtotal"),
             known["total"].alias("total"),
             relational_name(item["currency_id"]).alias("currency"),
@@ -102,7 +111,8 @@ def _line(item: Column, index: Column) -> Column:
 
 def lines_of(move: Column) -> Column:
     """Array of typed product lines with a dense index over the kept items."""
-    records = F.transform(raw_items(move), lambda item: coerce.record(item, *ITEM_FIELDS))
+    fields = ",".join(f"{name}:{'array<variant>' if name == 'tax_ids' else 'variant'}" for name in ITEM_FIELDS)
+    records = _items(move, f"struct<{fields}>")
     kept = F.filter(records, lambda r: r.isNotNull() & _shown_as_product(r["display_type"]))
     return F.transform(kept, _line)
 

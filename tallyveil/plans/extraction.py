@@ -43,7 +43,7 @@ def tagged_records(capture: DataFrame, mode: str = "first") -> DataFrame:
     parsed = exchanges.result_of(exchanges.calls(capture))
     is_read = F.col("kind") == "read"
     parsed = parsed.withColumn("codes", F.when(~is_read, lookup.codes_of(F.col("result"))))
-    parsed = parsed.withColumn("result", F.when(is_read, F.col("result")))
+    parsed = parsed.withColumn("body", F.when(is_read, F.col("body"))).drop("result")
     marked = exchanges.with_reject_reason(exchanges.moves_from_result(parsed, mode))
     ok = is_read & F.col("reject_reason").isNull()
     made = marked.withColumn("move", F.when(ok, F.col("move")))

@@ -39,10 +39,11 @@ def move_searches(capture: DataFrame) -> DataFrame:
 
 def calls(capture: DataFrame) -> DataFrame:
     """Reads and searches of the invoice model, told apart by ``kind``; a request is parsed once."""
-    params = coerce.field(F.try_parse_json("request"), "$.params")
+    # Null unless the parameters are an object.
+    params = F.try_variant_get(F.try_parse_json("request"), "$.params", "struct<model:variant,method:variant>")
     seen = capture.filter(F.col("url").contains(RPC_PATH)).withColumn("params", params)
-    method = coerce.text_of(coerce.field(F.col("params"), "$.method"))
-    wanted = coerce.is_object(F.col("params")) & (coerce.text_of(coerce.field(F.col("params"), "$.model")) == MOVE_MODEL)
+    method = coerce.text_of(F.col("params.method"))
+    wanted = coerce.text_of(F.col("params.model")) == MOVE_MODEL
     kind = F.when(wanted & method.isin(*READ_METHODS), "read").when(wanted & method.isin(*SEARCH_METHODS), "search")
     return keep_where(seen.withColumn("kind", kind).drop("params"), F.col("kind").isNotNull())
 
@@ -64,14 +65,18 @@ def moves_from_result(df: DataFrame, mode: str = "first") -> DataFrame:
     itself. ``first`` keeps one row per exchange, with a null move when there is none; ``all`` is
     the batch form with one row per record.
     """
-    result = F.col("result")
+    # Read from the whole answer where it is there: a result of its own would be one more copy.
+    source, root = (F.col("body"), "$.result") if "body" in df.columns else (F.col("result"), "$")
     if mode == "first":
-        records = coerce.field(result, "$.records")
-        itself = F.when(~F.coalesce(coerce.is_list(records), F.lit(False)), result)
-        single = F.coalesce(coerce.field(result, "$[0]"), coerce.field(result, "$.records[0]"), itself)
-        with_move = df.withColumn("move", single).withColumn("move", _object_or_null(F.col("move")))
-        return with_move.withColumn("record_pos", F.lit(0))
-    listed = F.coalesce(coerce.items_of(result), F.try_variant_get(result, "$.records", "array<variant>"))
+        is_object = lambda path: F.try_variant_get(source, path, "struct<id:variant>").isNotNull()
+        single = F.when(F.lit(False), F.lit(None).cast("variant"))
+        for path in (f"{root}[0]", f"{root}.records[0]"):
+            single = single.when(is_object(path), coerce.field(source, path))
+        no_list = F.try_variant_get(source, f"{root}.records", "array<struct<id:variant>>").isNull()
+        single = single.when(no_list & is_object(root), coerce.field(source, root))
+        return df.withColumn("move", single).withColumn("record_pos", F.lit(0))
+    result = coerce.field(source, root)
+    listed = F.coalesce(*[F.try_variant_get(source, path, "array<variant>") for path in (root, f"{root}.records")])
     many = F.coalesce(listed, F.filter(F.array(result), lambda r: r.isNotNull()))
     out = df.select("*", F.posexplode_outer(many).alias("record_pos", "move"))
     return out.withColumn("move", _object_or_null(F.col("move"))).fillna(0, ["record_pos"])

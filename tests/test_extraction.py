@@ -56,6 +56,27 @@ def test_record_of_a_result(spark):
     assert values(every) == [name, "second"]
 
 
+def test_records_of_odd_results_with_and_without_the_answer(spark):
+    """The record is read from the whole answer where that is there, else from the result, with the same outcome."""
+    a, b = {"name": "a"}, {"name": "b"}
+    df = exchanges.result_of(results(
+        spark, [None, a], [[a]], [5], {"records": [5], "name": "n"}, {"records": [None, a]}, {"records": a, "name": "n"}, {"records": None, "name": "n"}, [a, b]))
+    name = F.try_variant_get("move", "$.name", "string")
+    for rows in (df, df.drop("body")):
+        assert values(exchanges.moves_from_result(rows).select("seq", name)) == [None, None, None, None, None, "n", "n", "a"]
+        every = exchanges.moves_from_result(rows, "all").select("seq", "record_pos", name.alias("name")).collect()
+        assert sorted((r.seq, r.record_pos, r.name) for r in every) == [
+            (0, 0, None), (0, 1, "a"), (1, 0, None), (2, 0, None), (3, 0, None), (4, 0, None), (4, 1, "a"), (5, 0, "n"), (6, 0, "n"), (7, 0, "a"), (7, 1, "b")]
+
+
+def test_which_list_gives_the_lines(spark):
+    other = [{"name": "b"}]
+    got = lambda first: [l.description for l in lines(spark, {"invoice_line_ids": first, "line_ids": other})]
+    assert [got(x) for x in ([], None, False, 0, "", {})] == [["b"]] * 6
+    assert [got(x) for x in ([5], [None], [[1]], True, 1, "x", {"a": 1})] == [[]] * 7
+    assert got([[1], {"name": "c"}]) == ["c"] and lines(spark, {"line_ids": False}) == []
+
+
 def test_errors_are_split_off(spark):
     capture = captured(
         spark, exchange(0, "read", {"error": {"code": 1}}), exchange(1, "read", {"error": {}, "result": [MOVE]}), exchange(2, "read", "oops"),

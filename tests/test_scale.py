@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tallyveil.functions.money import let
 from tallyveil.operators import extract, redact
 from tallyveil.plans import extraction, scale
 from tallyveil.sources import capture as exchanges
@@ -90,6 +91,14 @@ def test_tagging_parses_once_and_moves_nothing(stored):
         assert logical.count("StructField(price_subtotal") == 1 and "Exchange" not in physical
 
 
+def test_tagging_reads_items_where_they_lie(stored):
+    """A list of items is read into its fields by one step, and no value bound by ``let`` is an element of an array."""
+    for mode in ("first", "all"):
+        logical = plan(extraction.tagged_records(stored, mode)).split("== Physical Plan ==")[0]
+        assert logical.count("ArrayType(StructType(StructField(display_type") == 1
+        assert logical.count("transform(") < 10 and "get(transform" not in str(let(F.col("x"), lambda x: x + x))
+
+
 def test_numbers_within_hot_and_missing_keys(spark, monkeypatch):
     """A key with most of the rows lies in several tasks, and its numbers have no gap."""
     rows = [(("hot" if i % 3 else None) if i % 10 else f"k{i % 70}", i * 7919 % 4001, i) for i in range(4000)]
