@@ -404,3 +404,13 @@ def test_page_lines_of_odd_pages(spark):
     rows = [(1, None), (2, ""), (3, "<tr class='o_data_row'><td name='product_id'>a<br>b</td><td name='quantity'>2</td></tr>" * 2)]
     got = {r.seq: r.dom_lines for r in html.lines_from_html(spark.createDataFrame(rows, "seq BIGINT, html STRING").coalesce(1)).collect()}
     assert got[1] == got[2] == [] and [(x.line_index, x.product, x.quantity) for x in got[3]] == [(0, "a", 2.0), (1, "a", 2.0)]
+
+
+def test_every_plain_page_is_matched_without_groups():
+    """A possessive repeat with groups raised a SystemError where the text before a tag was read as a new group's start."""
+    assert html._PLAIN.groups == 0
+    row = '<tr class="o_data_row"><td name="product_id">{0}<br>ref</td><td name=\'quantity\'>{0}</td></tr>'
+    for page in ("a<a></tr>", "=<td><td>", "</td><td/>x", "<p>" + "".join(row.format(i) for i in range(50)) + "</p>"):
+        assert html._PLAIN.fullmatch(page) and len(html._rows_of(page)) == page.count("<tr ")
+    for page in ("a<", "<td>a<3", "<tr><script></script></tr>", "<td name=a>"):
+        assert not html._PLAIN.fullmatch(page)
