@@ -106,6 +106,14 @@ def with_patterns(df: DataFrame, column: str, guard: str | None = None, allow: l
     return df.drop(source)
 
 
+def redact_each(texts: Column, allow: list[str] | None = None) -> Column:
+    """All patterns in order over an array of texts; a regex is not run on a text that lacks its literal."""
+    allow = [a for a in allow or [] if a]
+    for pattern in PATTERNS:
+        texts = F.transform(texts, lambda t: F.when(t.contains(pattern.needs), _apply(t, pattern, allow)).otherwise(t))
+    return texts
+
+
 def quoted(token: Column) -> Column:
     """A token as a literal piece of a regex."""
     return F.concat(F.lit(r"\Q"), F.replace(token, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from tallyveil.functions.coerce import filled, year_only
 from tallyveil.functions.jsontext import lines_fingerprint
-from tallyveil.functions.patterns import TOKEN_MASK, redact_patterns, stripped
+from tallyveil.functions.patterns import TOKEN_MASK, redact_each, redact_patterns, stripped
 from tallyveil.functions.surrogate import Surrogates
-from tallyveil.operators.redact import MIN_TOKEN_LEN, scrub
-from tallyveil.plans.scale import own_key
+from tallyveil.operators.matcher import gathered_lists
+from tallyveil.operators.redact import MIN_TOKEN_LEN, gathered_tokens, scrub
+from tallyveil.plans.scale import own_key, with_once
 
 
 def deidentify_header(docs: DataFrame, surrogates: Surrogates) -> DataFrame:
@@ -52,22 +53,39 @@ def deidentify_lines(
 
     ``own_tokens`` sweeps with the tokens of the invoice itself (see ``invoice_tokens``), ``deny``
     with a table of tokens; with both, a description too short to be a token of its invoice is still
-    swept for the table's. ``deny`` works on the flat descriptions. ``key`` names a column that tells
-    the documents apart; without it they get numbers of their own.
+    swept for the table's. Of a long table, the tokens that any description holds are found first; where
+    they are few enough to go to the tasks, lines are swept where they lie. Otherwise ``deny`` works on
+    the flat descriptions; ``key`` names a column that tells the documents apart there; without it they
+    get numbers of their own.
     """
     lines, columns, least = F.col("lines"), docs.columns, max(1, min_len)
+    too_short = lambda t: F.length(stripped(t)) < least
     if deny is None:
         sweep = (lambda t: _own_description(t, least, allow)) if own_tokens else (lambda t: redact_patterns(t, allow))
         return docs.withColumn("lines", _with_descriptions(lines, sweep))
+
+    def texts_of(docs: DataFrame, *keys: str) -> DataFrame:
+        texts = docs.select(*keys, F.explode_outer(F.array_distinct("lines.description")).alias("old")).filter(F.col("old") != "")
+        return texts.filter(too_short(F.col("old"))) if own_tokens else texts
+
+    held = gathered_tokens(texts_of(docs), "old", deny)
+    if held is not None:
+        asked = F.transform(lines, lambda l: F.when(too_short(l["description"]), l["description"]) if own_tokens else l["description"])
+        swept = docs.withColumn("__new", redact_each(gathered_lists(held, TOKEN_MASK)(asked), allow))
+
+        def line(l: Column, new: Column) -> Column:
+            old = l["description"]
+            if own_tokens:
+                new = F.when(too_short(old), new).otherwise(_own_description(old, least, allow))
+            return l.withField("description", F.when(old != "", new).otherwise(old))
+
+        return with_once(swept, "lines", F.zip_with("lines", "__new", line)).select(*columns)
     if key is None:
         docs, key = own_key(docs), "__key"
-    texts = docs.select(key, F.explode_outer(F.array_distinct("lines.description")).alias("old")).filter(F.col("old") != "")
-    too_short = lambda t: F.length(stripped(t)) < least
-    if own_tokens:
-        texts = texts.filter(too_short(F.col("old")))
+    texts = texts_of(docs, key)
     swept = scrub(texts.withColumn("new", F.col("old")), ["new"], deny, allow).filter(F.col("new") != F.col("old"))
-    maps = swept.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__new"))
-    joined = docs.join(maps, key, "left")
+    maps = swept.groupBy(F.col(key).alias("__of")).agg(F.map_from_entries(F.collect_set(F.struct("old", "new"))).alias("__new"))
+    joined = docs.join(maps, F.col(key).eqNullSafe(F.col("__of")), "left")
     new = lambda text: F.coalesce(F.try_element_at(F.col("__new"), text), text)
     if own_tokens:
         swept_text = new

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyveil.functions.patterns import ERROR_MASK
-from tallyveil.plans.scale import SMALL_BYTES, SMALL_ROWS, inline_rows, is_small, keep_where, written
+from tallyveil.plans.scale import SMALL_BYTES, SMALL_ROWS, inline_rows, is_small, keep_where, with_once, written
 
 _SEPARATOR = 0xFFFFFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -300,6 +300,17 @@ def _gathered(folded: DataFrame) -> list[str]:
     return [r["folded"] for r in folded.select("folded").collect()]
 
 
+def gathered_within(folded: DataFrame) -> list[str] | None:
+    """The tokens themselves, read part by part; None as soon as they pass the bounds."""
+    listed, size = [], 0
+    for row in folded.select("folded").toLocalIterator():
+        listed.append(row["folded"])
+        size += len(row["folded"].encode("utf-8", "surrogatepass"))
+        if len(listed) > SMALL_ROWS or size > SMALL_BYTES:
+            return None
+    return listed
+
+
 def _text_list(texts: Iterable[str | None]) -> list[str]:
     return ["" if t is None else t for t in texts]
 
@@ -375,7 +386,8 @@ def matched_tokens(df: DataFrame, column: str, tokens: DataFrame, total: Column)
         maybe = df.withColumn("__hits", F.array_distinct(_candidate_udf(token_filter)(column)["folded"]))
         some = _per_token(maybe, total).filter(part == i)
         found = some if found is None else found.unionByName(some)
-    return found.join(folded, "folded", "left_semi")
+    # Spark would push the join below the aggregate, where every hit of a frequent token takes part.
+    return with_once(found, "folded", F.col("folded")).join(folded, "folded", "left_semi")
 
 
 def fail_closed(work: Callable[[list], list], rows: list) -> list:
@@ -397,19 +409,37 @@ def gathered_layer(tokens: DataFrame, mask: str) -> Callable[[DataFrame, str], D
 
     For a token set within bounds: it goes to the tasks, which finish a batch of texts on their own.
     """
-    listed = _gathered(folded_tokens(tokens))
+    cover_rows = _covering(_gathered(folded_tokens(tokens)), mask)
+
+    @F.pandas_udf("string")
+    def cover(texts: pd.Series) -> pd.Series:
+        return pd.Series(cover_rows(list(texts)), dtype=object)
+
+    return lambda df, column: df.withColumn(column, cover(column))
+
+
+def _covering(listed: list[str], mask: str) -> Callable[[list], list]:
+    """Masks the listed tokens in a batch of texts, slice by slice."""
     token_filter, token_set = _filter_of_tokens(listed), set(listed)
 
     def covered(texts: list) -> list:
         spans = _exact_spans(_text_list(texts), token_filter, token_set)
         return [masked(t, spans[i], mask) if i in spans else t for i, t in enumerate(texts)]
 
-    @F.pandas_udf("string")
-    def cover(texts: pd.Series) -> pd.Series:
-        rows = list(texts)
-        return pd.Series([t for low, high in slices(_text_list(rows)) for t in fail_closed(covered, rows[low:high])], dtype=object)
+    return lambda rows: [t for low, high in slices(_text_list(rows)) for t in fail_closed(covered, rows[low:high])]
 
-    return lambda df, column: df.withColumn(column, cover(column))
+
+def gathered_lists(listed: list[str], mask: str) -> Callable[[Column], Column]:
+    """The same for a column of arrays of texts, from folded tokens that were gathered before: no row moves."""
+    cover_rows = _covering(listed, mask)
+
+    @F.arrow_udf("array<string>")
+    def cover(lists: pa.Array) -> pa.Array:
+        texts = pa.array(cover_rows(lists.flatten().to_pylist()), pa.string())
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts, mask=lists.is_null())
+
+    return cover
 
 
 def _masking_udf(mask: str):

@@ -57,6 +57,18 @@ def token_layer(deny: DataFrame, by: str | None = None) -> Callable[[DataFrame,
     return matcher.gathered_layer(deny, TOKEN_MASK)
 
 
+def gathered_tokens(df: DataFrame, column: str, deny: DataFrame) -> list[str] | None:
+    """The folded tokens that a sweep of the column needs, gathered; None where they pass the bounds.
+
+    Of a deny-list within bounds, all; of a longer one, those that some text of the column holds, for which the table
+    is read when this is called.
+    """
+    rows, size = measure(deny)
+    if rows > SMALL_ROWS or size > SMALL_BYTES:
+        return matcher.gathered_within(matcher.matched_tokens(df, column, deny.select("token"), F.count("*")))
+    return matcher.gathered_within(matcher.folded_tokens(deny))
+
+
 def redact_tokens(df: DataFrame, column: str, deny: DataFrame, by: str | None = None) -> DataFrame:
     """Mask every deny-list token, in any case and inside words too, longest first."""
     return token_layer(deny, by)(df, column)

@@ -112,6 +112,12 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.select("*", flag).filter("__keep").drop("__keep")
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds or replaces a column whose expression is evaluated once: filters on it, those that Spark infers from a later
+    ``explode`` too, stay above the generator."""
+    return df.select("*", F.explode_outer(F.array(value)).alias("__once")).withColumn(name, F.col("__once")).drop("__once")
+
+
 def inline_rows(df: DataFrame, column: str, *keys) -> DataFrame:
     """One row per struct of an array column. The outer form with a filter above avoids an inferred
     size test that would evaluate the array twice."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyveil.functions.surrogate import Surrogates
-from tallyveil.operators import deid, integrity, lookup
+from tallyveil.operators import deid, integrity, lookup, matcher, redact
 from tallyveil.schema import CHECKS, HEADER, LINE, METADATA
 
 from .samples import values
@@ -122,3 +122,63 @@ def test_join_needs_the_same_salt(spark):
 def test_collisions(spark):
     df = spark.createDataFrame([("s1", "a"), ("s1", "a"), ("s1", "b"), ("s2", "c")], "s STRING, o STRING")
     assert [tuple(r) for r in deid.surrogate_collisions(df, "s", "o").collect()] == [("s1", 2)]
+
+
+@pytest.fixture
+def long_lists(monkeypatch):
+    """Deny-lists of more than ten tokens pass the bounds; ``held`` tokens of such a list go to the tasks at most."""
+    def bound(held):
+        monkeypatch.setattr(redact, "SMALL_ROWS", 10)
+        monkeypatch.setattr(matcher, "SMALL_ROWS", held)
+        monkeypatch.setattr(matcher, "is_small", lambda df: False)
+    return bound
+
+
+def odd_documents(spark):
+    """Documents of null and repeated keys, without lines, with null and empty descriptions."""
+    one = [(None, "ask IRA MOSS"), (1, "ira moss, a@b.co.uk"), (1, "ira moss, a@b.co.uk"), (2, None), (3, ""), (4, "10.0.0.1 and Al Ma")]
+    rows = [(k, [(0, t), (1, t)]) for k, t in one] + [(5, []), (6, None)]
+    return spark.createDataFrame(rows, "k INT, lines ARRAY<STRUCT<line_index: INT, description: STRING>>")
+
+
+SWEPT = sorted([
+    ("None", ["ask [REDACTED:PHI]"] * 2), ("1", ["[REDACTED:PHI], [REDACTED:EMAIL]"] * 2), ("1", ["[REDACTED:PHI], [REDACTED:EMAIL]"] * 2),
+    ("2", [None] * 2), ("3", [""] * 2), ("4", ["[REDACTED:IP] and [REDACTED:PHI]"] * 2), ("5", []), ("6", None)], key=str)
+
+
+@pytest.mark.parametrize("held", [10, 1])
+def test_a_long_deny_list_sweeps_lines_where_they_lie(spark, long_lists, held):
+    """Two of its tokens stand in the texts: where they may go to the tasks, documents are not joined by key."""
+    deny = spark.createDataFrame([("Ira Moss",), ("al ma",), *[(f"name {i}",) for i in range(100)]], "token STRING")
+    long_lists(held)
+    out = deid.deidentify_lines(odd_documents(spark), deny, key="k")
+    assert ("Join" in out._jdf.queryExecution().optimizedPlan().toString()) == (held == 1)
+    assert sorted(((str(r.k), r.lines and [l.description for l in r.lines] if r.lines is not None else None) for r in out.collect()), key=str) == SWEPT
+    flat = out.select(F.explode("lines").alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert held == 1 or flat.count("cover(") == 1
+
+
+def test_tokens_found_do_not_stand_in_the_plan(spark, long_lists):
+    long_lists(10)
+    deny = spark.createDataFrame([("Ira Moss",), *[(f"name {i}",) for i in range(100)]], "token STRING")
+    out = deid.deidentify_lines(odd_documents(spark).filter("k > 1"), deny, key="k")
+    assert "ira moss" not in out._jdf.queryExecution().toString().lower()
+
+
+def test_each_pattern_on_arrays_as_on_columns(spark):
+    from tallyveil.functions.patterns import redact_each, redact_patterns
+
+    texts = ["a@b.co.uk INV/2026/00001", "123-45-6789", "4316522678525456", "10.0.0.1 https://x.y/z", "+1 415 555 0123 (212) 555 0100", "", None, "plain"]
+    df = spark.createDataFrame([(texts,), (None,), ([],)], "a ARRAY<STRING>")
+    for allow in (None, ["10.0.0.1", ""]):
+        rows = df.select(redact_each(F.col("a"), allow).alias("x"), F.transform("a", lambda t: redact_patterns(t, allow)).alias("y")).collect()
+        assert [r.x for r in rows] == [r.y for r in rows] and rows[1].x is None and rows[2].x == []
+
+
+def test_hits_are_counted_before_they_are_confirmed(spark, long_lists):
+    long_lists(10)
+    texts = spark.createDataFrame([("ira moss and ann",), ("IRA MOSS",), (None,)], "t STRING")
+    found = matcher.matched_tokens(texts, "t", spark.createDataFrame([("Ira Moss",), ("bo",)], "token STRING"), F.count("*"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("count(1)") and "count(1)" not in plan[: plan.index("Join LeftSemi")]
+    assert [tuple(r) for r in found.collect()] == [("ira moss", 2)]
