@@ -83,7 +83,9 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     """The flat line table in the shape of the document's lines, with a dense line_index."""
     ensure_shared_folder(spark)
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    flat = numbered_within(_amounts(table(spark, sf, "lineitem")).join(parts, "l_partkey", "left"), "l_orderkey", LINE_ORDER, "line_index")
+    # Only the columns that number the lines or make them pass through the numbering.
+    items = table(spark, sf, "lineitem").select("l_orderkey", *LINE_ORDER)
+    flat = _amounts(numbered_within(items.join(parts, "l_partkey", "left"), "l_orderkey", LINE_ORDER, "line_index"))
     return flat.select(
         F.col("l_orderkey").alias("seq"), F.col("line_index").cast("int").alias("line_index"),
         F.col("p_name").alias("product"),

@@ -88,10 +88,11 @@ def numbered_within(df: DataFrame, key: str, order: list[str], name: str) -> Dat
     Rows are sorted by ranges of key and order, so a key with very many rows lies in several tasks. Each task numbers its
     own; only keys at the edges of tasks need an offset, at most one key for each edge. The table is written in between.
     """
-    tagged = df.withColumn("__key", F.col(key).cast("string"))
-    by = ["__key", *order]
+    # The key's text is made again after the rows have moved, so that it does not move with them.
+    by = [F.col(key).cast("string"), *order]
+    tagged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__key", F.col(key).cast("string"))
     schema = T.StructType([*tagged.schema.fields, T.StructField("__task", T.IntegerType()), T.StructField("__place", T.LongType())])
-    rows = written(tagged.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_places, schema), "numbered")
+    rows = written(tagged.mapInArrow(_places, schema), "numbered")
     group = F.struct("__key").alias("__group")
     edges = rows.groupBy("__task").agg(F.min(group).alias("low"), F.max(group).alias("high"))
     shared = edges.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("__group")).groupBy("__group").count().filter("count > 1")

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from checks import views
 from tallyveil.functions import coerce
 from tallyveil.functions.jsontext import lines_fingerprint
 from tallyveil.functions.surrogate import Surrogates
@@ -414,3 +415,33 @@ def test_every_plain_page_is_matched_without_groups():
         assert html._PLAIN.fullmatch(page) and len(html._rows_of(page)) == page.count("<tr ")
     for page in ("a<", "<td>a<3", "<tr><script></script></tr>", "<td name=a>"):
         assert not html._PLAIN.fullmatch(page)
+
+
+def test_pieces_move_again_only_beyond_a_span(spark, monkeypatch):
+    """Pieces of one task's lines are hashed where they are; those of a larger invoice still give its fingerprint."""
+    line = extract.explode_lines(extract.extract_lines(one(spark)), "i").drop("i", "currency_id").filter("line_index = 0").drop("line_index")
+    sizes = spark.createDataFrame([(0, 1), (1, 2), (2, 7), (3, 64), (4, 65), (5, 200)], "k INT, size INT")
+    flat = sizes.select("k", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("line_index")).crossJoin(line).repartition(3)
+    nested = flat.groupBy("k").agg(F.collect_list(F.struct(*[c for c in flat.columns if c != "k"])).alias("lines"))
+    want = {r.k: r.s for r in nested.select("k", lines_fingerprint(F.col("lines")).alias("s")).collect()}
+    kept, keep_where = [], integrity.keep_where
+    monkeypatch.setattr(integrity, "keep_where", lambda *a: kept.append(keep_where(*a)) or kept[-1])
+    for span, chunk, again in ((1 << 16, 2, set()), (64, 2, {3, 4, 5}), (64, 5, {3, 4, 5}), (64, 100, {5}), (64, 1, {3, 4, 5})):
+        monkeypatch.setattr(integrity, "SPAN", span, raising=False)
+        got = integrity.fingerprint_flat(flat, "k", chunk)
+        assert {r.k: r.integrity_sha256 for r in got.collect()} == want and got.count() == len(want)
+        assert {r.k for r in kept[-1].select("k").collect()} == again, (span, chunk)
+
+
+def test_no_column_of_other_use_is_numbered(spark, monkeypatch, tmp_path):
+    day, line = "timestamp'2031-02-11'", "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE"
+    rows = spark.createDataFrame([(7, 1, 2, 2, 1.0, 100.0, 0.1, 0.2), (7, 9, 2, 1, 3.0, 50.0, 0.0, 0.0)], line)
+    rows.selectExpr("*", "'N' AS l_returnflag", f"{day} AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "bolt", "b"), (1, "bolt", "c")], "p_partkey BIGINT, p_name STRING, p_brand STRING").write.parquet(f"{tmp_path}/part.parquet")
+    seen, numbered_within = [], views.numbered_within
+    monkeypatch.setattr(views, "numbered_within", lambda df, *a: seen.append(set(df.columns)) or numbered_within(df, *a))
+    got = views.lines(spark, str(tmp_path)).orderBy("line_index").collect()
+    assert seen == [{"l_orderkey", "p_name", *views.LINE_ORDER}]
+    # A part that is there twice doubles its lines, which are numbered then.
+    assert [(r.seq, r.line_index, r.product, r.subtotal, r.total) for r in got] == [
+        (7, 0, None, D("50.00"), D("50.00")), (7, 1, "bolt", D("90.00"), D("108.00")), (7, 2, "bolt", D("90.00"), D("108.00"))]
