@@ -9,7 +9,7 @@ from tallyveil.functions.patterns import TOKEN_MASK, redact_each, redact_pattern
 from tallyveil.functions.surrogate import Surrogates
 from tallyveil.operators.matcher import gathered_lists
 from tallyveil.operators.redact import MIN_TOKEN_LEN, gathered_tokens, scrub
-from tallyveil.plans.scale import own_key, with_once
+from tallyveil.plans.scale import keep_where, own_key, with_once, written
 
 
 def deidentify_header(docs: DataFrame, surrogates: Surrogates) -> DataFrame:
@@ -82,8 +82,8 @@ def deidentify_lines(
         return with_once(swept, "lines", F.zip_with("lines", "__new", line)).select(*columns)
     if key is None:
         docs, key = own_key(docs), "__key"
-    texts = texts_of(docs, key)
-    swept = scrub(texts.withColumn("new", F.col("old")), ["new"], deny, allow).filter(F.col("new") != F.col("old"))
+    texts = written(texts_of(docs, key), "texts")
+    swept = keep_where(scrub(texts.withColumn("new", F.col("old")), ["new"], deny, allow), F.col("new") != F.col("old"))
     maps = swept.groupBy(F.col(key).alias("__of")).agg(F.map_from_entries(F.collect_set(F.struct("old", "new"))).alias("__new"))
     joined = docs.join(maps, F.col(key).eqNullSafe(F.col("__of")), "left")
     new = lambda text: F.coalesce(F.try_element_at(F.col("__new"), text), text)
